@@ -13,7 +13,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidepanel.llm.common import table
@@ -106,6 +106,11 @@ def _searching(k: int):
     return run
 
 
+def _numbers(n: int) -> Column:
+    """0 to n - 1."""
+    return F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))
+
+
 def _best(found: DataFrame, k: int) -> DataFrame:
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
@@ -135,9 +140,10 @@ def top_k(vectors: DataFrame, is_query, k: int = 10, scale: int = 1024, id_col:
     if shards == 1:
         return home.select("query_id", "rank", "vec_id", "score")
     kth = home.where(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").alias("kth_score"), F.col("vec_id").alias("kth_id"))
-    away = asked.join(kth, "id", "left").withColumn("to", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).where("to != shard").drop("shard").withColumnRenamed("to", "shard")
-    spread = rows.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("long"))
-    far = searched(spread, away.withColumn("shard", F.col("shard").cast("long")), [*key, "block"])
+    away = asked.join(kth, "id", "left").withColumn("to", F.explode(_numbers(shards))).where("to != shard").drop("shard").withColumnRenamed("to", "shard")
+    spread = rows.withColumn("block", F.explode(_numbers(blocks)))
+    away = away.select(*(F.col(c).alias(c) for c in away.columns))  # columns of its own beside those of spread
+    far = searched(spread, away, [*key, "block"])
     return _best(home.select("query_id", "vec_id", "score").unionByName(far), k).select("query_id", "rank", "vec_id", "score")
 
 
