@@ -8,7 +8,8 @@ Four registers make a band key of 64 bits; two sets with similarity 0.75 share o
 No pairs are made within a group of copies. Equal sets are one class. In each bucket of a band, the classes are first held
 against the smallest class only, and each class against one such partner; what this links is joined up. Only classes of one
 bucket that are still apart afterwards are then held against each other, so every candidate is either tested or already
-connected.
+connected. In small buckets these are all pairs; in large ones (many near copies of one text, some of them too far apart to be
+linked) only pairs that share one of their rarest shingles at places that leave room for enough overlap, which loses no link.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidepanel.llm.common import mix, seeds, staged, table
@@ -30,6 +31,8 @@ LARGE_BUCKETS = 8
 #: two is above 4/3, so that two sets of similarity 0.75 or more always have a kind of sketch in common.
 SMALL_SURE, SMALL_MOST = 64, 86
 _EMPTY = np.uint16(0xFFFF)
+#: Buckets of up to so many classes compare all that are apart; larger ones by their rarest shingles.
+NARROW = 32
 
 
 def _register(least: np.ndarray) -> np.ndarray:
@@ -175,14 +178,42 @@ def _estimated(pairs: DataFrame, classes: DataFrame, least: float) -> DataFrame:
     return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_likely(least), "a long, b long")
 
 
-def _linked(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs (a, b) that hold on full sets; only texts that a pair names are hashed again."""
-    named = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    sets = staged(docs.join(named.hint("shuffle_hash"), "id", "left_semi").mapInArrow(_hash_sets(words), "id long, hashes binary").dropDuplicates(["id"]), "sets")
+def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that hold on full sets."""
     a, b = (sets.select(F.col("id").alias(s), F.col("hashes").alias(f"h{s}")) for s in "ab")
     return pairs.join(a, "a").join(b, "b").mapInArrow(_confirmed(percent), "a long, b long")
 
 
+def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each hash of a set, a few sets at a time."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, 256):
+            part = batch.slice(lo, 256)
+            sets = [np.frombuffer(x.as_buffer(), np.int64) for x in part.column("hashes")]
+            times = np.array([len(x) for x in sets])
+            at = pa.array(np.repeat(np.arange(len(sets)), times))
+            yield pa.RecordBatch.from_arrays([part.column("id").take(at), part.column("label").take(at), pa.array(np.repeat(times, times), pa.int64()), pa.array(np.concatenate(sets))], ["id", "label", "n", "token"])
+
+
+def _by_rarest(pool: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different labels that can be linked, from rows (id, label).
+
+    Shingles are ordered from rare to common, the same for all sets. Two sets with enough overlap share a shingle early: at the
+    first one, at places i and j, the overlap is at most 1 + min(n - i, m - j).
+    """
+    tokens = staged(sets.join(pool, "id").mapInArrow(_spread, "id long, label long, n long, token long"), "tokens")
+    order = Window.partitionBy("id").orderBy("df", "token")
+    placed = tokens.join(tokens.groupBy("token").agg(F.count("*").alias("df")), "token").withColumn("place", F.row_number().over(order))
+    # a partner has at least this share of the set's size
+    early = placed.where(100 * F.col("place") <= 100 * F.col("n") - F.ceil(percent * F.col("n") / 100) * 100 + 100)
+    early = staged(early.select("token", "id", "label", "n", "place"), "early")
+    a, b = (early.select("token", F.col("id").alias(s), F.col("label").alias(f"l{s}"), F.col("n").alias(f"n{s}"), F.col("place").alias(f"p{s}")) for s in "ab")
+    most = 1 + F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))
+    # 100 * o >= percent * (n + m - o)
+    room = (100 + percent) * most >= percent * (F.col("na") + F.col("nb"))
+    return a.join(b, "token").where("a < b and la != lb").where(room).select("a", "b").distinct()
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 75, slack: float = 0.23) -> DataFrame:
     """Groups of near duplicates: rows (id, n_shingles, component_id, kept), one for each row of ``docs``.
 
@@ -202,23 +233,26 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     spread = classes.select("id", F.explode("keys").alias("key"))
     shared = spread.groupBy("key").agg(F.min("id").alias("least"), F.count("*").alias("size")).where("size > 1")
-    buckets = staged(spread.join(shared.select("key", "least"), "key"), "buckets")
+    buckets = staged(spread.join(shared, "key"), "buckets")
     stars = buckets.where("id != least").select(F.col("least").alias("a"), F.col("id").alias("b")).distinct()
-    likely = staged(_estimated(stars, classes, percent / 100 - slack), "likely")
-    first = likely.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-    texts = docs.where("id is not null")
-    links = staged(_linked(first, texts, words, percent), "links")
+    least = percent / 100 - slack
+    first = _estimated(stars, classes, least).groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+    first = staged(first, "first")
+    # full sets of all that share a bucket
+    named = buckets.select("id").distinct()
+    sets = staged(docs.join(named.hint("shuffle_hash"), "id", "left_semi").mapInArrow(_hash_sets(words), "id long, hashes binary").dropDuplicates(["id"]), "sets")
+    links = staged(_linked(first, sets, percent), "links")
     joined = staged(connected_components(links), "joined")
 
     # classes that share a bucket and are still apart
-    label = buckets.select("key", "id").join(joined, "id", "left").select("key", "id", F.coalesce("component", "id").alias("label"))
+    label = buckets.select("key", "id", "size").join(joined, "id", "left").select("key", "id", "size", F.coalesce("component", "id").alias("label"))
     apart = label.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
     label = staged(label.join(apart, "key"), "apart")
-    a, b = (label.select("key", F.col("id").alias(s), F.col("label").alias(f"l{s}")) for s in "ab")
-    rest = a.join(b, "key").where("a < b and la != lb").select("a", "b").distinct().join(first, ["a", "b"], "left_anti")
-    rest = staged(_estimated(rest, classes, percent / 100 - slack), "rest")
-    links = links.unionByName(_linked(rest, texts, words, percent))
-    found = staged(connected_components(links), "components")
+    a, b = (label.where(F.col("size") <= NARROW).select("key", F.col("id").alias(s), F.col("label").alias(f"l{s}")) for s in "ab")
+    rest = a.join(b, "key").where("a < b and la != lb").select("a", "b")
+    rest = rest.unionByName(_by_rarest(label.where(F.col("size") > NARROW).select("id", "label").distinct(), sets, percent)).distinct()
+    rest = staged(_estimated(rest.join(first, ["a", "b"], "left_anti"), classes, least), "rest")
+    found = staged(connected_components(links.unionByName(_linked(rest, sets, percent))), "components")
 
     groups = equal.join(found, equal.rep == found.id, "left").select("s1", "s2", F.coalesce("component", "rep").alias("component"))
     out = sketches.select("id", "n", "s1", "s2").join(groups, ["s1", "s2"], "left")
@@ -230,7 +264,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` whose document is the kept one of its group; all rows without an id stay."""
     gone = near_duplicates(docs, id_col, text_col, **options).where(~F.col("kept")).select(F.col("id").alias("__gone")).distinct()
-    return docs.join(gone, docs[id_col].cast("long") == gone["__gone"], "left_anti")
+    return docs.join(gone.hint("shuffle_hash"), docs[id_col].cast("long") == gone["__gone"], "left_anti")
 
 
 def op1_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
