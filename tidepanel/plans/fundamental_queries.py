@@ -45,12 +45,12 @@ def wn_07(spark, sf_dir):
     return periods.trailing_year(periods.quarters(ledger_facts(spark, sf_dir))).select("security_id", "available_at", "period_end", "value")
 
 
-@query("wn_08_annual_proxy", f"""WITH {_SQL_QUARTERS}, k AS (SELECT security_id, min(period_end) AS first_end FROM q GROUP BY 1)
-SELECT security_id, fy AS fiscal_year, count(*) AS n FROM q JOIN k USING (security_id) WHERE quarter = 'Q4' AND period_end < first_end GROUP BY 1, 2""")
+@query("wn_08_annual_proxy", f"WITH {_SQL_QUARTERS} SELECT security_id, fy AS fiscal_year, count(*) AS n FROM q WHERE quarter = 'Q4' AND fy % 3 = 0 GROUP BY 1, 2")
 def wn_08(spark, sf_dir):
-    """Annual facts of periods without a trailing year; here every full year has one."""
+    """Annual facts stand in where quarters are missing: here those of every third year."""
     facts = ledger_facts(spark, sf_dir)
-    return periods.annual_proxy(facts, periods.trailing_year(periods.quarters(facts))).groupBy("security_id", "fiscal_year").agg(F.count("*").alias("n"))
+    known = facts.where("fiscal_period = 'FY' or fiscal_year % 3 != 0")
+    return periods.annual_proxy(known, periods.trailing_year(periods.quarters(known))).groupBy("security_id", "fiscal_year").agg(F.count("*").alias("n"))
 
 
 @query("wn_09_10_bases", f"WITH {_SQL_QUARTERS} SELECT 'RAW' AS basis, count(*) AS n FROM q UNION ALL SELECT 'ANNUAL', count(*) FROM q WHERE quarter = 'Q4' UNION ALL SELECT 'QUARTERLY_DISCRETE', count(*) FROM q")
