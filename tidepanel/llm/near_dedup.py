@@ -18,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidepanel.llm.common import mix, seeds, staged, table
@@ -33,6 +33,8 @@ SMALL_SURE, SMALL_MOST = 64, 86
 _EMPTY = np.uint16(0xFFFF)
 #: Buckets of up to so many classes compare all that are apart; larger ones by their rarest shingles.
 NARROW = 32
+#: Slots that count how common shingles are.
+SLOT_BITS = 20
 
 
 def _register(least: np.ndarray) -> np.ndarray:
@@ -184,29 +186,56 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(a, "a").join(b, "b").mapInArrow(_confirmed(percent), "a long, b long")
 
 
-def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each hash of a set, a few sets at a time."""
+def _slots(tokens: np.ndarray) -> np.ndarray:
+    return tokens.view(np.uint64) >> np.uint64(64 - SLOT_BITS)
+
+
+def _slot_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many shingles of a task's sets fall into each slot of the hash range."""
+    total = np.zeros(1 << SLOT_BITS, np.int64)
     for batch in batches:
-        for lo in range(0, batch.num_rows, 256):
-            part = batch.slice(lo, 256)
-            sets = [np.frombuffer(x.as_buffer(), np.int64) for x in part.column("hashes")]
-            times = np.array([len(x) for x in sets])
-            at = pa.array(np.repeat(np.arange(len(sets)), times))
-            yield pa.RecordBatch.from_arrays([part.column("id").take(at), part.column("label").take(at), pa.array(np.repeat(times, times), pa.int64()), pa.array(np.concatenate(sets))], ["id", "label", "n", "token"])
+        for x in batch.column("hashes"):
+            np.add.at(total, _slots(np.frombuffer(x.as_buffer(), np.int64)), 1)
+    at = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], ["slot", "n"])
+
+
+def _early(percent: int, counts):
+    """Of each set the shingles that come first in the order from rare to common, as many as a linked partner must meet."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 256):
+                part, tokens, places, sizes = batch.slice(lo, 256), [], [], []
+                for x in part.column("hashes"):
+                    own = np.frombuffer(x.as_buffer(), np.int64)
+                    most = len(own) + (-percent * len(own)) // 100 + 1
+                    tokens.append(own[np.lexsort((own, counts.value[_slots(own)]))][:most])
+                    places.append(np.arange(1, len(tokens[-1]) + 1))
+                    sizes.append(len(own))
+                times = [len(t) for t in tokens]
+                at = pa.array(np.repeat(np.arange(len(times)), times))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.concatenate(tokens)), part.column("id").take(at), part.column("label").take(at), pa.array(np.repeat(sizes, times), pa.int64()), pa.array(np.concatenate(places), pa.int64())],
+                    ["token", "id", "label", "n", "place"])
+
+    return run
 
 
 def _by_rarest(pool: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of different labels that can be linked, from rows (id, label).
 
-    Shingles are ordered from rare to common, the same for all sets. Two sets with enough overlap share a shingle early: at the
+    Shingles are ordered from rare to common, the same for all sets; how common one is, is told by the count of its slot of the
+    hash range, a table of fixed size that every task gets (8 MB). Two sets with enough overlap share a shingle early: at the
     first one, at places i and j, the overlap is at most 1 + min(n - i, m - j).
     """
-    tokens = staged(sets.join(pool, "id").mapInArrow(_spread, "id long, label long, n long, token long"), "tokens")
-    order = Window.partitionBy("id").orderBy("df", "token")
-    placed = tokens.join(tokens.groupBy("token").agg(F.count("*").alias("df")), "token").withColumn("place", F.row_number().over(order))
-    # a partner has at least this share of the set's size
-    early = placed.where(100 * F.col("place") <= 100 * F.col("n") - F.ceil(percent * F.col("n") / 100) * 100 + 100)
-    early = staged(early.select("token", "id", "label", "n", "place"), "early")
+    held = staged(sets.join(pool, "id").select("id", "label", "hashes"), "held")
+    # one partial table of counts for each core rather than for each task
+    told = held.select("hashes").coalesce(pool.sparkSession.sparkContext.defaultParallelism).mapInArrow(_slot_counts, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(1 << SLOT_BITS, np.int64)
+    counts[told.column("slot").to_numpy()] = told.column("n").to_numpy()
+    sent = pool.sparkSession.sparkContext.broadcast(counts)
+    early = staged(held.mapInArrow(_early(percent, sent), "token long, id long, label long, n long, place long"), "early")
     a, b = (early.select("token", F.col("id").alias(s), F.col("label").alias(f"l{s}"), F.col("n").alias(f"n{s}"), F.col("place").alias(f"p{s}")) for s in "ab")
     most = 1 + F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))
     # 100 * o >= percent * (n + m - o)
