@@ -179,6 +179,21 @@ def test_language_odd_rows(spark):
     assert language_id.predict_languages(df, empty).where("lang_pred = 'und'").count() == 10
 
 
+def test_language_rejection(spark):
+    """Labelled texts without letters change nothing; other scripts and gibberish are rejected, short texts of a language are not."""
+    rng = random.Random(7)
+    train = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang")
+    blank = spark.createDataFrame([(10**6 + i, t, lang) for i, (t, lang) in enumerate((t, lang) for t in ("", "12345", "?! -- 7", "٣٣ ١٢") for lang in ("en", "fr"))], train.schema)
+    clean, mixed_in = language_id.fit_languages(train), language_id.fit_languages(train.unionByName(blank))
+    assert clean.languages == mixed_in.languages and clean.languages.count("en") == language_id.CLUSTERS
+    assert np.allclose(clean.centres, mixed_in.centres) and np.allclose(clean.floors, mixed_in.floors) and clean.floors.min() >= 0.06
+    odd = ["这是一个关于天气的长句子，今天非常好。", "Это предложение написано на русском языке.", "هذه جملة باللغة العربية طويلة", "한국어로 쓰인 긴 문장입니다", "zzzzzzzz qqqq xxxx"]
+    odd += ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz    ") for _ in range(n)) for n in (60, 400, 4000)]
+    rows = [(i, t, None) for i, t in enumerate(odd)]
+    assert language_id.predict_languages(spark.createDataFrame(rows, train.schema), mixed_in).where("not rejected").count() == 0
+    assert language_id.predict_languages(train.where("text rlike '[A-Za-z]{3}'"), mixed_in).where("rejected").count() == 0
+
+
 def test_top_k_against_all(spark):
     rng = np.random.default_rng(3)
     rows = [(i, rng.integers(-9, 9, 6).astype(float).tolist()) for i in range(700)]

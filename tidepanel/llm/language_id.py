@@ -3,7 +3,8 @@
 A text is lower-cased, its ASCII non-letters become spaces, and its byte n-grams (one to three) are hashed to ``DIMENSIONS``
 counts. Counts are damped, weighted by inverse document frequency and scaled to length one. Spherical k-means makes up to
 ``CLUSTERS`` centroids per language. A text gets the language of the centroid with the highest cosine; it is rejected if
-that cosine is under half of the lowest that any fitted text has with its own language, or under a fixed floor.
+that cosine is under the language's floor: a share of a low quantile of the cosines that its texts have with centroids of
+others of its texts, lower for texts of few different n-grams. Texts without letters take no part in the fit.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ FIT_TEXTS = 2000
 #: The model is sent to every task, so the number of languages is bounded: 128 KB each, 64 MB in all.
 MOST_LANGUAGES = 512
 UNKNOWN = "und"
+#: The floor is this share of this quantile, in full for texts of so many different n-grams (about 32 letters).
+FLOOR_SHARE, FLOOR_QUANTILE, FLOOR_GRAMS = 0.4, 0.01, 80
 
 _LETTERS = bytes(c if c >= 0x80 or chr(c).isalpha() else 0x20 for c in range(256))
 _SLOTS = (seeds(256 * 3, 6) >> np.uint64(32)).astype(np.uint32).reshape(3, 256)
@@ -80,23 +83,31 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column("lang"), part.column("rank"), pa.array(rows, pa.binary())], ["lang", "rank", "row"])
 
 
+def _clustered(x: np.ndarray, clusters: int) -> np.ndarray:
+    """Centres of spherical k-means."""
+    centre = x.mean(axis=0, keepdims=True)
+    centre /= max(np.linalg.norm(centre), 1e-12)
+    while len(centre) < min(clusters, len(x)):  # the text farthest from all so far starts the next cluster
+        centre = np.vstack((centre, x[[int((x @ centre.T).max(axis=1).argmin())]]))
+    for _ in range(15):
+        own = (x @ centre.T).argmax(axis=1)
+        sums = np.vstack([x[own == c].sum(axis=0) if (own == c).any() else centre[c] for c in range(len(centre))])
+        sums /= np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-12)
+        if np.allclose(sums, centre, atol=1e-6):
+            break
+        centre = sums
+    return centre
+
+
 def _centroids(clusters: int, idf: np.ndarray):
     def fit(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["rank", "row"])
         x = _weighted(np.frombuffer(b"".join(frame["row"]), np.uint16).reshape(len(frame), -1).astype(np.float32), idf)
-        centre = x.mean(axis=0, keepdims=True)
-        centre /= max(np.linalg.norm(centre), 1e-12)
-        while len(centre) < min(clusters, len(x)):  # the text farthest from all so far starts the next cluster
-            centre = np.vstack((centre, x[[int((x @ centre.T).max(axis=1).argmin())]]))
-        for _ in range(15):
-            own = (x @ centre.T).argmax(axis=1)
-            sums = np.vstack([x[own == c].sum(axis=0) if (own == c).any() else centre[c] for c in range(len(centre))])
-            sums /= np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-12)
-            if np.allclose(sums, centre, atol=1e-6):
-                break
-            centre = sums
-        least = float((x @ centre.T).max(axis=1).min())
-        return pd.DataFrame({"lang": frame["lang"].iloc[0], "centre": [c.astype(np.float32).tobytes() for c in centre], "least": least})
+        # each half of the texts against centres of the other half, as a text has cosine 1 with a centre of its own
+        halves = (x[0::2], x[1::2]) if len(x) > 1 else ()
+        near = [(a @ _clustered(b, clusters).T).max(axis=1) for a, b in (halves, halves[::-1])] if halves else [np.zeros(1)]
+        floor = FLOOR_SHARE * max(0.0, float(np.quantile(np.concatenate(near), FLOOR_QUANTILE)))
+        return pd.DataFrame({"lang": frame["lang"].iloc[0], "centre": [c.astype(np.float32).tobytes() for c in _clustered(x, clusters)], "floor": floor})
 
     return fit
 
@@ -106,18 +117,22 @@ class LanguageModel:
     languages: list[str]
     centres: np.ndarray
     idf: np.ndarray
-    floor: float
+    #: One for each centre.
+    floors: np.ndarray
+
+    def rejects(self, best: int, score: float, grams: int) -> bool:
+        return score < self.floors[best] * min(1.0, (grams / FLOOR_GRAMS) ** 0.5)
 
 
 def fit_languages(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", clusters: int = CLUSTERS, fit_texts: int = FIT_TEXTS, least: float = 0.06) -> LanguageModel:
-    """Learn centroids from the rows of ``docs`` with a language and a text.
+    """Learn centroids from the rows of ``docs`` with a language and a text that has a letter.
 
     Inverse document frequencies count all these rows. Centroids are fitted on about ``fit_texts`` rows per language, chosen
     by a hash of the id. Without such rows the model has no language and predicts ``und``. ``least`` bounds the rejection
-    floor from above.
+    floors from below.
     """
     spark = docs.sparkSession
-    known = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("lang is not null and text is not null")
+    known = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     sizes = {r["lang"]: r["count"] for r in known.groupBy("lang").count().limit(MOST_LANGUAGES + 1).collect()}
     if len(sizes) > MOST_LANGUAGES:
         raise ValueError(f"more than {MOST_LANGUAGES} languages")
@@ -126,16 +141,16 @@ def fit_languages(docs: DataFrame, text_col: str = "text", lang_col: str = "lang
         held[slot] = n
     idf = np.log((held[-1] + 1) / (held[:-1] + 1)).astype(np.float32) + np.float32(1)
     if not sizes:
-        return LanguageModel([], np.zeros((0, DIMENSIONS), np.float32), idf, 0.0)
+        return LanguageModel([], np.zeros((0, DIMENSIONS), np.float32), idf, np.zeros(0))
     share = spark.createDataFrame([(k, min(1.0, fit_texts / n)) for k, n in sizes.items()], "lang string, share double")
     rank = F.xxhash64(F.col("id").cast("string"))
     drawn = known.select("text", "lang", rank.alias("rank")).join(F.broadcast(share), "lang").where(F.pmod("rank", F.lit(1 << 30)) < F.col("share") * (1 << 30))
-    rows = drawn.select("text", "lang", "rank").mapInArrow(_counted, "lang string, rank long, row binary").groupBy("lang").applyInPandas(_centroids(clusters, idf), "lang string, centre binary, least double")
+    rows = drawn.select("text", "lang", "rank").mapInArrow(_counted, "lang string, rank long, row binary").groupBy("lang").applyInPandas(_centroids(clusters, idf), "lang string, centre binary, floor double")
     found = sorted(rows.collect(), key=lambda r: (r["lang"], r["centre"]))
     if not found:
-        return LanguageModel([], np.zeros((0, DIMENSIONS), np.float32), idf, 0.0)
+        return LanguageModel([], np.zeros((0, DIMENSIONS), np.float32), idf, np.zeros(0))
     centres = np.frombuffer(b"".join(r["centre"] for r in found), np.float32).reshape(len(found), -1)
-    return LanguageModel([r["lang"] for r in found], centres, idf, min(least, min(r["least"] for r in found) / 2))
+    return LanguageModel([r["lang"] for r in found], centres, idf, np.array([max(least, r["floor"]) for r in found]))
 
 
 def predict_languages(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:
@@ -156,14 +171,16 @@ def predict_languages(docs: DataFrame, model: LanguageModel, text_col: str = "te
             langs, scores, out = [], [], []
             for lo in range(0, batch.num_rows, _CHUNK_ROWS):
                 texts = batch.column("text").slice(lo, _CHUNK_ROWS).to_pylist()
-                near = _weighted(counts(texts), m.idf) @ m.centres.T if m.languages else np.zeros((len(texts), 1))
-                for text, own in zip(texts, near, strict=True):
+                held = counts(texts)
+                grams = np.count_nonzero(held, axis=1)
+                near = _weighted(held, m.idf) @ m.centres.T if m.languages else np.zeros((len(texts), 1))
+                for text, own, n in zip(texts, near, grams, strict=True):
                     best = int(own.argmax())
                     named = bool(m.languages) and _has_letter(text)
                     score = min(1.0, max(0.0, round(float(own[best]), 6))) if named else 0.0
                     langs.append(m.languages[best] if named else UNKNOWN)
                     scores.append(score)
-                    out.append(not named or score < m.floor)
+                    out.append(not named or m.rejects(best, score, int(n)))
             yield pa.RecordBatch.from_arrays([batch.column("rest"), pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(out, pa.bool_())], ["rest", *fields])
 
     found = packed.mapInArrow(run, f"rest {kind}, " + ", ".join(f"{k} {v}" for k, v in fields.items()))
