@@ -2,7 +2,8 @@
 
 Anchors are at-signs (email), a digit before a full stop (ip), two digits with at most one space or hyphen between (card),
 a plus sign before a digit (phone), schemes (url) and identifier cues such as ``account`` (account). For each kind the spans
-are the leftmost matches that do not overlap, in code points with an exclusive end.
+are the leftmost matches that do not overlap, in code points with an exclusive end. After a cue stands a number, a passport's
+letters and digits, or an IBAN, which must have its country's length and pass its check.
 """
 
 from __future__ import annotations
@@ -31,7 +32,15 @@ _IP = re.compile(r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _URL = re.compile(r"(?:https?|ftp)://[A-Za-z0-9][A-Za-z0-9._~:/?#@!$&*+,;=%-]*")
-_ACCOUNT = re.compile(r"[ :#.=-]{1,3}([0-9][0-9-]{4,32}[0-9])")
+#: What stands between a cue and its identifier: marks, and words such as ``number`` or ``No.``.
+_LEAD = re.compile(r"(?:[ \t:#.=-]{0,3}(?:number|num|no|nr|code|id|is)\b){0,3}[ \t:#.=-]{1,3}", re.IGNORECASE)
+_NUMBER = re.compile(r"[0-9][0-9-]{4,}[0-9][A-Za-z0-9]*")
+_PASSPORT = re.compile(r"(?=(?:[A-Za-z]{0,5}[0-9]){4})[A-Za-z0-9]{6,9}(?![^\W_])")
+_IBAN = re.compile(r"[A-Za-z]{2}[0-9]{2}(?:[ -]?[A-Za-z0-9]){11,30}")
+_IBAN_SIZES = {x[:2]: int(x[2:]) for x in (
+    "AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DK18 DO28 EE20 EG29 ES24 FI18 FO18 FR27 GB22 GE22 GI23 GL18 GR27 GT28 HR21 "
+    "HU28 IE22 IL23 IQ23 IS26 IT27 JO30 KW30 KZ20 LB28 LC32 LI21 LT20 LU20 LV21 MC27 MD24 ME22 MK19 MR27 MT31 MU30 NL18 NO15 PK24 PL28 PS29 PT25 QA29 RO24 RS22 "
+    "SA24 SC31 SE24 SI19 SK24 SM27 ST25 SV28 TL23 TN24 TR26 UA29 VA22 VG24 XK20").split()}
 
 
 def luhn(digits: str) -> bool:
@@ -42,6 +51,13 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def iban(value: str) -> bool:
+    """Whether ASCII letters and digits are an IBAN: of its country's length, where that is known, and of remainder 1 by 97."""
+    if not 15 <= len(value) <= 34 or _IBAN_SIZES.get(value[:2].upper(), len(value)) != len(value):
+        return False
+    return int("".join(str(int(c, 36)) for c in value[4:] + value[:4])) % 97 == 1
+
+
 def _run_start(text: str, at: int, least: int, allowed: frozenset[str]) -> int:
     while at > least and text[at - 1] in allowed:
         at -= 1
@@ -83,9 +99,24 @@ def _url(text, begin, end, last):
     return found and (found.end(), found.span())
 
 
+def _iban_end(text: str, begin: int) -> int | None:
+    """Where the longest valid IBAN that begins here and stops at a boundary ends."""
+    found = _IBAN.match(text, begin)
+    for end in range(found.end(), begin + 14, -1) if found else ():
+        if text[end - 1].isalnum() and not text[end : end + 1].isalnum() and iban(text[begin:end].replace(" ", "").replace("-", "")):
+            return end
+    return None
+
+
 def _account(text, begin, end, last):
-    found = _ACCOUNT.match(text, end)
-    return found and (found.end(), found.span(1))
+    lead = _LEAD.match(text, end)
+    if lead is None:
+        return None
+    start = lead.end()
+    if stop := _iban_end(text, start):
+        return stop, (start, stop)
+    found = _NUMBER.match(text, start) or (_PASSPORT.match(text, start) if text[begin:end].lower() == "passport" else None)
+    return found and (found.end(), found.span())
 
 
 _PARSERS = (_email, _ip, _card, _phone, _url, _account)
