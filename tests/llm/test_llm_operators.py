@@ -393,6 +393,15 @@ def test_licenses(spark):
     assert licenses.scan_licenses(docs(spark, []).limit(0)).count() == 0
 
 
+def test_license_spellings(spark):
+    """Versions in one word with the name or without their zero, and clause counts."""
+    said = {"GPLv2": "gpl-2.0", "released under GPLv3+": "gpl-3.0", "gpl2": "gpl-2.0", "GNU GPLv3 or later": "gpl-3.0", "LGPLv2.1": "lgpl-2.1", "LGPLv3": "lgpl-3.0", "AGPLv3": "agpl-3.0", "MPLv2": "mpl-2.0", "MPL2.0": "mpl-2.0", "MPL v1.1": "mpl-1.1",
+            "Apache v2": "apache-2.0", "ApacheV2.0": "apache-2.0", "EPLv1": "epl-1.0", "BSD 3-Clause License": "bsd-3", 'BSD 2-Clause "Simplified" License': "bsd-2", "the three-clause BSD license": "bsd-3", "apache2 server": "", "gplv22": "", "xgplv2": "", "bsd clause": ""}
+    got = {r["id"]: r for r in licenses.scan_licenses(docs(spark, [(i, t, "en", "s") for i, t in enumerate(said)])).collect()}
+    assert {t: got[i]["labels"] for i, t in enumerate(said)} == said
+    assert all((got[i]["score"] >= 0.85) == bool(label) for i, label in enumerate(said.values()))
+
+
 def test_pipeline(spark):
     import corpus_pipeline as cp
 

@@ -130,19 +130,40 @@ def _rules() -> tuple[Rule, ...]:
     return tuple(Rule(i, label, keyword, f" {pattern} ", confidence) for i, (label, keyword, pattern, confidence) in enumerate(found))
 
 
-RULES = _rules()
+def _more_rules(least: int) -> tuple[Rule, ...]:
+    """Signatures that the SQL does not have: versions in one word with the name (``gplv2``) or without their zero (``mpl v2``),
+    and clause counts of BSD. The keywords end within a word, so that each text that the pattern matches holds them."""
+    found: list[tuple[str, str, str, float]] = []
+    later = "( only| or( any)? later( version)?)?"
+    for label, _, shorts, versions in _FAMILIES:
+        for v in versions:
+            tag = f"{label}-{v.replace(' ', '.')}" + ("" if " " in v else ".0")
+            for s in shorts:
+                found.append((tag, f" {s}", f"{s}( ?v ?| version | ?){v}" + ("" if " " in v else "( 0)?") + later, 0.85))
+                if v.endswith(" 0"):  # a plain number after these words is often that of a program
+                    lead = "( ?v ?| version )" if s in ("apache", "artistic") else "( ?v ?| version |)"
+                    found.append((tag, f" {s}", f"{s}{lead}{v[:-2]}{later}", 0.85))
+    for n, name in (("0", "zero"), ("1", "one"), ("2", "two"), ("3", "three"), ("4", "four")):
+        found.append((f"bsd-{n}", " bsd ", f"bsd ({n}|{name}) ?clause( (new|revised|modified|simplified|original|clear))?( or [^ ]+)?( license)?", 0.9))
+        found.append((f"bsd-{n}", " bsd ", f"({n}|{name}) ?clause bsd( license)?", 0.9))
+    return tuple(Rule(least + i, label, keyword, f" {pattern} ", confidence) for i, (label, keyword, pattern, confidence) in enumerate(found))
+
+
+#: The rules of the SQL, and after them those that it lacks.
+CHECKED = _rules()
+RULES = CHECKED + _more_rules(len(CHECKED))
 
 
-def _gate() -> tuple[str, ...]:
-    """Few strings of which every text that a rule can match holds one."""
+def _gate(rules: tuple[Rule, ...]) -> tuple[str, ...]:
+    """Few strings of which every text that one of the rules can match holds one."""
     kept: list[str] = []
-    for key in sorted({"licen" if "licen" in r.keyword else r.keyword for r in RULES}, key=lambda k: (len(k.strip()), k)):
+    for key in sorted({"licen" if "licen" in r.keyword else r.keyword for r in rules}, key=lambda k: (len(k.strip()), k)):
         if not any(k in key for k in kept):
             kept.append(key)
     return tuple(kept)
 
 
-GATE = _gate()
+GATE = _gate(RULES)
 _SEPARATOR = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -208,8 +229,8 @@ def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _oracle() -> str:
-    rules = ", ".join(f"({r.priority}, '{r.label}', '{r.keyword}', '{r.pattern}', {r.confidence})" for r in RULES)
-    gate = " OR ".join(f"contains(w, '{g}')" for g in GATE)
+    rules = ", ".join(f"({r.priority}, '{r.label}', '{r.keyword}', '{r.pattern}', {r.confidence})" for r in CHECKED)
+    gate = " OR ".join(f"contains(w, '{g}')" for g in _gate(CHECKED))
     # doubled spaces let phrases follow each other without sharing one
     base = " UNION ALL ".join(
         f"SELECT doc_id, '{label}' AS label, {phrase.count(' ') + 1} AS size, n AS total, string_split(replace(w, ' ', '  '), '{''.join(f' {x} ' for x in phrase.split())}') AS p FROM d WHERE contains(w, ' {phrase} ')"
