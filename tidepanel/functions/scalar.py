@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -117,6 +118,11 @@ def is_hash(text: Column) -> Column:
     return F.coalesce(text.rlike("^[0-9a-f]{64}$"), F.lit(False))
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(x)`` with ``value`` computed once, however often ``use`` names it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def reasons(tests: dict[str, Column]) -> Column:
     """An array of the names whose test is true, in order."""
     return F.array_compact(F.array(*(F.when(F.coalesce(t, F.lit(False)), F.lit(k)) for k, t in tests.items())))

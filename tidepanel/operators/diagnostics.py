@@ -24,12 +24,17 @@ def signal_sessions(calendar: DataFrame) -> DataFrame:
     return rows.select("session", F.row_number().over(order).alias("ordinal"), "execution")
 
 
-def forward_returns(grid: DataFrame, horizon: int = 5, price: str = "open") -> DataFrame:
-    """price[t + 1 + horizon] / price[t + 1] - 1 where both are there and the entry is above zero."""
+def with_forward_returns(grid: DataFrame, horizon: int = 5, price: str = "open") -> DataFrame:
+    """The grid with forward_return: price[t + 1 + horizon] / price[t + 1] - 1 where both are there and the entry is above zero."""
     w = ts.history()
-    entry, leave = F.lead(price, 1).over(w), F.lead(price, 1 + horizon).over(w)
-    rows = grid.select("session", "security_id", sc.finite(entry).alias("entry"), sc.finite(leave).alias("leave"))
-    return rows.select("session", "security_id", F.when(F.col("entry") > 0, F.try_divide("leave", "entry") - 1).alias("forward_return"))
+    entry, leave = (sc.finite(F.lead(price, n).over(w)) for n in (1, 1 + horizon))
+    rows = grid.withColumns({"__entry": entry, "__leave": leave})
+    return rows.withColumn("forward_return", F.when(F.col("__entry") > 0, F.try_divide("__leave", "__entry") - 1)).drop("__entry", "__leave")
+
+
+def forward_returns(grid: DataFrame, horizon: int = 5, price: str = "open") -> DataFrame:
+    """Rows (session, security_id, forward_return)."""
+    return with_forward_returns(grid, horizon, price).select("session", "security_id", "forward_return")
 
 
 def guarded_corr(x: Column, y: Column) -> Column:
@@ -51,10 +56,10 @@ def ic_summary(ics: DataFrame, by: list[str]) -> DataFrame:
 
 
 def yearly_ic(ics: DataFrame, by: list[str], whole: int = 26, partial: int = 13) -> DataFrame:
-    """Mean per year with FULL, PARTIAL (the last year only) or INSUFFICIENT."""
+    """Mean per year with FULL_YEAR, PARTIAL_YEAR (the last year only) or INSUFFICIENT."""
     years = ics.where("ic is not null").groupBy(*by, F.year("session").alias("year")).agg(F.avg("ic").alias("mean_ic"), F.count("*").alias("n"))
     last = F.max("year").over(Window.partitionBy(*by))
-    status = F.when(F.col("n") >= whole, "FULL").when((F.col("year") == last) & (F.col("n") >= partial), "PARTIAL").otherwise("INSUFFICIENT")
+    status = F.when(F.col("n") >= whole, "FULL_YEAR").when((F.col("year") == last) & (F.col("n") >= partial), "PARTIAL_YEAR").otherwise("INSUFFICIENT")
     return years.withColumn("status", status)
 
 
@@ -79,13 +84,16 @@ def quantile_means(pairs: DataFrame, by: list[str], q: int = 5) -> DataFrame:
 
 
 def top_turnover(scores: DataFrame, signals: DataFrame, by: list[str], share: float = 0.1) -> DataFrame:
-    """Mean share of the previous signal's top set that left; sets are rows, compared by signal ordinal."""
-    top = with_top(scores, by, share).where("__top").join(F.broadcast(signals.select("session", "ordinal")), "session").select(*by, "ordinal", "security_id")
-    now, then = top.withColumn("next", F.col("ordinal")), top.select(*by, (F.col("ordinal") + 1).alias("ordinal"), "security_id", F.lit(1).alias("was"))
-    kept = then.join(now.select(*by, "ordinal", "security_id", F.lit(1).alias("is")), [*by, "ordinal", "security_id"], "left")
-    # only where there is a set at both signals
-    there = now.select(*by, "ordinal").distinct()
-    rates = kept.join(there, [*by, "ordinal"]).groupBy(*by, "ordinal").agg((1 - F.count("is") / F.count("*")).alias("turnover"))
+    """Mean share of the previous signal's top set that left; sets are rows, compared by signal ordinal.
+
+    A signal whose own set is empty has lost all of the one before; one whose previous set is empty doesn't count.
+    """
+    at = with_top(scores.join(F.broadcast(signals.select("session", "ordinal")), "session"), by, share)
+    top = at.where("__top").select(*by, "ordinal", "security_id")
+    then = top.select(*by, (F.col("ordinal") + 1).alias("ordinal"), "security_id")
+    kept = then.join(top.withColumn("is", F.lit(1)), [*by, "ordinal", "security_id"], "left")
+    there = at.select(*by, "ordinal").distinct()
+    rates = kept.join(there, [*by, "ordinal"], "left_semi").groupBy(*by, "ordinal").agg((1 - F.count("is") / F.count("*")).alias("turnover"))
     return rates.groupBy(*by).agg(F.avg("turnover").alias("turnover"))
 
 
@@ -93,32 +101,91 @@ def with_top(scores: DataFrame, by: list[str], share: float = 0.1) -> DataFrame:
     return scores.withColumn("__top", cs.in_top(sc.finite(F.col("score")), F.col("security_id"), share, *by, "session"))
 
 
-def diagnose(scores: DataFrame, labels: DataFrame, signals: DataFrame, share: float = 0.1) -> DataFrame:
-    """One row for each factor: all of the above on signal sessions."""
-    by = ["factor_id"]
-    at = scores.join(F.broadcast(signals.select("session")), "session")
-    pairs = at.join(labels, ["session", "security_id"], "left")
-    ics = rank_ic(pairs, [*by, "session"])
-    years = yearly_ic(ics, by)
-    parts = [ic_summary(ics, by), positive_years(years, by), coverage(pairs, by), quantile_means(pairs, by), top_turnover(at, signals, by, share)]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.join(p, by, "left")
-    return out
+def aligned(scores: DataFrame, labels: DataFrame) -> DataFrame:
+    """Scores with the label of the same session and security; an error where either side has a cell that the other lacks.
+
+    Both cover the same sessions and securities (a missing value is a NULL in its cell), so a cell on one side only means
+    that they were made from different grids. The check is part of the join.
+    """
+    factors = scores.select("factor_id").distinct().agg(F.sort_array(F.collect_set("factor_id")).alias("__all"))
+    cells = labels.select("session", "security_id", "forward_return", F.lit(True).alias("__label")).join(F.broadcast(factors)).withColumn("factor_id", F.explode("__all")).drop("__all")
+    both = scores.withColumn("__score", F.lit(True)).join(cells, ["factor_id", "session", "security_id"], "full_outer")
+    where = F.concat_ws(" ", F.col("factor_id"), F.col("session").cast("string"), F.col("security_id").cast("string"))
+    good = F.when(F.col("__label") & F.col("__score"), True).otherwise(F.raise_error(F.concat(F.lit("FACTOR_LABEL_ALIGNMENT_MISMATCH: "), where)).cast("boolean"))
+    return both.where(good).drop("__label", "__score")
+
+
+def _placed(rows: DataFrame, x: str, by: list[str]) -> DataFrame:
+    """Rows with n_all, n (with a value) and place, counted from the lowest value; a later window by the value alone needs no
+    second sort."""
+    w = Window.partitionBy(*by)
+    return rows.withColumns({"n_all": F.count("*").over(w), "n": F.count(x).over(w), "place": F.row_number().over(w.orderBy(F.asc_nulls_first(x), F.desc("security_id")))})
+
+
+def _peers(x: str, by: list[str]) -> tuple:
+    """Frames of the rows up to those of the same value, and of the same value."""
+    w = Window.partitionBy(*by).orderBy(F.asc_nulls_first(x))
+    return w.rangeBetween(Window.unboundedPreceding, Window.currentRow), w.rangeBetween(Window.currentRow, Window.currentRow)
+
+
+def _in_top(x: str, share: float) -> Column:
+    """Whether a placed row is among the highest ceil(share * n) values, one at least; ties to smaller ids."""
+    return F.col(x).isNotNull() & (F.col("n_all") - F.col("place") < F.greatest(F.lit(1), F.ceil(F.round(F.col("n") * share, 9))))
+
+
+def diagnose(pairs: DataFrame, share: float = 0.1, q: int = 5, whole: int = 26, partial: int = 13, benchmark=None) -> DataFrame:
+    """One row for each factor from rows (factor_id, session, security_id, score, forward_return) at signal sessions.
+
+    One pass: ranks, buckets and top sets by (factor, session); whether a name was in the top at the signal before, by (factor,
+    security); then one aggregate for each (factor, session), a small table, which is rolled up by year and by factor. Every
+    security has a row at every signal. ``benchmark`` is a security that must not be among them.
+    """
+    by = ["factor_id", "session"]
+    rows = pairs.select(*by, "security_id", sc.finite(F.col("score")).alias("score"), sc.finite(F.col("forward_return")).alias("label"))
+    if benchmark is not None:
+        rows = rows.where(F.when(F.col("security_id") == benchmark, F.raise_error("BENCHMARK_IN_FACTOR_CROSS_SECTION").cast("boolean")).otherwise(True))
+    both = F.col("score").isNotNull() & F.col("label").isNotNull()
+    rows = _placed(rows, "score", by).withColumn("both", both.cast("int"))
+    upto, same = _peers("score", by)
+    rows = rows.withColumns({"x": F.sum("both").over(upto) - (F.sum("both").over(same) - 1) / 2, "rank": F.count("*").over(upto) - (F.count("*").over(same) - 1) / 2})
+    upto, same = _peers("label", by)
+    rows = rows.withColumn("y", F.sum("both").over(upto) - (F.sum("both").over(same) - 1) / 2)
+    share_ = (F.col("rank") - F.col("n_all") + F.col("n")) / F.col("n")
+    rows = rows.select(*by, "security_id", "label", "both", F.when(both, F.col("x")).alias("x"), F.when(both, F.col("y")).alias("y"), F.when(both, cs.bucket(F.round(share_, 9), q)).alias("bucket"), _in_top("score", share).alias("top"))
+    rows = rows.withColumn("was", F.lag("top").over(Window.partitionBy("factor_id", "security_id").orderBy("session")))
+    sums = [x for i in range(1, q + 1) for x in (F.sum(F.when(F.col("bucket") == i, F.col("label"))).alias(f"sum_{i}"), F.count_if(F.col("bucket") == i).alias(f"count_{i}"))]
+    one = rows.groupBy(*by).agg(guarded_corr(F.col("x"), F.col("y")).alias("ic"), (F.sum("both") / F.count("*")).alias("share"), F.count_if("top").alias("n_top"), F.count_if(F.col("top") & F.col("was")).alias("n_kept"), *sums)
+
+    factor, year = Window.partitionBy("factor_id"), Window.partitionBy("factor_id", "year")
+    before = F.lag("n_top").over(factor.orderBy("session"))
+    one = one.withColumn("year", F.year("session")).withColumns({
+        "turnover": F.when(before > 0, 1 - F.col("n_kept") / before), "year_ic": F.avg("ic").over(year), "year_n": F.count("ic").over(year),
+        "last_year": F.max(F.when(F.col("ic").isNotNull(), F.col("year"))).over(factor), "in_year": F.row_number().over(year.orderBy("session"))})
+    used = (F.col("in_year") == 1) & ((F.col("year_n") >= whole) | ((F.col("year") == F.col("last_year")) & (F.col("year_n") >= partial)))
+    means = [F.try_divide(F.sum(f"sum_{i}"), F.sum(f"count_{i}")).alias(f"q{i}_mean") for i in range(1, q + 1)]
+    out = one.groupBy("factor_id").agg(
+        F.count("ic").alias("n_sessions"), F.median("share").alias("median_coverage"), F.avg("ic").alias("mean_ic"), F.try_divide(F.avg("ic"), F.stddev_samp("ic")).alias("icir"),
+        F.avg(F.when(used, (F.col("year_ic") > 0).cast("double"))).alias("positive_year_ratio"), *means, F.avg("turnover").alias("turnover"))
+    return out.withColumn("spread", F.col(f"q{q}_mean") - F.col("q1_mean"))
 
 
 def redundancy(scores: DataFrame, share: float = 0.1) -> DataFrame:
-    """For each pair of factors: median absolute Spearman correlation over sessions and mean Jaccard of top sets."""
-    rows = with_top(scores, ["factor_id"], share).where(sc.is_finite(F.col("score")))
-    a, b = (rows.select("session", "security_id", F.col("factor_id").alias(f"factor_{s}"), F.col("score").alias(f"score_{s}"), F.col("__top").alias(f"top_{s}")) for s in "ab")
-    pairs = a.join(b, ["session", "security_id"]).where("factor_a < factor_b")
+    """For each pair of factors: median absolute Spearman correlation over sessions and mean Jaccard of top sets.
+
+    Ranks and top sets of a pair are those of the rows where both factors have a value. Each (session, security) gathers its
+    scores once, as many as there are factors, and gives a row for each pair.
+    """
+    rows = scores.where(sc.is_finite(F.col("score"))).groupBy("session", "security_id").agg(F.sort_array(F.collect_list(F.struct("factor_id", "score"))).alias("v"))
+    later = lambda x, i: F.transform(F.slice("v", i + 2, F.size("v")), lambda y: F.struct(x["factor_id"].alias("factor_a"), y["factor_id"].alias("factor_b"), x["score"].alias("a"), y["score"].alias("b")))
+    pairs = rows.select("session", "security_id", F.explode(F.flatten(F.transform("v", later))).alias("p")).select("session", "security_id", "p.*")
     by = ["factor_a", "factor_b", "session"]
-    ics = rank_ic(pairs, by, "score_a", "score_b")
-    both = pairs.groupBy(*by).agg(F.count_if(F.col("top_a") & F.col("top_b")).alias("both"))
-    sizes = rows.where("__top").groupBy("factor_id", "session").agg(F.count("*").alias("size"))
-    sized = both.join(sizes.select(F.col("factor_id").alias("factor_a"), "session", F.col("size").alias("size_a")), ["factor_a", "session"]).join(sizes.select(F.col("factor_id").alias("factor_b"), "session", F.col("size").alias("size_b")), ["factor_b", "session"])
-    jaccard = sized.groupBy("factor_a", "factor_b").agg(F.avg(F.try_divide("both", F.col("size_a") + F.col("size_b") - F.col("both"))).alias("top_jaccard"))
-    return ics.groupBy("factor_a", "factor_b").agg(F.median(F.abs("ic")).alias("median_abs_ic")).join(jaccard, ["factor_a", "factor_b"])
+    for side, rank in (("a", "x"), ("b", "y")):
+        pairs = _placed(pairs, side, by)
+        upto, same = _peers(side, by)
+        pairs = pairs.withColumns({rank: F.count("*").over(upto) - (F.count("*").over(same) - 1) / 2, f"top_{side}": _in_top(side, share)})
+    rows = pairs
+    one = rows.groupBy(*by).agg(guarded_corr(F.col("x"), F.col("y")).alias("ic"), (F.count_if(F.col("top_a") & F.col("top_b")) / F.count_if(F.col("top_a") | F.col("top_b"))).alias("jaccard"))
+    return one.groupBy("factor_a", "factor_b").agg(F.median(F.abs("ic")).alias("median_abs_ic"), F.avg("jaccard").alias("top_jaccard"))
 
 
 def rank_autocorrelation(scores: DataFrame, signals: DataFrame) -> DataFrame:

@@ -104,8 +104,8 @@ def _fields(node: Node) -> set[str]:
     return {node.parts[0]} if node.name == "col" else {f for p in node.parts if isinstance(p, Node) for f in _fields(p)}
 
 
-def evaluate(panel: DataFrame, factors: list[Factor], labels: DataFrame | None = None) -> DataFrame:
-    """Rows (session, security_id, a column for each factor) over a dense panel.
+def evaluate(panel: DataFrame, factors: list[Factor], labels: DataFrame | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Rows (session, security_id, columns of the panel to ``keep``, a column for each factor) over a dense panel.
 
     All factors share one shuffle by security; neutralisation and ranks add one by session. ``labels`` is the label history
     (security_id, effective_at, available_at and labels), needed where a factor neutralises by a label.
@@ -148,7 +148,7 @@ def evaluate(panel: DataFrame, factors: list[Factor], labels: DataFrame | None =
         names = {f"__n{len(made) + i}": node for i, node in enumerate(layers[depth])}
         out = out.withColumns({k: column(node) for k, node in names.items()})
         made |= {node: k for k, node in names.items()}
-    out = out.select("session", "security_id", *(column(trees[f.name]).alias(f.name) for f in factors))
+    out = out.select("session", "security_id", *keep, *(column(trees[f.name]).alias(f.name) for f in factors))
     smooth = {f.name: ts.linear_decay(F.col(f.name), f.decay) for f in factors if f.decay > 1}
     if smooth:
         out = out.withColumns(smooth)
@@ -158,9 +158,9 @@ def evaluate(panel: DataFrame, factors: list[Factor], labels: DataFrame | None =
     neutral = {f.name: cs.group_neutralize(F.col(f.name), F.lit(1) if f.neutralization == "MARKET" else F.col(f.neutralization)) for f in factors if f.neutralization}
     if neutral:
         out = out.withColumns(neutral)
-    return out.select("session", "security_id", *(f.name for f in factors))
+    return out.select("session", "security_id", *keep, *(f.name for f in factors))
 
 
-def long_form(wide: DataFrame, factors: list[Factor]) -> DataFrame:
-    """Rows (session, security_id, factor_id, value), so that one sort ranks all factors."""
-    return wide.unpivot(["session", "security_id"], [f.name for f in factors], "factor_id", "value")
+def long_form(wide: DataFrame, factors: list[Factor], keep: tuple[str, ...] = ()) -> DataFrame:
+    """Rows (session, security_id, columns to ``keep``, factor_id, value), so that one sort ranks all factors."""
+    return wide.unpivot(["session", "security_id", *keep], [f.name for f in factors], "factor_id", "value")

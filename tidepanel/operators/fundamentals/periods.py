@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidepanel.functions import scalar as sc
+
 SERIES = ("security_id", "field", "unit")
 
 
@@ -54,14 +56,22 @@ def trailing_year(q: DataFrame) -> DataFrame:
     """
     order = Window.partitionBy(*SERIES).orderBy("available_at", "accession", "period_end").rowsBetween(Window.unboundedPreceding, 0)
     seen = F.collect_list(F.struct("period_end", "available_at", "accession", "value", "sources")).over(order)
-    rows = q.withColumn("seen", F.sort_array(seen))
-    # of each period end the last one, which sorts after its older versions
-    latest = F.filter("seen", lambda x, i: F.coalesce(F.get(F.col("seen"), i + 1)["period_end"] > x["period_end"], F.lit(True)))
-    rows = rows.withColumn("latest", latest).where("size(latest) >= 4").withColumn("four", F.expr("slice(latest, -4, 4)"))
-    gaps = F.forall(F.sequence(F.lit(1), F.lit(3)), lambda i: F.datediff(F.get(F.col("four"), i)["period_end"], F.get(F.col("four"), i - 1)["period_end"]).between(70, 120))
-    rows = rows.where(gaps)
-    total = F.aggregate("four", F.lit(0.0), lambda a, x: a + x["value"])
-    out = rows.select(*SERIES, F.get(F.col("four"), F.lit(3))["period_end"].alias("period_end"), "available_at", "accession", total.alias("value"), F.flatten(F.transform("four", lambda x: x["sources"])).alias("sources"))
+
+    def last_four(all_: Column) -> Column:
+        # of each period end the last one, which sorts after its older versions
+        latest = F.filter(all_, lambda x, i: F.coalesce(F.get(all_, i + 1)["period_end"] > x["period_end"], F.lit(True)))
+        return F.slice(latest, F.greatest(F.size(latest) - 3, F.lit(1)), 4)
+
+    def summed(four: Column) -> Column:
+        good = F.size(four) == 4
+        for i in (1, 2, 3):
+            good = good & F.datediff(F.get(four, F.lit(i))["period_end"], F.get(four, F.lit(i - 1))["period_end"]).between(70, 120)
+        row = F.struct(F.get(four, F.lit(3))["period_end"].alias("period_end"), F.aggregate(four, F.lit(0.0), lambda a, x: a + x["value"]).alias("value"), F.flatten(F.transform(four, lambda x: x["sources"])).alias("sources"))
+        return F.when(good, F.array(row))
+
+    # each array is bound once, and the generator keeps a later filter from repeating them
+    found = sc.bound(sc.bound(F.sort_array(F.col("seen")), last_four), summed)
+    out = q.withColumn("seen", seen).select(*SERIES, "available_at", "accession", F.explode(found).alias("y")).select(*SERIES, "y.period_end", "available_at", "accession", "y.value", "y.sources")
     first = Window.partitionBy(*SERIES, "sources").orderBy("available_at", "accession")
     return out.withColumn("__k", F.row_number().over(first)).where("__k = 1").drop("__k")
 

@@ -16,62 +16,125 @@ def composite(shares: DataFrame, k: int, direction: Column | None = None) -> Dat
     return rows.where(F.col("n") == k).drop("n")
 
 
-#: Thresholds of the gates, each with its status.
-GATES = {
-    "least_coverage": 0.95, "least_ic": 0.0, "least_icir": 0.0, "least_spread": 0.0, "least_positive_years": 0.6, "most_turnover": 0.8, "least_sessions": 26,
+#: Thresholds of the policy: gates, conflicts and size of the pool.
+POLICY = {
+    "min_median_coverage": 0.95, "min_sessions": 100, "min_positive_years": 0.6, "max_turnover": 0.8,
+    "score_corr_conflict": 0.8, "top_overlap_conflict": 0.7, "pool_min": 8, "pool_max": 15,
 }
 
 
-def gated(metrics: DataFrame, gates: dict[str, float] = GATES) -> DataFrame:
-    """Metrics with a status from ordered gates: data, then signal, stability and usability. The direction is never turned."""
-    missing = F.col("mean_ic").isNull() | F.col("icir").isNull() | F.col("spread").isNull()
-    status = sc.first_reason({
-        "REJECT_DATA": F.coalesce(F.col("median_coverage") < gates["least_coverage"], F.lit(True)) | (F.col("n_sessions") < gates["least_sessions"]),
-        "REJECT_SIGNAL": missing | (F.col("mean_ic") <= gates["least_ic"]) | (F.col("icir") <= gates["least_icir"]) | (F.col("spread") <= gates["least_spread"]),
-        "WATCHLIST_UNSTABLE": F.coalesce(F.col("positive_year_ratio") < gates["least_positive_years"], F.lit(True)),
-        "WATCHLIST_HIGH_TURNOVER": F.coalesce(F.col("turnover") > gates["most_turnover"], F.lit(True)),
-    }, "PASS_GATES")
-    return metrics.withColumn("status", status)
-
-
-def funnel(gated_rows: DataFrame) -> DataFrame:
-    """How many factors remain after each gate and how many it takes out."""
-    order = ("REJECT_DATA", "REJECT_SIGNAL", "WATCHLIST_UNSTABLE", "WATCHLIST_HIGH_TURNOVER")
-    place = F.coalesce(*(F.when(F.col("status") == s, F.lit(i)) for i, s in enumerate(order)), F.lit(len(order)))
-    one = gated_rows.select(place.alias("place")).agg(F.count("*").alias("all"), *(F.count_if(F.col("place") > i).alias(s) for i, s in enumerate(order)))
-    stages = F.array(F.struct(F.lit(0).alias("stage"), F.lit("ALL").alias("name"), F.col("all").alias("remaining"), F.lit(0).cast("long").alias("removed")),
-        *(F.struct(F.lit(i + 1).alias("stage"), F.lit(s).alias("name"), F.col(s).alias("remaining"), (F.col("all" if i == 0 else order[i - 1]) - F.col(s)).alias("removed")) for i, s in enumerate(order)))
+def gate_ladder(policy: dict[str, float] = POLICY) -> list[tuple[str, str, Column]]:
+    """The ordered outcomes (status, reason, condition) of data, signal, stability and usability gates; the first that holds decides."""
+    def missing(*names: str) -> Column:
+        out = F.lit(False)
+        for n in names:
+            out = out | ~sc.is_finite(F.col(n).cast("double"))
+        return out
+
+    return [
+        ("REJECT_DATA", "MISSING_DATA_DIAGNOSTIC", missing("n_sessions", "median_coverage")),
+        ("REJECT_DATA", "MEDIAN_COVERAGE_BELOW_MINIMUM", F.col("median_coverage") < policy["min_median_coverage"]),
+        ("REJECT_DATA", "VALID_SIGNAL_SESSIONS_BELOW_MINIMUM", F.col("n_sessions") < policy["min_sessions"]),
+        ("REJECT_SIGNAL", "MISSING_SIGNAL_DIAGNOSTIC", missing("mean_ic", "spread")),
+        ("REJECT_SIGNAL", "NONPOSITIVE_MEAN_RANK_IC", F.col("mean_ic") <= 0),
+        ("REJECT_SIGNAL", "NONPOSITIVE_Q5_MINUS_Q1", F.col("spread") <= 0),
+        ("WATCHLIST_UNSTABLE", "MISSING_POSITIVE_YEAR_RATIO", missing("positive_year_ratio")),
+        ("WATCHLIST_UNSTABLE", "POSITIVE_YEAR_RATIO_BELOW_MINIMUM", F.col("positive_year_ratio") < policy["min_positive_years"]),
+        ("WATCHLIST_HIGH_TURNOVER", "MISSING_WEEKLY_TOP10_TURNOVER", missing("turnover")),
+        ("WATCHLIST_HIGH_TURNOVER", "WEEKLY_TOP10_TURNOVER_ABOVE_MAXIMUM", F.col("turnover") > policy["max_turnover"]),
+        ("PASS_GATES", "PASS_ALL_GATES", F.lit(True)),
+    ]
+
+
+def gated(metrics: DataFrame, policy: dict[str, float] = POLICY) -> DataFrame:
+    """Metrics with status and reason of the first outcome that holds. A factor is never turned round: its direction must be 1."""
+    if "direction" in metrics.columns:
+        metrics = metrics.where(F.when(F.col("direction") == 1, True).otherwise(F.raise_error("FILTER_DIRECTION_MUST_BE_ONE").cast("boolean")))
+    said = F.coalesce(*(F.when(holds, F.struct(F.lit(status).alias("status"), F.lit(reason).alias("reason"))) for status, reason, holds in gate_ladder(policy)))
+    return metrics.withColumn("__said", said).withColumns({"status": F.col("__said.status"), "reason": F.col("__said.reason")}).drop("__said")
+
+
+#: Stages of the funnel and the statuses that each takes out.
+FUNNEL = (
+    ("Catalog versions", ()), ("Catalog eligible", ("CATALOG_INELIGIBLE",)), ("Data gate passed", ("REJECT_DATA",)), ("Signal gate passed", ("REJECT_SIGNAL",)),
+    ("Stability gate passed", ("WATCHLIST_UNSTABLE",)), ("Usability gate passed", ("WATCHLIST_HIGH_TURNOVER",)), ("Final selected", ("REJECT_REDUNDANT", "REJECT_POOL_CAP")),
+)
+
+
+def funnel(decided: DataFrame) -> DataFrame:
+    """How many factors remain after each stage and how many it takes out: rows (stage, name, remaining, removed), from a
+    final status for each factor."""
+    gone = F.coalesce(*(F.when(F.col("status").isin(*taken), F.lit(i)) for i, (_, taken) in enumerate(FUNNEL) if taken), F.lit(len(FUNNEL)))
+    one = decided.select(gone.alias("gone")).agg(*(F.count_if(F.col("gone") > i).alias(f"n{i}") for i in range(len(FUNNEL))))
+    stages = F.array(*(F.struct(F.lit(i + 1).alias("stage"), F.lit(name).alias("name"), F.col(f"n{i}").alias("remaining"), (F.col(f"n{max(0, i - 1)}") - F.col(f"n{i}")).alias("removed")) for i, (name, _) in enumerate(FUNNEL)))
     return one.select(F.explode(stages).alias("x")).select("x.*")
 
 
+def conflicts(passing: DataFrame, measured: DataFrame, policy: dict[str, float] = POLICY, most_candidates: int = 2000) -> DataFrame:
+    """All pairs of passing factors with what makes them conflict: family, correlation of scores, overlap of top sets.
+
+    ``passing`` (factor_id, family_id, mechanism_tag) is a catalogue of a few hundred rows, and an error beyond
+    ``most_candidates``; ``measured`` has median_abs_ic and top_jaccard of pairs (factor_a, factor_b). A measure that is
+    missing is no conflict.
+    """
+    listed = _gathered(passing, F.struct("factor_id", "family_id", "mechanism_tag"), most_candidates)
+    later = lambda x, i: F.transform(F.slice("all", i + 2, F.size("all")), lambda y: F.struct(x.alias("a"), y.alias("b")))
+    pairs = listed.select(F.explode(F.flatten(F.transform("all", later))).alias("p")).select(
+        F.col("p.a.factor_id").alias("factor_a"), F.col("p.b.factor_id").alias("factor_b"), F.col("p.a.family_id").eqNullSafe(F.col("p.b.family_id")).alias("same_family"), F.col("p.a.mechanism_tag").eqNullSafe(F.col("p.b.mechanism_tag")).alias("same_mechanism"))
+    rows = pairs.join(measured, ["factor_a", "factor_b"], "left")
+    reasons = sc.reasons({"SAME_FAMILY": F.col("same_family"), "SCORE_CORRELATION": F.col("median_abs_ic") > policy["score_corr_conflict"], "TOP10_OVERLAP": F.col("top_jaccard") > policy["top_overlap_conflict"]})
+    return rows.withColumn("conflict_reason", F.array_join(reasons, "|")).withColumn("hard_conflict", F.col("conflict_reason") != "")
+
+
+def _gathered(rows: DataFrame, what: Column, most: int) -> DataFrame:
+    """One row with the sorted array ``all``; an error if there are more than ``most``, before they are gathered."""
+    n = F.count("*").over(Window.partitionBy())
+    checked = rows.select(what.alias("__x"), n.alias("__n")).where(F.when(F.col("__n") > most, F.raise_error(F.concat(F.lit("TOO_MANY_CANDIDATES: "), F.col("__n").cast("string"))).cast("boolean")).otherwise(True))
+    return checked.agg(F.sort_array(F.collect_list("__x")).alias("all"))
+
+
 def candidate_order() -> list[Column]:
-    """The fixed order of candidates."""
-    return [F.desc_nulls_last("icir"), F.desc_nulls_last("mean_ic"), F.desc_nulls_last("positive_year_ratio"), F.desc_nulls_last("spread"), F.asc_nulls_last("turnover"), F.asc("factor_id")]
+    """The fixed order of candidates, by ten keys."""
+    semantic = F.when(F.col("semantic_status") == "FULL_INTENT", 0).when(F.col("semantic_status") == "PARTIAL_INTENT", 1).otherwise(2)
+    return [
+        F.desc_nulls_last("positive_year_ratio"), F.desc_nulls_last("icir"), F.desc_nulls_last("mean_ic"), F.desc_nulls_last("spread"), F.asc_nulls_last("turnover"),
+        F.desc_nulls_last("median_coverage"), semantic.asc(), F.asc_nulls_last("warmup_sessions"), F.asc("factor_id"), F.asc("factor_version"),
+    ]
 
 
-def greedy(candidates: DataFrame, conflicts: DataFrame, most: int = 15) -> DataFrame:
-    """Candidates (factor_id, place) with a status: taken in order unless one that conflicts was taken, up to ``most``.
+def greedy(candidates: DataFrame, conflicts: DataFrame, most: int = 15, most_candidates: int = 2000) -> DataFrame:
+    """Candidates (factor_id, place) with status and reason: taken in order unless a factor that was taken conflicts, up to ``most``.
 
-    Candidates are a reviewed catalogue of a few hundred, so the fold over their ordered array is one row; what is heavy, the
-    comparison of pairs, comes before. ``conflicts`` has factor_a and factor_b.
+    The clash that is named is the first one taken. Candidates are a reviewed catalogue of a few hundred (an error beyond
+    ``most_candidates``), so the fold over their ordered array is one row; what is heavy, the comparison of pairs, comes
+    before. ``conflicts`` has factor_a and factor_b.
     """
     both = conflicts.select("factor_a", "factor_b").unionByName(conflicts.select(F.col("factor_b").alias("factor_a"), F.col("factor_a").alias("factor_b")))
     near = both.groupBy(F.col("factor_a").alias("factor_id")).agg(F.collect_set("factor_b").alias("near"))
     rows = candidates.join(near, "factor_id", "left").withColumn("near", F.coalesce("near", F.array().cast("array<string>")))
-    listed = rows.agg(F.sort_array(F.collect_list(F.struct("place", "factor_id", "near"))).alias("all"))
-    start = F.struct(F.array().cast("array<string>").alias("taken"), F.array().cast("array<struct<factor_id:string,place:int,status:string>>").alias("said"))
+    listed = _gathered(rows, F.struct(F.col("place").cast("int").alias("place"), "factor_id", "near"), most_candidates)
+    start = F.struct(F.array().cast("array<string>").alias("taken"), F.array().cast("array<struct<factor_id:string,place:int,status:string,reason:string>>").alias("said"))
 
     def step(state: Column, row: Column) -> Column:
-        clash = F.array_min(F.array_intersect(row["near"], state["taken"]))
+        clash = F.get(F.filter(state["taken"], lambda t: F.array_contains(row["near"], t)), 0)
         full = F.size(state["taken"]) >= most
-        status = F.when(clash.isNotNull(), F.concat(F.lit("REJECT_REDUNDANT_WITH_"), clash)).when(full, "NOT_TAKEN_POOL_FULL").otherwise("SELECTED")
+        status = F.when(clash.isNotNull(), "REJECT_REDUNDANT").when(full, "REJECT_POOL_CAP").otherwise("SELECTED")
+        reason = F.when(clash.isNotNull(), F.concat(F.lit("REJECT_REDUNDANT_WITH_"), clash)).when(full, "ACTIVE_POOL_MAX_REACHED").otherwise("SELECTED_NONREDUNDANT")
+        said = F.struct(row["factor_id"].alias("factor_id"), row["place"].alias("place"), status.alias("status"), reason.alias("reason"))
         take = clash.isNull() & ~full
-        said = F.struct(row["factor_id"].alias("factor_id"), row["place"].cast("int").alias("place"), status.alias("status"))
         return F.struct(F.when(take, F.concat(state["taken"], F.array(row["factor_id"]))).otherwise(state["taken"]).alias("taken"), F.concat(state["said"], F.array(said)).alias("said"))
 
     return listed.select(F.explode(F.aggregate("all", start, step, lambda s: s["said"])).alias("x")).select("x.*")
 
 
+def pool_messages(decided: DataFrame, least: int = POLICY["pool_min"]) -> DataFrame:
+    """One row (n_selected, messages): a pool is never padded, and factors of one mechanism are a warning."""
+    taken = F.col("status") == "SELECTED"
+    one = decided.agg(F.count_if(taken).alias("n_selected"), F.count_distinct(F.when(taken, F.col("mechanism_tag"))).alias("mechanisms"), F.count_if(taken & F.col("mechanism_tag").isNull()).alias("unnamed"))
+    repeated = F.col("n_selected") > F.col("mechanisms") + F.least(F.col("unnamed"), F.lit(1))
+    return one.select("n_selected", sc.reasons({"COMPOSITE_BLOCKED_INSUFFICIENT_ALPHA": F.col("n_selected") < least, "SAME_MECHANISM_INCLUDED": repeated}).alias("messages"))
+
+
 def eligible(rows: DataFrame, tests: dict[str, Column]) -> DataFrame:
     """Rows with the array of failed tests and whether it is empty."""
     return rows.withColumn("reasons", sc.reasons(tests)).withColumn("eligible", F.size("reasons") == 0)

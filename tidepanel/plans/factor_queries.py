@@ -14,7 +14,7 @@ from tidepanel.operators import selection as sel
 from tidepanel.operators.factor import Factor, col, evaluate, long_form, ts_delta, ts_mean, ts_std_dev
 from tidepanel.plans.registry import query, rounded
 from tidepanel.sources import panels
-from tidepanel.sources.panels import SQL_EVENTS
+from tidepanel.sources.panels import SQL_EVENTS, SQL_WEEKLY
 
 W = "PARTITION BY security_id ORDER BY session"
 FACTORS = [
@@ -98,7 +98,7 @@ def ag_02(spark, sf_dir):
 
 
 @query("ag_03_04_yearly_ic", f"""{SQL_BASE}, {SQL_IC}, y AS (SELECT factor_id, year(session) AS year, avg(ic) AS m, count(*) AS n FROM ic WHERE ic IS NOT NULL GROUP BY 1, 2),
-t AS (SELECT *, CASE WHEN n >= 4 THEN 'FULL' WHEN year = max(year) OVER (PARTITION BY factor_id) AND n >= 2 THEN 'PARTIAL' ELSE 'INSUFFICIENT' END AS status FROM y),
+t AS (SELECT *, CASE WHEN n >= 4 THEN 'FULL_YEAR' WHEN year = max(year) OVER (PARTITION BY factor_id) AND n >= 2 THEN 'PARTIAL_YEAR' ELSE 'INSUFFICIENT' END AS status FROM y),
 r AS (SELECT factor_id, avg(CASE WHEN status <> 'INSUFFICIENT' THEN CASE WHEN m > 0 THEN 1.0 ELSE 0.0 END END)::DOUBLE AS positive_year_ratio FROM t GROUP BY 1)
 SELECT factor_id, year::INT AS year, round(m, 6) + 0.0 AS mean_ic, n, status, positive_year_ratio FROM t JOIN r USING (factor_id)""")
 def ag_03(spark, sf_dir):
@@ -129,22 +129,78 @@ def ag_07(spark, sf_dir):
     return dg.top_turnover(scores(spark, sf_dir), signals(spark, sf_dir), ["factor_id"]).select("factor_id", rounded(F.col("turnover")).alias("turnover"))
 
 
-@query("ag_08_diagnose")
+#: Weekly factors: factor, family, mechanism, semantic status. The catalogue also has two that can't be computed.
+WEEKLY = [
+    (Factor("level", -col("close")), "level", "value", "FULL_INTENT"),
+    (Factor("level_4", -ts_mean(col("close"), 4)), "level", "value", "FULL_INTENT"),
+    (Factor("level_12", -ts_mean(col("close"), 12)), "level_slow", "value", "PARTIAL_INTENT"),
+    (Factor("level_26", -ts_mean(col("close"), 26)), "level_slow", "value", "FULL_INTENT"),
+    (Factor("level_14", -ts_mean(col("close"), 14)), "level_mid", "value", "FULL_INTENT"),
+    (Factor("momentum", ts_delta(col("close"), 4)), "momentum", "momentum", "FULL_INTENT"),
+    (Factor("calm", -ts_std_dev(col("close"), 12)), "risk", "risk", "FULL_INTENT"),
+    (Factor("activity", ts_mean(col("volume"), 8)), "activity", "liquidity", "PARTIAL_INTENT"),
+    (Factor("reversal", -(col("close") / col("open") - 1)), "reversal", "reversal", "FULL_INTENT"),
+    (Factor("thin", col("close") / col("traded")), "thin", "liquidity", "FULL_INTENT"),
+]
+INELIGIBLE = [("orders", "flow", "flow", "PROXY_ONLY"), ("headcount", "staff", "staff", "PROXY_ONLY")]
+_CATALOGUE = [(f.name, 1, family, mechanism, semantic, f.warmup, True) for f, family, mechanism, semantic in WEEKLY] + [(n, 1, family, mechanism, semantic, 0, False) for n, family, mechanism, semantic in INELIGIBLE]
+
+
+def catalogue(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(_CATALOGUE, "factor_id string, factor_version int, family_id string, mechanism_tag string, semantic_status string, warmup_sessions int, eligible boolean")
+
+
+def weekly_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores and labels of all weekly factors at signal sessions, off one grid."""
+    factors = [f for f, *_ in WEEKLY]
+    grid = dg.with_forward_returns(panels.weekly_panel(spark, sf_dir))
+    wide = evaluate(grid, factors, keep=("forward_return",))
+    sig = dg.signal_sessions(panels.supplier_sessions(spark, sf_dir))
+    long = long_form(wide.join(F.broadcast(sig.select("session")), "session"), factors, keep=("forward_return",))
+    return long.select("session", "security_id", "factor_id", F.round("value", 9).alias("score"), "forward_return")
+
+
+_MEAN_OF = lambda n: f"CASE WHEN count(close) OVER (w ROWS {n - 1} PRECEDING) = {n} THEN -avg(close) OVER (w ROWS {n - 1} PRECEDING) END"
+SQL_WEEKLY_PAIRS = f"""WITH RECURSIVE {SQL_WEEKLY}, wf AS (SELECT session, security_id, CASE WHEN lead(open, 1) OVER w > 0 THEN lead(open, 6) OVER w / lead(open, 1) OVER w - 1 END AS forward_return,
+  -close AS level, {_MEAN_OF(4)} AS level_4, {_MEAN_OF(12)} AS level_12, {_MEAN_OF(26)} AS level_26, {_MEAN_OF(14)} AS level_14, close - lag(close, 4) OVER w AS momentum,
+  CASE WHEN count(close) OVER (w ROWS 11 PRECEDING) = 12 THEN -stddev_pop(close) OVER (w ROWS 11 PRECEDING) END AS calm,
+  CASE WHEN count(volume) OVER (w ROWS 7 PRECEDING) = 8 THEN avg(volume) OVER (w ROWS 7 PRECEDING) END AS activity,
+  -(close / nullif(open, 0) - 1) AS reversal, close / nullif(traded, 0) AS thin FROM week_l WINDOW w AS ({W})),
+sig AS (SELECT session, row_number() OVER (ORDER BY session) AS ordinal FROM (SELECT session, yearweek(session) AS wk, lead(yearweek(session)) OVER (ORDER BY session) AS nx FROM (SELECT DISTINCT session FROM bars_l)) WHERE nx <> wk),
+p AS (SELECT session, ordinal, security_id, factor_id, round(score, 9) AS score, forward_return FROM ({" UNION ALL ".join(f"SELECT session, security_id, '{f.name}' AS factor_id, {f.name} AS score, forward_return FROM wf" for f, *_ in WEEKLY)}) JOIN sig USING (session))"""
+SQL_DIAGNOSED = f"""{SQL_WEEKLY_PAIRS}, {SQL_IC},
+yr AS (SELECT factor_id, year(session) AS y, avg(ic) AS m, count(*) AS n, max(year(session)) OVER (PARTITION BY factor_id) AS last FROM ic WHERE ic IS NOT NULL GROUP BY factor_id, year(session)),
+pos AS (SELECT factor_id, avg(CASE WHEN m > 0 THEN 1.0 ELSE 0.0 END)::DOUBLE AS positive_year_ratio FROM yr WHERE n >= 26 OR (y = last AND n >= 13) GROUP BY 1),
+ics AS (SELECT factor_id, count(ic) AS n_sessions, avg(ic) AS mean_ic, avg(ic) / nullif(stddev_samp(ic), 0) AS icir FROM ic GROUP BY 1),
+cov AS (SELECT factor_id, median(x) AS median_coverage FROM (SELECT factor_id, session, count(*) FILTER (score IS NOT NULL AND forward_return IS NOT NULL) / count(*) AS x FROM p GROUP BY 1, 2) GROUP BY 1),
+bk AS (SELECT *, least(greatest(ceil(round((rank() OVER (PARTITION BY factor_id, session, score IS NULL ORDER BY score) + (count(*) OVER (PARTITION BY factor_id, session, score) - 1) / 2.0) / count(score) OVER (PARTITION BY factor_id, session), 9) * 5), 1), 5) AS bucket FROM p),
+qm AS (SELECT factor_id, {", ".join(f"avg(forward_return) FILTER (bucket = {i}) AS q{i}_mean" for i in range(1, 6))} FROM bk WHERE score IS NOT NULL AND forward_return IS NOT NULL GROUP BY 1),
+tp AS (SELECT factor_id, ordinal, security_id FROM (SELECT *, row_number() OVER (PARTITION BY factor_id, session ORDER BY score DESC NULLS LAST, security_id) AS k, count(score) OVER (PARTITION BY factor_id, session) AS n FROM p) WHERE score IS NOT NULL AND k <= greatest(1, ceil(round(n * 0.1, 9)))),
+tn AS (SELECT factor_id, avg(x) AS turnover FROM (SELECT a.factor_id, a.ordinal, 1 - count(b.security_id) / count(*) AS x FROM tp a LEFT JOIN tp b ON b.factor_id = a.factor_id AND b.security_id = a.security_id AND b.ordinal = a.ordinal + 1 WHERE a.ordinal < (SELECT max(ordinal) FROM sig) GROUP BY 1, 2) GROUP BY 1),
+dx AS (SELECT factor_id, n_sessions, median_coverage, mean_ic, icir, positive_year_ratio, {", ".join(f"q{i}_mean" for i in range(1, 6))}, turnover, q5_mean - q1_mean AS spread
+  FROM ics LEFT JOIN pos USING (factor_id) LEFT JOIN cov USING (factor_id) LEFT JOIN qm USING (factor_id) LEFT JOIN tn USING (factor_id))"""
+
+
+@query("ag_08_diagnose", f"""{SQL_DIAGNOSED} SELECT factor_id, n_sessions, {", ".join(f"round({c}, 9) + 0.0 AS {c}" for c in ("median_coverage", "mean_ic", "icir", "positive_year_ratio", "q1_mean", "q2_mean", "q3_mean", "q4_mean", "q5_mean", "turnover", "spread"))} FROM dx""")
 def ag_08(spark, sf_dir):
-    """All diagnostics of all factors in one plan; each part has its own checked query."""
-    out = dg.diagnose(scores(spark, sf_dir), returns(spark, sf_dir), signals(spark, sf_dir))
-    return out.select("factor_id", *(rounded(F.col(c)).alias(c) for c in out.columns if c != "factor_id"))
+    """All diagnostics of ten weekly factors in one pass."""
+    out = dg.diagnose(weekly_pairs(spark, sf_dir), benchmark=panels.BENCHMARK)
+    return out.select("factor_id", "n_sessions", *(rounded(F.col(c), 9).alias(c) for c in out.columns if c not in ("factor_id", "n_sessions")))
+
 
+def _sql_redundancy(rows: str) -> str:
+    """CTEs ending in ``rd`` over rows (factor_id, session, security_id, score)."""
+    tops = ", ".join(f"row_number() OVER (PARTITION BY factor_a, factor_b, session ORDER BY {x} DESC, security_id) <= greatest(1, ceil(round(count(*) OVER (PARTITION BY factor_a, factor_b, session) * 0.1, 9))) AS t{x}" for x in "xy")
+    ranks = ", ".join(f"rank() OVER (PARTITION BY factor_a, factor_b, session ORDER BY {x}) + (count(*) OVER (PARTITION BY factor_a, factor_b, session, {x}) - 1) / 2.0 AS r{x}" for x in "xy")
+    return f"""fr AS ({rows}), qr AS (SELECT a.factor_id AS factor_a, b.factor_id AS factor_b, a.session, a.security_id, a.score AS x, b.score AS y FROM fr a JOIN fr b ON a.session = b.session AND a.security_id = b.security_id AND a.factor_id < b.factor_id),
+kr AS (SELECT *, {tops}, {ranks} FROM qr),
+cr AS (SELECT factor_a, factor_b, session, CASE WHEN stddev_pop(rx) * stddev_pop(ry) > 1e-12 THEN covar_pop(rx, ry) / (stddev_pop(rx) * stddev_pop(ry)) END AS ic, count(*) FILTER (tx AND ty) / count(*) FILTER (tx OR ty) AS j FROM kr GROUP BY 1, 2, 3),
+rd AS (SELECT factor_a, factor_b, median(abs(ic)) AS median_abs_ic, avg(j) AS top_jaccard FROM cr GROUP BY 1, 2)"""
 
-@query("ag_09_redundancy", f"""{SQL_BASE}, {SQL_TOP}, f AS (SELECT s.*, t.security_id IS NOT NULL AS top FROM s JOIN sig USING (session) LEFT JOIN top t ON t.factor_id = s.factor_id AND t.session = s.session AND t.security_id = s.security_id WHERE s.score IS NOT NULL),
-q AS (SELECT a.factor_id AS factor_a, b.factor_id AS factor_b, a.session, a.score AS x, b.score AS y, a.top AND b.top AS both_ FROM f a JOIN f b ON a.session = b.session AND a.security_id = b.security_id AND a.factor_id < b.factor_id),
-rk AS (SELECT factor_a, factor_b, session, rank() OVER (PARTITION BY factor_a, factor_b, session ORDER BY x) + (count(*) OVER (PARTITION BY factor_a, factor_b, session, x) - 1) / 2.0 AS x,
-  rank() OVER (PARTITION BY factor_a, factor_b, session ORDER BY y) + (count(*) OVER (PARTITION BY factor_a, factor_b, session, y) - 1) / 2.0 AS y FROM q),
-c AS (SELECT factor_a, factor_b, session, CASE WHEN stddev_pop(x) * stddev_pop(y) > 1e-12 THEN covar_pop(x, y) / (stddev_pop(x) * stddev_pop(y)) END AS ic FROM rk GROUP BY 1, 2, 3),
-n AS (SELECT factor_id, session, count(*) AS n FROM f WHERE top GROUP BY 1, 2),
-j AS (SELECT q.factor_a, q.factor_b, q.session, count(*) FILTER (both_) / (any_value(a.n) + any_value(b.n) - count(*) FILTER (both_)) AS x FROM q JOIN n a ON a.factor_id = factor_a AND a.session = q.session JOIN n b ON b.factor_id = factor_b AND b.session = q.session GROUP BY 1, 2, 3)
-SELECT c.factor_a, c.factor_b, round(median(abs(ic)), 6) + 0.0 AS median_abs_ic, round(any_value(k.x), 6) + 0.0 AS top_jaccard FROM c JOIN (SELECT factor_a, factor_b, avg(x) AS x FROM j GROUP BY 1, 2) k ON k.factor_a = c.factor_a AND k.factor_b = c.factor_b GROUP BY 1, 2""")
+
+@query("ag_09_redundancy", f"{SQL_BASE}, {_sql_redundancy('SELECT factor_id, session, security_id, score FROM p WHERE score IS NOT NULL')} SELECT factor_a, factor_b, round(median_abs_ic, 6) + 0.0 AS median_abs_ic, round(top_jaccard, 6) + 0.0 AS top_jaccard FROM rd")
 def ag_09(spark, sf_dir):
+    """Pairs of the daily factors, which all miss different rows."""
     at = scores(spark, sf_dir).join(F.broadcast(signals(spark, sf_dir).select("session")), "session")
     return dg.redundancy(at).select("factor_a", "factor_b", rounded(F.col("median_abs_ic")).alias("median_abs_ic"), rounded(F.col("top_jaccard")).alias("top_jaccard"))
 
@@ -200,27 +256,86 @@ def ag_25(spark, sf_dir):
     return e.groupBy(*by).agg(rounded(value).alias("value"))
 
 
-GATES = sel.GATES | {"least_sessions": 2, "least_coverage": 0.3}
+_P = sel.POLICY
+_SQL_GATES = f"""cat(factor_id, factor_version, family_id, mechanism_tag, semantic_status, warmup_sessions, eligible) AS (VALUES {", ".join(str(r).replace("True", "true").replace("False", "false") for r in _CATALOGUE)}),
+gt AS (SELECT dx.*, CASE WHEN n_sessions IS NULL OR median_coverage IS NULL THEN 'REJECT_DATA/MISSING_DATA_DIAGNOSTIC' WHEN median_coverage < {_P["min_median_coverage"]} THEN 'REJECT_DATA/MEDIAN_COVERAGE_BELOW_MINIMUM'
+  WHEN n_sessions < {_P["min_sessions"]} THEN 'REJECT_DATA/VALID_SIGNAL_SESSIONS_BELOW_MINIMUM' WHEN mean_ic IS NULL OR spread IS NULL THEN 'REJECT_SIGNAL/MISSING_SIGNAL_DIAGNOSTIC' WHEN mean_ic <= 0 THEN 'REJECT_SIGNAL/NONPOSITIVE_MEAN_RANK_IC'
+  WHEN spread <= 0 THEN 'REJECT_SIGNAL/NONPOSITIVE_Q5_MINUS_Q1' WHEN positive_year_ratio IS NULL THEN 'WATCHLIST_UNSTABLE/MISSING_POSITIVE_YEAR_RATIO' WHEN positive_year_ratio < {_P["min_positive_years"]} THEN 'WATCHLIST_UNSTABLE/POSITIVE_YEAR_RATIO_BELOW_MINIMUM'
+  WHEN turnover IS NULL THEN 'WATCHLIST_HIGH_TURNOVER/MISSING_WEEKLY_TOP10_TURNOVER' WHEN turnover > {_P["max_turnover"]} THEN 'WATCHLIST_HIGH_TURNOVER/WEEKLY_TOP10_TURNOVER_ABOVE_MAXIMUM' ELSE 'PASS_GATES/PASS_ALL_GATES' END AS said FROM dx)"""
+SQL_GATED = f"{SQL_DIAGNOSED}, {_SQL_GATES}"
+SQL_SELECTED = f"""{SQL_GATED}, ps AS (SELECT *, row_number() OVER (ORDER BY positive_year_ratio DESC NULLS LAST, icir DESC NULLS LAST, mean_ic DESC NULLS LAST, spread DESC NULLS LAST, turnover NULLS LAST, median_coverage DESC NULLS LAST,
+  CASE semantic_status WHEN 'FULL_INTENT' THEN 0 WHEN 'PARTIAL_INTENT' THEN 1 ELSE 2 END, warmup_sessions NULLS LAST, factor_id, factor_version) AS place FROM gt JOIN cat USING (factor_id) WHERE said LIKE 'PASS%'),
+{_sql_redundancy("SELECT factor_id, session, security_id, score FROM p WHERE score IS NOT NULL AND factor_id IN (SELECT factor_id FROM ps)")},
+cf AS (SELECT a.factor_id AS factor_a, b.factor_id AS factor_b, a.family_id = b.family_id AS same_family, a.mechanism_tag = b.mechanism_tag AS same_mechanism, median_abs_ic, top_jaccard,
+  array_to_string(list_filter([CASE WHEN a.family_id = b.family_id THEN 'SAME_FAMILY' END, CASE WHEN median_abs_ic > {_P["score_corr_conflict"]} THEN 'SCORE_CORRELATION' END, CASE WHEN top_jaccard > {_P["top_overlap_conflict"]} THEN 'TOP10_OVERLAP' END], lambda x: x IS NOT NULL), '|') AS conflict_reason
+  FROM ps a JOIN ps b ON a.factor_id < b.factor_id LEFT JOIN rd ON factor_a = a.factor_id AND factor_b = b.factor_id),
+nr AS (SELECT ps.factor_id, place, coalesce((SELECT list(CASE WHEN factor_a = ps.factor_id THEN factor_b ELSE factor_a END) FROM cf WHERE conflict_reason <> '' AND (factor_a = ps.factor_id OR factor_b = ps.factor_id)), []) AS near FROM ps),
+gy AS (SELECT 0::BIGINT AS place, ''::VARCHAR AS factor_id, []::VARCHAR[] AS taken, ''::VARCHAR AS status, ''::VARCHAR AS reason
+  UNION ALL SELECT nr.place, nr.factor_id, CASE WHEN len(list_filter(taken, lambda t: list_contains(near, t))) > 0 OR len(taken) >= {_P["pool_max"]} THEN taken ELSE list_append(taken, nr.factor_id) END,
+    CASE WHEN len(list_filter(taken, lambda t: list_contains(near, t))) > 0 THEN 'REJECT_REDUNDANT' WHEN len(taken) >= {_P["pool_max"]} THEN 'REJECT_POOL_CAP' ELSE 'SELECTED' END,
+    CASE WHEN len(list_filter(taken, lambda t: list_contains(near, t))) > 0 THEN 'REJECT_REDUNDANT_WITH_' || list_filter(taken, lambda t: list_contains(near, t))[1] WHEN len(taken) >= {_P["pool_max"]} THEN 'ACTIVE_POOL_MAX_REACHED' ELSE 'SELECTED_NONREDUNDANT' END
+    FROM gy JOIN nr ON nr.place = gy.place + 1)"""
+
+
+def gated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Diagnostics of the weekly factors with their outcome, a row for each; kept, as selection reads them several times."""
+    return sel.gated(dg.diagnose(weekly_pairs(spark, sf_dir), benchmark=panels.BENCHMARK)).persist()
+
+
+def passing(spark: SparkSession, decided: DataFrame) -> DataFrame:
+    return decided.where("status = 'PASS_GATES'").join(F.broadcast(catalogue(spark)), "factor_id")
+
+
+def conflicts(spark: SparkSession, sf_dir: str, good: DataFrame) -> DataFrame:
+    """Conflicts among the passing factors; only their scores are compared."""
+    at = weekly_pairs(spark, sf_dir).join(F.broadcast(good.select("factor_id")), "factor_id", "left_semi")
+    return sel.conflicts(good, dg.redundancy(at))
+
 
+def selected(spark: SparkSession, sf_dir: str, decided: DataFrame) -> DataFrame:
+    good = passing(spark, decided)
+    ranked = good.select("factor_id", F.row_number().over(Window.orderBy(*sel.candidate_order())).alias("place"))  # a catalogue
+    return sel.greedy(ranked, conflicts(spark, sf_dir, good).where("hard_conflict"), most=_P["pool_max"])
 
-@query("tk_06_gates")
+
+@query("tk_06_gates", f"{SQL_GATED} SELECT factor_id, split_part(said, '/', 1) AS status, split_part(said, '/', 2) AS reason FROM gt")
 def tk_06(spark, sf_dir):
-    """Ordered gates over the diagnostics, which each have a checked query."""
-    return sel.gated(dg.diagnose(scores(spark, sf_dir), returns(spark, sf_dir), signals(spark, sf_dir)), GATES).select("factor_id", "status")
+    """Ordered gates over the diagnostics, with the reason of the first that stops a factor."""
+    return gated(spark, sf_dir).select("factor_id", "status", "reason")
 
 
-@query("ag_19_gate_funnel")
-def ag_19(spark, sf_dir):
-    return sel.funnel(sel.gated(dg.diagnose(scores(spark, sf_dir), returns(spark, sf_dir), signals(spark, sf_dir)), GATES))
+@query("tk_08_conflicts", f"{SQL_SELECTED} SELECT factor_a, factor_b, same_family, same_mechanism, round(median_abs_ic, 6) + 0.0 AS median_abs_ic, round(top_jaccard, 6) + 0.0 AS top_jaccard, conflict_reason FROM cf")
+def tk_08_conflicts(spark, sf_dir):
+    """All pairs of passing factors with what makes them conflict."""
+    c = conflicts(spark, sf_dir, passing(spark, gated(spark, sf_dir)))
+    return c.select("factor_a", "factor_b", "same_family", "same_mechanism", rounded(F.col("median_abs_ic")).alias("median_abs_ic"), rounded(F.col("top_jaccard")).alias("top_jaccard"), "conflict_reason")
 
 
-@query("tk_07_08_greedy_selection")
+@query("tk_07_08_greedy_selection", f"{SQL_SELECTED} SELECT factor_id, place, status, reason FROM gy WHERE place > 0")
 def tk_08(spark, sf_dir):
-    """Factors in the fixed order, taken unless one that correlates with them was."""
-    metrics = dg.diagnose(scores(spark, sf_dir), returns(spark, sf_dir), signals(spark, sf_dir))
-    ranked = metrics.select("factor_id", F.row_number().over(Window.orderBy(*sel.candidate_order())).alias("place"))
-    at = scores(spark, sf_dir).join(F.broadcast(signals(spark, sf_dir).select("session")), "session")
-    return sel.greedy(ranked, dg.redundancy(at).where("median_abs_ic > 0.3"))
+    """Passing factors in the fixed order, taken unless one that conflicts with them was."""
+    return selected(spark, sf_dir, gated(spark, sf_dir)).withColumn("place", F.col("place").cast("long"))
+
+
+@query("tk_08_pool_messages", f"""{SQL_SELECTED}, sl AS (SELECT mechanism_tag FROM gy JOIN cat USING (factor_id) WHERE status = 'SELECTED')
+SELECT count(*) AS n_selected, array_to_string(list_filter([CASE WHEN count(*) < {_P["pool_min"]} THEN 'COMPOSITE_BLOCKED_INSUFFICIENT_ALPHA' END, CASE WHEN count(*) > count(DISTINCT mechanism_tag) THEN 'SAME_MECHANISM_INCLUDED' END], lambda x: x IS NOT NULL), ',') AS messages FROM sl""")
+def tk_08_messages(spark, sf_dir):
+    decided = selected(spark, sf_dir, gated(spark, sf_dir)).join(F.broadcast(catalogue(spark)), "factor_id")
+    return sel.pool_messages(decided).select("n_selected", F.array_join("messages", ",").alias("messages"))
+
+
+_SQL_STAGES = ", ".join(f"({i + 1}, '{name}', [{', '.join(repr(s) for s in taken)}]::VARCHAR[])" for i, (name, taken) in enumerate(sel.FUNNEL))
+
+
+@query("ag_19_gate_funnel", f"""{SQL_SELECTED}, fs AS (SELECT cat.factor_id, coalesce(gy.status, split_part(said, '/', 1), 'CATALOG_INELIGIBLE') AS status FROM cat LEFT JOIN gt USING (factor_id) LEFT JOIN gy USING (factor_id)),
+st(stage, name, gone) AS (VALUES {_SQL_STAGES}), sr AS (SELECT stage, name, (SELECT count(*) FROM fs WHERE NOT EXISTS (SELECT 1 FROM st b WHERE b.stage <= st.stage AND list_contains(b.gone, fs.status))) AS remaining FROM st)
+SELECT stage, name, remaining, coalesce(lag(remaining) OVER (ORDER BY stage) - remaining, 0) AS removed FROM sr""")
+def ag_19(spark, sf_dir):
+    """From all versions of the catalogue to the pool."""
+    gates = gated(spark, sf_dir)
+    final = selected(spark, sf_dir, gates).select("factor_id", F.col("status").alias("final"))
+    decided = F.broadcast(catalogue(spark)).join(gates.select("factor_id", "status"), "factor_id", "left").join(final, "factor_id", "left")
+    return sel.funnel(decided.select(F.coalesce("final", "status", F.lit("CATALOG_INELIGIBLE")).alias("status"))).withColumn("stage", F.col("stage").cast("int"))
 
 
 @query("tk_01_top_n", f"""WITH {SQL_EVENTS}, k AS (SELECT session, security_id, row_number() OVER (PARTITION BY session ORDER BY close DESC, security_id) AS place, count(*) OVER (PARTITION BY session) AS n FROM grid_e WHERE close IS NOT NULL)

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 FIELDS = ("open", "high", "low", "close", "volume")
+#: The security that plays the benchmark in weekly panels.
+BENCHMARK = 1
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,24 +43,43 @@ def supplier_bars(spark: SparkSession, sf_dir: str, unit: str = "week") -> DataF
     return bars(li, day, F.col("l_suppkey"), price, F.struct("l_shipdate", "l_orderkey", "l_linenumber", "l_partkey"), F.col("l_quantity"), F.col("l_extendedprice"))
 
 
-def densify(rows: DataFrame, sessions: DataFrame | None = None) -> DataFrame:
+def supplier_sessions(spark: SparkSession, sf_dir: str, unit: str = "week") -> DataFrame:
+    """The calendar of supplier bars, read off one column."""
+    day = F.to_date("l_shipdate") if unit == "day" else F.to_date(F.date_trunc(unit, "l_shipdate"))
+    return read(spark, sf_dir, "lineitem").select(day.alias("session")).distinct()
+
+
+def densify(rows: DataFrame, sessions: DataFrame | None = None, securities: DataFrame | None = None) -> DataFrame:
     """The grid of all sessions and securities with the bars where there are any.
 
     Sessions are a calendar: a few thousand dates at most, which each security takes as an array. ``sessions`` gives the
-    calendar; without it, it is read off the rows.
+    calendar and ``securities`` the ids; without them, they are read off the rows, which computes those again.
     """
     calendar = (rows if sessions is None else sessions).select("session").distinct().agg(F.sort_array(F.collect_set("session")).alias("sessions"))
-    securities = rows.select("security_id").distinct()
+    securities = (rows if securities is None else securities).select("security_id").distinct()
     cells = securities.join(F.broadcast(calendar)).select(F.explode("sessions").alias("session"), "security_id")
     return cells.join(rows, ["session", "security_id"], "left")
 
 
 def event_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return densify(event_bars(spark, sf_dir))
+    e = read(spark, sf_dir, "events")
+    return densify(event_bars(spark, sf_dir), e.select(F.to_date("ts").alias("session")), e.select(F.col("user_id").alias("security_id")))
 
 
 def supplier_grid(spark: SparkSession, sf_dir: str, unit: str = "week") -> DataFrame:
-    return densify(supplier_bars(spark, sf_dir, unit))
+    ids = read(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("security_id"))
+    return densify(supplier_bars(spark, sf_dir, unit), supplier_sessions(spark, sf_dir, unit), ids)
+
+
+def weekly_panel(spark: SparkSession, sf_dir: str, benchmark: int = BENCHMARK) -> DataFrame:
+    """The weekly supplier grid with the last known open and close, volume (0 without trades) and traded (NULL without).
+
+    The supplier that plays the benchmark is left out of the cross-section.
+    """
+    from tidepanel.functions.timeseries import forward_fill
+
+    grid = supplier_grid(spark, sf_dir).where(F.col("security_id") != benchmark)
+    return grid.select("session", "security_id", forward_fill(F.col("open")).alias("open"), forward_fill(F.col("close")).alias("close"), F.coalesce("volume", F.lit(0.0)).cast("double").alias("volume"), F.col("volume").cast("double").alias("traded"))
 
 
 def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,6 +122,8 @@ SQL_SUPPLIERS = """bars_l AS (SELECT CAST(date_trunc('week', l_shipdate) AS DATE
   sum(l_quantity) AS volume, sum(l_extendedprice) / sum(l_quantity) AS vwap FROM lineitem GROUP BY 1, 2),
 grid_l AS (SELECT s.session, i.security_id, open, high, low, close, volume, vwap FROM (SELECT DISTINCT session FROM bars_l) s
   CROSS JOIN (SELECT DISTINCT security_id FROM bars_l) i LEFT JOIN bars_l b ON b.session = s.session AND b.security_id = i.security_id)"""
+SQL_WEEKLY = f"""{SQL_SUPPLIERS}, week_l AS (SELECT session, security_id, last_value(open IGNORE NULLS) OVER (PARTITION BY security_id ORDER BY session ROWS UNBOUNDED PRECEDING) AS open,
+  last_value(close IGNORE NULLS) OVER (PARTITION BY security_id ORDER BY session ROWS UNBOUNDED PRECEDING) AS close, coalesce(volume, 0)::DOUBLE AS volume, volume::DOUBLE AS traded FROM grid_l WHERE security_id <> {BENCHMARK})"""
 SQL_LABELS = """labels_l AS (SELECT s_suppkey AS security_id, DATE '1990-01-01' AS effective_at, DATE '1990-01-02' AS available_at, r_name AS sector, n_name AS industry
   FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
   UNION ALL SELECT s_suppkey, DATE '1998-01-01', DATE '1998-02-01', 'MOVED', n_name FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE s_suppkey % 3 = 0)"""
