@@ -44,18 +44,50 @@ def test_annual_proxy(spark):
     assert [r["source_id"] for r in left] == ["old"]
 
 
-@pytest.mark.parametrize(("rows", "reason", "value"), [
-    ([("short_debt", "2024-12-31", 5.0, "usd"), ("long_debt", "2024-12-31", 7.0, "usd")], None, 12.0),
-    ([("short_debt", "2024-12-31", 5.0, "usd")], "MISSING_INPUT", None),
-    ([("short_debt", "2024-12-31", 5.0, "usd"), ("long_debt", "2024-09-30", 7.0, "usd")], "INPUT_PERIOD_MISMATCH", None),
-    ([("short_debt", "2024-12-31", 5.0, "usd"), ("long_debt", "2024-12-31", 7.0, "eur")], "INPUT_CURRENCY_MISMATCH", None),
-    ([("short_debt", "2024-12-31", -5.0, "usd"), ("long_debt", "2024-12-31", 7.0, "usd")], "NEGATIVE_DEBT_INPUT", None),
+FACTS = "security_id string, field string, value double, unit string, semantic_grade string, sign_convention string, dimensions string, fiscal_year int, fiscal_period string, period_end string, available_at string, source_id string"
+
+
+def version(field, value, year=2024, end=None, unit="usd", grade="SOURCE_LINKED_DIRECT", sign=None, dims=None, known=None, source=None):
+    return ("s", field, value, unit, grade, sign, dims, year, "FY", end or f"{year}-12-31", known or f"{year + 1}-03-01", source or f"{field}-{year}")
+
+
+DEBT = [version("short_term_debt", 5.0), version("long_term_debt_current", 7.0), version("long_term_debt_noncurrent", 1.0)]
+CASH_FLOW = [version("operating_cash_flow", 9.0)]
+
+
+@pytest.mark.parametrize(("field", "rows", "reason", "value"), [
+    ("total_debt", DEBT, None, 13.0),
+    ("total_debt", DEBT[:2], "MISSING_INPUT", None),
+    ("total_debt", [*DEBT[:2], version("long_term_debt_noncurrent", -1.0)], "NEGATIVE_DEBT_INPUT", None),
+    ("total_debt", [*DEBT[:2], version("long_term_debt_noncurrent", -1.0, sign="POSITIVE_OBLIGATION")], None, 13.0),
+    ("total_debt", [*DEBT[:2], version("long_term_debt_noncurrent", 1.0, end="2024-12-30")], "INPUT_PERIOD_MISMATCH", None),
+    ("total_debt", [*DEBT[:2], version("long_term_debt_noncurrent", 1.0, unit="eur")], "INPUT_CURRENCY_MISMATCH", None),
+    ("total_debt", [*DEBT[:2], version("long_term_debt_noncurrent", 1.0, dims="x")], "INPUT_CONTEXT_MISMATCH", None),
+    ("total_debt", [*DEBT[:2], version("long_term_debt_noncurrent", 1.0, grade="GUESS")], "INPUT_SEMANTIC_GRADE_UNAPPROVED", None),
+    ("total_debt", [*DEBT[:2], version("long_term_debt_noncurrent", 1.0, grade="HYPOTHESIS_PROXY")], "INPUT_SEMANTIC_GRADE_INCOMPATIBLE", None),
+    ("free_cash_flow", [*CASH_FLOW, version("capital_expenditure", -2.0, sign="POSITIVE_OUTFLOW")], None, 7.0),
+    ("free_cash_flow", [*CASH_FLOW, version("capital_expenditure", 2.0)], "INPUT_SIGN_CONVENTION_UNAPPROVED", None),
+    ("roa", [version("net_income", 6.0), version("total_assets", 30.0), version("total_assets", 10.0, 2023)], None, 0.3),
+    ("roa", [version("net_income", 6.0), version("total_assets", 30.0), version("total_assets", 10.0, 2022)], "PRIOR_FISCAL_YEAR_MISSING", None),
+    ("roa", [version("net_income", 6.0), version("total_assets", 30.0), version("total_assets", 10.0, 2023, end="2023-12-30")], "PRIOR_FISCAL_ANCHOR_MISMATCH", None),
+    ("roe", [version("net_income", 6.0), version("stockholders_equity", 3.0), version("stockholders_equity", -9.0, 2023)], "NON_POSITIVE_DENOMINATOR", None),
+    ("inventory_turnover", [version("revenue", 9.0), version("gross_profit", 3.0), version("inventory", 2.0), version("inventory", 4.0, 2023)], None, 2.0),
+    ("asset_growth", [version("total_assets", 30.0), version("total_assets", 10.0, 2023)], None, 2.0),
+    ("ebitda", [version("net_income", 1.0), version("income_tax_expense", -2.0, sign="POSITIVE_EXPENSE"), version("interest_expense", 3.0), version("depreciation_and_amortization", 4.0)], None, 10.0),
+    ("book_value_per_share", [version("stockholders_equity", 30.0), version("shares_outstanding_sec", 0.0, unit="shares")], "NON_POSITIVE_DENOMINATOR", None),
 ])
-def test_derived_reasons(spark, rows, reason, value):
-    v = spark.createDataFrame([("s", f, p, "2025-01-01", "a", x, u) for f, p, x, u in rows], "security_id string, field string, period_end string, available_at string, accession string, value double, unit string")
-    events = spark.createDataFrame([("s", "2025-02-01")], "security_id string, session string")
-    r = derived.derive(derived.wide_as_of(v, events, ("short_debt", "long_debt")), ("total_debt",)).first()
-    assert (r["reason"], r["value"]) == (reason, value)
+def test_derived_reasons(spark, field, rows, reason, value):
+    v = spark.createDataFrame(rows, FACTS).withColumns({c: F.to_date(c) for c in ("period_end", "available_at")})
+    r = derived.derive(v).where((F.col("field") == field) & (F.col("at") == "2025-03-01")).first()
+    assert r["reason"] == reason and r["value"] == (None if value is None else pytest.approx(value))
+
+
+def test_price_proxies(spark):
+    v = spark.createDataFrame([*DEBT, version("shares_outstanding_sec", 10.0, unit="shares"), version("cash_and_cash_equivalents", 3.0)], FACTS).withColumns({c: F.to_date(c) for c in ("period_end", "available_at")})
+    prices = spark.createDataFrame([("s", "2025-02-01", 2.0, "usd"), ("s", "2025-03-05", 2.0, "usd"), ("s", "2025-03-06", 0.0, "usd"), ("s", "2025-03-07", 3.0, "eur"), ("s", "2025-03-08", 3.0, None)], "security_id string, at string, raw_close double, currency string").withColumn("at", F.to_date("at"))
+    said = {(str(r["at"]), r["field"][:3]): (r["reason"], r["value"], r["unit"]) for r in derived.derive(v, prices).where("field like '%proxy'").collect()}
+    assert said["2025-02-01", "mar"][0] == "MISSING_INPUT" and said["2025-03-05", "mar"] == (None, 20.0, "usd") and said["2025-03-05", "ent"] == (None, 30.0, "usd")
+    assert said["2025-03-06", "mar"][0] == "NON_POSITIVE_PRICE" and said["2025-03-07", "mar"][1:] == (30.0, "eur") and said["2025-03-07", "ent"][0] == "INPUT_CURRENCY_MISMATCH" and said["2025-03-08", "mar"][0] == "PRICE_CURRENCY_MISSING"
 
 
 def test_yearly_growth(spark):

@@ -1,68 +1,196 @@
 """Derived accounting fields with reason codes.
 
-Inputs are as-of rows, one column for each field. A derived field has a value or the first reason against it, never both.
+A derived field has a value or the first reason against it, never both. Inputs are the latest versions known at an event; ratios
+that need the year before take exactly that fiscal year, at the same date of it.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidepanel.functions import scalar as sc
 from tidepanel.operators.asof import as_of
 
 
-def wide_as_of(versions: DataFrame, events: DataFrame, fields: tuple[str, ...], known_at: str = "available_at") -> DataFrame:
-    """For each event (security_id, session) each field's latest known (period_end, value, unit) as a struct column."""
-    grid = events.select("security_id", "session").distinct().withColumn("field", F.explode(F.array(*map(F.lit, fields))))
-    found = as_of(versions.where(F.col("field").isin(*fields)), grid, ["security_id", "field"], known_at, ["period_end", known_at, "accession"], ["value", "unit"])
-    fact = F.when(F.col("period_end").isNotNull(), F.struct("period_end", "value", "unit"))
-    return found.groupBy("security_id", "session").agg(*(F.max(F.when(F.col("field") == f, fact)).alias(f) for f in fields))
-
-
-def guards(inputs: tuple[str, ...], denominator: str | None = None, extra: dict[str, Column] | None = None) -> dict[str, Column]:
-    """Reasons in order: a missing input, periods or currencies that differ, a denominator that is not above zero."""
-    missing = F.lit(False)
-    for i in inputs:
-        missing = missing | F.col(f"{i}.value").isNull()
-    tests = {"MISSING_INPUT": missing}
-    first = inputs[0]
-    for name, part in (("INPUT_PERIOD_MISMATCH", "period_end"), ("INPUT_CURRENCY_MISMATCH", "unit")):
-        differs = F.lit(False)
-        for i in inputs[1:]:
-            differs = differs | (F.col(f"{i}.{part}") != F.col(f"{first}.{part}"))
-        tests[name] = differs
-    if denominator:
-        tests["NON_POSITIVE_DENOMINATOR"] = F.col(f"{denominator}.value") <= 0
-    return tests | (extra or {})
-
-
-#: name: (inputs, formula over their values, denominator)
-FORMULAS = {
-    "total_debt": (("short_debt", "long_debt"), lambda v: v("short_debt") + v("long_debt"), None),
-    "working_capital": (("current_assets", "current_liabilities"), lambda v: v("current_assets") - v("current_liabilities"), None),
-    "free_cash_flow": (("operating_cash", "capex"), lambda v: v("operating_cash") - F.abs(v("capex")), None),
-    "ebitda": (("operating_income", "depreciation"), lambda v: v("operating_income") + v("depreciation"), None),
-    "roa": (("net_income", "assets"), lambda v: sc.divide(v("net_income"), v("assets")), "assets"),
-    "roe": (("net_income", "equity"), lambda v: sc.divide(v("net_income"), v("equity")), "equity"),
-    "book_value_per_share": (("equity", "shares"), lambda v: sc.divide(v("equity"), v("shares")), "shares"),
-    "inventory_turnover": (("cost", "inventory"), lambda v: sc.divide(v("cost"), v("inventory")), "inventory"),
-}
+#: Fixed values of the contract: what a grade may be, which conventions make a negative value positive, units that are no currency.
+APPROVED_GRADES = ("SOURCE_LINKED_DIRECT", "SOURCE_LINKED_DERIVED", "HYPOTHESIS_PROXY")
+POSITIVE_CONVENTIONS = ("POSITIVE_OUTFLOW", "POSITIVE_EXPENSE", "POSITIVE_ADD_BACK", "POSITIVE_ADDBACK", "POSITIVE_OBLIGATION")
+REQUIRED_SIGNS = {"capital_expenditure": "POSITIVE_OUTFLOW"}
+NON_CURRENCY_UNITS = ("", "SHARE", "SHARES", "RATIO", "PURE", "NUMBER")
+
+
+@dataclass(frozen=True)
+class Definition:
+    """A derived field: inputs in order, those that also need the year before, its formula over values now and then, and
+    tests of the result's own (reason to condition that rejects)."""
+
+    inputs: tuple[str, ...]
+    formula: Callable[[Callable, Callable], Column]
+    prior: tuple[str, ...] = ()
+    unit: str | None = None
+    grade: str = "SOURCE_LINKED_DERIVED"
+    tests: Callable[[Callable, Callable], dict[str, Column]] = lambda now, then: {}
+    daily: bool = False
+
 
+def _mean(field: str):
+    return lambda now, then: (now(field) + then(field)) / 2
 
-def derive(wide: DataFrame, names: tuple[str, ...]) -> DataFrame:
-    """Rows (security_id, session, field, value, reason) for the named formulas."""
-    def value(i: str) -> Column:
-        return F.col(f"{i}.value")
 
-    out = None
-    for name in names:
-        inputs, formula, denominator = FORMULAS[name]
-        extra = {"NEGATIVE_DEBT_INPUT": F.least(*(value(i) for i in inputs)) < 0} if name == "total_debt" else None
-        reason = sc.first_reason(guards(inputs, denominator, extra))
-        part = wide.withColumn("reason", reason).select("security_id", "session", F.lit(name).alias("field"), F.when(F.col("reason").isNull(), formula(value)).alias("value"), "reason")
-        out = part if out is None else out.unionByName(part)
-    return out
+def _average(flow: Callable[[Callable], Column], stock: str, *inputs: str) -> Definition:
+    """A flow over the mean of a balance and that of the year before."""
+    mean = _mean(stock)
+    return Definition((*inputs, stock), lambda now, then: sc.divide(flow(now), mean(now, then)), (stock,), "ratio", tests=lambda now, then: {"NON_POSITIVE_DENOMINATOR": mean(now, then) <= 0})
+
+
+def _growth(field: str) -> Definition:
+    return Definition((field,), lambda now, then: sc.divide(now(field), then(field)) - 1, (field,), "ratio", tests=lambda now, then: {"NON_POSITIVE_DENOMINATOR": then(field) <= 0})
+
+
+_DEBT = ("short_term_debt", "long_term_debt_current", "long_term_debt_noncurrent")
+DEFINITIONS = {
+    "total_debt": Definition(_DEBT, lambda now, then: now(_DEBT[0]) + now(_DEBT[1]) + now(_DEBT[2]), tests=lambda now, then: {"NEGATIVE_DEBT_INPUT": F.least(*map(now, _DEBT)) < 0}),
+    "working_capital": Definition(("current_assets", "current_liabilities"), lambda now, then: now("current_assets") - now("current_liabilities")),
+    "free_cash_flow": Definition(("operating_cash_flow", "capital_expenditure"), lambda now, then: now("operating_cash_flow") - now("capital_expenditure")),
+    "ebit": Definition(("net_income", "income_tax_expense", "interest_expense"), lambda now, then: now("net_income") + now("income_tax_expense") + now("interest_expense")),
+    "ebitda": Definition(("ebit", "depreciation_and_amortization"), lambda now, then: now("ebit") + now("depreciation_and_amortization")),
+    "roa": _average(lambda now: now("net_income"), "total_assets", "net_income"),
+    "roe": _average(lambda now: now("net_income"), "stockholders_equity", "net_income"),
+    "inventory_turnover": _average(lambda now: now("revenue") - now("gross_profit"), "inventory", "revenue", "gross_profit"),
+    "asset_growth": _growth("total_assets"),
+    "revenue_growth": _growth("revenue"),
+    "book_value_per_share": Definition(("stockholders_equity", "shares_outstanding_sec"), lambda now, then: sc.divide(now("stockholders_equity"), now("shares_outstanding_sec")), unit="per share", grade="HYPOTHESIS_PROXY",
+        tests=lambda now, then: {"NON_POSITIVE_DENOMINATOR": now("shares_outstanding_sec") <= 0}),
+    "market_cap_sec_proxy": Definition(("shares_outstanding_sec",), lambda now, then: now("shares_outstanding_sec") * F.col("raw_close"), grade="HYPOTHESIS_PROXY", daily=True,
+        tests=lambda now, then: {"NON_POSITIVE_PRICE": F.coalesce(F.col("raw_close") <= 0, F.lit(True)), "NON_POSITIVE_INPUT": now("shares_outstanding_sec") <= 0}),
+    "enterprise_value_sec_proxy": Definition(("market_cap_sec_proxy", "total_debt", "cash_and_cash_equivalents"), lambda now, then: now("market_cap_sec_proxy") + now("total_debt") - now("cash_and_cash_equivalents"), grade="HYPOTHESIS_PROXY", daily=True),
+}
+_PAYLOAD = ("value", "unit", "semantic_grade", "sign_convention", "dimensions", "fiscal_year", "fiscal_period", "accounting_period_end")
+
+
+def _latest_inputs(versions: DataFrame, events: DataFrame, fields: tuple[str, ...], prior: tuple[str, ...]) -> DataFrame:
+    """For each event (security_id, at) a struct of each field's latest known version (NULL without one), a struct of its version
+    for the same date a fiscal year earlier (``then_``) and whether that year has any (``year_``)."""
+    grid = events.withColumn("field", F.explode(F.array(*map(F.lit, fields))))
+    keys = ["security_id", "field"]
+    rows = versions.where(F.col("field").isin(*fields))
+    found = as_of(rows, grid, keys, "available_at", ["period_end", "available_at", "source_id"], list(_PAYLOAD), session="at")
+    fact = F.struct("period_end", "source_id", *_PAYLOAD)
+    found = found.withColumn("now", F.when(F.col("source_id").isNotNull(), fact)).select("security_id", "at", "field", "now")
+    wide = found.groupBy("security_id", "at").agg(*(F.max(F.when(F.col("field") == f, F.col("now"))).alias(f) for f in fields))
+    if not prior:
+        return wide
+    # all versions of the year before that are known: a handful, as a year's figure is restated a few times
+    asked = found.where(F.col("field").isin(*prior) & F.col("now").isNotNull()).select("security_id", "field", (F.col("now.fiscal_year") - 1).alias("fiscal_year"), F.col("at").alias("__at"), F.lit(1).alias("__kind"), "now")
+    old = rows.where(F.col("field").isin(*prior)).select("security_id", "field", "fiscal_year", F.col("available_at").alias("__at"), F.lit(0).alias("__kind"), F.struct("available_at", "period_end", "source_id", *_PAYLOAD).alias("__old"))
+    known = F.collect_list("__old").over(Window.partitionBy("security_id", "field", "fiscal_year").orderBy("__at", "__kind").rowsBetween(Window.unboundedPreceding, 0))
+    both = asked.unionByName(old, allowMissingColumns=True).withColumn("known", known).where("__kind = 1")
+
+    def anchored(x: Column) -> Column:
+        period = F.col("now.fiscal_period").isNull() | x["fiscal_period"].isNull() | (F.upper("now.fiscal_period") == F.upper(x["fiscal_period"]))
+        day = (F.month(x["period_end"]) == F.month("now.period_end")) & (F.day(x["period_end"]) == F.day("now.period_end"))
+        return F.coalesce(period & day, F.lit(False))
+
+    told = both.select("security_id", F.col("__at").alias("at"), "field", F.array_max(F.filter("known", anchored)).alias("then"), (F.size("known") > 0).alias("any"))
+    then = told.groupBy("security_id", "at").agg(*(x for f in prior for x in (F.max(F.when(F.col("field") == f, F.col("then"))).alias(f"then_{f}"), F.coalesce(F.bool_or(F.when(F.col("field") == f, F.col("any"))), F.lit(False)).alias(f"year_{f}"))))
+    return wide.join(then, ["security_id", "at"], "left")
+
+
+def _ladder(name: str, d: Definition) -> Column:
+    """The first reason against a derived field, or NULL."""
+    def usable(field: str, fact: Column) -> list[tuple[str, Column]]:
+        grade, sign = F.upper(F.coalesce(fact["semantic_grade"], F.lit(""))), F.upper(F.coalesce(fact["sign_convention"], F.lit("")))
+        out = [("INPUT_SEMANTIC_GRADE_UNAPPROVED", ~grade.isin(*APPROVED_GRADES))]
+        if d.grade == "SOURCE_LINKED_DERIVED":
+            out.append(("INPUT_SEMANTIC_GRADE_INCOMPATIBLE", grade == "HYPOTHESIS_PROXY"))
+        return out + ([("INPUT_SIGN_CONVENTION_UNAPPROVED", sign != REQUIRED_SIGNS[field])] if field in REQUIRED_SIGNS else [])
+
+    def differ(values: list[Column]) -> Column:
+        return F.size(F.array_distinct(F.array_compact(F.array(*values)))) > 1
+
+    def currency(fact: Column) -> Column:
+        return F.when(~F.upper(F.coalesce(fact["unit"], F.lit(""))).isin(*NON_CURRENCY_UNITS), fact["unit"])
+
+    now, then = [F.col(i) for i in d.inputs], [F.col(f"then_{f}") for f in d.prior]
+    ends = [F.coalesce(x["accounting_period_end"], x["period_end"]) if i == "market_cap_sec_proxy" else x["period_end"] for i, x in zip(d.inputs, now, strict=True)]
+    price = [F.col("currency")] if d.daily else []
+    tests = [("PRICE_CURRENCY_MISSING", F.col("currency").isNull())] if name == "market_cap_sec_proxy" else []
+    for i, x in zip(d.inputs, now, strict=True):
+        tests += [("MISSING_INPUT", x["value"].isNull() | F.isnan(x["value"])), *usable(i, x)]
+    tests.append(("INPUT_PERIOD_MISMATCH", differ(ends)))
+    for facts in (now, now + then) if then else (now,):
+        if facts is not now:
+            for f, x in zip(d.prior, then, strict=True):
+                tests += [("PRIOR_FISCAL_YEAR_MISSING", ~F.coalesce(F.col(f"year_{f}"), F.lit(False))), ("PRIOR_FISCAL_ANCHOR_MISMATCH", x.isNull()), *usable(f, x)]
+        tests += [("INPUT_CONTEXT_MISMATCH", differ([F.coalesce(x["dimensions"], F.lit("")) for x in facts])), ("INPUT_CURRENCY_MISMATCH", differ([currency(x) for x in facts] + price))]
+    tests += list(d.tests(_value, lambda f: _value(f"then_{f}")).items())
+    tests.append(("NON_FINITE_RESULT", ~sc.is_finite(d.formula(_value, lambda f: _value(f"then_{f}")))))
+    return F.coalesce(*(F.when(holds, F.lit(reason)) for reason, holds in tests))
+
+
+def _value(field: str) -> Column:
+    """An input's value, made positive where its convention asks for it."""
+    value = F.col(f"{field}.value")
+    return F.when(F.upper(F.coalesce(F.col(f"{field}.sign_convention"), F.lit(""))).isin(*POSITIVE_CONVENTIONS), F.abs(value)).otherwise(value)
+
+
+def _row(name: str) -> Column:
+    """The struct of one derived field at an event of its kind, with value or reason."""
+    d = DEFINITIONS[name]
+    first = F.col(d.inputs[0])
+    money = [F.when(~F.upper(F.coalesce(F.col(f"{i}.unit"), F.lit(""))).isin(*NON_CURRENCY_UNITS), F.col(f"{i}.unit")) for i in d.inputs]
+    unit = F.lit("ratio") if d.unit == "ratio" else F.col("currency") if name == "market_cap_sec_proxy" else F.coalesce(*money, F.lit(""))
+    unit = F.concat(unit, F.lit("/share")) if d.unit == "per share" else unit
+    sources = F.sort_array(F.array_compact(F.array(*(F.col(f"{i}.source_id") for i in d.inputs), *(F.col(f"then_{f}.source_id") for f in d.prior))))
+    row = F.struct(
+        F.lit(name).alias("field"), _ladder(name, d).alias("reason"), d.formula(_value, lambda f: _value(f"then_{f}")).alias("value"), unit.alias("unit"), F.lit(d.grade).alias("semantic_grade"),
+        first["sign_convention"].alias("sign_convention"), first["dimensions"].alias("dimensions"), (F.year("at") if d.daily else first["fiscal_year"]).cast("int").alias("fiscal_year"),
+        (F.lit("DAILY") if d.daily else first["fiscal_period"]).alias("fiscal_period"), (F.col("at") if d.daily else first["period_end"]).alias("period_end"),
+        F.coalesce(first["accounting_period_end"], first["period_end"]).alias("accounting_period_end"), sources.alias("sources"))
+    return F.when(F.col("is_price") if d.daily else F.col("is_fact"), row)
+
+
+def _known(name: str) -> Column:
+    """A derived field as an input of others: the last of its values up to an event."""
+    made = F.col(f"made_{name}")
+    source = F.concat_ws("|", F.lit(name), made["sources"])
+    fact = F.struct(made["period_end"].alias("period_end"), F.col("at").alias("available_at"), source.alias("source_id"), *(made[c].alias(c) for c in _PAYLOAD))
+    upto = Window.partitionBy("security_id").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    return F.max(F.when(made.isNotNull() & made["reason"].isNull(), fact)).over(upto)
+
+
+def derive(versions: DataFrame, prices: DataFrame | None = None) -> DataFrame:
+    """All derived fields as rows (security_id, at, field, value, unit, reason, period_end, ...): a value or the first reason
+    against it, at every event.
+
+    ``versions``: security_id, field, value, unit, semantic_grade, sign_convention, dimensions, fiscal_year, fiscal_period,
+    period_end, available_at (a date), source_id, each field on the one basis that its definitions ask for. ``prices``:
+    security_id, at, raw_close, currency; the two proxies are made where there is one. Nothing is substituted: a missing input
+    is a reason. Fields made of other derived fields see those as versions known from the event that made them.
+    """
+    versions = versions.withColumn("accounting_period_end", F.col("period_end")) if "accounting_period_end" not in versions.columns else versions
+    facts = versions.select("security_id", F.col("available_at").alias("at")).distinct().withColumn("is_fact", F.lit(True))
+    if prices is None:
+        events = facts.withColumns({"is_price": F.lit(False), "raw_close": F.lit(None).cast("double"), "currency": F.lit(None).cast("string")})
+    else:
+        quoted = prices.where(F.col("raw_close").isNotNull()).select("security_id", "at", F.lit(True).alias("is_price"), F.col("raw_close").cast("double").alias("raw_close"), "currency")
+        events = facts.join(quoted, ["security_id", "at"], "full_outer").fillna(False, ["is_fact", "is_price"])
+    early = ("total_debt", "ebit", "market_cap_sec_proxy")  # inputs of others
+    inputs = tuple(sorted({i for d in DEFINITIONS.values() for i in d.inputs} - set(early)))
+    prior = tuple(sorted({f for d in DEFINITIONS.values() for f in d.prior}))
+    wide = _latest_inputs(versions, events.select("security_id", "at"), inputs, prior).join(events, ["security_id", "at"])
+    wide = wide.withColumns({f"made_{n}": _row(n) for n in early}).withColumns({n: _known(n) for n in early})
+    rows = F.array_compact(F.array(*(F.col(f"made_{n}") if n in early else _row(n) for n in DEFINITIONS)))
+    out = wide.select("security_id", "at", F.explode(rows).alias("r")).select("security_id", "at", "r.*")
+    out = out.withColumn("value", F.when(F.col("reason").isNull(), F.col("value")))
+    # the same inputs give a value once, at the first event that has them; a price is new at each
+    day = F.when(F.col("fiscal_period") == "DAILY", F.col("at"))
+    place = F.row_number().over(Window.partitionBy("security_id", "field", "sources", day, F.col("reason").isNull()).orderBy("at"))
+    return out.withColumn("__k", place).where("reason is not null or __k = 1").drop("__k")
 
 
 def yearly_growth(facts: DataFrame) -> DataFrame:

@@ -381,14 +381,14 @@ def dq_06(spark, sf_dir):
     return j.select("security_id", F.when(F.col("value").isNull(), "MISSING").when(F.abs(F.col("value") - F.col("expected")) <= 1e-6, "MATCH").otherwise("DIFFERENT").alias("status"))
 
 
-@query("dq_08_secret_scan", "SELECT 'text' AS check, count(*) FILTER (regexp_matches(text, '(?i)(api[_-]?key|secret|password|bearer)\\s*[:=]\\s*\\S{6,}')) AS failed_rows FROM documents")
+@query("dq_08_secret_scan", """SELECT 'text' AS check, count(*) FILTER (regexp_matches(text, '(?i)(?:api[_-]?key|secret|password|passwd|authorization|bearer|token)\\s*[:=]\\s*["'']?[^\\s,"'']{8,}')) AS failed_rows FROM documents""")
 def dq_08(spark, sf_dir):
     return dq.secret_like(read(spark, sf_dir, "documents").select("text"))
 
 
-@query("dq_11_fingerprint")
+@query("dq_11_fingerprint", """SELECT count(*) AS n_rows, sum(CAST('0x' || substr(md5(concat_ws(chr(31), coalesce(l_linenumber::VARCHAR, chr(30)), coalesce(l_orderkey::VARCHAR, chr(30)), coalesce(l_partkey::VARCHAR, chr(30)), coalesce(l_returnflag, chr(30)), coalesce(CAST(l_shipdate AS DATE)::VARCHAR, chr(30)), coalesce(l_suppkey::VARCHAR, chr(30)))), 1, 15) AS BIGINT))::VARCHAR AS fingerprint FROM lineitem""")
 def dq_11(spark, sf_dir):
-    return dq.fingerprint(panels.supplier_bars(spark, sf_dir))
+    return dq.fingerprint(read(spark, sf_dir, "lineitem").select("l_linenumber", "l_orderkey", "l_partkey", "l_returnflag", F.to_date("l_shipdate").alias("l_shipdate"), "l_suppkey"))
 
 
 @query("dq_12_replay_comparison", "SELECT o_orderkey, 'LEFT' AS side FROM orders WHERE o_orderkey % 10 = 0 UNION ALL SELECT o_orderkey + 100000000, 'RIGHT' FROM orders WHERE o_orderkey % 10 = 0")

@@ -65,24 +65,6 @@ def wn_11(spark, sf_dir):
     return derived.yearly_growth(annual).select("security_id", "fiscal_year", "reason", rounded(F.col("growth")).alias("growth"))
 
 
-_SQL_WIDE = f"""{SQL_VERSIONS}, cal AS (SELECT DISTINCT last_day(CAST(l_shipdate AS DATE)) AS session FROM lineitem WHERE l_shipdate < TIMESTAMP '1997-01-01'),
-g AS (SELECT security_id, session FROM (SELECT DISTINCT security_id FROM versions_l) CROSS JOIN cal),
-b AS (SELECT g.security_id, g.session, field, arg_max((period_end, value), (period_end, v.available_at, accession)) AS x FROM g JOIN versions_l v ON v.security_id = g.security_id AND v.available_at <= g.session GROUP BY 1, 2, 3),
-w AS (SELECT g.security_id, g.session, a.x[1] AS ap, a.x[2] AS av, n.x[1] AS np, n.x[2] AS nv FROM g LEFT JOIN b a ON a.security_id = g.security_id AND a.session = g.session AND a.field = 'A' LEFT JOIN b n ON n.security_id = g.security_id AND n.session = g.session AND n.field = 'N')"""
-
-
-def _wide(spark, sf_dir) -> DataFrame:
-    v = panels.versions(spark, sf_dir).withColumns({"unit": F.lit("usd"), "field": F.when(F.col("field") == "A", "assets").when(F.col("field") == "N", "net_income").otherwise("other")})
-    events = read(spark, sf_dir, "lineitem").where("l_shipdate < timestamp'1997-01-01'").select(F.last_day("l_shipdate").alias("session")).distinct()
-    return derived.wide_as_of(v, v.select("security_id").distinct().join(F.broadcast(events)), ("assets", "net_income"))
-
-
-@query("fd_07_08_derived_fields", f"""WITH {_SQL_WIDE} SELECT security_id, session, CASE WHEN av IS NULL OR nv IS NULL THEN 'MISSING_INPUT' WHEN ap <> np THEN 'INPUT_PERIOD_MISMATCH' WHEN av <= 0 THEN 'NON_POSITIVE_DENOMINATOR' END AS reason,
-round(CASE WHEN ap = np AND av > 0 THEN nv / av END, 6) + 0.0 AS value FROM w""")
-def fd_07(spark, sf_dir):
-    return derived.derive(_wide(spark, sf_dir), ("roa",)).select("security_id", "session", "reason", rounded(F.col("value")).alias("value"))
-
-
 @query("fd_01_02_availability", "SELECT o_orderkey, greatest(o_orderdate + INTERVAL 10 MINUTE, o_orderdate + to_days((o_orderkey % 3)::INT)) AS available_at FROM orders")
 def fd_01(spark, sf_dir):
     """The later of acceptance plus ten minutes and first sight."""
