@@ -55,7 +55,7 @@ DEBT = [version("short_term_debt", 5.0), version("long_term_debt_current", 7.0),
 CASH_FLOW = [version("operating_cash_flow", 9.0)]
 
 
-@pytest.mark.parametrize(("field", "rows", "reason", "value"), [
+DERIVED = [
     ("total_debt", DEBT, None, 13.0),
     ("total_debt", DEBT[:2], "MISSING_INPUT", None),
     ("total_debt", [*DEBT[:2], version("long_term_debt_noncurrent", -1.0)], "NEGATIVE_DEBT_INPUT", None),
@@ -75,11 +75,15 @@ CASH_FLOW = [version("operating_cash_flow", 9.0)]
     ("asset_growth", [version("total_assets", 30.0), version("total_assets", 10.0, 2023)], None, 2.0),
     ("ebitda", [version("net_income", 1.0), version("income_tax_expense", -2.0, sign="POSITIVE_EXPENSE"), version("interest_expense", 3.0), version("depreciation_and_amortization", 4.0)], None, 10.0),
     ("book_value_per_share", [version("stockholders_equity", 30.0), version("shares_outstanding_sec", 0.0, unit="shares")], "NON_POSITIVE_DENOMINATOR", None),
-])
-def test_derived_reasons(spark, field, rows, reason, value):
+]
+
+
+def test_derived_reasons(spark):
+    rows = [(str(k), *r[1:]) for k, (_, rs, *_) in enumerate(DERIVED) for r in rs]
     v = spark.createDataFrame(rows, FACTS).withColumns({c: F.to_date(c) for c in ("period_end", "available_at")})
-    r = derived.derive(v).where((F.col("field") == field) & (F.col("at") == "2025-03-01")).first()
-    assert r["reason"] == reason and r["value"] == (None if value is None else pytest.approx(value))
+    said = {(r["security_id"], r["field"]): (r["reason"], r["value"]) for r in derived.derive(v).where("at = date'2025-03-01'").collect()}
+    for k, (field, _, reason, value) in enumerate(DERIVED):
+        assert said[str(k), field] == (reason, None if value is None else pytest.approx(value)), (k, field)
 
 
 def test_price_proxies(spark):

@@ -79,14 +79,14 @@ def _latest_inputs(versions: DataFrame, events: DataFrame, fields: tuple[str, ..
     keys = ["security_id", "field"]
     rows = versions.where(F.col("field").isin(*fields))
     found = as_of(rows, grid, keys, "available_at", ["period_end", "available_at", "source_id"], list(_PAYLOAD), session="at")
-    fact = F.struct("period_end", "source_id", *_PAYLOAD)
+    fact = F.struct("period_end", "source_id", "field", *_PAYLOAD)
     found = found.withColumn("now", F.when(F.col("source_id").isNotNull(), fact)).select("security_id", "at", "field", "now")
     wide = found.groupBy("security_id", "at").agg(*(F.max(F.when(F.col("field") == f, F.col("now"))).alias(f) for f in fields))
     if not prior:
         return wide
     # all versions of the year before that are known: a handful, as a year's figure is restated a few times
     asked = found.where(F.col("field").isin(*prior) & F.col("now").isNotNull()).select("security_id", "field", (F.col("now.fiscal_year") - 1).alias("fiscal_year"), F.col("at").alias("__at"), F.lit(1).alias("__kind"), "now")
-    old = rows.where(F.col("field").isin(*prior)).select("security_id", "field", "fiscal_year", F.col("available_at").alias("__at"), F.lit(0).alias("__kind"), F.struct("available_at", "period_end", "source_id", *_PAYLOAD).alias("__old"))
+    old = rows.where(F.col("field").isin(*prior)).select("security_id", "field", "fiscal_year", F.col("available_at").alias("__at"), F.lit(0).alias("__kind"), F.struct("available_at", "period_end", "source_id", "field", *_PAYLOAD).alias("__old"))
     known = F.collect_list("__old").over(Window.partitionBy("security_id", "field", "fiscal_year").orderBy("__at", "__kind").rowsBetween(Window.unboundedPreceding, 0))
     both = asked.unionByName(old, allowMissingColumns=True).withColumn("known", known).where("__kind = 1")
 
@@ -95,72 +95,84 @@ def _latest_inputs(versions: DataFrame, events: DataFrame, fields: tuple[str, ..
         day = (F.month(x["period_end"]) == F.month("now.period_end")) & (F.day(x["period_end"]) == F.day("now.period_end"))
         return F.coalesce(period & day, F.lit(False))
 
-    told = both.select("security_id", F.col("__at").alias("at"), "field", F.array_max(F.filter("known", anchored)).alias("then"), (F.size("known") > 0).alias("any"))
+    told = both.select("security_id", F.col("__at").alias("at"), "field", F.array_max(F.filter("known", anchored)).dropFields("available_at").alias("then"), (F.size("known") > 0).alias("any"))
     then = told.groupBy("security_id", "at").agg(*(x for f in prior for x in (F.max(F.when(F.col("field") == f, F.col("then"))).alias(f"then_{f}"), F.coalesce(F.bool_or(F.when(F.col("field") == f, F.col("any"))), F.lit(False)).alias(f"year_{f}"))))
     return wide.join(then, ["security_id", "at"], "left")
 
 
-def _ladder(name: str, d: Definition) -> Column:
-    """The first reason against a derived field, or NULL."""
-    def usable(field: str, fact: Column) -> list[tuple[str, Column]]:
-        grade, sign = F.upper(F.coalesce(fact["semantic_grade"], F.lit(""))), F.upper(F.coalesce(fact["sign_convention"], F.lit("")))
-        out = [("INPUT_SEMANTIC_GRADE_UNAPPROVED", ~grade.isin(*APPROVED_GRADES))]
-        if d.grade == "SOURCE_LINKED_DERIVED":
-            out.append(("INPUT_SEMANTIC_GRADE_INCOMPATIBLE", grade == "HYPOTHESIS_PROXY"))
-        return out + ([("INPUT_SIGN_CONVENTION_UNAPPROVED", sign != REQUIRED_SIGNS[field])] if field in REQUIRED_SIGNS else [])
-
-    def differ(values: list[Column]) -> Column:
-        return F.size(F.array_distinct(F.array_compact(F.array(*values)))) > 1
-
-    def currency(fact: Column) -> Column:
-        return F.when(~F.upper(F.coalesce(fact["unit"], F.lit(""))).isin(*NON_CURRENCY_UNITS), fact["unit"])
-
-    now, then = [F.col(i) for i in d.inputs], [F.col(f"then_{f}") for f in d.prior]
-    ends = [F.coalesce(x["accounting_period_end"], x["period_end"]) if i == "market_cap_sec_proxy" else x["period_end"] for i, x in zip(d.inputs, now, strict=True)]
-    price = [F.col("currency")] if d.daily else []
-    tests = [("PRICE_CURRENCY_MISSING", F.col("currency").isNull())] if name == "market_cap_sec_proxy" else []
-    for i, x in zip(d.inputs, now, strict=True):
-        tests += [("MISSING_INPUT", x["value"].isNull() | F.isnan(x["value"])), *usable(i, x)]
-    tests.append(("INPUT_PERIOD_MISMATCH", differ(ends)))
-    for facts in (now, now + then) if then else (now,):
-        if facts is not now:
-            for f, x in zip(d.prior, then, strict=True):
-                tests += [("PRIOR_FISCAL_YEAR_MISSING", ~F.coalesce(F.col(f"year_{f}"), F.lit(False))), ("PRIOR_FISCAL_ANCHOR_MISMATCH", x.isNull()), *usable(f, x)]
-        tests += [("INPUT_CONTEXT_MISMATCH", differ([F.coalesce(x["dimensions"], F.lit("")) for x in facts])), ("INPUT_CURRENCY_MISMATCH", differ([currency(x) for x in facts] + price))]
-    tests += list(d.tests(_value, lambda f: _value(f"then_{f}")).items())
-    tests.append(("NON_FINITE_RESULT", ~sc.is_finite(d.formula(_value, lambda f: _value(f"then_{f}")))))
-    return F.coalesce(*(F.when(holds, F.lit(reason)) for reason, holds in tests))
-
-
-def _value(field: str) -> Column:
-    """An input's value, made positive where its convention asks for it."""
-    value = F.col(f"{field}.value")
-    return F.when(F.upper(F.coalesce(F.col(f"{field}.sign_convention"), F.lit(""))).isin(*POSITIVE_CONVENTIONS), F.abs(value)).otherwise(value)
-
-
-def _row(name: str) -> Column:
-    """The struct of one derived field at an event of its kind, with value or reason."""
-    d = DEFINITIONS[name]
-    first = F.col(d.inputs[0])
-    money = [F.when(~F.upper(F.coalesce(F.col(f"{i}.unit"), F.lit(""))).isin(*NON_CURRENCY_UNITS), F.col(f"{i}.unit")) for i in d.inputs]
-    unit = F.lit("ratio") if d.unit == "ratio" else F.col("currency") if name == "market_cap_sec_proxy" else F.coalesce(*money, F.lit(""))
-    unit = F.concat(unit, F.lit("/share")) if d.unit == "per share" else unit
-    sources = F.sort_array(F.array_compact(F.array(*(F.col(f"{i}.source_id") for i in d.inputs), *(F.col(f"then_{f}.source_id") for f in d.prior))))
-    row = F.struct(
-        F.lit(name).alias("field"), _ladder(name, d).alias("reason"), d.formula(_value, lambda f: _value(f"then_{f}")).alias("value"), unit.alias("unit"), F.lit(d.grade).alias("semantic_grade"),
-        first["sign_convention"].alias("sign_convention"), first["dimensions"].alias("dimensions"), (F.year("at") if d.daily else first["fiscal_year"]).cast("int").alias("fiscal_year"),
-        (F.lit("DAILY") if d.daily else first["fiscal_period"]).alias("fiscal_period"), (F.col("at") if d.daily else first["period_end"]).alias("period_end"),
-        F.coalesce(first["accounting_period_end"], first["period_end"]).alias("accounting_period_end"), sources.alias("sources"))
-    return F.when(F.col("is_price") if d.daily else F.col("is_fact"), row)
-
+def _reason() -> Column:
+    """The first reason against a derived field, or NULL, from the columns field, grade, daily, now, then, years, x and y of ``_judged``.
 
-def _known(name: str) -> Column:
-    """A derived field as an input of others: the last of its values up to an event."""
-    made = F.col(f"made_{name}")
-    source = F.concat_ws("|", F.lit(name), made["sources"])
-    fact = F.struct(made["period_end"].alias("period_end"), F.col("at").alias("available_at"), source.alias("source_id"), *(made[c].alias(c) for c in _PAYLOAD))
-    upto = Window.partitionBy("security_id").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
-    return F.max(F.when(made.isNotNull() & made["reason"].isNull(), fact)).over(upto)
+    Each input in order is there, of an approved grade and sign; then ends of periods, contexts and currencies agree, the year
+    before is there and agrees too, and the field's own tests hold.
+    """
+    def usable(x: Column) -> Column:
+        grade, sign = F.upper(F.coalesce(x["semantic_grade"], F.lit(""))), F.upper(F.coalesce(x["sign_convention"], F.lit("")))
+        out = F.when(~grade.isin(*APPROVED_GRADES), "INPUT_SEMANTIC_GRADE_UNAPPROVED").when((F.col("grade") == "SOURCE_LINKED_DERIVED") & (grade == "HYPOTHESIS_PROXY"), "INPUT_SEMANTIC_GRADE_INCOMPATIBLE")
+        for name, needed in REQUIRED_SIGNS.items():
+            out = out.when((x["field"] == name) & (sign != needed), "INPUT_SIGN_CONVENTION_UNAPPROVED")
+        return out
+
+    def first(reasons: Column) -> Column:
+        return F.get(F.filter(reasons, lambda r: r.isNotNull()), 0)
+
+    def differ(values: Column) -> Column:
+        return F.size(F.array_distinct(F.filter(values, lambda v: v.isNotNull()))) > 1
+
+    def agree(facts: Column) -> Column:
+        money = F.transform(facts, lambda x: F.when(~F.upper(F.coalesce(x["unit"], F.lit(""))).isin(*NON_CURRENCY_UNITS), x["unit"]))
+        money = F.array_append(money, F.when(F.col("daily"), F.col("currency")))
+        return F.when(differ(F.transform(facts, lambda x: F.coalesce(x["dimensions"], F.lit("")))), "INPUT_CONTEXT_MISMATCH").when(differ(money), "INPUT_CURRENCY_MISMATCH")
+
+    now, then = F.col("now"), F.col("then")
+    ends = F.transform(now, lambda x: F.when(x["field"] == "market_cap_sec_proxy", x["accounting_period_end"]).otherwise(x["period_end"]))
+    return F.coalesce(
+        F.when((F.col("field") == "market_cap_sec_proxy") & F.col("currency").isNull(), "PRICE_CURRENCY_MISSING"),
+        first(F.transform(now, lambda x: F.when(x["value"].isNull() | F.isnan(x["value"]), "MISSING_INPUT").otherwise(usable(x)))),
+        F.when(differ(ends), "INPUT_PERIOD_MISMATCH"), agree(now),
+        first(F.zip_with("years", then, lambda year, x: F.when(~F.coalesce(year, F.lit(False)), "PRIOR_FISCAL_YEAR_MISSING").when(x["field"].isNull(), "PRIOR_FISCAL_ANCHOR_MISMATCH").otherwise(usable(x)))),
+        F.when(F.size(then) > 0, agree(F.concat(now, then))))
+
+
+def _positive(facts: Column) -> Column:
+    """Values of inputs, made positive where their convention asks for it."""
+    return F.transform(facts, lambda x: F.when(F.upper(F.coalesce(x["sign_convention"], F.lit(""))).isin(*POSITIVE_CONVENTIONS), F.abs(x["value"])).otherwise(x["value"]))
+
+
+def _judged(wide: DataFrame, names: tuple[str, ...]) -> DataFrame:
+    """Rows (security_id, at, field, value, reason, unit, ...) of the named fields at each event of their kind."""
+    def asked(name: str) -> Column:
+        d = DEFINITIONS[name]
+        then, years = ([F.col(f"{k}_{f}") for f in d.prior] for k in ("then", "year"))
+        none = F.filter(F.array(F.col(d.inputs[0])), lambda x: F.lit(False))
+        row = F.struct(
+            F.lit(name).alias("field"), F.lit(d.grade).alias("grade"), F.lit(d.daily).alias("daily"), F.array(*(F.col(i) for i in d.inputs)).alias("now"),
+            (F.array(*then) if then else none).alias("then"), F.array(*years).cast("array<boolean>").alias("years"))
+        return F.when(F.col("is_price") if d.daily else F.col("is_fact"), row)
+
+    rows = wide.select("security_id", "at", "raw_close", "currency", F.explode(F.array_compact(F.array(*map(asked, names)))).alias("r")).select("security_id", "at", "raw_close", "currency", "r.*")
+    rows = rows.withColumns({"reason": _reason(), "x": _positive(F.col("now")), "y": _positive(F.col("then"))})
+    value, own = F.lit(None).cast("double"), F.lit(None).cast("string")
+    for name in names:
+        d = DEFINITIONS[name]
+        now = lambda f, d=d: F.get("x", F.lit(d.inputs.index(f)))
+        then = lambda f, d=d: F.get("y", F.lit(d.prior.index(f)))
+        is_it = F.col("field") == name
+        value = F.when(is_it, d.formula(now, then)).otherwise(value)
+        for reason, holds in d.tests(now, then).items():
+            own = F.when(is_it & holds, reason).otherwise(own)
+    first = F.get("now", F.lit(0))
+    money = F.get(F.filter(F.transform("now", lambda x: F.when(~F.upper(F.coalesce(x["unit"], F.lit(""))).isin(*NON_CURRENCY_UNITS), x["unit"])), lambda u: u.isNotNull()), F.lit(0))
+    ratios, shares = ([n for n in names if DEFINITIONS[n].unit == u] for u in ("ratio", "per share"))
+    unit = F.when(F.col("field").isin(*ratios), "ratio").when(F.col("field") == "market_cap_sec_proxy", F.col("currency")).when(F.col("field").isin(*shares), F.concat(money, F.lit("/share"))).otherwise(F.coalesce(money, F.lit("")))
+    rows = rows.withColumns({"value": value, "own": own})
+    reason = F.coalesce("reason", "own", F.when(~sc.is_finite(F.col("value")), "NON_FINITE_RESULT"))
+    sources = F.sort_array(F.array_compact(F.transform(F.concat("now", "then"), lambda x: x["source_id"])))
+    return rows.select(
+        "security_id", "at", "field", reason.alias("reason"), F.when(reason.isNull(), F.col("value")).alias("value"), unit.alias("unit"), F.col("grade").alias("semantic_grade"),
+        first["sign_convention"].alias("sign_convention"), first["dimensions"].alias("dimensions"), F.when(F.col("daily"), F.year("at")).otherwise(first["fiscal_year"]).cast("int").alias("fiscal_year"),
+        F.when(F.col("daily"), "DAILY").otherwise(first["fiscal_period"]).alias("fiscal_period"), F.when(F.col("daily"), F.col("at")).otherwise(first["period_end"]).alias("period_end"),
+        F.coalesce(first["accounting_period_end"], first["period_end"]).alias("accounting_period_end"), sources.alias("sources"))
 
 
 def derive(versions: DataFrame, prices: DataFrame | None = None) -> DataFrame:
@@ -183,10 +195,20 @@ def derive(versions: DataFrame, prices: DataFrame | None = None) -> DataFrame:
     inputs = tuple(sorted({i for d in DEFINITIONS.values() for i in d.inputs} - set(early)))
     prior = tuple(sorted({f for d in DEFINITIONS.values() for f in d.prior}))
     wide = _latest_inputs(versions, events.select("security_id", "at"), inputs, prior).join(events, ["security_id", "at"])
-    wide = wide.withColumns({f"made_{n}": _row(n) for n in early}).withColumns({n: _known(n) for n in early})
-    rows = F.array_compact(F.array(*(F.col(f"made_{n}") if n in early else _row(n) for n in DEFINITIONS)))
-    out = wide.select("security_id", "at", F.explode(rows).alias("r")).select("security_id", "at", "r.*")
-    out = out.withColumn("value", F.when(F.col("reason").isNull(), F.col("value")))
+    # their rows go along with the event, so that what others see of them is a running maximum over the security's events
+    made = F.collect_list(F.struct("field", "reason", "value", "unit", "semantic_grade", "sign_convention", "dimensions", "fiscal_year", "fiscal_period", "period_end", "accounting_period_end", "sources")).alias("made")
+    first = _judged(wide, early).groupBy("security_id", "at").agg(made)
+    wide = wide.join(first, ["security_id", "at"], "left")
+    upto = Window.partitionBy("security_id").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+
+    def known(name: str) -> Column:
+        one = F.get(F.filter("made", lambda r: (r["field"] == name) & r["reason"].isNull()), 0)
+        fact = F.struct(one["period_end"].alias("period_end"), F.col("at").alias("available_at"), F.concat_ws("|", F.lit(name), one["sources"]).alias("source_id"), F.lit(name).alias("field"), *(one[c].alias(c) for c in _PAYLOAD))
+        return F.max(F.when(one.isNotNull(), fact)).over(upto).dropFields("available_at")
+
+    wide = wide.withColumns({n: known(n) for n in early})
+    rest = _judged(wide, tuple(n for n in DEFINITIONS if n not in early))
+    out = wide.select("security_id", "at", F.explode("made").alias("r")).select("security_id", "at", "r.*").unionByName(rest)
     # the same inputs give a value once, at the first event that has them; a price is new at each
     day = F.when(F.col("fiscal_period") == "DAILY", F.col("at"))
     place = F.row_number().over(Window.partitionBy("security_id", "field", "sources", day, F.col("reason").isNull()).orderBy("at"))
