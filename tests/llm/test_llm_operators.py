@@ -199,7 +199,10 @@ def test_top_k_against_all(spark):
     rows = [(i, rng.integers(-9, 9, 6).astype(float).tolist()) for i in range(700)]
     rows += [(i, [1.0, 2.0, 3.0, 4.0, 5.0, 6.0]) for i in range(700, 1000)] + [(1000, None), (1001, [float("nan")] * 6), (1002, [1.0, None, 1.0, 1.0, 1.0, 1.0]), (1003, [float("inf")] * 6), (None, [1.0] * 6), (1004, [1.0, 2.0]), (5, rows[5][1])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("id", F.lit("a")).withColumn("shard", F.lit(1))
+    rows += [(2000 + i, rng.integers(-9, 9, 3).astype(float).tolist()) for i in range(40)] + [(3000, [2.0**40] * 6)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("id", F.lit("a")).withColumn("shard", F.lit(1)).withColumn("cell", F.lit("c"))
     got = topk_search.top_k(df, F.col("id") % 50 == 0, k=10, shard_rows=100, block_queries=7).collect()
+    assert {r["query_id"] for r in got if r["query_id"] >= 2000} == {2000} and all(r["vec_id"] >= 2000 for r in got if r["query_id"] == 2000)
     plain = {i: np.floor(1024 * np.array(v)).astype(np.int64) for i, v in rows[:1000]}
     ids = np.array(list(plain))
     matrix = np.array(list(plain.values()))
