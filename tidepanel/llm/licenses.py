@@ -2,8 +2,7 @@
 
 Texts become lower-case words with single spaces. A rule is a regular expression over that form, gated by a keyword that
 must stand in it; every expression is a literal, so it is compiled once for each task. Detections are intervals. Read from the
-left, of two that overlap the longer one stays, and of equal lengths the one whose rule comes first; so one that lies within
-another is suppressed. The base phrases are always reported. Each text is worked on in its own row: nothing is shuffled.
+left, one that lies within another is suppressed, and of two that overlap otherwise the one whose rule comes first stays. The base phrases are always reported. Each text is worked on in its own row: nothing is shuffled.
 """
 
 from __future__ import annotations
@@ -309,8 +308,7 @@ def _kept(hits: Column) -> Column:
 
     def step(state: Column, hit: Column) -> Column:
         now = state["current"]
-        size, own = now["end"] - now["start"], hit["end"] - hit["start"]
-        better = (own > size) | ((own == size) & (hit["priority"] < now["priority"]))
+        better = (hit["end"] > now["end"]) & (hit["priority"] < now["priority"])
         # the space at the end of one may begin the next
         apart = hit["start"] >= now["end"] - 1
         return (
@@ -395,7 +393,7 @@ y AS (SELECT doc_id, priority, label, confidence, list_sum(list_transform(p[1:i
   FROM x, unnest(range(2, len(p) + 1)) AS u(i)),
 z AS (SELECT doc_id, list({{'s': b, 'e': b + k, 'r': priority, 'l': label, 'c': confidence, 'd': []::VARCHAR[], 'm': 0.0::DOUBLE}} ORDER BY b, b + k DESC, priority) AS h FROM y GROUP BY 1),
 w AS (SELECT doc_id, list_reduce(h, lambda a, x: CASE WHEN x.s >= a.e - 1 THEN {{'s': x.s, 'e': x.e, 'r': x.r, 'l': x.l, 'c': x.c, 'd': list_append(a.d, a.l), 'm': greatest(a.m, a.c)}}
-  WHEN x.e - x.s > a.e - a.s OR (x.e - x.s = a.e - a.s AND x.r < a.r) THEN {{'s': x.s, 'e': x.e, 'r': x.r, 'l': x.l, 'c': x.c, 'd': a.d, 'm': a.m}} ELSE a END) AS f FROM z),
+  WHEN x.e > a.e AND x.r < a.r THEN {{'s': x.s, 'e': x.e, 'r': x.r, 'l': x.l, 'c': x.c, 'd': a.d, 'm': a.m}} ELSE a END) AS f FROM z),
 more AS (SELECT doc_id, list_append(f.d, f.l) AS labels, greatest(f.m, f.c) AS best FROM w),
 p AS ({base}),
 q AS (SELECT doc_id, label, len(p) - 1 AS n, (length(p[1]) - length(replace(p[1], ' ', ''))) // 2 AS f,
