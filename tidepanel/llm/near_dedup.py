@@ -17,6 +17,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,7 +35,9 @@ _EMPTY = np.uint16(0xFFFF)
 #: Buckets of up to so many classes compare all that are apart; larger ones by their rarest shingles.
 NARROW = 32
 #: Slots that count how common shingles are.
-SLOT_BITS = 20
+SLOT_BITS, SLOT_BLOCKS = 20, 256
+#: Texts that share a token are compared in blocks of about so many.
+TOKEN_BLOCK = 1024
 
 
 def _register(least: np.ndarray) -> np.ndarray:
@@ -98,9 +101,8 @@ def _sketched(words: int):
                 n, one, two, small, large, keys, ends = [], [], [], [], [], [], [0]
                 for hashes in shingle_sets(batch.column("text"), words):
                     n.append(len(hashes))
-                    # two sums of mixed hashes name the set
-                    one.append(int(mix(hashes + np.uint64(11)).sum(dtype=np.uint64).view(np.int64)))
-                    two.append(int(mix(hashes ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64).view(np.int64)))
+                    for names, x in zip((one, two), _names(hashes), strict=True):
+                        names.append(x)
                     own, kept = [], [None, None]
                     if len(hashes):
                         for kind, fits in ((True, len(hashes) <= SMALL_MOST), (False, len(hashes) > SMALL_SURE)):
@@ -147,11 +149,21 @@ def _likely(least: float):
     return run
 
 
+def _names(hashes: np.ndarray) -> tuple[int, int]:
+    """Two sums of mixed hashes, which name a set."""
+    return int(mix(hashes + np.uint64(11)).sum(dtype=np.uint64).view(np.int64)), int(mix(hashes ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64).view(np.int64))
+
+
 def _hash_sets(words: int):
+    """The sets of texts that have the names s1 and s2; other texts of the same id are left out."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [x.tobytes() for x in shingle_sets(batch.column("text"), words)]
-            yield pa.RecordBatch.from_arrays([batch.column("id").cast(pa.int64()), pa.array(sets, pa.binary())], ["id", "hashes"])
+        with np.errstate(over="ignore"):
+            for batch in batches:
+                asked = zip(batch.column("s1").to_pylist(), batch.column("s2").to_pylist(), strict=True)
+                sets = [x.tobytes() if _names(x) == name else None for x, name in zip(shingle_sets(batch.column("text"), words), asked, strict=True)]
+                out = pa.RecordBatch.from_arrays([batch.column("id").cast(pa.int64()), pa.array(sets, pa.binary())], ["id", "hashes"])
+                yield out.filter(out.column("hashes").is_valid())
 
     return run
 
@@ -191,13 +203,19 @@ def _slots(tokens: np.ndarray) -> np.ndarray:
 
 
 def _slot_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """How many shingles of a task's sets fall into each slot of the hash range."""
+    """How many shingles of a task's sets fall into each slot of the hash range, in blocks of slots."""
     total = np.zeros(1 << SLOT_BITS, np.int64)
     for batch in batches:
         for x in batch.column("hashes"):
             np.add.at(total, _slots(np.frombuffer(x.as_buffer(), np.int64)), 1)
-    at = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], ["slot", "n"])
+    blocks = total.reshape(SLOT_BLOCKS, -1)
+    yield pa.RecordBatch.from_arrays([pa.array(range(SLOT_BLOCKS), pa.int32()), pa.array([b.tobytes() for b in blocks], pa.binary())], ["block", "counts"])
+
+
+def _added(frame: pd.DataFrame) -> pd.DataFrame:
+    """One block's counts over all tasks, of which there is one for each core."""
+    total = sum(np.frombuffer(x, np.int64) for x in frame["counts"])
+    return pd.DataFrame({"block": frame["block"].iloc[:1], "counts": [total.tobytes()]})
 
 
 def _early(percent: int, counts):
@@ -231,16 +249,33 @@ def _by_rarest(pool: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """
     held = staged(sets.join(pool, "id").select("id", "label", "hashes"), "held")
     # one partial table of counts for each core rather than for each task
-    told = held.select("hashes").coalesce(pool.sparkSession.sparkContext.defaultParallelism).mapInArrow(_slot_counts, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
-    counts = np.zeros(1 << SLOT_BITS, np.int64)
-    counts[told.column("slot").to_numpy()] = told.column("n").to_numpy()
+    told = held.select("hashes").coalesce(pool.sparkSession.sparkContext.defaultParallelism).mapInArrow(_slot_counts, "block int, counts binary")
+    blocks = sorted((r["block"], bytes(r["counts"])) for r in told.groupBy("block").applyInPandas(_added, "block int, counts binary").collect())
+    counts = np.frombuffer(b"".join(c for _, c in blocks), np.int64) if blocks else np.zeros(1 << SLOT_BITS, np.int64)
     sent = pool.sparkSession.sparkContext.broadcast(counts)
     early = staged(held.mapInArrow(_early(percent, sent), "token long, id long, label long, n long, place long"), "early")
-    a, b = (early.select("token", F.col("id").alias(s), F.col("label").alias(f"l{s}"), F.col("n").alias(f"n{s}"), F.col("place").alias(f"p{s}")) for s in "ab")
+    # A token that many texts share is cut into blocks of texts, and each pair of blocks is a key of its own; before that, sizes
+    # cut it: linked sets are of the same step of size or of neighbouring ones.
+    step = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / percent)) + 1e-9)
+    hot = early.groupBy("token").agg(F.ceil(F.count("*") / TOKEN_BLOCK).alias("blocks")).where("blocks > 1")
+    early = early.join(hot, "token", "left").withColumns({"step": step, "blocks": F.coalesce("blocks", F.lit(1))}).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")))
+    # of blocks (i, j) with i <= j, a text of block i is on side a, one of block j on side b; within a block on both
+    def side(s: str, first: bool) -> DataFrame:
+        others = F.sequence(F.col("own"), F.col("blocks") - 1) if first else F.sequence(F.lit(0).cast("long"), F.col("own"))
+        key = F.struct(F.col("own").alias("i"), F.col("other").alias("j")) if first else F.struct(F.col("other").alias("i"), F.col("own").alias("j"))
+        rows = early.withColumn("other", F.explode(others)).withColumn("pair", key)
+        if not first:
+            rows = rows.withColumn("step", F.explode(F.sequence(F.col("step") - 1, F.col("step") + 1)))
+        return rows.select("token", "step", "pair", F.col("id").alias(s), F.col("label").alias(f"l{s}"), F.col("n").alias(f"n{s}"), F.col("place").alias(f"p{s}"))
+
+    a, b = side("a", True), side("b", False)
     most = 1 + F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))
     # 100 * o >= percent * (n + m - o)
     room = (100 + percent) * most >= percent * (F.col("na") + F.col("nb"))
-    return a.join(b, "token").where("a < b and la != lb").where(room).select("a", "b").distinct()
+    # within one block both orders meet, between two only one
+    once = (F.col("pair.i") != F.col("pair.j")) | (F.col("a") < F.col("b"))
+    found = a.join(b, ["token", "step", "pair"]).where("la != lb").where(once & room)
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 75, slack: float = 0.23) -> DataFrame:
@@ -251,14 +286,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     smallest id that links reach; ``kept`` marks that document. ``slack`` is how far a sketch's estimate may fall short of
     the threshold before the exact check (0.23 is six standard deviations).
 
-    Null and empty texts, and texts without words, have empty sets and stand alone. Rows without an id take no part: their
-    component is null and they are kept. Rows that repeat an id are each returned; ids should name one text.
+    Null and empty texts, and texts without words, have empty sets and stand alone. Very long texts are hashed whole. Rows
+    without an id take no part: their component is null and they are kept. Rows that repeat an id are each returned; if their
+    texts differ they are one document, whose links are those of one of its texts, the same at every run. An empty table gives
+    no rows; other columns are not read, so their names can't clash.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     sketches = staged(docs.mapInArrow(_sketched(words), _SKETCH), "sketches")
     named = sketches.where("n > 0 and id is not null")
     equal = staged(named.groupBy("s1", "s2").agg(F.min("id").alias("rep")), "classes")
-    classes = staged(named.join(equal.select(F.col("rep").alias("id"), "s1", "s2"), ["id", "s1", "s2"], "left_semi").dropDuplicates(["id"]).drop("s1", "s2"), "class-sketches")
+    # an id that repeats with different texts is one document, compared by the text whose name is least
+    one = equal.groupBy(F.col("rep").alias("id")).agg(F.min(F.struct("s1", "s2")).alias("name")).select("id", "name.*")
+    classes = staged(named.join(one, ["id", "s1", "s2"], "left_semi").dropDuplicates(["id"]), "class-sketches")
 
     spread = classes.select("id", F.explode("keys").alias("key"))
     shared = spread.groupBy("key").agg(F.min("id").alias("least"), F.count("*").alias("size")).where("size > 1")
@@ -268,8 +307,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     first = _estimated(stars, classes, least).groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
     first = staged(first, "first")
     # full sets of all that share a bucket
-    named = buckets.select("id").distinct()
-    sets = staged(docs.join(named.hint("shuffle_hash"), "id", "left_semi").mapInArrow(_hash_sets(words), "id long, hashes binary").dropDuplicates(["id"]), "sets")
+    named = classes.select("id", "s1", "s2").join(buckets.select("id").distinct(), "id", "left_semi")
+    sets = staged(docs.join(named.hint("shuffle_hash"), "id").mapInArrow(_hash_sets(words), "id long, hashes binary").dropDuplicates(["id"]), "sets")
     links = staged(_linked(first, sets, percent), "links")
     joined = staged(connected_components(links), "joined")
 
@@ -284,10 +323,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     found = staged(connected_components(links.unionByName(_linked(rest, sets, percent))), "components")
 
     groups = equal.join(found, equal.rep == found.id, "left").select("s1", "s2", F.coalesce("component", "rep").alias("component"))
-    out = sketches.select("id", "n", "s1", "s2").join(groups, ["s1", "s2"], "left")
-    component = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id"))
-    component = F.when(F.col("id").isNotNull(), component)
-    return out.select("id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
+    rows = sketches.select("id", "n", "s1", "s2")
+    alone = rows.where("n = 0 or id is null").select("id", "n", F.col("id").alias("component"))
+    out = rows.where("n > 0 and id is not null").join(groups, ["s1", "s2"], "left").select("id", "n", "component").unionByName(alone)
+    return out.select("id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.coalesce(F.col("id") == F.col("component"), F.lit(True)).alias("kept"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
@@ -297,6 +336,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
 
 
 def op1_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contract's columns for every document; nulls, empty and long texts, ties and repeats as in ``near_duplicates``."""
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", "kept")
 
