@@ -1,6 +1,6 @@
 """Document fingerprints by winnowing, in DataFrame functions only.
 
-Words (cut at spaces and tabs to carriage returns, lower-cased) are hashed to numbers below the prime 2**31 - 1; a k-gram's
+Words (cut at spaces and tabs to carriage returns, lower-cased; the characters of runs of over 64 of them) are hashed to numbers below the prime 2**31 - 1; a k-gram's
 hash is their polynomial in ``BASE`` modulo the prime, the value a rolling hash takes there. Of each window of ``w``
 successive k-grams the least hash is chosen, the rightmost on ties, and kept with its place. Two texts that share
 ``w + k - 1`` words in a row therefore share a chosen hash.
@@ -15,6 +15,8 @@ from tidepanel.llm.common import SPACE_CLASS, staged, table
 
 PRIME, BASE = (1 << 31) - 1, 1_000_003
 K_WORDS, WINDOW = 5, 8
+#: A longer run without spaces (a script without them, an encoded block) counts as words of one character each.
+MOST_LETTERS = 64
 #: A chosen k-gram is one number: its hash above 32 bits that fall as its place grows, so that the least is the rightmost.
 _PLACES = (1 << 32) - 1
 
@@ -25,7 +27,10 @@ def chosen(text: Column, k: int = K_WORDS, window: int = WINDOW) -> Column:
     Null and empty texts, and texts without words, have none; with fewer words than k, the whole sequence is one k-gram;
     with fewer k-grams than a window, all are one window.
     """
-    words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), f"{SPACE_CLASS}+"), lambda w: w != "")
+    lowered = F.lower(F.coalesce(text, F.lit("")))
+    words = F.filter(F.split(lowered, f"{SPACE_CLASS}+"), lambda w: w != "")
+    cut = F.flatten(F.transform(words, lambda w: F.when(F.length(w) > MOST_LETTERS, F.split(w, "")).otherwise(F.array(w))))
+    words = F.when(lowered.rlike(f"[^{SPACE_CLASS[1:-1]}]{{{MOST_LETTERS + 1}}}"), cut).otherwise(words)
     hashes = F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(PRIME)))
     # each expression is bound once, by a lambda over an array of one
     return F.flatten(F.transform(F.array(hashes), lambda h: _grams(h, k, window)))
@@ -101,7 +106,8 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     The edited text has the last quarter of the code points replaced by the first as many (or all) of the next document by
     id; after the last id comes the first. Rows without an id are followed by nothing: an empty text. Where rows repeat an
-    id, the one whose text sorts first stands for it as a next document.
+    id, the one whose text's beginning sorts first stands for it as a next document. Null texts are empty texts, which are
+    alike; very long ones are taken whole. An empty table gives no rows; other columns are not read.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     order = _neighbours(rows.where("id is not null").select("id", F.length("text").alias("n")))
@@ -122,4 +128,5 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def op7_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contract's columns for every document; nulls, long texts, ties and repeats as in ``edited_fingerprints``."""
     return edited_fingerprints(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
