@@ -31,7 +31,8 @@ _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-_URL = re.compile(r"(?:https?|ftp)://[A-Za-z0-9][A-Za-z0-9._~:/?#@!$&*+,;=%-]*")
+#: A URL does not end with a mark that ends a sentence.
+_URL = re.compile(r"(?:https?|ftp)://[A-Za-z0-9](?:[A-Za-z0-9._~:/?#@!$&*+,;=%-]*[A-Za-z0-9_~/#@$&*+=%-])?")
 #: What stands between a cue and its identifier: marks, and words such as ``number`` or ``No.``.
 _LEAD = re.compile(r"(?:[ \t:#.=-]{0,3}(?:number|num|no|nr|code|id|is)\b){0,3}[ \t:#.=-]{1,3}", re.IGNORECASE)
 _NUMBER = re.compile(r"[0-9][0-9-]{4,}[0-9][A-Za-z0-9]*")
@@ -185,7 +186,9 @@ def _scan(redacting: bool):
 def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (id, spans), one for each row of ``docs``; spans are structs (kind, start, end) by start, then kind.
 
-    Null and empty texts have no spans. Ids may be null or repeat; each row is scanned by itself.
+    Null and empty texts have no spans; very long ones are scanned whole. Ids may be null or repeat; each row is scanned by
+    itself, so repeated rows have equal spans. Of spans that begin together the kind listed first comes first. An empty table
+    gives no rows; other columns are not read, so their names can't clash.
     """
     kind = dict(docs.select(F.col(id_col).alias("id")).dtypes)["id"]
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(_scan(False), f"id {kind}, {_SPANS}")
@@ -194,7 +197,8 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 def redact_pii(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with every personal span of the text replaced by its kind in brackets; other texts stay as they are.
 
-    Null texts stay null. All other columns pass through.
+    Null texts stay null and empty ones empty; very long ones are redacted whole. All other columns pass through, whatever
+    their names; repeated rows and ids stay as they are, and an empty table gives no rows.
     """
     others = [c for c in docs.columns if c != text_col]
     packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in others)).alias("rest"), F.col(text_col).alias("text"))
@@ -215,6 +219,7 @@ def count_of(spans, kind: str):
 
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contract's columns for every document; nulls, empty and long texts, ties and repeats as in ``find_pii``."""
     found = find_pii(table(spark, sf_dir, "documents"))
     counts = [count_of(F.col("spans"), k).alias(f"n_{k}") for k in BASE_KINDS]
     return found.select(F.col("id").alias("doc_id"), *counts, F.sha2(joined_spans(F.col("spans"), BASE_KINDS), 256).alias("base_sha256"), joined_spans(F.col("spans")).alias("spans"))
@@ -226,7 +231,7 @@ _PATTERNS = [
     ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", WHOLE),
     ("card", r"[0-9]([\x20-]?[0-9])+", WHOLE),
     ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", WHOLE),
-    ("url", r"(https?|ftp)://[A-Za-z0-9][A-Za-z0-9._~:/?#@!$&*+,;=%-]*", WHOLE),
+    ("url", r"(https?|ftp)://[A-Za-z0-9]([A-Za-z0-9._~:/?#@!$&*+,;=%-]*[A-Za-z0-9_~/#@$&*+=%-])?", WHOLE),
     ("account", rf"((?:{_CUE_PATTERN})[\x20:#.=-]{{1,3}})([0-9][0-9-]{{4,32}}[0-9])", "'\\1' || chr(1) || '\\2' || chr(2)"),
 ]
 ORACLE = f"""
