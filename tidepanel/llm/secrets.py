@@ -1,20 +1,22 @@
 """Secrets in texts, found once per distinct text with an incremental blob ledger, in DataFrame functions only.
 
-Every version of a text is named by its SHA-256. The ledger holds the (blob, rule version) pairs that were scanned and what
-was found. A run scans only blobs that the ledger lacks under the present rules, then joins findings back to every path.
+Every version of a text is named by its SHA-256, every rule by a hash of all it says. The ledger, a Parquet folder that only
+grows, has a row for each scan of a blob: which rule versions were tried and what they found. A run scans a blob only under
+rules whose version the ledger lacks for it, then joins findings of the present rules back to every path.
 """
 
 from __future__ import annotations
 
+import hashlib
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidepanel.llm.common import staged, table
+from tidepanel.llm.common import shared_dir, staged, table
 from tidepanel.llm.native_spans import matches
 from tidepanel.llm.span_sql import PLAIN, WHOLE, matches_sql
 
-#: Changes with every change of a rule, so that blobs are scanned again.
-RULES_VERSION = 1
 _ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 _ASSIGN_HEAD = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?"""
 #: (kind, pattern, least length of the match, words of which a text must hold one in lower case, pattern it must match)
@@ -29,22 +31,32 @@ RULES = (
 )
 KINDS = tuple(r[0] for r in RULES)
 BASE_KINDS = KINDS[:3]
-SPANS = "array<struct<start:bigint,kind_no:int,end:bigint,kind:string>>"
+SPANS = "array<struct<start:bigint,kind_no:int,end:bigint,kind:string,rule:string>>"
+LEDGER = f"digest string, rules array<string>, spans {SPANS}"
+
+
+def rule_version(rule: tuple) -> str:
+    """Changes with every change of the rule."""
+    return hashlib.sha256(repr(rule).encode()).hexdigest()[:16]
 
 
 def _at_least(size: int):
     return lambda m: m["end"] - m["start"] >= size
 
 
-def _row(no: int, kind: str):
-    return lambda m: F.struct(m["start"].alias("start"), F.lit(no).alias("kind_no"), m["end"].alias("end"), F.lit(kind).alias("kind"))
+def _row(no: int, kind: str, version: str):
+    return lambda m: F.struct(m["start"].alias("start"), F.lit(no).alias("kind_no"), m["end"].alias("end"), F.lit(kind).alias("kind"), F.lit(version).alias("rule"))
 
 
-def secret_spans(text: Column, lowered: Column) -> Column:
-    """Sorted structs (start, kind_no, end, kind) of one text; ``lowered`` is the text in lower case."""
+def secret_spans(text: Column, lowered: Column, todo: Column, rules: tuple = RULES) -> Column:
+    """Structs (start, kind_no, end, kind, rule) of one text under the rules whose versions are in ``todo``; ``lowered`` is the
+    text in lower case."""
     found = []
-    for no, (kind, pattern, least, words, gate) in enumerate(RULES):
-        test = F.lit(True) if gate is None else text.rlike(gate)
+    for no, (kind, pattern, least, words, gate) in enumerate(rules):
+        version = rule_version(rules[no])
+        test = F.array_contains(todo, version)
+        if gate is not None:
+            test = test & text.rlike(gate)
         if words:
             any_word = F.contains(lowered, F.lit(words[0]))
             for w in words[1:]:
@@ -56,32 +68,58 @@ def secret_spans(text: Column, lowered: Column) -> Column:
             hits = F.filter(hits, lambda m: F.length(F.regexp_replace(m["text"], f"^{_ASSIGN_HEAD}", "")) >= 6)
         else:
             hits = F.filter(hits, _at_least(least))
-        rows = F.transform(hits, _row(no, kind))
-        found.append(F.when(test, rows).otherwise(F.array().cast(SPANS)))
-    return F.sort_array(F.concat(*found))
+        found.append(F.when(test, F.transform(hits, _row(no, kind, version))).otherwise(F.array().cast(SPANS)))
+    return F.concat(*found)
+
 
+def read_ledger(spark: SparkSession, path: str) -> DataFrame | None:
+    """The ledger, or None where nothing has been written yet."""
+    try:
+        ledger = spark.read.schema(LEDGER).parquet(path)
+        ledger.columns  # noqa: B018
+        return ledger
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" in str(e):
+            return None
+        raise
 
-def scan_secrets(docs: DataFrame, ledger: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(findings, ledger): findings are (id, digest, spans), one for each row of ``docs``; the second is the ledger with the
-    blobs that this run has scanned added, rows (digest, rules_version, spans).
 
-    Null texts are empty texts. Ids may be null or repeat: each row gets the findings of its own text.
+def scan_secrets(docs: DataFrame, ledger: str | None = None, id_col: str = "doc_id", text_col: str = "text", rules: tuple = RULES) -> DataFrame:
+    """Rows (id, digest, spans), one for each row of ``docs``; spans are structs (start, kind_no, end, kind, rule), sorted.
+
+    ``ledger`` is a folder that all machines share; blobs that it has under all present rules are not read again, and what this
+    run scans is added. A run that ends early leaves rows that are true by themselves. Without it all blobs are scanned.
+
+    Null texts are empty texts; very long ones are scanned whole. Ids may be null or repeat: each row gets the findings of its
+    own text, and equal texts are scanned once. An empty table gives no rows; other columns are not read.
     """
+    spark = docs.sparkSession
+    versions_ = [rule_version(r) for r in rules]
+    present = F.array(*map(F.lit, versions_))
     key = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).alias("id"), key.alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = rows.withColumn("digest", F.sha2("text", 256))
     versions = staged(rows.select("id", "key", "digest"), "versions")
     blobs = versions.groupBy("digest").agg(F.min("key").alias("key"))
-    if ledger is not None:
-        seen = ledger.where(F.col("rules_version") == RULES_VERSION).select("digest")
-        blobs = blobs.join(seen, "digest", "left_anti")
-    unseen = rows.select("key", "text", "digest").join(blobs.hint("shuffle_hash"), ["key", "digest"], "left_semi")
-    scanned = unseen.select("digest", F.lit(RULES_VERSION).alias("rules_version"), secret_spans(F.col("text"), F.lower("text")).alias("spans"))
-    scanned = staged(scanned, "scanned").dropDuplicates(["digest"])
-    whole = scanned if ledger is None else ledger.select("digest", "rules_version", "spans").unionByName(scanned)
-    hits = whole.where((F.col("rules_version") == RULES_VERSION) & (F.size("spans") > 0)).select("digest", "spans")
+    known = None if ledger is None else read_ledger(spark, ledger)
+    if known is None:
+        blobs = blobs.withColumn("todo", present)
+    else:
+        seen = known.groupBy("digest").agg(F.array_distinct(F.flatten(F.collect_list("rules"))).alias("seen"))
+        todo = F.array_except(present, F.coalesce("seen", F.array().cast("array<string>")))
+        blobs = blobs.join(seen, "digest", "left").select("digest", "key", todo.alias("todo")).where(F.size("todo") > 0)
+    unseen = rows.join(blobs.hint("shuffle_hash"), ["key", "digest"]).select("digest", "text", "todo")
+    scanned = unseen.select("digest", F.col("todo").alias("rules"), secret_spans(F.col("text"), F.lower("text"), F.col("todo"), rules).alias("spans"))
+    if ledger is None:
+        whole = staged(scanned, "scanned")
+    else:
+        scanned.write.mode("append").parquet(ledger)
+        whole = read_ledger(spark, ledger)
+    # a blob has a row for each run that scanned it, and for each row that repeats its id and text
+    whole = whole.where(F.size("spans") > 0).groupBy("digest").agg(F.array_distinct(F.flatten(F.collect_list("spans"))).alias("spans"))
+    hits = whole.select("digest", F.array_sort(F.filter("spans", lambda s: F.array_contains(present, s["rule"]))).alias("spans"))
     found = versions.select("id", "digest").join(hits, "digest", "left")
-    return found.select("id", "digest", F.coalesce("spans", F.array().cast(SPANS)).alias("spans")), whole
+    return found.select("id", "digest", F.coalesce("spans", F.array().cast(SPANS)).alias("spans"))
 
 
 def joined_spans(spans: Column, kinds: tuple[str, ...] | None = None) -> Column:
@@ -94,8 +132,15 @@ def _is(kind: str):
     return lambda s: s["kind"] == kind
 
 
+def ledger_of(spark: SparkSession, sf_dir: str) -> str:
+    """The ledger of a table, in the folder that all machines share."""
+    return f"{shared_dir(spark)}/secret-ledger-{hashlib.sha256(sf_dir.encode()).hexdigest()[:16]}"
+
+
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found, _ = scan_secrets(table(spark, sf_dir, "documents"))
+    """The contract's columns for every document, through the table's ledger: what an earlier run has scanned is not scanned
+    again. Nulls, empty and long texts, ties and repeats as in ``scan_secrets``."""
+    found = scan_secrets(table(spark, sf_dir, "documents"), ledger_of(spark, sf_dir))
     counts = [F.size(F.filter("spans", _is(k))).cast("long").alias(f"n_{k}") for k in BASE_KINDS]
     return found.select(F.col("id").alias("doc_id"), *counts, F.sha2(joined_spans(F.col("spans"), BASE_KINDS), 256).alias("base_sha256"), joined_spans(F.col("spans")).alias("spans"))
 
