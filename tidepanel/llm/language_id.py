@@ -23,8 +23,8 @@ from tidepanel.llm.common import seeds, table
 DIMENSIONS, CLUSTERS = 8192, 4
 #: At most about so many texts of each language fit its centroids; document frequencies count all training texts.
 FIT_TEXTS = 2000
-#: The model is sent to every task, so the number of languages is bounded: 128 KB each, 64 MB in all.
-MOST_LANGUAGES = 512
+#: So many languages are sent to tasks at once (128 KB each, 64 MB in all); more are tried in further passes over the texts.
+SENT_LANGUAGES = 512
 UNKNOWN = "und"
 #: The floor is this share of this quantile, in full for texts of so many different n-grams (about 32 letters).
 FLOOR_SHARE, FLOOR_QUANTILE, FLOOR_GRAMS = 0.4, 0.01, 80
@@ -55,7 +55,7 @@ def counts(texts: list[str | None]) -> np.ndarray:
             for n in range(3):
                 slot = slot[: len(data) - n] * np.uint32(31) + _SLOTS[n][data[n:]]
                 row += np.bincount(slot[~blank[n]] >> np.uint32(19), minlength=DIMENSIONS)
-        out[i] = row
+        out[i] = np.minimum(row, 65535)
     return out
 
 
@@ -79,7 +79,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for lo in range(0, batch.num_rows, _CHUNK_ROWS):
             part = batch.slice(lo, _CHUNK_ROWS)
-            rows = [x.tobytes() for x in np.minimum(counts(part.column("text").to_pylist()), 65535).astype(np.uint16)]
+            rows = [x.tobytes() for x in counts(part.column("text").to_pylist()).astype(np.uint16)]
             yield pa.RecordBatch.from_arrays([part.column("lang"), part.column("rank"), pa.array(rows, pa.binary())], ["lang", "rank", "row"])
 
 
@@ -120,6 +120,12 @@ class LanguageModel:
     #: One for each centre.
     floors: np.ndarray
 
+    def parts(self, most: int) -> list[LanguageModel]:
+        """The model in runs of at most ``most`` languages."""
+        names = sorted(set(self.languages))
+        cuts = [np.flatnonzero(np.isin(self.languages, names[i : i + most])) for i in range(0, len(names), most)]
+        return [LanguageModel([self.languages[k] for k in at], self.centres[at], self.idf, self.floors[at]) for at in cuts] or [self]
+
     def rejects(self, best: int, score: float, grams: int) -> bool:
         return score < self.floors[best] * min(1.0, (grams / FLOOR_GRAMS) ** 0.5)
 
@@ -133,9 +139,7 @@ def fit_languages(docs: DataFrame, text_col: str = "text", lang_col: str = "lang
     """
     spark = docs.sparkSession
     known = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    sizes = {r["lang"]: r["count"] for r in known.groupBy("lang").count().limit(MOST_LANGUAGES + 1).collect()}
-    if len(sizes) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    sizes = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
     held = np.zeros(DIMENSIONS + 1)
     for slot, n in known.select("text").mapInArrow(_frequencies, "held array<long>").select(F.posexplode("held")).groupBy("pos").agg(F.sum("col")).collect():
         held[slot] = n
@@ -153,38 +157,45 @@ def fit_languages(docs: DataFrame, text_col: str = "text", lang_col: str = "lang
     return LanguageModel([r["lang"] for r in found], centres, idf, np.array([max(least, r["floor"]) for r in found]))
 
 
-def predict_languages(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:
+def predict_languages(docs: DataFrame, model: LanguageModel, text_col: str = "text", most: int = SENT_LANGUAGES) -> DataFrame:
     """``docs`` with the columns lang_pred, score (cosine, 0 to 1) and rejected.
 
-    A null text, or one without letters, is ``und`` with score 0 and rejected. ``lang_pred`` names the nearest language even
-    where the distance rejects it. Ties go to the language that sorts first. Columns of these names are replaced.
+    A null or empty text, or one without letters, is ``und`` with score 0 and rejected. Very long texts are counted whole.
+    ``lang_pred`` names the nearest language even where the distance rejects it. Ties go to the language that sorts first.
+    Columns of these names are replaced, all others pass through; repeated rows and ids stay, and an empty table gives no
+    rows. Models of more than ``most`` languages are tried in parts, one pass each, with the best so far beside the text.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(model)
     fields = {"lang_pred": "string", "score": "double", "rejected": "boolean"}
     others = [c for c in docs.columns if c not in fields]
-    packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in others)).alias("rest"), F.col(f"`{text_col}`").alias("text"))
+    packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in others)).alias("rest"), F.col(f"`{text_col}`").alias("text"), F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(True).alias("rejected"))
     kind = packed.schema["rest"].dataType.simpleString()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = sent.value
-        for batch in batches:
-            langs, scores, out = [], [], []
-            for lo in range(0, batch.num_rows, _CHUNK_ROWS):
-                texts = batch.column("text").slice(lo, _CHUNK_ROWS).to_pylist()
-                held = counts(texts)
-                grams = np.count_nonzero(held, axis=1)
-                near = _weighted(held, m.idf) @ m.centres.T if m.languages else np.zeros((len(texts), 1))
-                for text, own, n in zip(texts, near, grams, strict=True):
-                    best = int(own.argmax())
-                    named = bool(m.languages) and _has_letter(text)
-                    score = min(1.0, max(0.0, round(float(own[best]), 6))) if named else 0.0
-                    langs.append(m.languages[best] if named else UNKNOWN)
-                    scores.append(score)
-                    out.append(not named or m.rejects(best, score, int(n)))
-            yield pa.RecordBatch.from_arrays([batch.column("rest"), pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(out, pa.bool_())], ["rest", *fields])
-
-    found = packed.mapInArrow(run, f"rest {kind}, " + ", ".join(f"{k} {v}" for k, v in fields.items()))
-    return found.select(*(F.col(f"rest.`{c}`").alias(c) for c in others), *fields)
+    told = ", ".join(f"{k} {v}" for k, v in fields.items())
+
+    def scan(sent, last: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            m = sent.value
+            for batch in batches:
+                best = [batch.column(c).to_pylist() for c in fields]
+                for lo in range(0, batch.num_rows, _CHUNK_ROWS):
+                    texts = batch.column("text").slice(lo, _CHUNK_ROWS).to_pylist()
+                    held = counts(texts)
+                    grams = np.count_nonzero(held, axis=1)
+                    near = _weighted(held, m.idf) @ m.centres.T
+                    for i, (text, own, n) in enumerate(zip(texts, near, grams, strict=True), lo):
+                        at = int(own.argmax())
+                        score = min(1.0, max(0.0, round(float(own[at]), 6)))
+                        if _has_letter(text) and (best[0][i] == UNKNOWN or score > best[1][i]):
+                            best[0][i], best[1][i], best[2][i] = m.languages[at], score, m.rejects(at, score, int(n))
+                through = ["rest"] if last else ["rest", "text"]
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in through), *(pa.array(x, t) for x, t in zip(best, (pa.string(), pa.float64(), pa.bool_()), strict=True))], [*through, *fields])
+
+        return run
+
+    parts = model.parts(most) if model.languages else []
+    for k, part in enumerate(parts, 1):
+        last = k == len(parts)
+        packed = packed.mapInArrow(scan(docs.sparkSession.sparkContext.broadcast(part), last), f"rest {kind}, {'' if last else 'text string, '}{told}")
+    return packed.select(*(F.col(f"rest.`{c}`").alias(c) for c in others), *fields)
 
 
 def held_out(id_col: str = "doc_id"):
@@ -197,6 +208,8 @@ def fit_on_fold(docs: DataFrame) -> LanguageModel:
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contract's columns for every document, and whether its distance rejects it; nulls, long texts and repeats as in
+    ``predict_languages``."""
     docs = table(spark, sf_dir, "documents")
     model = fit_on_fold(docs)
     return predict_languages(docs.select("doc_id", "text", held_out().alias("held_out")), model).select("doc_id", "held_out", "lang_pred", "score", "rejected")
