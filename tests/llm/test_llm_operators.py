@@ -69,6 +69,26 @@ def test_near_duplicates_against_all_pairs(spark):
         assert found == {i: (len(sets[i]), find(i), find(i) == i) for i in range(len(texts))}
 
 
+def test_near_duplicates_hot_token(spark):
+    """A rare shingle that many texts share is compared in blocks; no link is lost."""
+    rng = random.Random(9)
+    common = [f"c{i}" for i in range(40)]
+    rows = [(i, " ".join(common + [f"x{i}y{rng.randrange(3)}" for _ in range(rng.choice((6, 30, 60)))] + common[: rng.randrange(3)]), "en", "s") for i in range(60)]
+    whole = {r["id"]: r["component_id"] for r in near_dedup.near_duplicates(docs(spark, rows)).collect()}
+    near_dedup.NARROW, near_dedup.TOKEN_BLOCK, was = 1, 4, (near_dedup.NARROW, near_dedup.TOKEN_BLOCK)
+    try:
+        assert {r["id"]: r["component_id"] for r in near_dedup.near_duplicates(docs(spark, rows)).collect()} == whole
+    finally:
+        near_dedup.NARROW, near_dedup.TOKEN_BLOCK = was
+
+
+def test_near_duplicates_repeated_ids(spark):
+    a, b = "one two three four five six seven", "eight nine ten eleven twelve thirteen"
+    rows = [(1, a, "en", "s"), (1, b, "en", "s"), (2, a, "en", "s"), (3, b, "en", "s"), (4, "other words that stand quite alone here", "en", "s")]
+    first = sorted((r["id"], r["component_id"]) for r in near_dedup.near_duplicates(docs(spark, rows)).collect())
+    assert first == [(1, 1), (1, 1), (2, 1), (3, 1), (4, 4)] == sorted((r["id"], r["component_id"]) for r in near_dedup.near_duplicates(docs(spark, rows[::-1])).collect())
+
+
 def test_near_duplicates_odd_rows(spark):
     df = docs(spark, odd_rows())
     found = near_dedup.near_duplicates(df).collect()
@@ -179,6 +199,38 @@ def test_language_odd_rows(spark):
     assert language_id.predict_languages(df, empty).where("lang_pred = 'und'").count() == 10
 
 
+def test_language_against_plain_centroids(spark):
+    """The nearest centroid by plain counting, and models in parts give the same."""
+    import math
+    from collections import Counter
+
+    table_ = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang")
+    model = language_id.fit_languages(table_)
+    whole = {r["doc_id"]: r for r in language_id.predict_languages(table_, model).collect()}
+    parts = {r["doc_id"]: r for r in language_id.predict_languages(table_, model, most=2).collect()}
+    assert len(model.parts(2)) == 2 and all((parts[k]["lang_pred"], parts[k]["rejected"]) == (r["lang_pred"], r["rejected"]) and parts[k]["score"] == pytest.approx(r["score"], abs=1e-5) for k, r in whole.items())
+    slots = language_id._SLOTS.tolist()
+    for r in table_.collect():
+        held = Counter()
+        data = bytes(c if c >= 128 or chr(c).isalpha() else 32 for c in f" {(r['text'] or '').lower()} ".encode())
+        for i in range(len(data)):
+            for n in (1, 2, 3):
+                gram = data[i : i + n]
+                if len(gram) == n and gram != b" " and b"  " not in gram:
+                    h = 0
+                    for j, c in enumerate(gram):
+                        h = (h * 31 + slots[j][c]) % 2**32
+                    held[h >> 19] += 1
+        vector = {k: math.log1p(min(v, 65535)) * float(model.idf[k]) for k, v in held.items()}
+        norm = math.sqrt(sum(x * x for x in vector.values())) or 1.0
+        cosine = [sum(x * float(centre[k]) for k, x in vector.items()) / norm for centre in model.centres]
+        if any(c.isalpha() for c in r["text"] or ""):
+            assert whole[r["doc_id"]]["score"] == pytest.approx(max(cosine), abs=1e-4)
+            assert max(c for c, lang in zip(cosine, model.languages, strict=True) if lang == whole[r["doc_id"]]["lang_pred"]) == pytest.approx(max(cosine), abs=1e-4)
+        else:
+            assert whole[r["doc_id"]]["lang_pred"] == "und"
+
+
 def test_language_rejection(spark):
     """Labelled texts without letters change nothing; other scripts and gibberish are rejected, short texts of a language are not."""
     rng = random.Random(7)
@@ -249,22 +301,45 @@ def test_mixing(spark):
     assert shards <= set(range(mixing.LEAST_SHARDS))
     assert mixing.mix(df.limit(0)).count() == 0
     out = mixing.mixed(df)
-    named = mixing.mix(df.where("doc_id is not null")).collect()
-    assert out.columns == df.columns and out.count() == sum(len(r["places"]) for r in named)
+    assert out.columns == df.columns and out.count() == sum(len(r["places"]) for r in got)
+    assert out.where("doc_id is null").count() == sum(len(r["places"]) for r in got if r["id"] is None)
+
+
+def test_mixing_blocks(spark):
+    """Blocks are disjoint runs of equal words, each in one shard, dealt by exact quotas; shards are shuffled."""
+    rng = random.Random(8)
+    rows = [(i, "w " * rng.randrange(1, 40), "en", rng.choice("aabbbbc")) for i in range(4000)]
+    mixing.BLOCK_WORDS, was = 500, mixing.BLOCK_WORDS
+    try:
+        got = mixing.mix(docs(spark, rows)).collect()
+    finally:
+        mixing.BLOCK_WORDS = was
+    blocks, shard_of = {}, {}
+    for r in got:
+        for p in r["places"]:
+            blocks[r["source"], p["block"]] = blocks.get((r["source"], p["block"]), 0) + r["size"]
+            assert shard_of.setdefault((r["source"], p["block"]), p["shard"]) == p["shard"]
+    for s in "abc":
+        own = [n for (source, _), n in blocks.items() if source == s]
+        assert len(own) == max(b for source, b in blocks if source == s) + 1 and all(abs(n - 500) <= 80 for n in sorted(own)[1:])
+    per_shard = [sum(1 for x in shard_of.values() if x == k) for k in range(mixing.LEAST_SHARDS)]
+    assert sum(per_shard) == len(blocks) and max(per_shard) - min(per_shard) <= 3
+    ids = [r["id"] for _, r in sorted((p["at"], r) for r in got for p in r["places"] if p["shard"] == 1)]
+    assert ids != sorted(ids) and len(ids) > 100
 
 
 def test_hypergeometric_quotas(spark):
     quotas = spark.createDataFrame([(1, 13), (2, 0), (3, 100)], "place long, blocks long")
-    ends = {r["place"]: r["ends"] for r in mixing._dealt(quotas, 5, 1).collect()}
-    assert {k: v[-1] for k, v in ends.items()} == {1: 13, 2: 0, 3: 100}
-    per_shard = np.diff(np.array([ends[1], ends[3]]), axis=1, prepend=0).sum(axis=0)
-    assert per_shard.sum() == 113 and per_shard.max() - per_shard.min() <= 2
+    rows = mixing._dealt(quotas, 5, 1).collect()
+    assert sorted((r["place"], r["block"]) for r in rows) == [(1, b) for b in range(13)] + [(3, b) for b in range(100)]
+    per_shard = [sum(r["shard"] == k for r in rows) for k in range(5)]
+    assert max(per_shard) - min(per_shard) <= 2
 
 
 def winnowed(text, k=5, w=8):
     from xxhash import xxh64
 
-    prime, words = (1 << 31) - 1, [x for x in re.split(r"[\x20\x09-\x0D]+", (text or "").lower()) if x]
+    prime, words = (1 << 31) - 1, [y for x in re.split(r"[\x20\x09-\x0D]+", (text or "").lower()) if x for y in ([x] if len(x) <= winnowing.MOST_LETTERS else x)]
     h = [(v - (1 << 64) if v >= 1 << 63 else v) % prime for v in (xxh64(x.encode(), seed=42).intdigest() for x in words)]
     grams = []
     for i in range(max(len(h) - k + 1, min(len(h), 1))):
@@ -283,7 +358,7 @@ def winnowed(text, k=5, w=8):
 
 def test_winnowing(spark):
     rng = random.Random(4)
-    rows = [(i * 3, " ".join(rng.choice("abcdefg") * rng.randrange(1, 3) for _ in range(rng.randrange(0, 60))), "en", "s") for i in range(60)] + [(500, None, "en", "s"), (501, "", "en", "s"), (502, "Ünï " * 30, "en", "s"), (None, "no id here at all", "en", "s")]
+    rows = [(i * 3, " ".join(rng.choice("abcdefg") * rng.randrange(1, 3) for _ in range(rng.randrange(0, 60))), "en", "s") for i in range(60)] + [(500, None, "en", "s"), (501, "", "en", "s"), (502, "Ünï " * 30, "en", "s"), (503, "这是一个没有空格的长文本" * 20, "zh", "s"), (504, "QUJD" * 60 + " end", "en", "s"), (None, "no id here at all", "en", "s")]
     got = {r["id"]: r for r in winnowing.edited_fingerprints(docs(spark, rows)).collect()}
     order = sorted(i for i, *_ in rows if i is not None)
     text = {i: t or "" for i, t, *_ in rows}
@@ -293,6 +368,9 @@ def test_winnowing(spark):
         edited = t[: len(t) - cut] + after[:cut]
         assert got[i]["n_chars"] == len(t) and got[i]["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
         assert got[i]["fingerprint"] == winnowed(t) and got[i]["edited_fingerprint"] == winnowed(edited)
+        sets = [{x.split(":")[1] for x in winnowed(t).split(",") if x} for t in (text[i], edited, after)]
+        for name, other in (("near_edited", sets[1]), ("near_next", sets[2])):
+            assert got[i][name] == pytest.approx(len(sets[0] & other) / len(sets[0] | other) if sets[0] | other else 1)
     assert got[None]["near_next"] == 0 and got[500]["near_edited"] == 1
     assert winnowing.edited_fingerprints(docs(spark, odd_rows())).count() == 10
     assert winnowing.edited_fingerprints(docs(spark, rows[:1])).first()["near_next"] == 1
@@ -341,6 +419,8 @@ def test_account_forms(spark):
         assert [text[b:e] for b, k, e in pii.find_spans(text, anchors) if k == 5] == [value], text
     for text in ("IBAN DE89370400440532013001", "IBAN DE8937040044053201300", "IBAN: DE89370400440532013000x", "account number 12345", "passport office", "passport offices2", "account No one", "passport X12345678901"):
         assert not [x for x in pii.find_spans(text, anchors) if x[1] == 5], text
+    for text, end in (("See http://a.b/c.", 16), ("at https://x.org/?q=1, and", 21), ("ftp://h!?", 7), ("http://a.b/c/ x", 13)):
+        assert [e for _, k, e in pii.find_spans(text, anchors) if k == 4] == [end], text
     out = pii.redact_pii(docs(spark, [(i, form.format(value), "en", "s") for i, (form, value) in enumerate(forms)]))
     assert {r["doc_id"]: r["text"] for r in out.collect()} == {i: form.format("[ACCOUNT]") for i, (form, _) in enumerate(forms)}
 
@@ -356,18 +436,36 @@ def plain_secrets(text):
 
 def test_secrets(spark):
     rows = [(i, t, "en", "s") for i, t in enumerate([*NASTY, *NASTY[-3:]])]
-    found, ledger = secrets.scan_secrets(docs(spark, rows))
+    found = secrets.scan_secrets(docs(spark, rows))
     for r in found.collect():
         text = re.sub("[\x01\x02]", "\x03", rows[r["id"]][1])
         assert [(s["start"], s["kind_no"], s["end"]) for s in r["spans"] if s["kind_no"] < 3] == plain_secrets(text), text
-    ledger = ledger.cache()
-    assert ledger.count() == len({t for _, t, *_ in rows})
-    again, whole = secrets.scan_secrets(docs(spark, [*rows, (99, "new token=abcdefg", "en", "s")]), ledger)
-    assert whole.count() == ledger.count() + 1
-    assert sum(len(r["spans"]) for r in again.where("id < 90").collect()) == sum(len(r["spans"]) for r in found.collect())
-    old, _ = secrets.scan_secrets(docs(spark, odd_rows()))
-    assert old.count() == 10
-    assert secrets.scan_secrets(docs(spark, rows).limit(0))[0].count() == 0
+    assert secrets.scan_secrets(docs(spark, odd_rows())).count() == 10
+    assert secrets.scan_secrets(docs(spark, rows).limit(0)).count() == 0
+
+
+def test_secret_ledger(spark, tmp_path):
+    """Blobs are scanned once under each version of a rule, and a changed rule alone is tried again."""
+    path, rows = f"file://{tmp_path}/ledger", [(i, t, "en", "s") for i, t in enumerate([*NASTY, *NASTY[-3:]])]
+    blobs = len(set(NASTY))
+
+    def said(df):
+        return sorted((r["id"], [(s["kind"], s["start"], s["end"]) for s in r["spans"]]) for r in df.collect())
+
+    plain = said(secrets.scan_secrets(docs(spark, rows)))
+    assert said(secrets.scan_secrets(docs(spark, rows), path)) == plain and secrets.read_ledger(spark, path).count() == blobs
+    assert said(secrets.scan_secrets(docs(spark, rows), path)) == plain and secrets.read_ledger(spark, path).count() == blobs
+    more = [*rows, (99, "new token=abcdefg", "en", "s")]
+    again = said(secrets.scan_secrets(docs(spark, more), path))
+    assert [x for x in again if x[0] != 99] == plain and secrets.read_ledger(spark, path).count() == blobs + 1
+    kind, pattern, least, words, gate = secrets.RULES[1]
+    changed = (secrets.RULES[0], (kind, pattern, 5, words, gate), *secrets.RULES[2:])
+    after = said(secrets.scan_secrets(docs(spark, more), path, rules=changed))
+    ledger = secrets.read_ledger(spark, path).collect()
+    assert len(ledger) == 2 * (blobs + 1) and sum(r["rules"] == [secrets.rule_version(changed[1])] for r in ledger) == blobs + 1
+    assert after == said(secrets.scan_secrets(docs(spark, more), rules=changed)) != again
+    assert said(secrets.scan_secrets(docs(spark, more), path)) == again
+    assert secrets.read_ledger(spark, f"{path}-none") is None
 
 
 def test_many_matches(spark):
@@ -396,6 +494,26 @@ def test_licenses(spark):
     assert licenses.scan_licenses(docs(spark, []).limit(0)).count() == 0
 
 
+def test_license_overlaps(spark):
+    """What lies within a detection goes, of others that overlap the earlier rule stays; held against a plain walk."""
+    rng = random.Random(3)
+    phrases = ["licensed under the Apache License, Version 2.0", "the MIT License", "SPDX-License-Identifier: BSD-3-Clause", "GNU General Public License v2 or later", "CC BY-SA 4.0", "all rights reserved", "public domain", "Mozilla Public License", "without warranty of any kind", "GPLv3", "x y"]
+    texts = [*phrases, *(" ".join(rng.choice(phrases) for _ in range(rng.randrange(2, 9))) for _ in range(60))]
+    got = {r["id"]: r for r in licenses.scan_licenses(docs(spark, [(i, t, "en", "s") for i, t in enumerate(texts)])).collect()}
+    for i, t in enumerate(texts):
+        words = f" {' '.join(re.findall('[a-z0-9]+', t.lower()))} "
+        hits = sorted((m.start(), -m.end(), r.priority, r.label, r.confidence) for r in licenses.RULES if r.keyword in words for m in re.finditer(r.pattern, words))
+        kept = []
+        for b, e, p, label, c in hits:
+            if not kept or b >= kept[-1][1] - 1:
+                kept.append((b, -e, p, label, c))
+            elif -e > kept[-1][1] and p < kept[-1][2]:
+                kept[-1] = (b, -e, p, label, c)
+        base = {x for x in got[i]["base_labels"].split(",") if x}
+        assert got[i]["labels"] == ",".join(sorted(base | {x[3] for x in kept})), t
+    assert got[0]["labels"] == "apache-2.0" and got[2]["labels"] == "bsd-3"
+
+
 def test_license_spellings(spark):
     """Versions in one word with the name or without their zero, and clause counts."""
     said = {"GPLv2": "gpl-2.0", "released under GPLv3+": "gpl-3.0", "gpl2": "gpl-2.0", "GNU GPLv3 or later": "gpl-3.0", "LGPLv2.1": "lgpl-2.1", "LGPLv3": "lgpl-3.0", "AGPLv3": "agpl-3.0", "MPLv2": "mpl-2.0", "MPL2.0": "mpl-2.0", "MPL v1.1": "mpl-1.1",

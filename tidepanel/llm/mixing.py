@@ -84,27 +84,30 @@ def _split(seed: int):
 
 
 def _dealt(quotas: DataFrame, shards: int, seed: int) -> DataFrame:
-    """Rows (place, ends): for each source the running number of blocks up to and with each shard."""
+    """Rows (place, block, shard): the shard of every block of each source."""
     now = quotas.select("place", F.lit(0).cast("long").alias("lo"), F.lit(shards).cast("long").alias("hi"), "blocks")
     for _ in range(math.ceil(math.log2(shards)) if shards > 1 else 0):
         now = now.groupBy("lo", "hi").applyInPandas(_split(seed), "place long, lo long, hi long, blocks long")
-    run = Window.partitionBy("place").orderBy("lo").rowsBetween(Window.unboundedPreceding, 0)
-    ends = now.withColumn("end", F.sum("blocks").over(run))
-    return ends.groupBy("place").agg(F.sort_array(F.collect_list(F.struct("lo", "end"))).alias("e")).select("place", F.col("e.end").alias("ends"))
+    upto = Window.partitionBy("place").orderBy("lo").rowsBetween(Window.unboundedPreceding, 0)
+    runs = now.withColumn("end", F.sum("blocks").over(upto)).where("blocks > 0")
+    return runs.select("place", F.explode(F.sequence(F.col("end") - F.col("blocks"), F.col("end") - 1)).alias("block"), F.col("lo").alias("shard"))
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, total_share: float = TOTAL_SHARE, most_epochs: int = MOST_EPOCHS, seed: int = SEED) -> DataFrame:
-    """Which documents the mix takes: (id, source, size, source_size, target, places), a row for each row of ``docs``.
-
-    ``size`` counts words (runs without spaces and tabs to carriage returns; null: 0). ``places`` has a struct (epoch, block,
-    shard, at) for each time the document is taken, at most ``most_epochs``; rows of a shard, ordered by ``at``, are its
-    shuffled output. A null source is a source of its own. Rows that repeat an id within a source are taken together.
-    Documents without words are never taken. The result depends on ids, sizes, sources and the seed alone.
+    """Which documents the mix takes: (id, key, source, size, source_size, target, places), a row for each row of ``docs``.
+
+    ``size`` counts words (runs without spaces and tabs to carriage returns; null: 0), of whole texts however long. ``places``
+    has a struct (epoch, block, shard, at) for each time the document is taken, at most ``most_epochs``. A block is a run of
+    about ``BLOCK_WORDS`` words of the source's random order, and each block goes to one shard; rows of a shard, ordered by
+    ``at``, are its shuffled output. A null source is a source of its own. Rows that repeat an id within a source are taken
+    together; a row without an id goes by its text. Documents without words are never taken. The result depends on ids,
+    sizes, sources and the seed alone, and ties of the random order go by id. An empty table gives no rows; other columns are
+    not read, so their names can't clash.
     """
     if most_epochs < total_share:
         raise ValueError("the sources can't give so many words")
     words = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD_CLASS)), F.lit(0)).cast("long")
-    rows = staged(docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), words.alias("size")), "sizes")
+    rows = staged(docs.select(F.col(id_col).alias("id"), row_key(F.col(id_col), F.col(text_col)).alias("key"), F.col(source_col).cast("string").alias("source"), words.alias("size")), "sizes")
     sized = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs"))
     bins = F.least(F.lit(MOST_BINS), F.pow(F.lit(2.0), F.floor(F.log2(F.greatest(F.lit(1.0), F.col("n_docs") / BIN_DOCS))))).cast("long")
     aims = targets(sized, weights, total_share, most_epochs)
@@ -112,64 +115,85 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     aims = staged(aims.select(place.alias("place"), "source", "source_size", "target", bins.alias("bins")), "targets")
     sent = (lambda df: F.broadcast(df)) if aims.limit(SENT_SOURCES + 1).count() <= SENT_SOURCES else (lambda df: df)
 
-    named = rows.join(sent(aims.select("place", F.col("source").alias("of"), "bins")), F.col("source").eqNullSafe(F.col("of"))).drop("of")
-    key = F.coalesce(F.col("id").cast("string"), F.lit(""))
-    epochs = named.withColumn("key", key).withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(most_epochs - 1))))
-    epochs = epochs.withColumn("chance", _chance(F.col("epoch"), F.col("key"))).withColumn("bin", F.col("chance") % F.col("bins"))
-    sums = epochs.where("size > 0").groupBy("place", "epoch", "bin").agg(F.sum("size").alias("words"))
+    named = rows.join(sent(aims.select("place", F.col("source").alias("of"), "bins")), F.col("source").eqNullSafe(F.col("of"))).where("size > 0")
+    units = named.groupBy("place", "key").agg(F.sum("size").alias("size"), F.first("bins").alias("bins"))
+    epochs = units.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(most_epochs - 1))))
+    epochs = epochs.withColumn("chance", _chance(F.col("epoch"), F.col("key"))).withColumn("bin", F.col("chance") % F.col("bins")).drop("bins")
+    epochs = staged(epochs, "epochs")
+    sums = epochs.groupBy("place", "epoch", "bin").agg(F.sum("size").alias("words"))
     order = Window.partitionBy("place").orderBy("epoch", "bin").rowsBetween(Window.unboundedPreceding, 0)
     sums = sums.withColumn("end", F.sum("words").over(order)).join(sent(aims.select("place", "target")), "place")
-    # the bin where the target falls: all before it are taken whole, and the room that is left
-    edge = sums.where(F.col("end") > F.col("target")).groupBy("place").agg(F.min(F.struct("end", "words", "epoch", "bin", "target")).alias("e"))
-    edge = staged(edge.select("place", F.col("e.epoch").alias("edge_epoch"), F.col("e.bin").alias("edge_bin"), (F.col("e.target") - F.col("e.end") + F.col("e.words")).alias("room")), "edges")
-
-    cut = epochs.where("size > 0").join(sent(edge), "place", "left")
-    here, there = F.struct("epoch", "bin"), F.struct(F.col("edge_epoch").alias("epoch"), F.col("edge_bin").alias("bin"))
-    cut = cut.withColumn("taken", F.col("edge_bin").isNull() | (here < there))
-    at_edge = cut.where(here == there).groupBy("place", "epoch", "key").agg(F.sum("size").alias("size"), F.first("chance").alias("chance"), F.first("room").alias("room"))
-    fitting = staged(at_edge.groupBy("place").applyInPandas(_fitting, "place long, epoch int, key string"), "fitting").withColumn("fits", F.lit(True))
-    # only rows of an edge can be among the fitting ones
-    whole = cut.where("taken").select("place", "epoch", "key", "size")
-    partly = cut.where(here == there).join(fitting, ["place", "epoch", "key"]).select("place", "epoch", "key", "size")
-    taken = whole.unionByName(partly)
-
-    quotas = taken.groupBy("place").agg(F.ceil(F.sum("size") / BLOCK_WORDS).alias("blocks"), F.sum("size").alias("words"))
-    quotas = staged(quotas, "quotas")
+    # all bins that end by the target are taken whole; of the bin where it falls, what still fits into the room that is left
+    sums = sums.withColumn("start", F.col("end") - F.col("words")).where(F.col("start") < F.col("target"))
+    sums = staged(sums.select("place", "epoch", "bin", "start", (F.col("end") > F.col("target")).alias("edge"), (F.col("target") - F.col("start")).alias("room")), "bins")
+    cut = epochs.join(sums, ["place", "epoch", "bin"])
+    fitting = cut.where("edge").groupBy("place").applyInPandas(_fitting, "place long, epoch int, key string").withColumn("fits", F.lit(True))
+    partly = cut.where("edge").join(fitting, ["place", "epoch", "key"], "left_semi").select(*cut.columns)
+    taken = cut.where("not edge").unionByName(partly)
+    # the words before a document in its source's order say which block it is of
+    before = F.sum("size").over(Window.partitionBy("place", "epoch", "bin").orderBy("chance", "key").rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
+    taken = taken.withColumn("block", F.floor((F.col("start") + before) / BLOCK_WORDS)).select("place", "key", "epoch", "size", "block")
+    taken = staged(taken, "taken")
+
+    quotas = staged(taken.groupBy("place").agg((F.max("block") + 1).alias("blocks"), F.sum("size").alias("words")), "quotas")
     total = quotas.agg(F.sum("words")).first()[0] or 0
     shards = max(LEAST_SHARDS, math.ceil(total / SHARD_WORDS))
-    ends = staged(_dealt(quotas, shards, seed), "shards")
-    per_source = aims.join(ends, "place", "left").join(quotas.select("place", "blocks"), "place", "left").join(edge, "place", "left")
+    placed = taken.join(staged(_dealt(quotas, shards, seed), "shards"), ["place", "block"])
+    at = _chance(F.col("epoch"), F.col("key"), F.lit("at"))
+    placed = placed.groupBy("place", "key").agg(F.sort_array(F.collect_list(F.struct("epoch", "block", "shard", at.alias("at")))).alias("places"))
 
-    out = rows.join(sent(per_source.withColumnRenamed("source", "of")), F.col("source").eqNullSafe(F.col("of"))).drop("of").withColumn("key", key)
-    picked = fitting.groupBy("place", "key").agg(F.collect_set("epoch").alias("picked"))
-    out = out.join(picked, ["place", "key"], "left")
+    out = rows.join(sent(aims.drop("bins").withColumnRenamed("source", "of")), F.col("source").eqNullSafe(F.col("of"))).drop("of")
+    places = F.when(F.col("size") > 0, F.col("places"))
+    out = out.join(placed, ["place", "key"], "left").withColumn("places", F.coalesce(places, F.array().cast(dict(placed.dtypes)["places"])))
+    return out.select("id", "key", "source", "size", "source_size", "target", "places")
 
-    def placed(e: int) -> Column:
-        chance = _chance(F.lit(e), F.col("key"))
-        bin_ = chance % F.col("bins")
-        here = F.struct(F.lit(e).alias("epoch"), bin_.alias("bin"))
-        there = F.struct(F.col("edge_epoch").alias("epoch"), F.col("edge_bin").alias("bin"))
-        took = F.col("edge_bin").isNull() | (here < there) | ((here == there) & F.coalesce(F.array_contains("picked", e), F.lit(False)))
-        block = _chance(F.lit(e), F.col("key"), F.lit("block")) % F.col("blocks")
-        shard = F.size(F.filter("ends", lambda x: x <= block)).cast("long")
-        at = _chance(F.lit(e), F.col("key"), F.lit("at"))
-        return F.when((F.col("size") > 0) & took, F.struct(F.lit(e).alias("epoch"), block.alias("block"), shard.alias("shard"), at.alias("at")))
 
-    places = F.array_compact(F.array(*(placed(e) for e in range(most_epochs))))
-    return out.select("id", "source", "size", "source_size", "target", places.alias("places"))
+def row_key(id_: Column, text: Column) -> Column:
+    """What names a row within its source: its id, or its text where there is none."""
+    return F.coalesce(id_.cast("string"), F.concat(F.lit("#"), F.md5(F.coalesce(text, F.lit("")))))
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contract's columns for every document, and places: ``epoch:block:shard`` of each time it is taken, comma-joined.
+    Words taken are counted over these places. Nulls, long texts, ties and repeats as in ``mix``."""
     found = mix(table(spark, sf_dir, "documents"))
-    return found.select(F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("size") * F.size("places")).alias("taken"))
+    places = F.array_join(F.transform("places", lambda p: F.concat_ws(":", p["epoch"].cast("string"), p["block"].cast("string"), p["shard"].cast("string"))), ",")
+    return found.select(F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("size") * F.size("places")).alias("taken"), places.alias("places"))
+
+
+def mixing_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can say of the mix: sizes, targets, and that no bound is broken."""
+    found = op6_mixing(spark, sf_dir)
+    far = F.col("taken") > 2 * F.col("size")
+    off = F.abs(F.sum("taken").over(Window.partitionBy("source_size", "target")) - F.col("target")) > 0.01 * F.col("target") + 100
+    return found.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), far.alias("too_often"), off.alias("off_target"))
+
+
+#: Water filling in SQL: in each round the sources above their cap are filled, and the rest shared again.
+BOUNDS_SQL = """
+WITH RECURSIVE d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS place FROM d GROUP BY 1),
+w AS (SELECT place, source_size, [5, 2, 1][(place - 1) % 3 + 1]::DOUBLE AS weight FROM s),
+r AS (SELECT 0 AS round, []::BIGINT[] AS filled
+  UNION ALL SELECT round + 1, (SELECT list(place ORDER BY place) FROM w WHERE list_contains(r.filled, place) OR weight *
+    ((SELECT 1.5 * sum(source_size) FROM w) - coalesce((SELECT 2 * sum(source_size) FROM w WHERE list_contains(r.filled, place)), 0)) / (SELECT sum(weight) FROM w WHERE NOT list_contains(r.filled, place)) > 2 * source_size)
+  FROM r WHERE round < (SELECT count(*) FROM w) AND (SELECT count(*) FROM w WHERE NOT list_contains(r.filled, place)) > 0),
+f AS (SELECT coalesce(filled, []) AS filled FROM r ORDER BY round DESC LIMIT 1),
+t AS (SELECT place, CASE WHEN list_contains(filled, place) THEN 2.0 * source_size ELSE weight * ((SELECT 1.5 * sum(source_size) FROM w) - coalesce((SELECT 2 * sum(source_size) FROM w x WHERE list_contains(filled, x.place)), 0))
+  / (SELECT sum(weight) FROM w x WHERE NOT list_contains(filled, x.place)) END AS target FROM w, f)
+SELECT doc_id, size, source_size, round(target, 6)::DOUBLE AS target, false AS too_often, false AS off_target FROM d JOIN s ON s.source IS NOT DISTINCT FROM d.source JOIN t USING (place)
+"""
 
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
     """The rows of the mix: each row of ``docs`` as often as it is taken, dealt to its shards and shuffled in each.
 
-    Ids should name one row, as a row is found again by its id; rows without an id are never taken here.
+    A row is found again by its id, or its text without one, within its source; null sources and rows that repeat are taken
+    as ``mix`` says. All columns pass through, whatever their names.
     """
-    places = mix(docs.where(F.col(id_col).isNotNull()), id_col, text_col, source_col, **options).where(F.size("places") > 0)
-    places = places.dropDuplicates(["id"]).select(F.col("id").alias("__id"), F.explode("places").alias("__place"))
-    rows = docs.join(places.hint("shuffle_hash"), docs[id_col] == places["__id"]).drop("__id")
-    return rows.repartition(F.col("__place.shard")).sortWithinPartitions("__place.shard", "__place.at").drop("__place")
+    places = mix(docs, id_col, text_col, source_col, **options).where(F.size("places") > 0)
+    places = places.select(F.col("key").alias("__key"), F.col("source").alias("__source"), F.explode("places").alias("__place")).distinct()
+    keyed = docs.withColumn("__row", row_key(F.col(id_col), F.col(text_col)))
+    rows = keyed.join(places.hint("shuffle_hash"), (keyed["__row"] == places["__key"]) & keyed[source_col].cast("string").eqNullSafe(places["__source"])).drop("__row", "__key", "__source")
+    # shards are of like size, and a range of them is one task
+    return rows.repartitionByRange("__place.shard", "__place.at").sortWithinPartitions("__place.shard", "__place.at").drop("__place")

@@ -11,6 +11,7 @@ QUERIES = {
     "op4_language_id": language_id.op4_language_id,
     "op5_kd_topk": topk_search.op5_kd_topk,
     "op6_mixing": mixing.op6_mixing,
+    "llm_mixing_bounds": mixing.mixing_bounds,
     "op7_winnowing": winnowing.op7_winnowing,
     "op8_pii": pii.op8_pii,
     "op9_licenses": licenses.op9_licenses,
@@ -20,6 +21,7 @@ ORACLES = {
     "op1_hyperminhash": near_dedup.ORACLE,
     "op3_chat_format": chat_format.ORACLE,
     "op5_kd_topk": topk_search.ORACLE,
+    "llm_mixing_bounds": mixing.BOUNDS_SQL,
     "op8_pii": pii.ORACLE,
     "op9_licenses": licenses.ORACLE,
     "op10_secrets": secrets.ORACLE,
