@@ -523,12 +523,82 @@ def test_license_spellings(spark):
     assert all((got[i]["score"] >= 0.85) == bool(label) for i, label in enumerate(said.values()))
 
 
+def test_staged_tables_go(spark, monkeypatch):
+    from pathlib import Path
+
+    from tidepanel.llm import common
+
+    df = common.staged(spark.range(3), "some")
+    assert df.count() == 3 and Path(df.staged_path.removeprefix("file://")).exists()
+    common.discard(df)
+    assert not Path(df.staged_path.removeprefix("file://")).exists() and df.staged_path not in common._staged
+
+    class Elsewhere:
+        conf = type("Conf", (), {"get": staticmethod(lambda key, default: None)})
+        sparkContext = type("Context", (), {"master": "spark://host:7077"})  # noqa: N815
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        common.shared_dir(Elsewhere())
+
+
 def test_pipeline(spark):
+    """Each stage against a plain version on the smallest tables, then odd and empty inputs."""
     import corpus_pipeline as cp
 
+    documents = spark.read.parquet(f"{SF}/documents.parquet").select(*cp.COLUMNS)
+    stages = dict(cp.STAGES)
+    kept = stages["language"](spark, documents, SF).cache()
+    rows, plain = kept.collect(), {r["doc_id"]: r for r in documents.collect()}
+    # clean labelled documents stay, texts are untouched, those without letters go
+    assert {r["doc_id"] for r in rows} >= {i for i, r in plain.items() if r["lang"] and len(re.findall("[A-Za-z]", r["text"] or "")) > 40}
+    assert all(r["text"] == plain[r["doc_id"]]["text"] and any(map(str.isalpha, r["text"])) for r in rows)
+
+    single = stages["near_dedup"](spark, kept, SF).cache()
+    sets = {r["doc_id"]: shingles(r["text"]) for r in rows}
+    root = {i: i for i in sets}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in sets:
+        for j in sets:
+            if i < j and (both := len(sets[i] & sets[j])) and 100 * both >= 75 * (len(sets[i]) + len(sets[j]) - both):
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    assert sorted(r["doc_id"] for r in single.collect()) == sorted(i for i in root if find(i) == i)
+
+    clean = stages["pii"](spark, single, SF).cache()
+    anchors, before = pii._anchors(), {r["doc_id"]: r["text"] for r in single.collect()}
+    for r in clean.collect():
+        assert r["text"] == pii.redact(before[r["doc_id"]], pii.find_spans(before[r["doc_id"]], anchors)) and r["n_chars"] == len(r["text"])
+        assert not plain_pii(r["text"])
+
+    mix = stages["mixing"](spark, clean, SF).cache()
+    texts, sizes, taken = {r["doc_id"]: r for r in clean.collect()}, {}, {}
+    for r in texts.values():
+        sizes[r["source"]] = sizes.get(r["source"], 0) + len(WORD.findall(r["text"]))
+    for r in mix.collect():
+        assert r == texts[r["doc_id"]]
+        taken[r["source"]] = taken.get(r["source"], 0) + len(WORD.findall(r["text"]))
+    longest = max(len(WORD.findall(r["text"])) for r in texts.values())
+    assert all(abs(taken.get(s, 0) - t) <= longest for s, t in filled(sizes).items())
+
+    own = pieces.Pieces()
+    ids = sorted((r["doc_id"], r["n_ids"], r["ids"]) for r in stages["encoding"](spark, mix, SF).collect())
+    assert ids == sorted((r["doc_id"], len(x), x) for r in mix.collect() for x in [[i for w in own.words(r["text"]) for i in next(own.segment([w]))[1]]])
+
     out = cp.run(spark, SF)
-    assert out.columns == ["doc_id", "n_ids", "ids"] and 100 < out.count()
+    assert out.columns == ["doc_id", "n_ids", "ids"] and out.count() == len(ids)
     df = spark.createDataFrame([(i, t, lang, s, None) for i, t, lang, s in odd_rows()], "doc_id long, text string, lang string, source string, n_chars long")
     for _, stage in cp.STAGES:
         for part in (df, df.limit(0)):
             stage(spark, part, SF).count()
+
+
+def test_pipeline_on_an_empty_table(spark, tmp_path):
+    import corpus_pipeline as cp
+
+    spark.read.parquet(f"{SF}/documents.parquet").limit(0).write.parquet(f"{tmp_path}/documents.parquet")
+    assert cp.run(spark, str(tmp_path)).count() == 0

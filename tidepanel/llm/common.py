@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -29,10 +30,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all machines share: ``spark.checkpoint.dir``, or a local one where that is unset."""
+    """The folder that all machines share: ``spark.checkpoint.dir``, or a local one where that is unset and the master is local."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base:
         return base
+    if not re.match(r"local(\[[^]]*\])?$", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
     app = spark.sparkContext.applicationId
     if app not in _local_dirs:
         path = tempfile.mkdtemp(prefix="tidepanel-")
@@ -44,12 +47,42 @@ def shared_dir(spark: SparkSession) -> str:
 def staged(df: DataFrame, label: str) -> DataFrame:
     """Write a step's rows as Parquet in the shared folder and read them back.
 
-    This cuts the lineage and survives lost executors; later steps read only the columns they need.
+    This cuts the lineage and survives lost executors; later steps read only the columns they need. What a session has staged
+    is removed when its driver ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    if not _staged:
+        atexit.register(_clean)
+    _staged[path] = spark
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged_path = path
+    return out
+
+
+_staged: dict[str, SparkSession] = {}
+
+
+def discard(df: DataFrame) -> None:
+    """Remove a staged table that no later step reads."""
+    path = getattr(df, "staged_path", None)
+    if path in _staged:
+        _remove(_staged.pop(path), path)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def _clean() -> None:
+    for path, spark in _staged.items():
+        try:
+            _remove(spark, path)
+        except Exception:  # noqa: BLE001, the session has been stopped before
+            return
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

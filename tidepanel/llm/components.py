@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidepanel.llm.common import staged
+from tidepanel.llm.common import discard, staged
 
 
 def _starred(links: DataFrame, large: bool) -> DataFrame:
@@ -22,18 +22,20 @@ def _starred(links: DataFrame, large: bool) -> DataFrame:
     return tied.where(F.col("u") != F.col("v")).distinct()
 
 
-def connected_components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
+def connected_components(links: DataFrame, most_rounds: int = 1000) -> DataFrame:
     """Rows (id, component) for every id that has a link; component is the smallest id it can reach.
 
     ``links`` has two columns of ids in any order. Self links and repeated links are allowed. Neighbour lists are never
-    gathered: each star is a minimum by node joined back to the links. Every round is written to the shared folder.
+    gathered: each star is a minimum by node joined back to the links. Every round is written to the shared folder, and the one
+    before it removed. Rounds grow with the logarithm of the longest chain; ``most_rounds`` only stops a fault.
     """
     a, b = links.columns
     now = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where(F.col("u") != F.col("v")).distinct()
     now = staged(now, "links")
     state = None
     for _ in range(most_rounds):
-        now = staged(_starred(_starred(now, large=True), large=False), "stars")
+        before, now = now, staged(_starred(_starred(now, large=True), large=False), "stars")
+        discard(before)
         row = now.agg(F.count("*"), F.expr("bit_xor(xxhash64(u, v))"), F.sum(F.hash("u", "v").cast("decimal(38,0)"))).first()
         if tuple(row) == state:
             return now.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("component")).unionByName(

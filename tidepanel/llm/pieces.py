@@ -162,7 +162,9 @@ def _flat(words: list[list[int]]) -> list[int]:
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = MODEL) -> DataFrame:
     """Rows (id, ids), one for each row of ``docs``; null and empty texts have no ids.
 
-    ``model`` is a path that every executor can read.
+    Very long texts are encoded whole. Ids may be null or repeat; equal texts have equal ids, and of paths with equal scores
+    the one whose last piece is longest is taken. An empty table gives no rows; other columns are not read, so their names
+    can't clash. ``model`` is a path that every executor can read.
     """
     kind = dict(docs.select(F.col(id_col).alias("id")).dtypes)["id"]
 
@@ -224,4 +226,5 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mod
 
 
 def op2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of the ids of every document and of what they decode to; nulls, long texts, ties and repeats as in ``encode``."""
     return digests(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
