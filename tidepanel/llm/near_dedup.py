@@ -254,19 +254,15 @@ def _by_rarest(pool: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     counts = np.frombuffer(b"".join(c for _, c in blocks), np.int64) if blocks else np.zeros(1 << SLOT_BITS, np.int64)
     sent = pool.sparkSession.sparkContext.broadcast(counts)
     early = staged(held.mapInArrow(_early(percent, sent), "token long, id long, label long, n long, place long"), "early")
-    # A token that many texts share is cut into blocks of texts, and each pair of blocks is a key of its own; before that, sizes
-    # cut it: linked sets are of the same step of size or of neighbouring ones.
-    step = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / percent)) + 1e-9)
+    # a token that many texts share is cut into blocks of texts, and each pair of blocks is a key of its own
     hot = early.groupBy("token").agg(F.ceil(F.count("*") / TOKEN_BLOCK).alias("blocks")).where("blocks > 1")
-    early = early.join(hot, "token", "left").withColumns({"step": step, "blocks": F.coalesce("blocks", F.lit(1))}).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")))
+    early = early.join(hot, "token", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")))
     # of blocks (i, j) with i <= j, a text of block i is on side a, one of block j on side b; within a block on both
     def side(s: str, first: bool) -> DataFrame:
         others = F.sequence(F.col("own"), F.col("blocks") - 1) if first else F.sequence(F.lit(0).cast("long"), F.col("own"))
         key = F.struct(F.col("own").alias("i"), F.col("other").alias("j")) if first else F.struct(F.col("other").alias("i"), F.col("own").alias("j"))
         rows = early.withColumn("other", F.explode(others)).withColumn("pair", key)
-        if not first:
-            rows = rows.withColumn("step", F.explode(F.sequence(F.col("step") - 1, F.col("step") + 1)))
-        return rows.select("token", "step", "pair", F.col("id").alias(s), F.col("label").alias(f"l{s}"), F.col("n").alias(f"n{s}"), F.col("place").alias(f"p{s}"))
+        return rows.select("token", "pair", F.col("id").alias(s), F.col("label").alias(f"l{s}"), F.col("n").alias(f"n{s}"), F.col("place").alias(f"p{s}"))
 
     a, b = side("a", True), side("b", False)
     most = 1 + F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))
@@ -274,7 +270,7 @@ def _by_rarest(pool: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     room = (100 + percent) * most >= percent * (F.col("na") + F.col("nb"))
     # within one block both orders meet, between two only one
     once = (F.col("pair.i") != F.col("pair.j")) | (F.col("a") < F.col("b"))
-    found = a.join(b, ["token", "step", "pair"]).where("la != lb").where(once & room)
+    found = a.join(b, ["token", "pair"]).where("la != lb").where(once & room)
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
