@@ -85,9 +85,10 @@ def mapped(facts: DataFrame, catalogue: DataFrame) -> DataFrame:
 def overlapping(intervals: DataFrame, key: str, member: str, start: str, end: str) -> DataFrame:
     """Rows with a flag: whether another member of the key overlaps [start, end) in time.
 
-    An issuer has few securities, so this joins them on the issuer.
+    Each member has one interval, which is not empty. In order of start, one overlaps another before it if the latest end so
+    far is after its start, and one after it if the next start is before its end; no pairs are made.
     """
-    a = intervals.select(key, member, start, end)
-    b = intervals.select(F.col(key).alias("__k"), F.col(member).alias("__m"), F.col(start).alias("__s"), F.col(end).alias("__e"))
-    hit = a.join(b, (F.col(key) == F.col("__k")) & (F.col(member) != F.col("__m")) & (F.col(start) < F.col("__e")) & (F.col("__s") < F.col(end)), "left_semi").select(key, member, start, end).distinct().withColumn("ambiguous", F.lit(True))
-    return intervals.join(hit, [key, member, start, end], "left").withColumn("ambiguous", F.coalesce("ambiguous", F.lit(False)))
+    order = Window.partitionBy(key).orderBy(start, member)
+    before = F.max(end).over(order.rowsBetween(Window.unboundedPreceding, -1)) > F.col(start)
+    after = F.lead(start).over(order) < F.col(end)
+    return intervals.withColumn("ambiguous", F.coalesce(before, F.lit(False)) | F.coalesce(after, F.lit(False)))

@@ -33,6 +33,19 @@ def one_value_check(df: DataFrame, code: str, keys: list[str], values: list[str]
     return told.agg(F.lit(code).alias("check"), F.count_if(bad).alias("failed_rows")).select("check", "failed_rows")
 
 
+def alignment_check(grid: DataFrame, code: str = "MISALIGNED") -> DataFrame:
+    """Securities that lack a session of the grid or have one twice."""
+    days = grid.agg(F.count_distinct("session").alias("days"))
+    n = grid.groupBy("security_id").agg(F.count("*").alias("n"), F.count_distinct("session").alias("d"))
+    return n.join(F.broadcast(days)).agg(F.lit(code).alias("check"), F.count_if((F.col("n") != F.col("days")) | (F.col("d") != F.col("days"))).alias("failed_rows")).select("check", "failed_rows")
+
+
+def reconciled(expected: DataFrame, found: DataFrame, keys: list[str], tolerance: float = 1e-6) -> DataFrame:
+    """Expected values with MATCH, DIFFERENT or MISSING by what was found."""
+    both = expected.join(found.select(*keys, F.col("value").alias("found")), keys, "left")
+    return both.withColumn("status", F.when(F.col("found").isNull(), "MISSING").when(F.abs(F.col("found") - F.col("expected")) <= tolerance, "MATCH").otherwise("DIFFERENT"))
+
+
 def assert_clean(checks: DataFrame) -> None:
     failed = checks.where("failed_rows > 0").orderBy("check").limit(20).collect()
     if failed:

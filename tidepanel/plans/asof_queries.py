@@ -357,28 +357,34 @@ def dq_02(spark, sf_dir):
     return dq.one_value_check(read(spark, sf_dir, "orders"), "MIXED_PROVENANCE", ["o_custkey"], ["o_orderstatus", "o_orderpriority"])
 
 
-@query("dq_03_grid_alignment", "SELECT 'MISALIGNED' AS check, 0::BIGINT AS failed_rows")
+@query("dq_03_grid_alignment", f"WITH {SQL_EVENTS} SELECT 'DENSE' AS check, 0::BIGINT AS failed_rows UNION ALL SELECT 'SPARSE', count(*) FILTER (n <> (SELECT count(DISTINCT session) FROM bars_e)) FROM (SELECT count(*) AS n FROM bars_e GROUP BY security_id)")
 def dq_03(spark, sf_dir):
-    """Every security has every session once."""
-    g = panels.event_grid(spark, sf_dir)
-    n = g.groupBy("security_id").agg(F.count("*").alias("n"), F.count_distinct("session").alias("d"))
-    return n.agg(F.lit("MISALIGNED").alias("check"), F.when(F.min("n") == F.max("n"), F.count_if(F.col("n") != F.col("d"))).otherwise(F.count("*")).alias("failed_rows")).select("check", "failed_rows")
+    """Every security has every session once: in the dense grid all have, among the bars it is made of not all."""
+    return dq.alignment_check(panels.event_grid(spark, sf_dir), "DENSE").unionByName(dq.alignment_check(panels.event_bars(spark, sf_dir), "SPARSE"))
 
 
-@query("dq_04_05_causality", f"""WITH {SQL_VERSIONS} SELECT 'LOOK_AHEAD' AS check, count(*) FILTER (available_at < period_end - 60) AS failed_rows FROM versions_l UNION ALL SELECT 'NOT_FINITE', count(*) FILTER (NOT isfinite(value) OR value IS NULL) FROM versions_l
-UNION ALL SELECT 'BLANK_FIELD', count(*) FILTER (trim(field) = '') FROM versions_l UNION ALL SELECT 'NEGATIVE', count(*) FILTER (value < 0) FROM versions_l""")
+@query("dq_04_05_causality", f"""WITH {SQL_VERSIONS}, v AS (SELECT available_at, period_end, CASE WHEN accession % 97 = 0 THEN NULL WHEN accession % 83 = 0 THEN -value ELSE value END AS value, CASE WHEN accession % 89 = 0 THEN ' ' ELSE field END AS field FROM versions_l)
+SELECT 'LOOK_AHEAD' AS check, count(*) FILTER (available_at < period_end) AS failed_rows FROM v UNION ALL SELECT 'NOT_FINITE', count(*) FILTER (value IS NULL OR NOT isfinite(value)) FROM v
+UNION ALL SELECT 'BLANK_FIELD', count(*) FILTER (trim(field) = '') FROM v UNION ALL SELECT 'NEGATIVE', count(*) FILTER (value IS NULL OR value < 0) FROM v""")
 def dq_04(spark, sf_dir):
-    rules = {"LOOK_AHEAD": F.col("available_at") >= F.date_sub("period_end", 60), "NOT_FINITE": sc.is_finite(F.col("value")), "BLANK_FIELD": F.trim("field") != "", "NEGATIVE": F.col("value") >= 0}
-    return dq.count_checks(panels.versions(spark, sf_dir), rules)
+    """Versions with planted faults; a fact known before its period ends is a look ahead."""
+    a = F.col("accession")
+    v = panels.versions(spark, sf_dir).withColumns({"value": F.when(a % 97 == 0, None).when(a % 83 == 0, -F.col("value")).otherwise(F.col("value")), "field": F.when(a % 89 == 0, " ").otherwise(F.col("field"))})
+    rules = {"LOOK_AHEAD": F.col("available_at") >= F.col("period_end"), "NOT_FINITE": sc.is_finite(F.col("value")), "BLANK_FIELD": F.trim("field") != "", "NEGATIVE": F.col("value") >= 0}
+    return dq.count_checks(v, rules)
 
 
-@query("dq_06_reconciliation", f"""WITH {SQL_VERSIONS}, e AS (SELECT DISTINCT s_suppkey AS security_id, 'A' AS field, 12.5 AS expected FROM supplier), v AS (SELECT security_id, field, sum(value) AS value FROM versions_l WHERE security_id % 2 = 0 GROUP BY 1, 2)
-SELECT e.security_id, CASE WHEN v.value IS NULL THEN 'MISSING' WHEN abs(v.value - expected) <= 1e-6 THEN 'MATCH' ELSE 'DIFFERENT' END AS status FROM e LEFT JOIN v USING (security_id, field)""")
+@query("dq_06_reconciliation", f"""WITH {SQL_VERSIONS}, e AS (SELECT s_suppkey AS security_id, f.field, (SELECT count(DISTINCT l_orderkey) FROM lineitem WHERE l_suppkey = s_suppkey AND l_returnflag = f.field)::DOUBLE AS expected FROM supplier, (SELECT DISTINCT l_returnflag AS field FROM lineitem) f),
+v AS (SELECT security_id, field, count(*)::DOUBLE AS value FROM versions_l WHERE value > 3000 GROUP BY 1, 2)
+SELECT e.security_id, e.field, CASE WHEN v.value IS NULL THEN 'MISSING' WHEN abs(v.value - coalesce(expected, 0)) <= 1e-6 THEN 'MATCH' ELSE 'DIFFERENT' END AS status FROM e LEFT JOIN v USING (security_id, field)""")
 def dq_06(spark, sf_dir):
-    e = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("security_id"), F.lit("A").alias("field"), F.lit(12.5).alias("expected"))
-    v = panels.versions(spark, sf_dir).where("security_id % 2 = 0").groupBy("security_id", "field").agg(F.sum("value").alias("value"))
-    j = e.join(v, ["security_id", "field"], "left")
-    return j.select("security_id", F.when(F.col("value").isNull(), "MISSING").when(F.abs(F.col("value") - F.col("expected")) <= 1e-6, "MATCH").otherwise("DIFFERENT").alias("status"))
+    """Orders of each supplier and flag, counted off the line items, against versions of some size."""
+    li = read(spark, sf_dir, "lineitem")
+    counted = li.groupBy(F.col("l_suppkey").alias("security_id"), F.col("l_returnflag").alias("field")).agg(F.count_distinct("l_orderkey").cast("double").alias("expected"))
+    every = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("security_id")).join(F.broadcast(li.select(F.col("l_returnflag").alias("field")).distinct()))
+    e = every.join(counted, ["security_id", "field"], "left").fillna(0.0, ["expected"])
+    v = panels.versions(spark, sf_dir).where("value > 3000").groupBy("security_id", "field").agg(F.count("*").cast("double").alias("value"))
+    return dq.reconciled(e, v, ["security_id", "field"]).select("security_id", "field", "status")
 
 
 @query("dq_08_secret_scan", """SELECT 'text' AS check, count(*) FILTER (regexp_matches(text, '(?i)(?:api[_-]?key|secret|password|passwd|authorization|bearer|token)\\s*[:=]\\s*["'']?[^\\s,"'']{8,}')) AS failed_rows FROM documents""")
