@@ -49,8 +49,16 @@ def imported_fills(fills: DataFrame) -> DataFrame:
     return once.groupBy("account").agg(F.count("*").alias("n_fills"), F.sum("quantity").cast("long").alias("position"), F.sum(-F.col("quantity") * F.col("price")).alias("cash"))
 
 
-def exposures(windows: DataFrame, key: str) -> DataFrame:
-    """Pairs (a, b) of windows [s, t) of one key that meet in time and scope; ``*`` is every scope."""
-    a, b = (windows.select(key, F.col("id").alias(x), F.col("s").alias(f"s{x}"), F.col("t").alias(f"t{x}"), F.col("scope").alias(f"scope{x}")) for x in "ab")
+def exposures(windows: DataFrame, key: str, width: int = 30) -> DataFrame:
+    """Pairs (a, b) of windows [s, t) of one key that meet in time and scope; ``*`` is every scope.
+
+    Time is cut into stretches of ``width`` days, and only windows that share a stretch are compared: a pair is made in the
+    first stretch that both have, so once. Windows that are empty or lack a bound meet none.
+    """
+    number = lambda day: F.floor(F.datediff(day, F.lit("1970-01-01").cast("date")) / width)
+    cut = windows.where("s < t").withColumn("__first", number(F.col("s")))
+    cut = cut.withColumn("__at", F.explode(F.sequence("__first", number(F.date_sub("t", 1)))))
+    a, b = (cut.select(key, "__at", F.col("id").alias(x), F.col("s").alias(f"s{x}"), F.col("t").alias(f"t{x}"), F.col("scope").alias(f"scope{x}"), F.col("__first").alias(f"f{x}")) for x in "ab")
     everything = F.array_contains("scopea", "*") | F.array_contains("scopeb", "*")
-    return a.join(b, key).where((F.col("a") < F.col("b")) & (F.col("sa") < F.col("tb")) & (F.col("sb") < F.col("ta")) & (everything | F.arrays_overlap("scopea", "scopeb")))
+    met = (F.col("a") < F.col("b")) & (F.col("sa") < F.col("tb")) & (F.col("sb") < F.col("ta")) & (F.col("__at") == F.greatest("fa", "fb"))
+    return a.join(b, [key, "__at"]).where(met & (everything | F.arrays_overlap("scopea", "scopeb")))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tidepanel.functions import crosssection as cs
 from tidepanel.functions import scalar as sc
 from tidepanel.functions import timeseries as ts
+from tidepanel.operators.ordering import pooled_rank_corr
 
 FLAT = ts.FLAT
 
@@ -211,3 +212,19 @@ def nav_metrics(nav: DataFrame, by: list[str]) -> DataFrame:
     rows = nav.withColumn("r", F.coalesce(F.try_divide("nav", F.lag("nav").over(w)) - 1, F.lit(0.0))).withColumn("fall", F.col("nav") / F.max("nav").over(upto) - 1)
     out = rows.groupBy(*by).agg((F.try_divide(F.max_by("nav", "session"), F.min_by("nav", "session")) - 1).alias("total_return"), F.stddev_samp("r").alias("dev"), F.avg("r").alias("mean"), F.count("*").alias("n"), F.min("fall").alias("max_drawdown"))
     return out.select(*by, "total_return", (F.pow(1 + F.col("total_return"), 252.0 / F.col("n")) - 1).alias("cagr"), (F.col("dev") * 252**0.5).alias("volatility"), F.try_divide(F.col("mean") * 252, F.col("dev") * 252**0.5).alias("sharpe"), "max_drawdown")
+
+
+def pooled_conflicts(scored: DataFrame) -> DataFrame:
+    """Of each two factors (factor_a, factor_b, pooled, overlap): Spearman over all rows, mean share of the first's top set.
+
+    ``scored`` is ``with_top`` in long form, rows with a score only. Sessions in which one of the two has no top set don't
+    count; the sets are met on (session, security), not pair by pair.
+    """
+    side = lambda x: scored.select("session", "security_id", F.col("factor_id").alias(f"factor_{x}"), F.col("score").alias(x), F.col("__top").alias(f"top_{x}"))
+    both = side("a").join(side("b"), ["session", "security_id"]).where("factor_a < factor_b")
+    pooled = pooled_rank_corr(both, "a", "b", "factor_a", "factor_b")
+    hits = both.groupBy("factor_a", "factor_b", "session").agg(F.count_if(F.col("top_a") & F.col("top_b")).alias("hits"))
+    n = scored.where("__top").groupBy("factor_id", "session").agg(F.count("*").alias("n"))
+    sizes = n.select(F.col("factor_id").alias("factor_a"), "session", "n").join(n.select(F.col("factor_id").alias("factor_b"), "session"), "session").where("factor_a < factor_b")
+    shared = sizes.join(hits, ["factor_a", "factor_b", "session"], "left").groupBy("factor_a", "factor_b").agg(F.avg(F.coalesce("hits", F.lit(0)) / F.col("n")).alias("overlap"))
+    return pooled.join(shared, ["factor_a", "factor_b"], "left")

@@ -68,8 +68,12 @@ def cohort_nav(grid: DataFrame, weights: DataFrame, fee: float = 0.001) -> DataF
     executions = weights.select("execution").distinct()
     order = Window.orderBy("execution")  # a calendar of executions
     spans = executions.select("execution", F.lead("execution").over(order).alias("until"))
-    prices = grid.withColumn("price", ts.forward_fill(F.col("close"))).select("session", "security_id", "price")
-    held = weights.join(F.broadcast(spans), "execution").join(prices.withColumnRenamed("session", "at"), "security_id").where((F.col("at") >= F.col("execution")) & (F.col("until").isNull() | (F.col("at") <= F.col("until"))))
+    # which cohorts a session belongs to: the running one, and at an execution also the one that ends; two at most
+    calendar = grid.select(F.col("session").alias("at")).distinct().join(F.broadcast(spans.withColumnRenamed("execution", "at").withColumn("begins", F.col("at"))), "at", "left")
+    running = calendar.select("at", F.last("begins", ignorenulls=True).over(Window.orderBy("at").rowsBetween(Window.unboundedPreceding, 0)).alias("execution")).where("execution is not null")
+    belongs = running.join(F.broadcast(spans), "execution").unionByName(spans.where("until is not null").select("execution", F.col("until").alias("at"), "until"))
+    prices = grid.withColumn("price", ts.forward_fill(F.col("close"))).select(F.col("session").alias("at"), "security_id", "price").join(F.broadcast(belongs), "at")
+    held = weights.join(prices, ["execution", "security_id"])
     run = Window.partitionBy("execution", "security_id").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
     held = held.withColumn("value", F.col("weight") * F.coalesce(F.try_divide("price", F.first("price", ignorenulls=True).over(run)), F.lit(1.0)))
     # each cohort's worth of 1 put in: securities and cash

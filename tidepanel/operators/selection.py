@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidepanel.functions import crosssection as cs
 from tidepanel.functions import scalar as sc
+from tidepanel.operators.ordering import places
 
 
 def composite(shares: DataFrame, k: int, direction: Column | None = None) -> DataFrame:
@@ -143,10 +144,9 @@ def eligible(rows: DataFrame, tests: dict[str, Column]) -> DataFrame:
 def liquid_universe(rows: DataFrame, tests: dict[str, Column], liquidity: str, least: int, most: int) -> DataFrame:
     """Eligible rows get places by liquidity; the first ``most`` are in, and if fewer than ``least`` are eligible none is."""
     out = eligible(rows, tests)
-    order = Window.partitionBy("eligible").orderBy(F.desc_nulls_last(liquidity), "security_id")
-    out = out.withColumn("place", F.when(F.col("eligible"), F.row_number().over(order)))
+    placed = places(out.where("eligible").select("security_id", liquidity), liquidity, "security_id").select("security_id", "place")
     n = out.agg(F.count_if("eligible").alias("n_eligible"))
-    return out.join(F.broadcast(n)).withColumn("selected", F.col("eligible") & (F.col("n_eligible") >= least) & (F.col("place") <= most))
+    return out.join(placed, "security_id", "left").join(F.broadcast(n)).withColumn("selected", F.col("eligible") & (F.col("n_eligible") >= least) & (F.col("place") <= most))
 
 
 def deduplicated(definitions: DataFrame, identity: list[str], order: list[Column]) -> DataFrame:

@@ -10,6 +10,7 @@ from tidepanel.functions import timeseries as ts
 from tidepanel.operators import accounts as ac
 from tidepanel.operators import asof
 from tidepanel.operators import quality as dq
+from tidepanel.operators.ordering import places
 from tidepanel.operators.portfolio import whole_shares
 from tidepanel.operators.selection import deduplicated
 from tidepanel.plans.registry import add, query, rounded
@@ -190,8 +191,10 @@ add("set_04_duplicates", lambda spark, sf_dir: dq.duplicate_keys(read(spark, sf_
 
 @query("wn_03_row_rank", "SELECT s_suppkey, row_number() OVER (ORDER BY s_acctbal DESC NULLS LAST, s_suppkey) AS place, rank() OVER (PARTITION BY s_nationkey ORDER BY s_acctbal DESC NULLS LAST) AS national FROM supplier")
 def wn_03(spark, sf_dir):
-    s = read(spark, sf_dir, "supplier")
-    return s.select("s_suppkey", F.row_number().over(Window.orderBy(F.desc_nulls_last("s_acctbal"), "s_suppkey")).cast("long").alias("place"), F.rank().over(Window.partitionBy("s_nationkey").orderBy(F.desc_nulls_last("s_acctbal"))).cast("long").alias("national"))
+    """Places of all rows by cells of values, and ranks within a group."""
+    s = read(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey", "s_acctbal")
+    national = F.rank().over(Window.partitionBy("s_nationkey").orderBy(F.desc_nulls_last("s_acctbal"))).cast("long")
+    return places(s, "s_acctbal", "s_suppkey").select("s_suppkey", "place", national.alias("national"))
 
 
 @query("wn_04_12_representative", "WITH r AS (SELECT s_nationkey, s_suppkey, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey % 13 = 0 DESC, s_acctbal DESC NULLS LAST, s_suppkey) AS k FROM supplier) SELECT s_nationkey, s_suppkey FROM r WHERE k = 1")
@@ -266,10 +269,10 @@ def ca_07(spark, sf_dir):
     return o.select("o_orderkey", F.array_join(sc.reasons({"CROSSED": F.col("bid") > F.col("ask"), "STALE": F.col("age") > 60, "HALTED": F.col("halted")}), ",").alias("reasons"))
 
 
-@query("ca_08_09_exposure_windows", """WITH e AS (SELECT o_orderkey AS id, o_custkey AS c, CAST(o_orderdate AS DATE) AS s, CAST(o_orderdate AS DATE) + 5 AS t, [o_orderpriority] AS scope FROM orders WHERE o_orderdate < TIMESTAMP '1998-01-01')
+@query("ca_08_09_exposure_windows", """WITH e AS (SELECT o_orderkey AS id, o_custkey AS c, CAST(o_orderdate AS DATE) AS s, CAST(o_orderdate AS DATE) + 5 AS t, [o_orderpriority] AS scope FROM orders)
 SELECT a.id AS a, b.id AS b FROM e a JOIN e b ON a.c = b.c AND a.id < b.id AND a.s < b.t AND b.s < a.t AND list_has_any(a.scope, b.scope)""")
 def ca_09(spark, sf_dir):
-    o = read(spark, sf_dir, "orders").where("o_orderdate < timestamp'1998-01-01'").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("c"), F.to_date("o_orderdate").alias("s"), F.date_add(F.to_date("o_orderdate"), 5).alias("t"), F.array("o_orderpriority").alias("scope"))
+    o = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("c"), F.to_date("o_orderdate").alias("s"), F.date_add(F.to_date("o_orderdate"), 5).alias("t"), F.array("o_orderpriority").alias("scope"))
     return ac.exposures(o, "c").select("a", "b")
 
 

@@ -142,20 +142,17 @@ def src_10(spark, sf_dir):
     return filings.latest_artifacts(o, F.lit("1998-01-01").cast("timestamp")).select("issuer", "kind", "url", "sha")
 
 
-@query("ag_10_pooled_conflicts", f"""{SQL_BASE}, {SQL_TOP}, a AS (SELECT session, security_id, score AS x FROM s WHERE factor_id = 'reversal' AND score IS NOT NULL), b AS (SELECT session, security_id, score AS y FROM s WHERE factor_id = 'activity' AND score IS NOT NULL),
-j AS (SELECT rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2.0 AS x, rank() OVER (ORDER BY y) + (count(*) OVER (PARTITION BY y) - 1) / 2.0 AS y FROM a JOIN b USING (session, security_id)),
-ta AS (SELECT session, security_id FROM top WHERE factor_id = 'reversal'), tb AS (SELECT session, security_id FROM top WHERE factor_id = 'activity'),
-o AS (SELECT session, count(tb.security_id) / count(*) AS o FROM ta LEFT JOIN tb USING (session, security_id) WHERE session IN (SELECT session FROM tb) GROUP BY 1)
-SELECT round((SELECT corr(x, y) FROM j), 6) + 0.0 AS pooled, round((SELECT avg(o) FROM o), 6) + 0.0 AS overlap""")
+@query("ag_10_pooled_conflicts", f"""{SQL_BASE}, {SQL_TOP}, a AS (SELECT factor_id, session, security_id, score FROM s WHERE score IS NOT NULL),
+j AS (SELECT a.factor_id AS factor_a, b.factor_id AS factor_b, a.score AS x, b.score AS y FROM a JOIN a b ON a.session = b.session AND a.security_id = b.security_id AND a.factor_id < b.factor_id),
+r AS (SELECT factor_a, factor_b, rank() OVER (PARTITION BY factor_a, factor_b ORDER BY x) + (count(*) OVER (PARTITION BY factor_a, factor_b, x) - 1) / 2.0 AS x, rank() OVER (PARTITION BY factor_a, factor_b ORDER BY y) + (count(*) OVER (PARTITION BY factor_a, factor_b, y) - 1) / 2.0 AS y FROM j),
+c AS (SELECT factor_a, factor_b, corr(x, y) AS pooled FROM r GROUP BY 1, 2),
+o AS (SELECT factor_a, factor_b, t.session, count(u.security_id) / count(*) AS o FROM c JOIN top t ON t.factor_id = factor_a LEFT JOIN top u ON u.factor_id = factor_b AND u.session = t.session AND u.security_id = t.security_id
+  WHERE (factor_b, t.session) IN (SELECT factor_id, session FROM top) GROUP BY 1, 2, 3)
+SELECT factor_a, factor_b, round(any_value(pooled), 6) + 0.0 AS pooled, round(avg(o), 6) + 0.0 AS overlap FROM c LEFT JOIN o USING (factor_a, factor_b) GROUP BY 1, 2""")
 def ag_10(spark, sf_dir):
-    """Spearman over all sessions at once, and the shared part of top sets over the size of one."""
-    s = dg.with_top(scores(spark, sf_dir).where("factor_id in ('reversal', 'activity')"), ["factor_id"]).where("score is not null")
-    a, b = (s.where(F.col("factor_id") == f).select("session", "security_id", F.col("score").alias(x), F.col("__top").alias(f"t{x}")) for f, x in (("reversal", "x"), ("activity", "y")))
-    j = a.join(b, ["session", "security_id"]).withColumn("pool", F.lit(1))
-    pooled = dg.rank_ic(j, ["pool"], "x", "y").select(rounded(F.col("ic")).alias("pooled"))
-    sets = a.where("tx").join(b.where("ty").select("session").distinct(), "session").join(b.where("ty").select("session", "security_id", F.lit(1).alias("hit")), ["session", "security_id"], "left")
-    overlap = sets.groupBy("session").agg((F.count("hit") / F.count("*")).alias("o")).agg(rounded(F.avg("o")).alias("overlap"))
-    return pooled.join(overlap)
+    """Spearman of each two factors over all sessions at once, and the shared part of their top sets over the size of the first."""
+    s = dg.with_top(scores(spark, sf_dir), ["factor_id"]).where("score is not null")
+    return dg.pooled_conflicts(s).select("factor_a", "factor_b", rounded(F.col("pooled")).alias("pooled"), rounded(F.col("overlap")).alias("overlap"))
 
 
 @query("ag_11_group_ic", f"""{SQL_BASE}, both_ AS (SELECT *, security_id % 2 AS g FROM p WHERE score IS NOT NULL AND forward_return IS NOT NULL),
