@@ -178,13 +178,6 @@ def ag_20(spark, sf_dir):
     return dg.ic_summary(dg.rank_ic(c, ["composite_id", "session"]), ["composite_id"]).select("composite_id", rounded(F.col("mean_ic")).alias("mean_ic"), "n_sessions")
 
 
-@query("ag_26_turnover_summary", "WITH t AS (SELECT o_custkey, sum(o_totalprice) AS x FROM orders GROUP BY 1) SELECT count(*) AS n, count(*) FILTER (x > 500000) AS binding, round(count(*) FILTER (x > 500000) / count(*), 6) + 0.0 AS rate FROM t")
-def ag_26(spark, sf_dir):
-    t = read(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.sum("o_totalprice").alias("x"))
-    hit = F.count_if(F.col("x") > 500000)
-    return t.agg(F.count("*").alias("n"), hit.alias("binding"), rounded(hit / F.count("*")).alias("rate"))
-
-
 @query("tk_10_review_list", "WITH r AS (SELECT p_brand, p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC, p_partkey) AS k FROM part WHERE p_size > 10) SELECT p_brand, p_partkey FROM r WHERE k = 1")
 def tk_10(spark, sf_dir):
     """The first of each mechanism among reviewed candidates."""
