@@ -66,8 +66,11 @@ def next_at(times: DataFrame, asked: DataFrame, key: Sequence[str], time: str, a
 def mapped(facts: DataFrame, catalogue: DataFrame) -> DataFrame:
     """Facts with the one best binding of the catalogue for their tag, unit and filing date, or the reason for none.
 
-    Catalogue rows: tag, issuer (NULL: any), unit, valid_from, valid_to, priority, field. Facts: fact_id, tag, issuer, unit, filed.
+    Catalogue rows: tag, issuer (NULL: any), unit, valid_from, valid_to, priority, field. Facts: fact_id, tag, issuer, unit, filed,
+    and perhaps dimension: a fact of a part of the issuer (a dimension that is not blank) is deferred whatever its tag.
     """
+    part = F.trim(F.coalesce(F.col("dimension").cast("string"), F.lit(""))) != "" if "dimension" in facts.columns else F.lit(False)
+    facts = facts.withColumn("of_part", part)
     c = F.broadcast(catalogue.select(*(F.col(x).alias(f"c_{x}") for x in catalogue.columns)))
     tagged = facts.join(c, F.col("tag") == F.col("c_tag"), "left")
     fits = (F.col("c_issuer").isNull() | (F.col("c_issuer") == F.col("issuer"))) & (F.col("filed") >= F.col("c_valid_from")) & (F.col("c_valid_to").isNull() | (F.col("filed") <= F.col("c_valid_to")))
@@ -77,9 +80,9 @@ def mapped(facts: DataFrame, catalogue: DataFrame) -> DataFrame:
     tagged = tagged.withColumn("is_best", good & (F.col("c_priority") == best))
     out = tagged.groupBy("fact_id").agg(
         F.count_if("is_best").alias("n_best"), F.first(F.when(F.col("is_best"), F.col("c_field")), ignorenulls=True).alias("field"),
-        F.bool_or(F.col("c_tag").isNotNull()).alias("known_tag"), F.bool_or("in_range").alias("any_range"))
-    status = F.when(F.col("n_best") == 1, "MAPPED").when(F.col("n_best") > 1, "DEFERRED_SEMANTIC_AMBIGUITY").when(~F.col("known_tag"), "DEFERRED_CUSTOM_TAG").when(F.col("any_range"), "DEFERRED_UNIT_OR_BASIS").otherwise("DEFERRED_SEMANTIC")
-    return out.select("fact_id", F.when(F.col("n_best") == 1, F.col("field")).alias("field"), status.alias("status"))
+        F.bool_or(F.col("c_tag").isNotNull()).alias("known_tag"), F.bool_or("in_range").alias("any_range"), F.bool_or("of_part").alias("of_part"))
+    status = F.when(F.col("of_part"), "DEFERRED_DIMENSION").when(F.col("n_best") == 1, "MAPPED").when(F.col("n_best") > 1, "DEFERRED_SEMANTIC_AMBIGUITY").when(~F.col("known_tag"), "DEFERRED_CUSTOM_TAG").when(F.col("any_range"), "DEFERRED_UNIT_OR_BASIS").otherwise("DEFERRED_SEMANTIC")
+    return out.select("fact_id", F.when((F.col("n_best") == 1) & ~F.col("of_part"), F.col("field")).alias("field"), status.alias("status"))
 
 
 def overlapping(intervals: DataFrame, key: str, member: str, start: str, end: str) -> DataFrame:

@@ -100,8 +100,9 @@ class Factor:
         return self.delay + self.expression.lookback + max(0, self.decay - 1)
 
 
-def _fields(node: Node) -> set[str]:
-    return {node.parts[0]} if node.name == "col" else {f for p in node.parts if isinstance(p, Node) for f in _fields(p)}
+def fields_of(node: Node) -> set[str]:
+    """Fields of the panel that an expression reads."""
+    return {node.parts[0]} if node.name == "col" else {f for p in node.parts if isinstance(p, Node) for f in fields_of(p)}
 
 
 def evaluate(panel: DataFrame, factors: list[Factor], labels: DataFrame | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -112,7 +113,7 @@ def evaluate(panel: DataFrame, factors: list[Factor], labels: DataFrame | None =
     """
     made: dict[Node, str] = {}
     out = panel
-    for delay, name in sorted({(f.delay, n) for f in factors for n in _fields(f.expression)}):
+    for delay, name in sorted({(f.delay, n) for f in factors for n in fields_of(f.expression)}):
         out = out.withColumn(f"__{name}_{delay}", ts.ts_delay(F.col(name), delay) if delay else F.col(name))
 
     def moved(node: Any, delay: int) -> Any:

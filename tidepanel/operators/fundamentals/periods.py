@@ -6,6 +6,8 @@ source_id, value. Cumulative facts of one fiscal year share ``period_start``.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -83,12 +85,18 @@ def annual_proxy(facts: DataFrame, ttm: DataFrame) -> DataFrame:
 
 
 def by_basis(facts: DataFrame) -> DataFrame:
-    """All bases as one table: RAW, QUARTERLY_DISCRETE and TTM."""
-    q = quarters(facts)
+    """All bases as one table: RAW, INSTANT, ANNUAL, QUARTERLY_DISCRETE and TTM, with the grade of each value.
+
+    ``fact_type`` (INSTANT or DURATION; all durations without the column) says which rules apply. ANNUAL takes facts that cover
+    a whole fiscal year. Where a year has no trailing sum, its annual fact stands in as TTM with the grade HYPOTHESIS_PROXY.
+    """
+    kind = F.col("fact_type") if "fact_type" in facts.columns else F.lit("DURATION")
+    facts = facts.withColumn("fact_type", kind)
+    spans = facts.where("fact_type = 'DURATION'")
+    annual = spans.where(label(F.col("fiscal_period"), F.datediff("period_end", "period_start") + 1) == "FY")
+    q = quarters(spans)
+    ttm = trailing_year(q)
     keep = (*SERIES, "period_end", "available_at", "accession", "value")
-    parts = ((facts, "RAW"), (facts.where("fiscal_period = 'FY'"), "ANNUAL"), (q, "QUARTERLY_DISCRETE"), (trailing_year(q), "TTM"))
-    out = None
-    for df, basis in parts:
-        df = df.select(*keep, F.lit(basis).alias("basis"))
-        out = df if out is None else out.unionByName(df)
-    return out
+    direct, made, proxy = "SOURCE_LINKED_DIRECT", "SOURCE_LINKED_DERIVED", "HYPOTHESIS_PROXY"
+    parts = ((facts, "RAW", direct), (facts.where("fact_type = 'INSTANT'"), "INSTANT", direct), (annual, "ANNUAL", direct), (q, "QUARTERLY_DISCRETE", made), (ttm, "TTM", made), (annual_proxy(annual, ttm), "TTM", proxy))
+    return reduce(DataFrame.unionByName, (df.select(*keep, F.lit(basis).alias("basis"), F.lit(grade).alias("grade")) for df, basis, grade in parts))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidepanel.functions import scalar as sc
+from tidepanel.operators.asof import next_at
 
 OBSERVATION = "struct<start:string,end:string,val:double,accn:string,fy:int,fp:string,form:string,filed:string,frame:string>"
 FACTS = f"struct<cik:bigint,entityName:string,facts:map<string,map<string,struct<label:string,description:string,units:map<string,array<{OBSERVATION}>>>>>>"
@@ -42,13 +43,16 @@ def ticker_index(documents: DataFrame, column: str = "json") -> DataFrame:
 def historical_availability(facts: DataFrame, index: DataFrame, calendar: DataFrame) -> DataFrame:
     """Facts with the time from which they could be known: acceptance and ten minutes, else the next session's close.
 
-    ``calendar`` has session and close_at and is a dimension of a few thousand rows.
+    The next session is the first after the day of filing, within two weeks. ``calendar`` has session and close_at and is a
+    dimension of a few thousand rows; the days of filing are looked up in it once each.
     """
-    following = F.broadcast(calendar.agg(F.sort_array(F.collect_list(F.struct("session", "close_at"))).alias("all")))
-    rows = facts.join(index.select("issuer", "accession", "accepted"), ["issuer", "accession"], "left").join(following)
-    after = F.element_at(F.filter("all", lambda s: (s["session"] > F.col("filed")) & (s["session"] <= F.date_add("filed", 14))), 1)
-    rows = rows.withColumn("after", F.when(F.col("accepted").isNull() & (F.size(F.filter("all", lambda s: (s["session"] > F.col("filed")) & (s["session"] <= F.date_add("filed", 14)))) > 0), after))
-    return rows.withColumns({"historical_available_at": F.coalesce(F.col("accepted") + F.expr("interval 10 minutes"), F.col("after.close_at")), "precision": F.when(F.col("accepted").isNotNull(), "EXACT").when(F.col("after").isNotNull(), "NEXT_SESSION").otherwise("UNKNOWN")}).drop("all", "after")
+    days = facts.select("filed").where("filed is not null").distinct().withColumn("k", F.lit(1))
+    found = next_at(calendar.select("session", F.lit(1).alias("k")), days, ["k"], "session", "filed")
+    after = found.where(F.col("next_session") <= F.date_add("filed", 14)).select("filed", F.col("next_session").alias("session")).join(F.broadcast(calendar.select("session", "close_at")), "session").select("filed", "close_at")
+    rows = facts.join(index.select("issuer", "accession", "accepted"), ["issuer", "accession"], "left").join(F.broadcast(after), "filed", "left")
+    known = F.coalesce(F.col("accepted") + F.expr("interval 10 minutes"), F.col("close_at").cast("timestamp"))
+    precision = F.when(F.col("accepted").isNotNull(), "EXACT").when(F.col("close_at").isNotNull(), "NEXT_SESSION").otherwise("UNKNOWN")
+    return rows.withColumns({"historical_available_at": known, "precision": precision}).drop("close_at")
 
 
 def latest_artifacts(ledger: DataFrame, cutoff) -> DataFrame:
