@@ -49,14 +49,15 @@ def places(rows: DataFrame, value: str, key: str, name: str = "place", parts: in
     return out.withColumn(name, F.col("__before") + F.col("__within")).drop("__x", "__k", "__cell", "__part", "__within", "__before")
 
 
-def pooled_ranks(rows: DataFrame, value: str, name: str, *by: str, parts: int = 32) -> DataFrame:
+def pooled_ranks(rows: DataFrame, value: str, name: str, *by: str, parts: int = 32, bounds: list[float] | None = None) -> DataFrame:
     """Rows with the rank of ``value`` among all rows of ``by`` (or of the table), ties at their middle; missing ones have none.
 
     Equal values are counted first, so ranks are found on distinct values, however often one occurs. ``by`` names few groups.
+    ``bounds`` are quantiles of the value, where they are known.
     """
     n = rows.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("__n"))
     n = n.withColumn("__x", F.col(value).cast("double"))
-    (bounds,) = _bounds(n, ["__x"], parts)
+    bounds = _bounds(n, ["__x"], parts)[0] if bounds is None else bounds
     n = n.withColumn("__cell", _cell(bounds, F.col("__x")))
     upto = Window.partitionBy(*by).orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)
     offsets = n.groupBy(*by, "__cell").agg(F.sum("__n").alias("__all")).select(*by, "__cell", F.coalesce(F.sum("__all").over(upto), F.lit(0)).alias("__before"))
@@ -69,6 +70,7 @@ def pooled_ranks(rows: DataFrame, value: str, name: str, *by: str, parts: int =
 def pooled_rank_corr(rows: DataFrame, x: str, y: str, *by: str) -> DataFrame:
     """Spearman's correlation of x and y over all rows of each ``by`` that have both: (by, pooled)."""
     both = rows.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    both = pooled_ranks(pooled_ranks(both, x, "__rx", *by), y, "__ry", *by)
+    of_x, of_y = _bounds(both.select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")), ["x", "y"], 32)
+    both = pooled_ranks(pooled_ranks(both, x, "__rx", *by, bounds=of_x), y, "__ry", *by, bounds=of_y)
     varies = F.stddev_pop("__rx") * F.stddev_pop("__ry")
     return both.groupBy(*by).agg(F.when(varies > 1e-12, F.covar_pop("__rx", "__ry") / varies).alias("pooled"))

@@ -65,13 +65,14 @@ def cohort_nav(grid: DataFrame, weights: DataFrame, fee: float = 0.001) -> DataF
     (the last one known). A session's return is that of drifted weights; at an execution, half-open turnover is the sum of
     absolute differences between drifted and new weights, charged at ``fee``. This is a model in return space.
     """
-    executions = weights.select("execution").distinct()
-    order = Window.orderBy("execution")  # a calendar of executions
-    spans = executions.select("execution", F.lead("execution").over(order).alias("until"))
-    # which cohorts a session belongs to: the running one, and at an execution also the one that ends; two at most
-    calendar = grid.select(F.col("session").alias("at")).distinct().join(F.broadcast(spans.withColumnRenamed("execution", "at").withColumn("begins", F.col("at"))), "at", "left")
-    running = calendar.select("at", F.last("begins", ignorenulls=True).over(Window.orderBy("at").rowsBetween(Window.unboundedPreceding, 0)).alias("execution")).where("execution is not null")
-    belongs = running.join(F.broadcast(spans), "execution").unionByName(spans.where("until is not null").select("execution", F.col("until").alias("at"), "until"))
+    # executions are a calendar, so each session takes them as an array: it belongs to the running cohort, and at an execution
+    # also to the one that ends
+    executions = weights.agg(F.sort_array(F.collect_set("execution")).alias("all"))
+    done = F.size(F.filter("all", lambda e: e <= F.col("at")))
+    calendar = grid.select(F.col("session").alias("at")).distinct().join(F.broadcast(executions)).withColumn("done", done).where("done > 0")
+    cohort = lambda i, until: F.struct(F.get("all", i).alias("execution"), until.alias("until"))
+    ending = F.when((F.get("all", F.col("done") - 1) == F.col("at")) & (F.col("done") > 1), cohort(F.col("done") - 2, F.col("at")))
+    belongs = calendar.select("at", F.explode(F.array_compact(F.array(cohort(F.col("done") - 1, F.get("all", F.col("done"))), ending))).alias("c")).select("at", "c.*")
     prices = grid.withColumn("price", ts.forward_fill(F.col("close"))).select(F.col("session").alias("at"), "security_id", "price").join(F.broadcast(belongs), "at")
     held = weights.join(prices, ["execution", "security_id"])
     run = Window.partitionBy("execution", "security_id").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)

@@ -10,6 +10,7 @@ from tidepanel.functions import timeseries as ts
 from tidepanel.operators import accounts as ac
 from tidepanel.operators import asof
 from tidepanel.operators import quality as dq
+from tidepanel.operators import rollups as ru
 from tidepanel.operators.ordering import places
 from tidepanel.operators.portfolio import whole_shares
 from tidepanel.operators.selection import deduplicated
@@ -153,8 +154,8 @@ def join_17(spark, sf_dir):
     v = panels.versions(spark, sf_dir)
     p = v.where("accession % 7 != 0").withColumn("value", F.col("value") + F.when(F.col("accession") % 50 == 0, 1).otherwise(0))
     keys = ["security_id", "field", "accession", "period_end"]
-    j = p.join(v.where("accession % 11 != 0").withColumnRenamed("value", "source"), keys, "left")
-    return j.groupBy("field").agg(F.count("*").alias("n"), F.count_if(F.col("source").isNull()).alias("missing"), F.count_if(F.abs(F.col("value") - F.col("source")) > 1e-9 * F.greatest(F.lit(1.0), F.abs("source"))).alias("differing"))
+    out = ru.lineage(p, v.where("accession % 11 != 0"), keys)
+    return out.groupBy("field").agg(F.count("*").alias("n"), F.count_if(F.col("lineage") == "MISSING").alias("missing"), F.count_if(F.col("lineage") == "DIFFERENT").alias("differing"))
 
 
 @query("join_18_domicile", "SELECT s_suppkey, n_name, r_name IN ('AMERICA', 'EUROPE') AS domestic FROM supplier LEFT JOIN nation ON s_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey")
@@ -289,57 +290,57 @@ def tk_13(spark, sf_dir):
 
 @query("ag_16_field_coverage", f"WITH {SQL_VERSIONS} SELECT field, count(*) AS n_rows, count(DISTINCT security_id) AS securities, count(DISTINCT available_at) AS sessions, round(avg(CASE WHEN isfinite(value) THEN 1.0 ELSE 0.0 END), 6) + 0.0 AS finite FROM versions_l GROUP BY 1")
 def ag_16(spark, sf_dir):
-    v = panels.versions(spark, sf_dir)
-    return v.groupBy("field").agg(F.count("*").alias("n_rows"), F.count_distinct("security_id").alias("securities"), F.count_distinct("available_at").alias("sessions"), rounded(F.avg(sc.is_finite(F.col("value")).cast("double"))).alias("finite"))
+    return ru.field_coverage(panels.versions(spark, sf_dir)).withColumn("finite", rounded(F.col("finite")))
 
 
 @query("ag_18_coverage_counts", "SELECT count(*) AS requested, count(*) FILTER (c_acctbal >= 0) AS eligible, count(*) FILTER (c_acctbal < 0) AS excluded, count(*) FILTER (c_acctbal >= 0 AND c_custkey IN (SELECT o_custkey FROM orders)) AS processed FROM customer")
 def ag_18(spark, sf_dir):
-    c = read(spark, sf_dir, "customer").join(read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey")).distinct().withColumn("has", F.lit(True)), "c_custkey", "left")
-    good = F.col("c_acctbal") >= 0
-    return c.agg(F.count("*").alias("requested"), F.count_if(good).alias("eligible"), F.count_if(~good).alias("excluded"), F.count_if(good & F.col("has").isNotNull()).alias("processed"))
+    done = read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    return ru.coverage_counts(read(spark, sf_dir, "customer"), done, "c_custkey", F.col("c_acctbal") >= 0)
 
 
 @query("ag_22_calendar_returns", f"""WITH {SQL_SUPPLIERS}, m AS (SELECT session, avg(close) AS v FROM bars_l GROUP BY 1), y AS (SELECT year(session)::INT AS year, last(v ORDER BY session) AS v, first(v ORDER BY session) AS f FROM m GROUP BY 1) SELECT year, round(v / coalesce(lag(v) OVER (ORDER BY year), f) - 1, 6) + 0.0 AS change FROM y""")
 def ag_22(spark, sf_dir):
     m = panels.supplier_bars(spark, sf_dir).groupBy("session").agg(F.avg("close").alias("v"))
-    y = m.groupBy(F.year("session").alias("year")).agg(F.max_by("v", "session").alias("v"), F.min_by("v", "session").alias("f"))
-    return y.select("year", rounded(F.try_divide("v", F.coalesce(F.lag("v").over(Window.orderBy("year")), "f")) - 1).alias("change"))
+    return ru.calendar_returns(m, "v").withColumn("change", rounded(F.col("change")))
 
 
-@query("ag_24_trade_totals", "SELECT round(sum(l_extendedprice), 2) + 0.0 AS notional, round(sum(l_extendedprice) / 2, 2) + 0.0 AS half_turnover, round(sum(l_extendedprice * l_tax), 2) + 0.0 AS fees, round(sum(CASE WHEN l_returnflag = 'R' THEN l_extendedprice ELSE -l_extendedprice END), 2) + 0.0 AS cash_change FROM lineitem")
+@query("ag_24_trade_totals", """WITH t AS (SELECT l_linestatus, l_extendedprice AS x, l_extendedprice * l_tax AS fee, l_returnflag FROM lineitem)
+SELECT l_linestatus, round(sum(x), 2) + 0.0 AS notional, round(sum(x) / 1e6, 6) + 0.0 AS gross_turnover, round(sum(x) / 2e6, 6) + 0.0 AS half_turnover, round(sum(fee), 2) + 0.0 AS fees, round(sum(CASE WHEN l_returnflag = 'R' THEN x ELSE -x END - fee), 2) + 0.0 AS cash_change FROM t GROUP BY 1""")
 def ag_24(spark, sf_dir):
     x = F.col("l_extendedprice")
-    return read(spark, sf_dir, "lineitem").agg(rounded(F.sum(x), 2).alias("notional"), rounded(F.sum(x) / 2, 2).alias("half_turnover"), rounded(F.sum(x * F.col("l_tax")), 2).alias("fees"), rounded(F.sum(F.when(F.col("l_returnflag") == "R", x).otherwise(-x)), 2).alias("cash_change"))
+    t = read(spark, sf_dir, "lineitem").select("l_linestatus", x.alias("notional"), (x * F.col("l_tax")).alias("fee"), F.when(F.col("l_returnflag") == "R", "SELL").otherwise("BUY").alias("side"), F.lit(1e6).alias("nav"))
+    digits = {"notional": 2, "gross_turnover": 6, "half_turnover": 6, "fees": 2, "cash_change": 2}
+    return ru.trade_totals(t, "l_linestatus").select("l_linestatus", *(rounded(F.col(c), d).alias(c) for c, d in digits.items()))
 
 
-@query("ag_27_time_weighted", """WITH s AS (SELECT o_custkey AS account, o_orderkey AS k, o_orderdate AS t, 1000 + o_totalprice / 1000 AS pre, CASE WHEN o_orderkey % 4 = 0 THEN 50.0 ELSE 0.0 END AS flow FROM orders), r AS (SELECT account, (pre - flow) / lag(pre) OVER (PARTITION BY account ORDER BY t, k) AS f FROM s) SELECT account, round(product(coalesce(f, 1)) - 1, 6) + 0.0 AS total FROM r GROUP BY 1""")
+@query("ag_27_time_weighted", """WITH s AS (SELECT o_custkey AS account, o_orderkey AS k, o_orderdate AS t, 1000 + o_totalprice / 1000 AS pre, CASE WHEN o_orderkey % 4 = 0 THEN 50.0 ELSE 0.0 END AS flow FROM orders), r AS (SELECT account, coalesce((pre - flow) / lag(pre) OVER (PARTITION BY account ORDER BY t, k), 1) * ((pre - 1) / pre) AS f FROM s) SELECT account, round(product(f) - 1, 6) + 0.0 AS total FROM r GROUP BY 1""")
 def ag_27(spark, sf_dir):
+    """Accounts whose trades cost one at each snapshot."""
     s = read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("account"), F.struct("o_orderdate", "o_orderkey").alias("at"), (1000 + F.col("o_totalprice") / 1000).alias("pre"), F.when(F.col("o_orderkey") % 4 == 0, 50.0).otherwise(0.0).alias("flow"))
-    r = s.withColumn("f", F.try_divide(F.col("pre") - F.col("flow"), F.lag("pre").over(Window.partitionBy("account").orderBy("at"))))
-    return r.groupBy("account").agg(rounded(F.product(F.coalesce("f", F.lit(1.0))) - 1).alias("total"))
+    return ru.time_weighted(s.withColumn("post", F.col("pre") - 1)).withColumn("total", rounded(F.col("total")))
 
 
-@query("ag_28_registry_rollup", "WITH d AS (SELECT p_brand AS id, p_type || '|' || p_size AS h FROM part) SELECT id, count(*) AS n, count(DISTINCT h) AS definitions, count(DISTINCT h) > 1 AS conflicting FROM d GROUP BY 1")
+@query("ag_28_registry_rollup", "WITH d AS (SELECT p_brand AS id, p_type || '|' || p_size AS h, p_size FROM part) SELECT id, count(*) AS n, count(DISTINCT h) AS definitions, count(DISTINCT h) > 1 AS conflicting, count(*) FILTER (p_size > 10) AS safe, count(*) FILTER (p_size % 2 = 0) AS complete FROM d GROUP BY 1")
 def ag_28(spark, sf_dir):
-    d = read(spark, sf_dir, "part").select(F.col("p_brand").alias("id"), sc.identity(F.col("p_type"), F.col("p_size")).alias("h"))
-    return d.groupBy("id").agg(F.count("*").alias("n"), F.count_distinct("h").alias("definitions"), (F.count_distinct("h") > 1).alias("conflicting"))
+    d = read(spark, sf_dir, "part").select(F.col("p_brand").alias("id"), sc.identity(F.col("p_type"), F.col("p_size")).alias("hash"), (F.col("p_size") > 10).alias("safe"), (F.col("p_size") % 2 == 0).alias("complete"))
+    return ru.registry_rollup(d)
 
 
-@query("ag_29_31_field_demand", """WITH f AS (SELECT p_partkey, unnest(string_split(p_type, ' ')) AS field FROM part) SELECT p_partkey, count(*) AS needed, bool_and(field IN ('STANDARD', 'SMALL', 'ANODIZED', 'PLATED', 'TIN', 'NICKEL', 'ECONOMY', 'BRUSHED', 'STEEL')) AS supported,
-CASE WHEN bool_and(length(field) > 5) THEN 'LONG_ONLY' WHEN bool_or(length(field) > 5) THEN 'MIXED' ELSE 'NONE' END AS demand FROM f GROUP BY 1""")
+@query("ag_29_31_field_demand", """WITH f AS (SELECT DISTINCT p_partkey AS definition_id, unnest(string_split(p_type, ' ')) AS field FROM part), w AS (SELECT field, length(field) AS n FROM (SELECT DISTINCT field FROM f)), s AS (SELECT 'wide' AS provider, field FROM w UNION ALL SELECT 'narrow', field FROM w WHERE n > 5)
+SELECT definition_id, provider, count(*) AS needed, count(s.field) AS supported, count(*) = count(s.field) AS candidate FROM f CROSS JOIN (SELECT DISTINCT provider FROM s) p LEFT JOIN s USING (provider, field) GROUP BY 1, 2""")
 def ag_29(spark, sf_dir):
-    f = read(spark, sf_dir, "part").select("p_partkey", F.explode(F.split("p_type", " ")).alias("field"))
-    known = F.col("field").isin("STANDARD", "SMALL", "ANODIZED", "PLATED", "TIN", "NICKEL", "ECONOMY", "BRUSHED", "STEEL")
-    long = F.length("field") > 5
-    return f.groupBy("p_partkey").agg(F.count("*").alias("needed"), F.bool_and(known).alias("supported"), F.when(F.bool_and(long), "LONG_ONLY").when(F.bool_or(long), "MIXED").otherwise("NONE").alias("demand"))
+    """Which parts each of two providers can serve, one of all words and one of long words."""
+    f = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("definition_id"), F.explode(F.split("p_type", " ")).alias("field"))
+    words = f.select("field").distinct()
+    supported = words.withColumn("provider", F.lit("wide")).unionByName(words.where("length(field) > 5").withColumn("provider", F.lit("narrow")))
+    return ru.field_demand(f, supported)
 
 
 @query("ag_30_reason_histogram", "WITH r AS (SELECT unnest(list_filter([CASE WHEN s_acctbal < 0 THEN 'BALANCE:' || s_nationkey END, CASE WHEN s_suppkey % 3 = 0 THEN 'THIRD:x' END], lambda x: x IS NOT NULL)) AS r FROM supplier) SELECT split_part(r, ':', 1) AS reason, count(*) AS n FROM r GROUP BY 1")
 def ag_30(spark, sf_dir):
-    s = read(spark, sf_dir, "supplier")
     r = F.array_compact(F.array(F.when(F.col("s_acctbal") < 0, F.concat(F.lit("BALANCE:"), F.col("s_nationkey"))), F.when(F.col("s_suppkey") % 3 == 0, F.lit("THIRD:x"))))
-    return s.select(F.explode(r).alias("r")).groupBy(F.split_part("r", F.lit(":"), F.lit(1)).alias("reason")).agg(F.count("*").alias("n"))
+    return ru.reason_histogram(read(spark, sf_dir, "supplier").withColumn("reasons", r))
 
 
 @query("ag_32_identity_dedupe", "WITH p AS (SELECT p_partkey AS definition_id, first_value(p_partkey) OVER w AS kept_id, row_number() OVER w AS k FROM part WINDOW w AS (PARTITION BY p_brand, p_size ORDER BY p_retailprice DESC, p_partkey)) SELECT definition_id, kept_id, CASE WHEN k = 1 THEN 'KEPT' ELSE 'SAME_IDENTITY' END AS reason FROM p")
