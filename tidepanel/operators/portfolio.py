@@ -58,18 +58,19 @@ def whole_shares(targets: DataFrame, positions: DataFrame, quotes: DataFrame, na
     return rows.select("security_id", "held", "target", "difference", side.alias("side"), notional.alias("notional"), (notional * fee).alias("fee"))
 
 
-def cohort_nav(grid: DataFrame, weights: DataFrame, fee: float = 0.001) -> DataFrame:
+def cohort_nav(grid: DataFrame, weights: DataFrame, fee: float = 0.001, sessions: DataFrame | None = None) -> DataFrame:
     """Net value per session of held cohorts: (session, gross_return, turnover, nav).
 
     ``weights`` (execution, security_id, weight) hold from their execution to the next, drifting with each security's price
     (the last one known). A session's return is that of drifted weights; at an execution, half-open turnover is the sum of
-    absolute differences between drifted and new weights, charged at ``fee``. This is a model in return space.
+    absolute differences between drifted and new weights, charged at ``fee``. This is a model in return space. ``sessions`` is
+    the grid's calendar; without it the grid is read once more for it.
     """
     # executions are a calendar, so each session takes them as an array: it belongs to the running cohort, and at an execution
     # also to the one that ends
     executions = weights.agg(F.sort_array(F.collect_set("execution")).alias("all"))
     done = F.size(F.filter("all", lambda e: e <= F.col("at")))
-    calendar = grid.select(F.col("session").alias("at")).distinct().join(F.broadcast(executions)).withColumn("done", done).where("done > 0")
+    calendar = (grid if sessions is None else sessions).select(F.col("session").alias("at")).distinct().join(F.broadcast(executions)).withColumn("done", done).where("done > 0")
     cohort = lambda i, until: F.struct(F.get("all", i).alias("execution"), until.alias("until"))
     ending = F.when((F.get("all", F.col("done") - 1) == F.col("at")) & (F.col("done") > 1), cohort(F.col("done") - 2, F.col("at")))
     belongs = calendar.select("at", F.explode(F.array_compact(F.array(cohort(F.col("done") - 1, F.get("all", F.col("done"))), ending))).alias("c")).select("at", "c.*")

@@ -379,6 +379,11 @@ def tk_04(spark, sf_dir):
     return out.select("security_id", F.array_join("reasons", ",").alias("reasons"), "eligible", F.col("place").cast("long").alias("place"), F.coalesce("selected", F.lit(False)).alias("selected"))
 
 
+def _nav(spark, sf_dir) -> DataFrame:
+    days = panels.read(spark, sf_dir, "events").select(F.to_date("ts").alias("session"))
+    return pf.cohort_nav(panels.event_grid(spark, sf_dir), _weights(spark, sf_dir), sessions=days)
+
+
 def _weights(spark, sf_dir) -> DataFrame:
     top = dg.with_top(scores(spark, sf_dir).where("factor_id = 'reversal'"), ["factor_id"]).where("__top")
     rows = top.join(F.broadcast(signals(spark, sf_dir)), "session")
@@ -406,14 +411,14 @@ nav AS (SELECT session, g, t, product((1 + g) * (1 - 0.001 * t)) OVER (ORDER BY
 
 @query("bt_01_cohort_nav", f"{_SQL_NAV} SELECT session, round(g, 6) + 0.0 AS gross_return, round(t, 6) + 0.0 AS turnover, round(nav, 6) + 0.0 AS nav FROM nav")
 def bt_01(spark, sf_dir):
-    out = pf.cohort_nav(panels.event_grid(spark, sf_dir), _weights(spark, sf_dir))
+    out = _nav(spark, sf_dir)
     return out.select("session", *(rounded(F.col(c)).alias(c) for c in ("gross_return", "turnover", "nav")))
 
 
 @query("ag_21_nav_metrics", f"""{_SQL_NAV}, m AS (SELECT *, coalesce(nav / lag(nav) OVER (ORDER BY session) - 1, 0) AS ret, nav / max(nav) OVER (ORDER BY session ROWS UNBOUNDED PRECEDING) - 1 AS fall FROM nav)
 SELECT round(last(nav ORDER BY session) / first(nav ORDER BY session) - 1, 6) + 0.0 AS total_return, round(stddev_samp(ret) * sqrt(252), 6) + 0.0 AS volatility, round(avg(ret) * 252 / nullif(stddev_samp(ret) * sqrt(252), 0), 6) + 0.0 AS sharpe, round(min(fall), 6) + 0.0 AS max_drawdown FROM m""")
 def ag_21(spark, sf_dir):
-    nav = pf.cohort_nav(panels.event_grid(spark, sf_dir), _weights(spark, sf_dir)).withColumn("pool", F.lit(1))
+    nav = _nav(spark, sf_dir).withColumn("pool", F.lit(1))
     out = dg.nav_metrics(nav, ["pool"])
     return out.select(*(rounded(F.col(c)).alias(c) for c in ("total_return", "volatility", "sharpe", "max_drawdown")))
 
