@@ -52,9 +52,7 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    if not _staged:
-        atexit.register(_clean)
-    _staged[path] = spark
+    on_exit(spark, path)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.staged_path = path
@@ -64,6 +62,13 @@ def staged(df: DataFrame, label: str) -> DataFrame:
 _staged: dict[str, SparkSession] = {}
 
 
+def on_exit(spark: SparkSession, path: str) -> None:
+    """A folder that is removed when the driver ends."""
+    if not _staged:
+        atexit.register(_clean)
+    _staged[path] = spark
+
+
 def discard(df: DataFrame) -> None:
     """Remove a staged table that no later step reads."""
     path = getattr(df, "staged_path", None)

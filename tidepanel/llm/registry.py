@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidepanel.llm import chat_format, language_id, licenses, mixing, near_dedup, pieces, pii, secrets, topk_search, winnowing
+from tidepanel.llm import chat_format, language_id, licenses, mixing, near_dedup, pieces, pii, secrets, token_shards, topk_search, winnowing
 
 QUERIES = {
     "op1_hyperminhash": near_dedup.op1_hyperminhash,
@@ -16,6 +16,7 @@ QUERIES = {
     "op8_pii": pii.op8_pii,
     "op9_licenses": licenses.op9_licenses,
     "op10_secrets": secrets.op10_secrets,
+    "op12_token_shards": token_shards.op12_token_shards,
 }
 ORACLES = {
     "op1_hyperminhash": near_dedup.ORACLE,
