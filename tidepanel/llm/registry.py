@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidepanel.llm import chat_format, language_id, licenses, mixing, near_dedup, pieces, pii, secrets, token_shards, topk_search, winnowing
+from tidepanel.llm import chat_format, collocations, importance, language_id, licenses, mixing, near_dedup, pieces, pii, secrets, token_shards, topk_search, winnowing
 
 QUERIES = {
     "op1_hyperminhash": near_dedup.op1_hyperminhash,
@@ -16,7 +16,9 @@ QUERIES = {
     "op8_pii": pii.op8_pii,
     "op9_licenses": licenses.op9_licenses,
     "op10_secrets": secrets.op10_secrets,
+    "op11_importance": importance.op11_importance,
     "op12_token_shards": token_shards.op12_token_shards,
+    "op13_collocations": collocations.op13_collocations,
 }
 ORACLES = {
     "op1_hyperminhash": near_dedup.ORACLE,
@@ -26,4 +28,6 @@ ORACLES = {
     "op8_pii": pii.ORACLE,
     "op9_licenses": licenses.ORACLE,
     "op10_secrets": secrets.ORACLE,
+    "op11_importance": importance.ORACLE,
+    "op13_collocations": collocations.ORACLE,
 }
