@@ -19,6 +19,7 @@ import io
 import json
 import os
 import re
+import string
 import struct
 import uuid
 from collections.abc import Iterator
@@ -31,7 +32,7 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSource
 from pyspark.sql.pandas.types import from_arrow_schema, to_arrow_schema
 from pyspark.sql.types import StructType
 
-from tidepanel.llm.common import on_exit, row_runs, shared_dir, staged, table, utf8
+from tidepanel.llm.common import SPACES, on_exit, row_runs, shared_dir, table, utf8
 
 VOCABULARY = os.environ.get("TIDEPANEL_BYTE_BPE", "/opt/tokenizers/byte_bpe_50k.json")
 END_ID = 2
@@ -39,12 +40,21 @@ MAGIC = b"TIDEZ001"
 DICTIONARY_BYTES = 1 << 16
 #: The dictionary learns from so many documents at most, and from so many characters of each.
 SAMPLE_DOCS, SAMPLE_CHARS = 2_000, 8_192
-SHARD_TOKENS, LEAST_SHARDS = 1 << 26, 8
-#: Words whose ids a worker keeps; beyond it starts afresh. About 250 bytes each.
+#: A shard has documents of about so many characters.
+SHARD_LETTERS, LEAST_SHARDS = 1 << 26, 16
+#: Words whose ids a worker keeps, about 250 bytes each.
 KEPT_WORDS = 400_000
 #: Distinct words are handed to the tokenizer in texts of so many words.
 _JOINED = 4_096
 _CHUNK = 1 << 22
+#: Kinds of bytes; those from ``_PLAIN`` on are visible.
+_OTHER, _WIDE, _SPACE, _PLAIN, _LETTER, _MARK = range(6)
+_KIND = np.full(256, _OTHER, np.uint8)
+_KIND[0x80:] = _WIDE
+_KIND[list(SPACES)] = _SPACE
+_KIND[0x21:0x7F] = _PLAIN
+_KIND[list(string.ascii_letters.encode())] = _LETTER
+_KIND[list(string.punctuation.encode())] = _MARK
 _TAIL = struct.Struct("<Q8s")
 
 
@@ -53,8 +63,8 @@ class WordIds:
 
     The pattern by which such a tokenizer cuts a text never joins a character that isn't white space to white space after it.
     A text may thus be cut before each white space that follows a visible character, and its parts encoded apart: their ids
-    in a row are those of the text. Texts are cut at ASCII white space only, and not after characters that could be white
-    space themselves.
+    in a row are those of the text. The same holds between a letter and a punctuation mark after it. Texts are cut at ASCII
+    white space and marks only, and not after characters that could be white space themselves.
     """
 
     def __init__(self, path: str = VOCABULARY, kept: int = KEPT_WORDS):
@@ -72,17 +82,18 @@ class WordIds:
         self.bytes_of = np.zeros(self.size, np.int64)
         for token, i in vocabulary.items():
             self.bytes_of[i] = len(token)
-        self.kept, self.known = kept, {}
+        self.kept, self.known, self.before = kept, {}, {}
 
     def _ids(self, texts: list[str]) -> list[np.ndarray]:
         return [np.asarray(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, words: list[bytes]) -> None:
         """Words that begin with white space and end without it are encoded in a row, and told apart by their bytes."""
-        apart = [w for w in words if w[0] > 0x20 or w[-1] <= 0x20 or w[-1] >= 0x80]
+        apart = [w for w in words if w[0] > 0x20 or w[-1] <= 0x20 or (w[-1] >= 0x80 and w.decode()[-1].isspace())]
+        alone = set(apart)
         for word, ids in zip(apart, self._ids([w.decode() for w in apart]), strict=True):
             self.known[word] = ids.tobytes()
-        rest = [w for w in words if not (w[0] > 0x20 or w[-1] <= 0x20 or w[-1] >= 0x80)]
+        rest = [w for w in words if w not in alone]
         rows = [rest[i : i + _JOINED] for i in range(0, len(rest), _JOINED)]
         for row, ids in zip(rows, self._ids([b"".join(r).decode() for r in rows]), strict=True):
             ends = np.searchsorted(np.cumsum(self.bytes_of[ids]), np.cumsum([len(w) for w in row])) + 1
@@ -91,35 +102,60 @@ class WordIds:
                 self.known[word] = raw[4 * at : 4 * end]
                 at = end
 
+    def _raw(self, words: list[bytes]) -> list[bytes]:
+        """The ids of each word, as bytes. Words are kept in two generations: those met again outlive those met once."""
+        new, old = self.known, self.before
+        self._learn([w for w in words if w not in new and w not in old])
+        found = []
+        for w in words:
+            ids = new.get(w)
+            if ids is None:
+                ids = new[w] = old.pop(w)
+            found.append(ids)
+        if len(new) > self.kept // 2:
+            self.known, self.before = {}, new
+        return found
+
     def encode(self, column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
         """For runs of rows [lo, hi): their ids in a row and the offsets of each row in them. Null is empty."""
         data, at = utf8(column)
         for lo, hi in row_runs(at, _CHUNK):
-            part, rows = data[at[lo] : at[hi]], at[lo : hi + 1] - at[lo]
-            space = (part == 0x20) | ((part >= 0x09) & (part <= 0x0D))
-            visible = (part > 0x20) & (part < 0x7F)
-            # the last byte of a letter: not of a character whose first byte is C2 or E1 to E3, which may be white space
-            wide = part >= 0x80
-            wide[1:] &= part[:-1] != 0xC2
-            wide[2:] &= (part[:-2] < 0xE1) | (part[:-2] > 0xE3)
-            cut = np.zeros(len(part), bool)
-            cut[1:] = space[1:] & (visible | wide)[:-1]
-            cut[rows[:-1][np.diff(rows) > 0]] = True
-            starts = np.flatnonzero(cut)
-            words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(np.append(starts, len(part))), pa.py_buffer(np.ascontiguousarray(part))]).dictionary_encode()
-            distinct = words.dictionary.to_pylist()
-            if len(self.known) > self.kept:
-                self.known = {}
-            self._learn([w for w in distinct if w not in self.known])
-            raw = [self.known[w] for w in distinct]
-            sizes = np.fromiter(map(len, raw), np.int64, len(raw)) // 4
-            flat, of = np.frombuffer(b"".join(raw), np.uint32), words.indices.to_numpy(zero_copy_only=False)
-            n = sizes[of]
-            ends = np.concatenate(([0], np.cumsum(n)))
-            ids = flat[np.repeat((np.cumsum(sizes) - sizes)[of] - ends[:-1], n) + np.arange(ends[-1])] if len(of) else flat
+            rows = at[lo : hi + 1] - at[lo]
+            starts = _cuts(data[at[lo] : at[hi]], rows)
+            words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(np.append(starts, rows[-1])), pa.py_buffer(np.ascontiguousarray(data[at[lo] : at[hi]]))]).dictionary_encode()
+            ids, ends = _taken(self._raw(words.dictionary.to_pylist()), words.indices.to_numpy(zero_copy_only=False))
             yield lo, hi, ids, ends[np.searchsorted(starts, rows)]
 
 
+def _cuts(data: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Where words begin, and each text that isn't empty."""
+    kind = _KIND[data]
+    cut = np.zeros(len(data), bool)
+    # the last byte of a letter: not of a character whose first byte is C2 or E1 to E3, which may be white space
+    visible = kind >= _PLAIN
+    wide = np.flatnonzero(kind == _WIDE)
+    lead = np.maximum(data[np.maximum(wide - 1, 0)] == 0xC2, (data[np.maximum(wide - 2, 0)] >= 0xE1) & (data[np.maximum(wide - 2, 0)] <= 0xE3))
+    visible[wide[~lead]] = True
+    cut[1:] = ((kind[1:] == _SPACE) & visible[:-1]) | ((kind[1:] == _MARK) & (kind[:-1] == _LETTER))
+    cut[rows[:-1][np.diff(rows) > 0]] = True
+    return np.flatnonzero(cut)
+
+
+def _taken(raw: list[bytes], of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of words ``of`` in a row, and where each word's begin."""
+    sizes = np.fromiter(map(len, raw), np.int64, len(raw)) // 4
+    flat, n = np.frombuffer(b"".join(raw), np.uint32), sizes[of]
+    ends = np.concatenate(([0], np.cumsum(n)))
+    if not len(of):
+        return flat, ends
+    # each place is one after that before it, but for the first of each word
+    step = np.ones(ends[-1], np.int64)
+    firsts = (np.cumsum(sizes) - sizes)[of]
+    step[ends[:-1]] = np.diff(firsts + n - 1, prepend=0) - n + 1
+    step[0] = firsts[0]
+    return flat[np.cumsum(step)], ends
+
+
 _encoders: dict[str, WordIds] = {}
 
 
@@ -334,18 +370,18 @@ def write_shards(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     ``path`` is a new folder that all machines share (a URI that pyarrow opens; a path without a scheme is a local one).
     Null texts are empty: the end id alone. Very long texts are encoded whole. Null ids come first; rows that repeat an id
     stand together in the order they were read. Equal texts have equal ids. An empty table gives a manifest without shards;
-    other columns are not read, so their names can't clash. Each shard is one task's range of ids; a frequent id is cut
-    between shards by the rows' numbers.
+    other columns are not read, so their names can't clash. Each shard is one task's range of ids, sorted, encoded and written
+    there; a frequent id is cut between shards by the rows' numbers.
     """
     spark = docs.sparkSession
     dictionary = train_dictionary(docs, id_col, text_col, vocabulary, end_id)
     named = hashlib.sha256(dictionary).hexdigest()
     _put(path, f"dictionary-{named}.zdict", dictionary)
-    rows = compressed(docs, dictionary, id_col, text_col, vocabulary, end_id).withColumn("seq", F.monotonically_increasing_id())
-    rows = staged(rows, "frames")
-    tokens = rows.agg(F.sum("n_tokens")).first()[0] or 0
-    shards = max(LEAST_SHARDS, -(-tokens // SHARD_TOKENS))
-    ordered = rows.repartitionByRange(shards, F.asc_nulls_first("id"), "seq").sortWithinPartitions(F.asc_nulls_first("id"), "seq").drop("seq")
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.monotonically_increasing_id().alias("seq"))
+    letters = rows.agg(F.sum(F.length("text"))).first()[0] or 0
+    shards = max(LEAST_SHARDS, -(-letters // SHARD_LETTERS))
+    ranged = rows.repartitionByRange(shards, F.asc_nulls_first("id"), "seq").sortWithinPartitions(F.asc_nulls_first("id"), "seq").drop("seq")
+    ordered = compressed(ranged, dictionary, "id", "text", vocabulary, end_id)
     spark.dataSource.register(TokenShards)
     ordered.write.format("token_shards").mode("append").options(path=path, dictionary=named, width=_width(_encoder(vocabulary).size, end_id)).save()
     return json.loads(_get(path, "manifest.json"))
