@@ -170,7 +170,7 @@ def test_streams(spark, tmp_path):
     first = next(r for r in bars if r["session"] == dt.date(2024, 1, 1))
     assert (first["open"], first["high"], first["low"], first["close"], first["volume"]) == (3.0, 5.0, 1.0, 5.0, 3)
     assert len(drained(streaming.stream_fills(source()), "fills")) == 3
-    calendar = spark.createDataFrame([(dt.date(2024, 1, 1), at(1, 16), dt.date(2024, 1, 2)), (dt.date(2024, 1, 2), at(2, 16), dt.date(2024, 1, 3))], "session date, close_at timestamp, next_session date")
+    calendar = spark.createDataFrame([(dt.date(2024, 1, 1), at(1, 16), dt.date(2024, 1, 2)), (dt.date(2024, 1, 2), at(2, 16), dt.date(2024, 1, 3))], "day date, close_at timestamp, next_session date")
     routed = {r["event_id"]: r["usable_session"].day for r in drained(streaming.route_late(source(), calendar), "routed")}
     assert routed == {1: 1, 2: 2, 3: 2, 4: 3}
 

@@ -68,6 +68,17 @@ def dotted_ticker(ticker: Column) -> Column:
     return F.regexp_replace(F.upper(F.trim(ticker)), "-", ".")
 
 
+def utc_instant(wall: Column) -> Column:
+    """A time without a zone as the instant that it names in UTC, whatever the session's zone."""
+    zero = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    return F.timestamp_micros(F.timestamp_diff("MICROSECOND", zero, wall.cast("timestamp_ntz")))
+
+
+def utc_date(instant: Column) -> Column:
+    """The date of an instant in UTC."""
+    return F.date_from_unix_date(F.floor(F.unix_seconds(instant) / 86_400).cast("int"))
+
+
 def padded_id(number: Column, width: int = 10) -> Column:
     return F.lpad(F.trim(number.cast("string")), width, "0")
 

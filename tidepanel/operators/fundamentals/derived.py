@@ -13,7 +13,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidepanel.functions import scalar as sc
-from tidepanel.operators.asof import as_of
 
 
 #: Fixed values of the contract: what a grade may be, which conventions make a negative value positive, units that are no currency.
@@ -72,65 +71,91 @@ DEFINITIONS = {
 _PAYLOAD = ("value", "unit", "semantic_grade", "sign_convention", "dimensions", "fiscal_year", "fiscal_period", "accounting_period_end")
 
 
-def _latest_inputs(versions: DataFrame, events: DataFrame, fields: tuple[str, ...], prior: tuple[str, ...]) -> DataFrame:
-    """For each event (security_id, at) a struct of each field's latest known version (NULL without one), a struct of its version
-    for the same date a fiscal year earlier (``then_``) and whether that year has any (``year_``)."""
-    grid = events.withColumn("field", F.explode(F.array(*map(F.lit, fields))))
-    keys = ["security_id", "field"]
-    rows = versions.where(F.col("field").isin(*fields))
-    found = as_of(rows, grid, keys, "available_at", ["period_end", "available_at", "source_id"], list(_PAYLOAD), session="at")
-    fact = F.struct("period_end", "source_id", "field", *_PAYLOAD)
-    found = found.withColumn("now", F.when(F.col("source_id").isNotNull(), fact)).select("security_id", "at", "field", "now")
-    wide = found.groupBy("security_id", "at").agg(*(F.max(F.when(F.col("field") == f, F.col("now"))).alias(f) for f in fields))
-    if not prior:
-        return wide
-    # all versions of the year before that are known: a handful, as a year's figure is restated a few times
-    asked = found.where(F.col("field").isin(*prior) & F.col("now").isNotNull()).select("security_id", "field", (F.col("now.fiscal_year") - 1).alias("fiscal_year"), F.col("at").alias("__at"), F.lit(1).alias("__kind"), "now")
-    old = rows.where(F.col("field").isin(*prior)).select("security_id", "field", "fiscal_year", F.col("available_at").alias("__at"), F.lit(0).alias("__kind"), F.struct("available_at", "period_end", "source_id", "field", *_PAYLOAD).alias("__old"))
-    known = F.collect_list("__old").over(Window.partitionBy("security_id", "field", "fiscal_year").orderBy("__at", "__kind").rowsBetween(Window.unboundedPreceding, 0))
-    both = asked.unionByName(old, allowMissingColumns=True).withColumn("known", known).where("__kind = 1")
-
-    def anchored(x: Column) -> Column:
-        period = F.col("now.fiscal_period").isNull() | x["fiscal_period"].isNull() | (F.upper("now.fiscal_period") == F.upper(x["fiscal_period"]))
-        day = (F.month(x["period_end"]) == F.month("now.period_end")) & (F.day(x["period_end"]) == F.day("now.period_end"))
-        return F.coalesce(period & day, F.lit(False))
-
-    told = both.select("security_id", F.col("__at").alias("at"), "field", F.array_max(F.filter("known", anchored)).dropFields("available_at").alias("then"), (F.size("known") > 0).alias("any"))
-    then = told.groupBy("security_id", "at").agg(*(x for f in prior for x in (F.max(F.when(F.col("field") == f, F.col("then"))).alias(f"then_{f}"), F.coalesce(F.bool_or(F.when(F.col("field") == f, F.col("any"))), F.lit(False)).alias(f"year_{f}"))))
-    return wide.join(then, ["security_id", "at"], "left")
-
-
-def _reason() -> Column:
-    """The first reason against a derived field, or NULL, from the columns field, grade, daily, now, then, years, x and y of ``_judged``.
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(x)`` with ``value`` computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _sequence(versions: DataFrame, prices: DataFrame | None) -> DataFrame:
+    """A row for each event (security_id, at): is_fact, is_price, raw_close, currency, and of each input what is new there
+    (``new_``) and, of those asked for a year before, all versions that are (``old_``). One shuffle, by security."""
+    order, old = ("period_end", "available_at", "source_id"), ("available_at", "period_end", "source_id")
+    fact = F.struct(*order, "field", *_PAYLOAD)
+    rows = versions.select("security_id", F.col("available_at").alias("at"), fact.alias("f"))
+    if prices is not None:
+        quoted = prices.where(F.col("raw_close").isNotNull())
+        rows = rows.unionByName(quoted.select("security_id", "at", F.struct(F.col("raw_close").cast("double").alias("raw_close"), "currency").alias("price")), allowMissingColumns=True)
+    else:
+        rows = rows.withColumn("price", F.lit(None).cast("struct<raw_close: double, currency: string>"))
+    is_it = lambda name: F.col("f.field") == name
+    new = (F.max(F.when(is_it(i), F.col("f"))).alias(f"new_{i}") for i in _INPUTS)
+    told = (F.collect_list(F.when(is_it(p), F.struct(*(F.col(f"f.{c}").alias(c) for c in (*old, "field", *_PAYLOAD))))).alias(f"old_{p}") for p in _PRIOR)
+    events = rows.repartition("security_id").groupBy("security_id", "at").agg(F.max("price").alias("price"), F.bool_or(F.col("f").isNotNull()).alias("is_fact"), *new, *told)
+    return events.withColumns({"is_price": F.col("price").isNotNull(), "raw_close": F.col("price.raw_close"), "currency": F.col("price.currency")}).drop("price")
+
+
+def _inputs_at(events: DataFrame) -> DataFrame:
+    """Each event with the latest known version of each input (NULL without one), its version for the same date a fiscal year
+    earlier (``then_``) and whether that year has any (``year_``): running maxima and lists over the security's events."""
+    upto = Window.partitionBy("security_id").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    # only filings ask for the year before, so prices aren't in the sequence that lists versions
+    filed = Window.partitionBy("security_id", "is_fact").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    now = {i: F.max(f"new_{i}").over(upto).dropFields("available_at") for i in _INPUTS}
+    known = {f"known_{p}": F.flatten(F.collect_list(F.when(F.size(f"old_{p}") > 0, F.col(f"old_{p}"))).over(filed)) for p in _PRIOR}
+    rows = events.withColumns(now | known)
+
+    def year_before(p: str) -> Column:
+        return F.filter(f"known_{p}", lambda x: x["fiscal_year"] == F.col(f"{p}.fiscal_year") - 1)
+
+    def anchored(p: str):
+        def same(x: Column) -> Column:
+            now = F.col(p)
+            period = now["fiscal_period"].isNull() | x["fiscal_period"].isNull() | (F.upper(now["fiscal_period"]) == F.upper(x["fiscal_period"]))
+            day = (F.month(x["period_end"]) == F.month(now["period_end"])) & (F.day(x["period_end"]) == F.day(now["period_end"]))
+            return F.coalesce(period & day, F.lit(False))
+
+        return same
+
+    def told_of(p: str) -> Column:
+        return _bound(year_before(p), lambda v: F.struct((F.size(v) > 0).alias("year"), F.array_max(F.filter(v, anchored(p))).dropFields("available_at").alias("then")))
+
+    told = {p: told_of(p) for p in _PRIOR}
+    rows = rows.withColumns({f"told_{p}": F.when(F.col("is_fact"), t) for p, t in told.items()})
+    rows = rows.withColumns({f"then_{p}": F.col(f"told_{p}.then") for p in _PRIOR} | {f"year_{p}": F.coalesce(f"told_{p}.year", F.lit(False)) for p in _PRIOR})
+    return rows.drop(*(f"{k}_{p}" for k in ("known", "old", "told") for p in _PRIOR), *(f"new_{i}" for i in _INPUTS))
+
+
+def _reason(r: Column, currency: Column) -> Column:
+    """The first reason against a derived field, or NULL, from its struct r: field, grade, daily, now, then and years.
 
     Each input in order is there, of an approved grade and sign; then ends of periods, contexts and currencies agree, the year
-    before is there and agrees too, and the field's own tests hold.
+    before is there and agrees too.
     """
     def usable(x: Column) -> Column:
         grade, sign = F.upper(F.coalesce(x["semantic_grade"], F.lit(""))), F.upper(F.coalesce(x["sign_convention"], F.lit("")))
-        out = F.when(~grade.isin(*APPROVED_GRADES), "INPUT_SEMANTIC_GRADE_UNAPPROVED").when((F.col("grade") == "SOURCE_LINKED_DERIVED") & (grade == "HYPOTHESIS_PROXY"), "INPUT_SEMANTIC_GRADE_INCOMPATIBLE")
+        out = F.when(~grade.isin(*APPROVED_GRADES), "INPUT_SEMANTIC_GRADE_UNAPPROVED").when((r["grade"] == "SOURCE_LINKED_DERIVED") & (grade == "HYPOTHESIS_PROXY"), "INPUT_SEMANTIC_GRADE_INCOMPATIBLE")
         for name, needed in REQUIRED_SIGNS.items():
             out = out.when((x["field"] == name) & (sign != needed), "INPUT_SIGN_CONVENTION_UNAPPROVED")
         return out
 
     def first(reasons: Column) -> Column:
-        return F.get(F.filter(reasons, lambda r: r.isNotNull()), 0)
+        return F.get(F.filter(reasons, lambda r: r.isNotNull()), F.lit(0))
 
     def differ(values: Column) -> Column:
         return F.size(F.array_distinct(F.filter(values, lambda v: v.isNotNull()))) > 1
 
     def agree(facts: Column) -> Column:
         money = F.transform(facts, lambda x: F.when(~F.upper(F.coalesce(x["unit"], F.lit(""))).isin(*NON_CURRENCY_UNITS), x["unit"]))
-        money = F.array_append(money, F.when(F.col("daily"), F.col("currency")))
+        money = F.array_append(money, F.when(r["daily"], currency))
         return F.when(differ(F.transform(facts, lambda x: F.coalesce(x["dimensions"], F.lit("")))), "INPUT_CONTEXT_MISMATCH").when(differ(money), "INPUT_CURRENCY_MISMATCH")
 
-    now, then = F.col("now"), F.col("then")
+    now, then = r["now"], r["then"]
     ends = F.transform(now, lambda x: F.when(x["field"] == "market_cap_sec_proxy", x["accounting_period_end"]).otherwise(x["period_end"]))
     return F.coalesce(
-        F.when((F.col("field") == "market_cap_sec_proxy") & F.col("currency").isNull(), "PRICE_CURRENCY_MISSING"),
+        F.when((r["field"] == "market_cap_sec_proxy") & currency.isNull(), "PRICE_CURRENCY_MISSING"),
         first(F.transform(now, lambda x: F.when(x["value"].isNull() | F.isnan(x["value"]), "MISSING_INPUT").otherwise(usable(x)))),
         F.when(differ(ends), "INPUT_PERIOD_MISMATCH"), agree(now),
-        first(F.zip_with("years", then, lambda year, x: F.when(~F.coalesce(year, F.lit(False)), "PRIOR_FISCAL_YEAR_MISSING").when(x["field"].isNull(), "PRIOR_FISCAL_ANCHOR_MISMATCH").otherwise(usable(x)))),
+        first(F.zip_with(r["years"], then, lambda year, x: F.when(~F.coalesce(year, F.lit(False)), "PRIOR_FISCAL_YEAR_MISSING").when(x["field"].isNull(), "PRIOR_FISCAL_ANCHOR_MISMATCH").otherwise(usable(x)))),
         F.when(F.size(then) > 0, agree(F.concat(now, then))))
 
 
@@ -139,8 +164,8 @@ def _positive(facts: Column) -> Column:
     return F.transform(facts, lambda x: F.when(F.upper(F.coalesce(x["sign_convention"], F.lit(""))).isin(*POSITIVE_CONVENTIONS), F.abs(x["value"])).otherwise(x["value"]))
 
 
-def _judged(wide: DataFrame, names: tuple[str, ...]) -> DataFrame:
-    """Rows (security_id, at, field, value, reason, unit, ...) of the named fields at each event of their kind."""
+def _judged(names: tuple[str, ...]) -> Column:
+    """An array of structs (field, value, reason, unit, ...) of the named fields that an event of ``_inputs_at`` asks for."""
     def asked(name: str) -> Column:
         d = DEFINITIONS[name]
         then, years = ([F.col(f"{k}_{f}") for f in d.prior] for k in ("then", "year"))
@@ -150,29 +175,49 @@ def _judged(wide: DataFrame, names: tuple[str, ...]) -> DataFrame:
             (F.array(*then) if then else none).alias("then"), F.array(*years).cast("array<boolean>").alias("years"))
         return F.when(F.col("is_price") if d.daily else F.col("is_fact"), row)
 
-    rows = wide.select("security_id", "at", "raw_close", "currency", F.explode(F.array_compact(F.array(*map(asked, names)))).alias("r")).select("security_id", "at", "raw_close", "currency", "r.*")
-    rows = rows.withColumns({"reason": _reason(), "x": _positive(F.col("now")), "y": _positive(F.col("then"))})
-    value, own = F.lit(None).cast("double"), F.lit(None).cast("string")
-    for name in names:
-        d = DEFINITIONS[name]
-        now = lambda f, d=d: F.get("x", F.lit(d.inputs.index(f)))
-        then = lambda f, d=d: F.get("y", F.lit(d.prior.index(f)))
-        is_it = F.col("field") == name
-        value = F.when(is_it, d.formula(now, then)).otherwise(value)
-        for reason, holds in d.tests(now, then).items():
-            own = F.when(is_it & holds, reason).otherwise(own)
-    first = F.get("now", F.lit(0))
-    money = F.get(F.filter(F.transform("now", lambda x: F.when(~F.upper(F.coalesce(x["unit"], F.lit(""))).isin(*NON_CURRENCY_UNITS), x["unit"])), lambda u: u.isNotNull()), F.lit(0))
     ratios, shares = ([n for n in names if DEFINITIONS[n].unit == u] for u in ("ratio", "per share"))
-    unit = F.when(F.col("field").isin(*ratios), "ratio").when(F.col("field") == "market_cap_sec_proxy", F.col("currency")).when(F.col("field").isin(*shares), F.concat(money, F.lit("/share"))).otherwise(F.coalesce(money, F.lit("")))
-    rows = rows.withColumns({"value": value, "own": own})
-    reason = F.coalesce("reason", "own", F.when(~sc.is_finite(F.col("value")), "NON_FINITE_RESULT"))
-    sources = F.sort_array(F.array_compact(F.transform(F.concat("now", "then"), lambda x: x["source_id"])))
-    return rows.select(
-        "security_id", "at", "field", reason.alias("reason"), F.when(reason.isNull(), F.col("value")).alias("value"), unit.alias("unit"), F.col("grade").alias("semantic_grade"),
-        first["sign_convention"].alias("sign_convention"), first["dimensions"].alias("dimensions"), F.when(F.col("daily"), F.year("at")).otherwise(first["fiscal_year"]).cast("int").alias("fiscal_year"),
-        F.when(F.col("daily"), "DAILY").otherwise(first["fiscal_period"]).alias("fiscal_period"), F.when(F.col("daily"), F.col("at")).otherwise(first["period_end"]).alias("period_end"),
-        F.coalesce(first["accounting_period_end"], first["period_end"]).alias("accounting_period_end"), sources.alias("sources"))
+
+    def valued(r: Column):
+        def of(v: Column) -> Column:
+            value, own = F.lit(None).cast("double"), F.lit(None).cast("string")
+            for name in names:
+                d = DEFINITIONS[name]
+                now = lambda f, d=d: F.get(v["x"], F.lit(d.inputs.index(f)))
+                then = lambda f, d=d: F.get(v["y"], F.lit(d.prior.index(f)))
+                is_it = r["field"] == name
+                value = F.when(is_it, d.formula(now, then)).otherwise(value)
+                for reason, holds in d.tests(now, then).items():
+                    own = F.when(is_it & holds, reason).otherwise(own)
+            return F.struct(value.alias("value"), F.coalesce(v["reason"], own).alias("reason"))
+
+        return of
+
+    def told(r: Column):
+        def of(v: Column) -> Column:
+            reason = F.coalesce(v["reason"], F.when(~sc.is_finite(v["value"]), "NON_FINITE_RESULT"))
+            first = F.get(r["now"], F.lit(0))
+            money = F.get(F.filter(F.transform(r["now"], lambda x: F.when(~F.upper(F.coalesce(x["unit"], F.lit(""))).isin(*NON_CURRENCY_UNITS), x["unit"])), lambda u: u.isNotNull()), F.lit(0))
+            unit = F.when(r["field"].isin(*ratios), "ratio").when(r["field"] == "market_cap_sec_proxy", F.col("currency")).when(r["field"].isin(*shares), F.concat(money, F.lit("/share"))).otherwise(F.coalesce(money, F.lit("")))
+            sources = F.sort_array(F.array_compact(F.transform(F.concat(r["now"], r["then"]), lambda x: x["source_id"])))
+            return F.struct(
+                r["field"].alias("field"), reason.alias("reason"), F.when(reason.isNull(), v["value"]).alias("value"), unit.alias("unit"), r["grade"].alias("semantic_grade"),
+                first["sign_convention"].alias("sign_convention"), first["dimensions"].alias("dimensions"), F.when(r["daily"], F.year("at")).otherwise(first["fiscal_year"]).cast("int").alias("fiscal_year"),
+                F.when(r["daily"], "DAILY").otherwise(first["fiscal_period"]).alias("fiscal_period"), F.when(r["daily"], F.col("at")).otherwise(first["period_end"]).alias("period_end"),
+                F.coalesce(first["accounting_period_end"], first["period_end"]).alias("accounting_period_end"), sources.alias("sources"))
+
+        return of
+
+    def one(r: Column) -> Column:
+        values = F.struct(_positive(r["now"]).alias("x"), _positive(r["then"]).alias("y"), _reason(r, F.col("currency")).alias("reason"))
+        return _bound(_bound(values, valued(r)), told(r))
+
+    return F.transform(F.array_compact(F.array(*map(asked, names))), one)
+
+
+#: Derived fields that others take as inputs, all inputs that are no derived fields, and those asked for a year before.
+_EARLY = ("total_debt", "ebit", "market_cap_sec_proxy")
+_INPUTS = tuple(sorted({i for d in DEFINITIONS.values() for i in d.inputs} - set(_EARLY)))
+_PRIOR = tuple(sorted({f for d in DEFINITIONS.values() for f in d.prior}))
 
 
 def derive(versions: DataFrame, prices: DataFrame | None = None) -> DataFrame:
@@ -181,34 +226,25 @@ def derive(versions: DataFrame, prices: DataFrame | None = None) -> DataFrame:
 
     ``versions``: security_id, field, value, unit, semantic_grade, sign_convention, dimensions, fiscal_year, fiscal_period,
     period_end, available_at (a date), source_id, each field on the one basis that its definitions ask for. ``prices``:
-    security_id, at, raw_close, currency; the two proxies are made where there is one. Nothing is substituted: a missing input
-    is a reason. Fields made of other derived fields see those as versions known from the event that made them.
+    security_id, at, raw_close, currency, one for each security and time; the two proxies are made where there is one. Nothing
+    is substituted: a missing input is a reason. Fields made of other derived fields see those as versions known from the event
+    that made them.
+
+    A security's filings and prices are one sequence in one task; all that follows its one shuffle keeps that partitioning.
     """
     versions = versions.withColumn("accounting_period_end", F.col("period_end")) if "accounting_period_end" not in versions.columns else versions
-    facts = versions.select("security_id", F.col("available_at").alias("at")).distinct().withColumn("is_fact", F.lit(True))
-    if prices is None:
-        events = facts.withColumns({"is_price": F.lit(False), "raw_close": F.lit(None).cast("double"), "currency": F.lit(None).cast("string")})
-    else:
-        quoted = prices.where(F.col("raw_close").isNotNull()).select("security_id", "at", F.lit(True).alias("is_price"), F.col("raw_close").cast("double").alias("raw_close"), "currency")
-        events = facts.join(quoted, ["security_id", "at"], "full_outer").fillna(False, ["is_fact", "is_price"])
-    early = ("total_debt", "ebit", "market_cap_sec_proxy")  # inputs of others
-    inputs = tuple(sorted({i for d in DEFINITIONS.values() for i in d.inputs} - set(early)))
-    prior = tuple(sorted({f for d in DEFINITIONS.values() for f in d.prior}))
-    wide = _latest_inputs(versions, events.select("security_id", "at"), inputs, prior).join(events, ["security_id", "at"])
-    # their rows go along with the event, so that what others see of them is a running maximum over the security's events
-    made = F.collect_list(F.struct("field", "reason", "value", "unit", "semantic_grade", "sign_convention", "dimensions", "fiscal_year", "fiscal_period", "period_end", "accounting_period_end", "sources")).alias("made")
-    first = _judged(wide, early).groupBy("security_id", "at").agg(made)
-    wide = wide.join(first, ["security_id", "at"], "left")
+    rows = _inputs_at(_sequence(versions, prices)).withColumn("made", _judged(_EARLY))
     upto = Window.partitionBy("security_id").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
 
-    def known(name: str) -> Column:
-        one = F.get(F.filter("made", lambda r: (r["field"] == name) & r["reason"].isNull()), 0)
-        fact = F.struct(one["period_end"].alias("period_end"), F.col("at").alias("available_at"), F.concat_ws("|", F.lit(name), one["sources"]).alias("source_id"), F.lit(name).alias("field"), *(one[c].alias(c) for c in _PAYLOAD))
-        return F.max(F.when(one.isNotNull(), fact)).over(upto).dropFields("available_at")
+    def fact(name: str) -> Column:
+        """What later events see of an early field that is made here."""
+        one = lambda r: F.struct(r["period_end"].alias("period_end"), F.col("at").alias("available_at"), F.concat_ws("|", F.lit(name), r["sources"]).alias("source_id"), F.lit(name).alias("field"), *(r[c].alias(c) for c in _PAYLOAD))
+        return F.get(F.transform(F.filter("made", lambda r: (r["field"] == name) & r["reason"].isNull()), one), F.lit(0))
 
-    wide = wide.withColumns({n: known(n) for n in early})
-    rest = _judged(wide, tuple(n for n in DEFINITIONS if n not in early))
-    out = wide.select("security_id", "at", F.explode("made").alias("r")).select("security_id", "at", "r.*").unionByName(rest)
+    rows = rows.withColumns({f"new_{n}": fact(n) for n in _EARLY})
+    rows = rows.withColumns({n: F.max(f"new_{n}").over(upto).dropFields("available_at") for n in _EARLY})
+    rest = _judged(tuple(n for n in DEFINITIONS if n not in _EARLY))
+    out = rows.select("security_id", "at", F.explode(F.concat("made", rest)).alias("r")).select("security_id", "at", "r.*")
     # the same inputs give a value once, at the first event that has them; a price is new at each
     day = F.when(F.col("fiscal_period") == "DAILY", F.col("at"))
     place = F.row_number().over(Window.partitionBy("security_id", "field", "sources", day, F.col("reason").isNull()).orderBy("at"))

@@ -52,9 +52,10 @@ def fact_versions(spark, sf_dir) -> DataFrame:
 
 
 def month_closes(spark, sf_dir) -> DataFrame:
+    """Each month's last price in whole units, so that products of prices and shares are exact."""
     li = read(spark, sf_dir, "lineitem")
     order = F.struct("l_shipdate", "l_orderkey", "l_linenumber", "l_partkey")
-    out = li.groupBy(F.col("l_suppkey").alias("security_id"), F.last_day("l_shipdate").alias("at")).agg(F.max_by(F.try_divide("l_extendedprice", "l_quantity"), order).alias("raw_close"))
+    out = li.groupBy(F.col("l_suppkey").alias("security_id"), F.last_day("l_shipdate").alias("at")).agg(F.max_by(F.floor(F.try_divide("l_extendedprice", "l_quantity")).cast("double"), order).alias("raw_close"))
     return out.withColumn("currency", F.expr(_CURRENCY))
 
 
@@ -133,7 +134,7 @@ made{n} AS (SELECT * FROM ({" UNION ALL ".join(_sql_field(x, f"wide{n}") for x i
 _FIRST, _SECOND = tuple(x for x in _SQL_DEFINITIONS if x not in ("ebitda", "enterprise_value_sec_proxy")), ("ebitda", "enterprise_value_sec_proxy")
 _ORACLE = f"""WITH base AS (SELECT l_suppkey AS security_id, year(l_shipdate)::INT AS fy, count(*) AS n, {", ".join(f"CAST(floor({x} + 0.00001) AS DOUBLE) AS {k}" for k, x in _SUMS.items())} FROM lineitem GROUP BY 1, 2),
 fv AS (SELECT *, p AS e FROM ({_SQL_ROWS})),
-pe AS (SELECT l_suppkey AS security_id, last_day(CAST(l_shipdate AS DATE)) AS at, last(l_extendedprice / l_quantity ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey) AS raw_close FROM lineitem GROUP BY 1, 2),
+pe AS (SELECT l_suppkey AS security_id, last_day(CAST(l_shipdate AS DATE)) AS at, last(floor(l_extendedprice / l_quantity) ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey) AS raw_close FROM lineitem GROUP BY 1, 2),
 ev AS (SELECT coalesce(f.security_id, q.security_id) AS security_id, coalesce(f.at, q.at) AS at, f.at IS NOT NULL AS is_fact, q.at IS NOT NULL AS is_price, raw_close, currency FROM (SELECT DISTINCT security_id, a AS at FROM fv) f
   FULL JOIN (SELECT *, {_dialect(_CURRENCY)} AS currency FROM pe) q ON f.security_id = q.security_id AND f.at = q.at),
 {_sql_wave(1, "fv", _FIRST)},
