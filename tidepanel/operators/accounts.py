@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -29,20 +29,54 @@ def visible_actions(actions: DataFrame, cutoff: Column) -> DataFrame:
 
 
 def split_shares(positions: DataFrame, splits: DataFrame) -> DataFrame:
-    """Shares after all splits and whether they are whole."""
-    ratio = splits.groupBy("security_id").agg(F.product("ratio").alias("ratio"))
-    out = positions.join(ratio, "security_id", "left").withColumn("shares", F.col("shares") * F.coalesce("ratio", F.lit(1.0)))
-    return out.withColumn("whole", F.col("shares") == F.floor("shares")).drop("ratio")
+    """Shares after the splits that came after each position's date, and whether they are whole.
+
+    Positions: security_id, shares, at. Splits: security_id, ratio, effective_at. Positions and splits are one sequence read
+    backwards, with a running product of ratios.
+    """
+    rows = positions.select("security_id", "at", F.lit(1).alias("__kind"), F.lit(1.0).alias("__ratio"), F.struct(*positions.columns).alias("__row"))
+    cuts = splits.select("security_id", F.col("effective_at").alias("at"), F.lit(0).alias("__kind"), F.col("ratio").cast("double").alias("__ratio"))
+    later = Window.partitionBy("security_id").orderBy(F.desc("at"), F.desc("__kind")).rowsBetween(Window.unboundedPreceding, 0)
+    both = rows.unionByName(cuts, allowMissingColumns=True).withColumn("__ratio", F.product("__ratio").over(later)).where("__kind = 1")
+    out = both.select("__row.*", "__ratio").withColumn("shares", F.col("shares") * F.col("__ratio")).drop("__ratio")
+    return out.withColumn("whole", F.col("shares") == F.floor("shares"))
 
 
 def equity(positions: DataFrame, dividends: DataFrame, terminal: DataFrame, cash: Column, at: Column) -> DataFrame:
-    """One row (receivable, positions, equity): cash, marked positions and dividends between ex date and payment."""
+    """One row (receivable, positions, equity): cash, marked positions and dividends between ex date and payment.
+
+    Positions (security_id, shares, mark, since) held since the ex date's morning or before it are entitled; what was bought on
+    or after that date is not.
+    """
     rows = positions.join(dividends, "security_id", "left").join(terminal, "security_id", "left")
-    due = F.when((F.col("ex_date") <= at) & (at < F.col("pay_date")), F.col("shares") * F.col("amount")).otherwise(0.0)
+    entitled = (F.col("since") < F.col("ex_date")) & (F.col("ex_date") <= at) & (at < F.col("pay_date"))
+    due = F.when(entitled, F.col("shares") * F.col("amount")).otherwise(0.0)
     held = F.col("shares") * F.coalesce("terminal_value", "mark")
     return rows.agg(F.sum(due).alias("receivable"), F.sum(held).alias("positions")).select("receivable", "positions", (cash + F.col("positions") + F.col("receivable")).alias("equity"))
 
 
+def quote_reasons(quotes: DataFrame, now: Column, feed: str, max_age_seconds: int, max_skew_seconds: int) -> DataFrame:
+    """Each security with the reasons against its quotes, in order and once each (security_id, reasons); none if empty.
+
+    Quotes: security_id, seq (their order), bid, ask, quote_time, received_at, feed, delayed, currency, session, halted. What is
+    unknown counts against a quote. All of a security's quotes count, and more than one is a reason by itself; if quote times
+    of all securities lie too far apart, each of them has a reason more.
+    """
+    seconds = lambda a, b: F.timestamp_diff("MICROSECOND", a, b) / 1e6
+    bid, ask, quoted, got = (F.col(c) for c in ("bid", "ask", "quote_time", "received_at"))
+    no_price = bid.isNull() | ask.isNull() | F.isnan(bid) | F.isnan(ask) | (F.abs(bid) == float("inf")) | (F.abs(ask) == float("inf"))
+    timed = quoted.isNotNull() & got.isNotNull()
+    skew = quotes.agg(seconds(F.min(F.when(timed, quoted)), F.max(F.when(timed, quoted))).alias("__skew"))  # one row
+    faults = {
+        "CROSSED_OR_INVALID_QUOTE": ~no_price & ~((bid > 0) & (bid <= ask)), "INVALID_QUOTE": no_price, "QUOTE_TIME_ORDER": timed & ~((quoted <= got) & (got <= now)), "STALE_QUOTE": timed & (seconds(quoted, now) > max_age_seconds),
+        "UNKNOWN_QUOTE_TIME": ~timed, "FEED_MISMATCH": ~F.coalesce(F.col("feed") == feed, F.lit(False)) | (F.col("feed") == ""), "DELAYED_OR_UNKNOWN_FEED": F.coalesce("delayed", F.lit(True)),
+        "INVALID_CURRENCY_OR_SESSION": ~F.coalesce((F.col("currency") == "USD") & (F.col("session") == "REGULAR"), F.lit(False)), "HALTED_OR_UNKNOWN": F.coalesce("halted", F.lit(True))}
+    seen = quotes.groupBy("security_id").agg(F.count("*").alias("n"), *(F.bool_or(f).alias(name) for name, f in faults.items()))
+    seen = seen.join(F.broadcast(skew))
+    told = {"DUPLICATE_QUOTE": F.col("n") > 1} | {name: F.col(name) for name in faults} | {"QUOTE_SKEW": F.col("__skew") > max_skew_seconds}
+    return seen.select("security_id", F.array_compact(F.array(*(F.when(f, name) for name, f in told.items()))).alias("reasons"))
+
+
 def imported_fills(fills: DataFrame) -> DataFrame:
     """Positions and cash per account; a fill that comes again counts once."""
     once = fills.dropDuplicates(["fill_id"])

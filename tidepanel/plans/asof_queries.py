@@ -11,6 +11,7 @@ from tidepanel.operators import accounts as ac
 from tidepanel.operators import asof
 from tidepanel.operators import quality as dq
 from tidepanel.operators import rollups as ru
+from tidepanel.operators.fills import first_touch
 from tidepanel.operators.ordering import places
 from tidepanel.operators.portfolio import whole_shares
 from tidepanel.operators.selection import deduplicated
@@ -108,15 +109,13 @@ def join_09(spark, sf_dir):
 
 
 @query("join_10_order_fills", f"""WITH {SQL_SUPPLIERS}, o AS (SELECT s_suppkey AS security_id, DATE '1997-03-05' AS submitted, 1200.0 AS lim, 40 AS qty FROM supplier),
-j AS (SELECT o.*, b.session, low, volume, row_number() OVER (PARTITION BY o.security_id ORDER BY b.session) AS k FROM o JOIN bars_l b ON b.security_id = o.security_id AND b.session > submitted AND low <= lim)
+j AS (SELECT o.*, b.session, low, volume, row_number() OVER (PARTITION BY o.security_id ORDER BY b.session) AS k FROM o JOIN bars_l b ON b.security_id = o.security_id AND b.session >= submitted AND low < lim)
 SELECT security_id, session, CAST(least(qty, floor(volume * 0.1)) AS BIGINT) AS filled FROM j WHERE k = 1""")
 def join_10(spark, sf_dir):
-    """The first bar after an order in which its limit is reached; a share of the bar's volume fills."""
-    o = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("security_id"), _date("1997-03-05").alias("submitted"), F.lit(1200.0).alias("limit"), F.lit(40).alias("quantity"))
-    bars = panels.supplier_bars(spark, sf_dir)
-    hits = o.join(bars, "security_id").where((F.col("session") > F.col("submitted")) & (F.col("low") <= F.col("limit")))
-    first = hits.groupBy("security_id").agg(F.min(F.struct("session", "volume", "quantity")).alias("b"))
-    return first.select("security_id", "b.session", F.least("b.quantity", F.floor(F.col("b.volume") * 0.1)).cast("long").alias("filled"))
+    """The first bar after an order that trades below its limit; a share of the bar's volume fills."""
+    o = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("order_id"), F.col("s_suppkey").alias("security_id"), F.lit("BUY").alias("side"), F.lit(40).alias("quantity"), F.lit(1200.0).alias("limit"), _date("1997-03-05").alias("submitted"))
+    bars = panels.supplier_bars(spark, sf_dir).withColumn("end", F.date_add("session", 7))
+    return first_touch(o, bars).where("session is not null").select("security_id", "session", "filled")
 
 
 @query("join_11_next_trade", """WITH e AS (SELECT user_id, event_id, ts FROM events) SELECT a.event_id, (SELECT min(b.ts) FROM e b WHERE b.user_id = a.user_id AND b.ts > a.ts) AS next_ts FROM e a""")
@@ -239,19 +238,24 @@ def _splits(spark, sf_dir) -> DataFrame:
     return s.where("security_id % 2 = 0").select("security_id", _date("1997-06-01").alias("effective_at"), F.lit(2.0).alias("ratio")).unionByName(s.where("security_id % 4 = 0").select("security_id", _date("1999-06-01").alias("effective_at"), F.lit(1.5).alias("ratio")))
 
 
-@query("ca_02_split_shares", f"WITH {_SQL_SPLITS}, f AS (SELECT security_id, product(ratio) AS r FROM sp GROUP BY 1) SELECT s_suppkey AS security_id, round((s_suppkey * 3) * coalesce(r, 1), 6) + 0.0 AS shares, (s_suppkey * 3) * coalesce(r, 1) = floor((s_suppkey * 3) * coalesce(r, 1)) AS whole FROM supplier LEFT JOIN f ON f.security_id = s_suppkey")
+@query("ca_02_split_shares", f"""WITH {_SQL_SPLITS}, p AS (SELECT s_suppkey AS security_id, s_suppkey * 3 AS shares, CASE WHEN s_suppkey % 3 = 0 THEN DATE '1998-01-01' ELSE DATE '1997-01-01' END AS held_from FROM supplier),
+f AS (SELECT p.security_id, product(ratio) AS r FROM p JOIN sp ON sp.security_id = p.security_id AND effective_at > held_from GROUP BY 1)
+SELECT p.security_id, round(shares * coalesce(r, 1), 6) + 0.0 AS shares, shares * coalesce(r, 1) = floor(shares * coalesce(r, 1)) AS whole FROM p LEFT JOIN f USING (security_id)""")
 def ca_02(spark, sf_dir):
-    held = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("security_id"), (F.col("s_suppkey") * 3).alias("shares"))
+    """Holdings after the splits that came later than they did."""
+    s = F.col("s_suppkey")
+    held = read(spark, sf_dir, "supplier").select(s.alias("security_id"), (s * 3).alias("shares"), F.when(s % 3 == 0, _date("1998-01-01")).otherwise(_date("1997-01-01")).alias("at"))
     return ac.split_shares(held, _splits(spark, sf_dir)).select("security_id", rounded(F.col("shares")).alias("shares"), "whole")
 
 
-@query("ca_03_05_dividends_equity", """WITH d AS (SELECT s_suppkey AS security_id, s_suppkey * 2 AS shares, 10.0 + s_suppkey AS mark, 0.5 AS amount, DATE '1998-06-01' AS ex, DATE '1998-07-15' AS pay FROM supplier)
-SELECT CAST(sum(CASE WHEN ex <= DATE '1998-06-30' AND DATE '1998-06-30' < pay THEN shares * amount ELSE 0 END) AS DOUBLE) AS receivable, CAST(sum(shares * CASE WHEN security_id % 10 = 0 THEN 0 ELSE mark END) AS DOUBLE) AS positions,
-  CAST(1000 + sum(shares * CASE WHEN security_id % 10 = 0 THEN 0 ELSE mark END) + sum(CASE WHEN ex <= DATE '1998-06-30' AND DATE '1998-06-30' < pay THEN shares * amount ELSE 0 END) AS DOUBLE) AS equity FROM d""")
+@query("ca_03_05_dividends_equity", """WITH d AS (SELECT s_suppkey AS security_id, s_suppkey * 2 AS shares, 10.0 + s_suppkey AS mark, CASE WHEN s_suppkey % 3 = 0 THEN DATE '1998-06-01' ELSE DATE '1998-05-29' END AS since, 0.25 * (s_suppkey % 5) AS amount, DATE '1998-06-01' AS ex, DATE '1998-07-15' AS pay FROM supplier),
+t AS (SELECT CAST(coalesce(sum(shares * amount) FILTER (since < ex AND ex <= DATE '1998-06-30' AND DATE '1998-06-30' < pay), 0) AS DOUBLE) AS receivable, CAST(sum(shares * CASE WHEN security_id % 10 = 0 THEN 0 ELSE mark END) AS DOUBLE) AS positions FROM d)
+SELECT receivable, positions, 1000 + positions + receivable AS equity FROM t""")
 def ca_03(spark, sf_dir):
-    """Holders on the ex date have a receivable until it is paid; delisted shares count at their terminal value."""
-    held = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("security_id"), (F.col("s_suppkey") * 2).alias("shares"), (F.col("s_suppkey") + 10.0).alias("mark"))
-    dividends = held.select("security_id", F.lit(0.5).alias("amount"), _date("1998-06-01").alias("ex_date"), _date("1998-07-15").alias("pay_date"))
+    """Who held before the ex date has a receivable until it is paid; delisted shares count at their terminal value."""
+    s = F.col("s_suppkey")
+    held = read(spark, sf_dir, "supplier").select(s.alias("security_id"), (s * 2).alias("shares"), (s + 10.0).alias("mark"), F.when(s % 3 == 0, _date("1998-06-01")).otherwise(_date("1998-05-29")).alias("since"))
+    dividends = held.select("security_id", (0.25 * (F.col("security_id") % 5)).alias("amount"), _date("1998-06-01").alias("ex_date"), _date("1998-07-15").alias("pay_date"))
     terminal = held.where("security_id % 10 = 0").select("security_id", F.lit(0.0).alias("terminal_value"))
     return ac.equity(held, dividends, terminal, F.lit(1000.0), _date(CUT))
 
@@ -263,11 +267,11 @@ def ca_06(spark, sf_dir):
     return ac.imported_fills(fills).withColumn("cash", rounded(F.col("cash"), 2))
 
 
-@query("ca_07_quotes", """SELECT o_orderkey, array_to_string(list_filter([CASE WHEN bid > ask THEN 'CROSSED' END, CASE WHEN age > 60 THEN 'STALE' END, CASE WHEN halted THEN 'HALTED' END], lambda x: x IS NOT NULL), ',') AS reasons
+@query("ca_07_quotes", """SELECT o_orderkey, array_to_string(list_filter([CASE WHEN NOT (0 < bid AND bid <= ask) THEN 'CROSSED' END, CASE WHEN age > 60 THEN 'STALE' END, CASE WHEN halted THEN 'HALTED' END], lambda x: x IS NOT NULL), ',') AS reasons
 FROM (SELECT o_orderkey, o_totalprice AS bid, o_totalprice + (o_orderkey % 5) - 1 AS ask, o_orderkey % 100 AS age, o_orderkey % 17 = 0 AS halted FROM orders)""")
 def ca_07(spark, sf_dir):
     o = read(spark, sf_dir, "orders").select("o_orderkey", F.col("o_totalprice").alias("bid"), (F.col("o_totalprice") + F.col("o_orderkey") % 5 - 1).alias("ask"), (F.col("o_orderkey") % 100).alias("age"), (F.col("o_orderkey") % 17 == 0).alias("halted"))
-    return o.select("o_orderkey", F.array_join(sc.reasons({"CROSSED": F.col("bid") > F.col("ask"), "STALE": F.col("age") > 60, "HALTED": F.col("halted")}), ",").alias("reasons"))
+    return o.select("o_orderkey", F.array_join(sc.reasons({"CROSSED": ~((F.col("bid") > 0) & (F.col("bid") <= F.col("ask"))), "STALE": F.col("age") > 60, "HALTED": F.col("halted")}), ",").alias("reasons"))
 
 
 @query("ca_08_09_exposure_windows", """WITH e AS (SELECT o_orderkey AS id, o_custkey AS c, CAST(o_orderdate AS DATE) AS s, CAST(o_orderdate AS DATE) + 5 AS t, [o_orderpriority] AS scope FROM orders)
