@@ -19,7 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidepanel.llm.common import mix, seeds, staged, table
@@ -240,6 +240,28 @@ def _early(percent: int, counts):
     return run
 
 
+def _blocked(early: DataFrame) -> DataFrame:
+    """Rows (token, id, label, ...) of tokens that texts of different labels share, with the block ``own`` of the text, and the
+    blocks it meets: from ``next`` on to ``blocks`` - 1, and from 0 to ``last``.
+
+    A token of many texts is cut into blocks. A label with many texts has blocks of its own, which don't meet each other: its
+    texts are never compared with each other, however many they are. Labels with few texts share blocks.
+    """
+    per = early.groupBy("token", "label").agg(F.count("*").alias("c"))
+    whole = per.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.sum("c").alias("total")).where("lo < hi").select("token", "total")
+    parts = F.ceil(F.col("c") / TOKEN_BLOCK)
+    many = per.where(F.col("c") > TOKEN_BLOCK / 2).join(whole.where(F.col("total") > TOKEN_BLOCK), "token").withColumn("parts", parts)
+    before = F.sum("parts").over(Window.partitionBy("token").orderBy("label").rowsBetween(Window.unboundedPreceding, -1))
+    many = many.select("token", "label", "c", "parts", F.coalesce(before, F.lit(0)).alias("first"))
+    large = many.groupBy("token").agg(F.sum("parts").alias("large_parts"), F.sum("c").alias("large_c"))
+    whole = whole.join(large, "token", "left").fillna(0, ["large_parts", "large_c"]).withColumn("shared", F.ceil((F.col("total") - F.col("large_c")) / TOKEN_BLOCK))
+    rows = early.join(whole.select("token", "shared", (F.col("shared") + F.col("large_parts")).alias("blocks")), "token").join(many.drop("c"), ["token", "label"], "left")
+    alone, start = F.col("parts").isNotNull(), F.col("shared") + F.col("first")
+    own = F.when(alone, start + F.pmod(F.xxhash64("id"), F.col("parts"))).otherwise(F.pmod(F.xxhash64("label"), F.greatest("shared", F.lit(1))))
+    rows = rows.withColumns({"own": own, "next": F.when(alone, start + F.col("parts")).otherwise(own), "last": F.when(alone, start - 1).otherwise(own)})
+    return rows.drop("shared", "parts", "first")
+
+
 def _by_rarest(pool: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of different labels that can be linked, from rows (id, label).
 
@@ -254,14 +276,12 @@ def _by_rarest(pool: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     counts = np.frombuffer(b"".join(c for _, c in blocks), np.int64) if blocks else np.zeros(1 << SLOT_BITS, np.int64)
     sent = pool.sparkSession.sparkContext.broadcast(counts)
     early = staged(held.mapInArrow(_early(percent, sent), "token long, id long, label long, n long, place long"), "early")
-    # a token that many texts share is cut into blocks of texts, and each pair of blocks is a key of its own
-    hot = early.groupBy("token").agg(F.ceil(F.count("*") / TOKEN_BLOCK).alias("blocks")).where("blocks > 1")
-    early = early.join(hot, "token", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")))
+    early = _blocked(early)
     # of blocks (i, j) with i <= j, a text of block i is on side a, one of block j on side b; within a block on both
     def side(s: str, first: bool) -> DataFrame:
-        others = F.sequence(F.col("own"), F.col("blocks") - 1) if first else F.sequence(F.lit(0).cast("long"), F.col("own"))
+        lo, hi = (F.col("next"), F.col("blocks") - 1) if first else (F.lit(0).cast("long"), F.col("last"))
         key = F.struct(F.col("own").alias("i"), F.col("other").alias("j")) if first else F.struct(F.col("other").alias("i"), F.col("own").alias("j"))
-        rows = early.withColumn("other", F.explode(others)).withColumn("pair", key)
+        rows = early.withColumn("other", F.explode(F.when(lo <= hi, F.sequence(lo, hi)).otherwise(F.array().cast("array<bigint>")))).withColumn("pair", key)
         return rows.select("token", "pair", F.col("id").alias(s), F.col("label").alias(f"l{s}"), F.col("n").alias(f"n{s}"), F.col("place").alias(f"p{s}"))
 
     a, b = side("a", True), side("b", False)
@@ -304,7 +324,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     first = staged(first, "first")
     # full sets of all that share a bucket
     named = classes.select("id", "s1", "s2").join(buckets.select("id").distinct(), "id", "left_semi")
-    sets = staged(docs.join(named.hint("shuffle_hash"), "id").mapInArrow(_hash_sets(words), "id long, hashes binary").dropDuplicates(["id"]), "sets")
+    sets = staged(docs.join(named, "id").mapInArrow(_hash_sets(words), "id long, hashes binary").dropDuplicates(["id"]), "sets")
     links = staged(_linked(first, sets, percent), "links")
     joined = staged(connected_components(links), "joined")
 
@@ -328,7 +348,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` whose document is the kept one of its group; all rows without an id stay."""
     gone = near_duplicates(docs, id_col, text_col, **options).where(~F.col("kept")).select(F.col("id").alias("__gone")).distinct()
-    return docs.join(gone.hint("shuffle_hash"), docs[id_col].cast("long") == gone["__gone"], "left_anti")
+    return docs.join(gone, docs[id_col].cast("long") == gone["__gone"], "left_anti")
 
 
 def op1_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
