@@ -108,14 +108,15 @@ def scan_secrets(docs: DataFrame, ledger: str | None = None, id_col: str = "doc_
         seen = known.groupBy("digest").agg(F.array_distinct(F.flatten(F.collect_list("rules"))).alias("seen"))
         todo = F.array_except(present, F.coalesce("seen", F.array().cast("array<string>")))
         blobs = blobs.join(seen, "digest", "left").select("digest", "key", todo.alias("todo")).where(F.size("todo") > 0)
-    unseen = rows.join(blobs.hint("shuffle_hash"), ["key", "digest"]).select("digest", "text", "todo")
+    # each blob goes by one key; rows that repeat key and text are brought to one before the scan
+    unseen = rows.join(blobs, ["key", "digest"]).groupBy("key", "digest").agg(F.first("text").alias("text"), F.first("todo").alias("todo"))
     scanned = unseen.select("digest", F.col("todo").alias("rules"), secret_spans(F.col("text"), F.lower("text"), F.col("todo"), rules).alias("spans"))
     if ledger is None:
         whole = staged(scanned, "scanned")
     else:
-        scanned.write.mode("append").parquet(ledger)
+        scanned.hint("rebalance").write.mode("append").parquet(ledger)
         whole = read_ledger(spark, ledger)
-    # a blob has a row for each run that scanned it, and for each row that repeats its id and text
+    # a blob has a row for each run that scanned it
     whole = whole.where(F.size("spans") > 0).groupBy("digest").agg(F.array_distinct(F.flatten(F.collect_list("spans"))).alias("spans"))
     hits = whole.select("digest", F.array_sort(F.filter("spans", lambda s: F.array_contains(present, s["rule"]))).alias("spans"))
     found = versions.select("id", "digest").join(hits, "digest", "left")
