@@ -113,10 +113,10 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     order = _neighbours(rows.where("id is not null").select("id", F.length("text").alias("n")))
     grams = chosen(F.col("text"), k, window)
     # both joins move the texts by id, in the same way, so Spark moves them once; a key that is never null keeps it so
-    keyed = rows.join(order.hint("shuffle_hash"), "id", "left").withColumn("before", F.coalesce("before", F.lit(-(1 << 63))))
+    keyed = rows.join(order, "id", "left").withColumn("before", F.coalesce("before", F.lit(-(1 << 63))))
     told = keyed.select(F.col("before").alias("id"), F.expr("left(text, need)").alias("head"), hash_set(grams).alias("next_set"))
     told = told.groupBy("id").agg(F.min(F.struct("head", "next_set")).alias("told")).select("id", "told.head", "told.next_set")
-    both = rows.join(told.hint("shuffle_hash"), "id", "left")
+    both = rows.join(told, "id", "left")
     n = F.length("text")
     cut = F.floor(n / 4).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), n - cut), F.substring(F.coalesce("head", F.lit("")), F.lit(1), cut))
