@@ -328,6 +328,32 @@ def test_mixing_blocks(spark):
     assert ids != sorted(ids) and len(ids) > 100
 
 
+def test_mixing_blocks_are_permuted(spark):
+    """A source that is taken about twice has both epochs in every shard, and no shard a run of blocks."""
+    rows = [(i, "w " * (5 + i % 7), "en", "a" if i % 2 else "b") for i in range(4000)]
+    mixing.BLOCK_WORDS, words = 200, mixing.BLOCK_WORDS
+    mixing.CELL_BLOCKS, cells = 16, mixing.CELL_BLOCKS
+    try:
+        got = mixing.mix(docs(spark, rows)).collect()
+        order = mixing._permuted(spark.createDataFrame([(1, 1000), (2, 1), (3, 17)], "place long, blocks long"), 5).collect()
+    finally:
+        mixing.BLOCK_WORDS, mixing.CELL_BLOCKS = words, cells
+    for place, n in ((1, 1000), (2, 1), (3, 17)):
+        own = [(r["block"], r["draw"]) for r in order if r["place"] == place]
+        assert sorted(b for b, _ in own) == sorted(d for _, d in own) == list(range(n))
+    assert abs(np.corrcoef(*zip(*[(r["block"], r["draw"]) for r in order if r["place"] == 1], strict=True))[0, 1]) < 0.1
+    for source in "ab":
+        shards = {}
+        for r in got:
+            for p in r["places"] if r["source"] == source else []:
+                shards.setdefault(p["shard"], set()).add((p["block"], p["epoch"]))
+        if source == "a":  # taken twice: the first epoch isn't in some shards and the second in others
+            assert len(shards) == mixing.LEAST_SHARDS and all({e for _, e in found} == {0, 1} for found in shards.values())
+        for found in shards.values():
+            blocks = sorted({b for b, _ in found})
+            assert len(blocks) > 3 and blocks != list(range(blocks[0], blocks[0] + len(blocks)))
+
+
 def test_hypergeometric_quotas(spark):
     quotas = spark.createDataFrame([(1, 13), (2, 0), (3, 100)], "place long, blocks long")
     rows = mixing._dealt(quotas, 5, 1).collect()
@@ -444,6 +470,18 @@ def test_secrets(spark):
     assert secrets.scan_secrets(docs(spark, rows).limit(0)).count() == 0
 
 
+def test_repeated_texts_are_scanned_once(spark, tmp_path):
+    """The ledger has a row for each distinct text, whatever ids or nulls its rows have; every row gets its findings."""
+    a, b = "password = hunter22 here", "token: abcdefgh and " + "z " * 60000
+    rows = [(None, a, "en", "s")] * 5 + [(1, a, "en", "s")] * 3 + [(2, b, "en", "s"), (2, b, "en", "s"), (3, b, "en", "s"), (2, None, "en", "s"), (4, "", "en", "s")]
+    path = f"file://{tmp_path}/ledger"
+    found = secrets.scan_secrets(docs(spark, rows), path).collect()
+    assert secrets.read_ledger(spark, path).count() == 3 and len(found) == len(rows)
+    assert sorted(len(r["spans"]) for r in found) == [0, 0] + [1] * 11
+    plain = secrets.scan_secrets(docs(spark, rows)).collect()
+    assert sorted(map(repr, plain)) == sorted(map(repr, found))
+
+
 def test_secret_ledger(spark, tmp_path):
     """Blobs are scanned once under each version of a rule, and a changed rule alone is tried again."""
     path, rows = f"file://{tmp_path}/ledger", [(i, t, "en", "s") for i, t in enumerate([*NASTY, *NASTY[-3:]])]

@@ -5,9 +5,10 @@ Every source has a fixed random order of its documents for each epoch. A mix tak
 of documents by sums alone, and within the bin where the target falls every further document that still fits. So no source
 is ever sorted or gathered as a whole.
 
-What a source's mix takes is dealt into numbered blocks, in random order. The blocks of all sources are dealt to output
-shards by a tree: each node halves its shards, and the blocks of each source that go left are one multivariate
-hypergeometric draw, so all quotas come out exactly and each shard gets a fair sample. Within a shard, rows are shuffled.
+What a source's mix takes is cut into blocks, epoch by epoch. The quotas of all sources are dealt to output shards by a tree:
+each node halves its shards, and the blocks of each source that go left are one multivariate hypergeometric draw, so all
+quotas come out exactly. The blocks themselves are drawn for these quotas in a random order of each source's blocks, so
+each shard gets a fair sample of all epochs. Within a shard, rows are shuffled.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ WEIGHTS = (5, 2, 1)
 TOTAL_SHARE, MOST_EPOCHS = 1.5, 2
 BIN_DOCS, MOST_BINS = 256, 1 << 16
 BLOCK_WORDS, SHARD_WORDS, LEAST_SHARDS = 1 << 16, 1 << 23, 8
+#: Blocks of one source that are put in random order by one task, about.
+CELL_BLOCKS = 1 << 12
 #: Up to so many sources, their targets are sent to every task (about 200 bytes and a long per shard each).
 SENT_SOURCES = 10_000
 SEED = 20_240_101
@@ -78,19 +81,41 @@ def _split(seed: int):
         share = (total * (mid - lo) + (hi - lo) // 2) // (hi - lo)
         rng = np.random.default_rng([seed, lo, hi])
         left = rng.multivariate_hypergeometric(quota, share, method="marginals") if total else quota
-        return pd.concat([frame.assign(lo=lo, hi=mid, blocks=left), frame.assign(lo=mid, hi=hi, blocks=quota - left)])[["place", "lo", "hi", "blocks"]]
+        halves = pd.concat([frame.assign(lo=lo, hi=mid, blocks=left), frame.assign(lo=mid, hi=hi, blocks=quota - left)])[["place", "lo", "hi", "blocks"]]
+        return halves[halves["blocks"] > 0]
 
     return run
 
 
 def _dealt(quotas: DataFrame, shards: int, seed: int) -> DataFrame:
     """Rows (place, block, shard): the shard of every block of each source."""
+    quotas = quotas.where("blocks > 0")
     now = quotas.select("place", F.lit(0).cast("long").alias("lo"), F.lit(shards).cast("long").alias("hi"), "blocks")
     for _ in range(math.ceil(math.log2(shards)) if shards > 1 else 0):
         now = now.groupBy("lo", "hi").applyInPandas(_split(seed), "place long, lo long, hi long, blocks long")
     upto = Window.partitionBy("place").orderBy("lo").rowsBetween(Window.unboundedPreceding, 0)
-    runs = now.withColumn("end", F.sum("blocks").over(upto)).where("blocks > 0")
-    return runs.select("place", F.explode(F.sequence(F.col("end") - F.col("blocks"), F.col("end") - 1)).alias("block"), F.col("lo").alias("shard"))
+    runs = now.withColumn("end", F.sum("blocks").over(upto))
+    drawn = runs.select("place", F.explode(F.sequence(F.col("end") - F.col("blocks"), F.col("end") - 1)).alias("draw"), F.col("lo").alias("shard"))
+    return _permuted(quotas, seed).join(drawn, ["place", "draw"]).select("place", "block", "shard")
+
+
+def _permuted(quotas: DataFrame, seed: int) -> DataFrame:
+    """Rows (place, block, draw): each source's blocks in a random order, fixed by the seed.
+
+    The order is that of a hash, found in cells of the hash range: a cell has some thousand blocks, so a source of any size is
+    sorted in parts, and the cells' counts give each part its first place.
+    """
+    runs = quotas.select("place", "blocks", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("blocks") - 1) / CELL_BLOCKS))).alias("run"))
+    of_run = F.explode(F.sequence(F.col("run") * CELL_BLOCKS, F.least(F.col("blocks"), (F.col("run") + 1) * CELL_BLOCKS) - 1))
+    rows = runs.select("place", F.ceil(F.col("blocks") / CELL_BLOCKS).alias("cells"), of_run.alias("block"))
+    chance = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.lit("draw"), F.col("place"), F.col("block")), 2)
+    width = F.floor(F.lit(float(1 << 62)) / F.col("cells")).cast("long") + 1
+    rows = rows.select("place", "block", chance.alias("chance"), F.floor(chance / width).alias("cell"))
+    counts = rows.groupBy("place", "cell").agg(F.count("*").alias("n"))
+    upto = Window.partitionBy("place").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.select("place", "cell", F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("before"))
+    within = F.row_number().over(Window.partitionBy("place", "cell").orderBy("chance", "block"))
+    return rows.withColumn("within", within).join(before, ["place", "cell"]).select("place", "block", (F.col("before") + F.col("within") - 1).alias("draw"))
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, total_share: float = TOTAL_SHARE, most_epochs: int = MOST_EPOCHS, seed: int = SEED) -> DataFrame:
@@ -98,8 +123,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
     ``size`` counts words (runs without spaces and tabs to carriage returns; null: 0), of whole texts however long. ``places``
     has a struct (epoch, block, shard, at) for each time the document is taken, at most ``most_epochs``. A block is a run of
-    about ``BLOCK_WORDS`` words of the source's random order, and each block goes to one shard; rows of a shard, ordered by
-    ``at``, are its shuffled output. A null source is a source of its own. Rows that repeat an id within a source are taken
+    about ``BLOCK_WORDS`` words of the source's random order, and each block goes to one shard, drawn at random; rows of a shard,
+    ordered by ``at``, are its shuffled output. A null source is a source of its own. Rows that repeat an id within a source are taken
     together; a row without an id goes by its text. Documents without words are never taken. The result depends on ids,
     sizes, sources and the seed alone, and ties of the random order go by id. An empty table gives no rows; other columns are
     not read, so their names can't clash.
@@ -194,6 +219,6 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     places = mix(docs, id_col, text_col, source_col, **options).where(F.size("places") > 0)
     places = places.select(F.col("key").alias("__key"), F.col("source").alias("__source"), F.explode("places").alias("__place")).distinct()
     keyed = docs.withColumn("__row", row_key(F.col(id_col), F.col(text_col)))
-    rows = keyed.join(places.hint("shuffle_hash"), (keyed["__row"] == places["__key"]) & keyed[source_col].cast("string").eqNullSafe(places["__source"])).drop("__row", "__key", "__source")
+    rows = keyed.join(places, (keyed["__row"] == places["__key"]) & keyed[source_col].cast("string").eqNullSafe(places["__source"])).drop("__row", "__key", "__source")
     # shards are of like size, and a range of them is one task
     return rows.repartitionByRange("__place.shard", "__place.at").sortWithinPartitions("__place.shard", "__place.at").drop("__place")
