@@ -58,33 +58,45 @@ def whole_shares(targets: DataFrame, positions: DataFrame, quotes: DataFrame, na
     return rows.select("security_id", "held", "target", "difference", side.alias("side"), notional.alias("notional"), (notional * fee).alias("fee"))
 
 
-def cohort_nav(grid: DataFrame, weights: DataFrame, fee: float = 0.001, sessions: DataFrame | None = None) -> DataFrame:
-    """Net value per session of held cohorts: (session, gross_return, turnover, nav).
+def decile_weights(scores: DataFrame, signals: DataFrame, by: tuple[str, ...] = (), fraction: float = 0.1, cash: float = 0.05) -> DataFrame:
+    """Target weights (by..., execution, security_id, weight) on the session after each signal: equal ones beside cash for the top
+    fraction by score, 0 for every other name with a score, none without one."""
+    place = cs.descending_place(F.col("score"), F.col("security_id"), *by, "session")
+    w = cs.across(*by, "session")
+    rows = scores.where("score is not null").withColumn("place", place)
+    rows = rows.withColumn("k", F.greatest(F.lit(1), F.ceil(F.round(F.count("*").over(w) * fraction, 9))))
+    rows = rows.join(F.broadcast(signals.select("session", "execution")), "session").where("execution is not null")
+    return rows.select(*by, "execution", "security_id", F.when(F.col("place") <= F.col("k"), (1 - cash) / F.col("k")).otherwise(0.0).alias("weight"))
+
+
+def cohort_nav(grid: DataFrame, weights: DataFrame, fee: float = 0.001, sessions: DataFrame | None = None, by: tuple[str, ...] = ()) -> DataFrame:
+    """Net value per session of held cohorts: (by..., session, gross_return, turnover, nav), any number of portfolios in one plan.
 
-    ``weights`` (execution, security_id, weight) hold from their execution to the next, drifting with each security's price
-    (the last one known). A session's return is that of drifted weights; at an execution, half-open turnover is the sum of
-    absolute differences between drifted and new weights, charged at ``fee``. This is a model in return space. ``sessions`` is
-    the grid's calendar; without it the grid is read once more for it.
+    ``weights`` (by..., execution, security_id, weight) hold from their execution to the portfolio's next, drifting with each
+    security's price (the last one known). A session's return is that of drifted weights; at an execution, half-open turnover
+    is the sum of absolute differences between drifted and new weights, charged at ``fee``. This is a model in return space.
+    ``sessions`` is the grid's calendar; without it the grid is read once more for it.
     """
-    # executions are a calendar, so each session takes them as an array: it belongs to the running cohort, and at an execution
-    # also to the one that ends
-    executions = weights.agg(F.sort_array(F.collect_set("execution")).alias("all"))
+    weights = weights.where("weight != 0")
+    # executions are a calendar, so each session takes a portfolio's as an array: it belongs to the running cohort, and at an
+    # execution also to the one that ends
+    executions = weights.groupBy(*by).agg(F.sort_array(F.collect_set("execution")).alias("all"))
     done = F.size(F.filter("all", lambda e: e <= F.col("at")))
     calendar = (grid if sessions is None else sessions).select(F.col("session").alias("at")).distinct().join(F.broadcast(executions)).withColumn("done", done).where("done > 0")
     cohort = lambda i, until: F.struct(F.get("all", i).alias("execution"), until.alias("until"))
     ending = F.when((F.get("all", F.col("done") - 1) == F.col("at")) & (F.col("done") > 1), cohort(F.col("done") - 2, F.col("at")))
-    belongs = calendar.select("at", F.explode(F.array_compact(F.array(cohort(F.col("done") - 1, F.get("all", F.col("done"))), ending))).alias("c")).select("at", "c.*")
+    belongs = calendar.select(*by, "at", F.explode(F.array_compact(F.array(cohort(F.col("done") - 1, F.get("all", F.col("done"))), ending))).alias("c")).select(*by, "at", "c.*")
     prices = grid.withColumn("price", ts.forward_fill(F.col("close"))).select(F.col("session").alias("at"), "security_id", "price").join(F.broadcast(belongs), "at")
-    held = weights.join(prices, ["execution", "security_id"])
-    run = Window.partitionBy("execution", "security_id").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    held = weights.join(prices, [*by, "execution", "security_id"])
+    run = Window.partitionBy(*by, "execution", "security_id").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
     held = held.withColumn("value", F.col("weight") * F.coalesce(F.try_divide("price", F.first("price", ignorenulls=True).over(run)), F.lit(1.0)))
     # each cohort's worth of 1 put in: securities and cash
-    worth = held.groupBy("execution", "at").agg((F.sum("value") + 1 - F.sum("weight")).alias("worth"))
-    step = worth.withColumn("gross_return", F.try_divide("worth", F.lag("worth").over(Window.partitionBy("execution").orderBy("at"))) - 1)
-    returns = step.where("gross_return is not null").select(F.col("at").alias("session"), "gross_return")
-    drifted = held.join(worth, ["execution", "at"]).where("at = until").select(F.col("at").alias("execution"), "security_id", F.try_divide("value", "worth").alias("was"))
-    moved = weights.join(drifted, ["execution", "security_id"], "full_outer")
-    turnover = moved.groupBy(F.col("execution").alias("session")).agg(F.sum(F.abs(F.coalesce("weight", F.lit(0.0)) - F.coalesce("was", F.lit(0.0)))).alias("turnover"))
-    rows = returns.join(turnover, "session", "full_outer").select("session", F.coalesce("gross_return", F.lit(0.0)).alias("gross_return"), F.coalesce("turnover", F.lit(0.0)).alias("turnover"))
-    upto = Window.orderBy("session").rowsBetween(Window.unboundedPreceding, 0)  # one row per session
+    worth = held.groupBy(*by, "execution", "at").agg((F.sum("value") + 1 - F.sum("weight")).alias("worth"))
+    step = worth.withColumn("gross_return", F.try_divide("worth", F.lag("worth").over(Window.partitionBy(*by, "execution").orderBy("at"))) - 1)
+    returns = step.where("gross_return is not null").select(*by, F.col("at").alias("session"), "gross_return")
+    drifted = held.join(worth, [*by, "execution", "at"]).where("at = until").select(*by, F.col("at").alias("execution"), "security_id", F.try_divide("value", "worth").alias("was"))
+    moved = weights.join(drifted, [*by, "execution", "security_id"], "full_outer")
+    turnover = moved.groupBy(*by, F.col("execution").alias("session")).agg(F.sum(F.abs(F.coalesce("weight", F.lit(0.0)) - F.coalesce("was", F.lit(0.0)))).alias("turnover"))
+    rows = returns.join(turnover, [*by, "session"], "full_outer").select(*by, "session", F.coalesce("gross_return", F.lit(0.0)).alias("gross_return"), F.coalesce("turnover", F.lit(0.0)).alias("turnover"))
+    upto = Window.partitionBy(*by).orderBy("session").rowsBetween(Window.unboundedPreceding, 0)  # one row per portfolio and session
     return rows.withColumn("nav", F.product((1 + F.col("gross_return")) * (1 - fee * F.col("turnover"))).over(upto))

@@ -17,6 +17,23 @@ def composite(shares: DataFrame, k: int, direction: Column | None = None) -> Dat
     return rows.where(F.col("n") == k).drop("n")
 
 
+def composites(shares: DataFrame, pools: dict[str, tuple[str, ...]], directions: DataFrame, by: tuple[str, ...] = ("session", "security_id")) -> DataFrame:
+    """Scores of several composites (composite_id, by..., score): the mean of a pool's rank shares, each in its factor's direction;
+    NULL where a factor of the pool has none. One group-by for all pools; ``directions`` (factor_id, direction) is a catalogue."""
+    told = shares.join(F.broadcast(directions), "factor_id").withColumn("share", cs.oriented(F.col("share"), F.col("direction")))
+    of = {name: F.col("factor_id").isin(*pool) for name, pool in pools.items()}
+    sums = [x for i, mine in enumerate(of.values()) for x in (F.avg(F.when(mine, F.col("share"))).alias(f"score_{i}"), F.count(F.when(mine, F.col("share"))).alias(f"n_{i}"))]
+    wide = told.groupBy(*by).agg(*sums)
+    each = [F.struct(F.lit(name).alias("composite_id"), F.when(F.col(f"n_{i}") == len(pool), F.col(f"score_{i}")).alias("score")) for i, (name, pool) in enumerate(pools.items())]
+    return wide.select(*by, F.explode(F.array(*each)).alias("c")).select("c.composite_id", *by, "c.score")
+
+
+def frozen_directions(ics: DataFrame) -> DataFrame:
+    """(factor_id, direction): 1 where the mean correlation of a development period isn't negative, else -1."""
+    mean = ics.groupBy("factor_id").agg(F.avg("ic").alias("mean"))
+    return mean.select("factor_id", F.when(F.coalesce("mean", F.lit(0.0)) >= 0, 1).otherwise(-1).alias("direction"))
+
+
 #: Thresholds of the policy: gates, conflicts and size of the pool.
 POLICY = {
     "min_median_coverage": 0.95, "min_sessions": 100, "min_positive_years": 0.6, "max_turnover": 0.8,
