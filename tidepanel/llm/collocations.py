@@ -26,9 +26,9 @@ PIECE_ENDS, GAPS = b".,;:!?\n\x0b\x0c\r", b" \t"
 MOST_WORDS, LEAST, SHARE, TOP = 3, 10, 50, 2_000
 NO_LANG = "und"
 #: Suffixes that one task sorts, about; a slot of more than a quarter of it is hot.
-TASK_SUFFIXES = 1 << 20
+TASK_SUFFIXES = 1 << 19
 _LEAST_TASKS, _LEAST_SLOTS, _SLOTS_A_TASK = 8, 1 << 12, 16
-_CHUNK = 1 << 22
+_CHUNK = 1 << 21
 #: Parts of each language whose best phrases are found first.
 _PARTS = 64
 _FACTOR, _END = np.uint64(0x9E3779B97F4A7C15), np.uint64(0x5851F42D4C957F2D)
@@ -44,23 +44,24 @@ class Suffixes:
     """The suffixes of all pieces of a run of texts: language, words (codes of ``words``, -1 past the piece's end) and count."""
 
     def __init__(self, data: np.ndarray, rows: np.ndarray, langs: pa.Array, most: int):
-        # a line end after each row, so that words and pieces end with their text
-        n = len(rows) - 1
-        padded = np.full(len(data) + n, 0x0A, np.uint8)
-        padded[np.arange(len(data)) + np.repeat(np.arange(n), np.diff(rows))] = _LOWER[data]
-        ends = _BREAK[padded]
-        gap = ends | _GAP[padded]
-        edge = np.diff(np.concatenate(([True], gap, [True])).view(np.int8))
-        start, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+        n, data = len(rows) - 1, _LOWER[data]
+        ends, begins = _BREAK[data], np.zeros(len(data), bool)
+        gap = ends | _GAP[data]
+        begins[rows[:-1][np.diff(rows) > 0]] = True
+        # words and pieces end with their text
+        first, last = ~gap, ~gap
+        first[1:] &= gap[:-1] | begins[1:]
+        last[:-1] &= gap[1:] | begins[1:]
+        start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
         offsets = np.concatenate(([0], np.cumsum(end - start)))
-        words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(offsets), pa.py_buffer(padded[~gap])]).dictionary_encode()
-        self.words, code = words.dictionary, words.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        piece = np.cumsum(ends)[start]
+        words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(offsets), pa.py_buffer(data[~gap])]).dictionary_encode()
+        self.words, code = words.dictionary, words.indices.to_numpy(zero_copy_only=False)
+        at = np.searchsorted(start, rows)
+        piece = np.cumsum(ends, dtype=np.int32)[start] + np.repeat(np.arange(n, dtype=np.int32), np.diff(at))
         lang = langs.fill_null(NO_LANG).dictionary_encode()
         self.langs = lang.dictionary.to_pylist()
-        at = np.searchsorted(start, rows + np.arange(n + 1))
         self.lang = np.repeat(lang.indices.to_numpy(zero_copy_only=False), np.diff(at)).astype(np.int64)
-        self.columns, self.count = np.full((most, len(code)), -1, np.int64), np.ones(len(code), np.int64)
+        self.columns, self.count = np.full((most, len(code)), -1, np.int32), np.ones(len(code), np.int64)
         for k in range(min(most, len(code))):
             same = piece[k:] == piece[: len(code) - k]
             self.columns[k, : len(code) - k][same] = code[k:][same]
@@ -95,6 +96,7 @@ def _suffixes(batch: pa.RecordBatch, most: int) -> Iterator[Suffixes]:
     langs = batch.column("lang").cast(pa.string())
     for lo, hi in row_runs(at, _CHUNK):
         yield Suffixes(data[at[lo] : at[hi]], at[lo : hi + 1] - at[lo], langs.slice(lo, hi - lo), most)
+    pa.default_memory_pool().release_unused()
 
 
 def _heat(most: int, slots: int):
@@ -117,7 +119,9 @@ def _heat(most: int, slots: int):
 
 def _route(most: int, slots: int, hot: list[list[int]], tasks: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows (task, lang, level, phrases, counts): combined suffixes of a run of texts, by the task they go to."""
+        """Rows (task, langs, phrases, counts): combined suffixes of a run of texts, one row for each task they go to. Phrases
+        are lines (no word has a line end) that begin with a number, of a language in ``langs`` and a level; counts are as
+        many 32-bit numbers."""
         warm = np.zeros((most, slots), bool)
         for k, found in enumerate(hot):
             warm[k, found] = True
@@ -133,19 +137,18 @@ def _route(most: int, slots: int, hot: list[list[int]], tasks: int):
                     level += going
                     to = np.where(going, routes[k + 1], to)
                 to = ((to >> np.uint64(24)) % np.uint64(tasks)).astype(np.int64)
-                key = (to * len(s.langs) + s.lang) * (most + 1) + level
-                order = np.argsort(key, kind="stable")
-                key = key[order]
-                firsts = np.flatnonzero(np.diff(key, prepend=-1))
+                kind = s.lang * (most + 1) + level
+                order = np.argsort(to * (len(s.langs) * (most + 1)) + kind, kind="stable")
+                to, kind = to[order], kind[order]
+                firsts = np.flatnonzero(np.diff(to, prepend=-1))
                 # words past a piece's end are null and left out
                 spelt = [s.words.take(pa.array(c[order], mask=c[order] < 0)).cast(pa.large_string()) for c in s.columns]
-                phrases = pc.binary_join_element_wise(*spelt, pa.scalar(" ", pa.large_string()), null_handling="skip").cast(pa.string())
-                offsets = pa.array(np.append(firsts, len(key)), pa.int32())
-                rest, levels = np.divmod(key[firsts], most + 1)
-                to, of = np.divmod(rest, len(s.langs))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(to), pa.array(s.langs, pa.string()).take(pa.array(of)), pa.array(levels.astype(np.int32)), pa.ListArray.from_arrays(offsets, phrases), pa.ListArray.from_arrays(offsets, pa.array(s.count[order]))],
-                    ["task", "lang", "level", "phrases", "counts"])
+                kinds = pa.array([str(k) for k in range(len(s.langs) * (most + 1))], pa.large_string()).take(pa.array(kind))
+                phrases = pc.binary_join_element_wise(kinds, *spelt, pa.scalar(" ", pa.large_string()), null_handling="skip").cast(pa.string())
+                offsets = np.append(firsts, len(to)).astype(np.int32)
+                joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(offsets), phrases), "\n")
+                counts = pa.BinaryArray.from_buffers(pa.binary(), len(firsts), [None, pa.py_buffer(4 * offsets), pa.py_buffer(s.count[order].astype("<i4"))])
+                yield pa.RecordBatch.from_arrays([pa.array(to[firsts]), pa.array([s.langs] * len(firsts), pa.list_(pa.string())), joined, counts], ["task", "langs", "phrases", "counts"])
 
     return run
 
@@ -205,23 +208,30 @@ def _count(most: int, least: int):
         if not tables:
             return
         whole = pa.Table.from_batches(tables).combine_chunks()
-        del tables
-        lists = whole.column("phrases").combine_chunks()
-        held = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
-        langs = whole.column("lang").combine_chunks().dictionary_encode()
-        lang, levels = (np.repeat(x, held) for x in (langs.indices.to_numpy(zero_copy_only=False).astype(np.int64), whole.column("level").to_numpy()))
-        count = whole.column("counts").combine_chunks().flatten().to_numpy(zero_copy_only=False)
-        words = pc.split_pattern(lists.flatten().cast(pa.large_string()), " ")
-        del whole, lists
+        tables.clear()
+        lines = pc.split_pattern(whole.column("phrases").combine_chunks().cast(pa.large_string()), "\n")
+        held = pc.list_value_length(lines).to_numpy(zero_copy_only=False)
+        count = np.frombuffer(b"".join(whole.column("counts").to_pylist()), "<i4").astype(np.int64)
+        words = pc.split_pattern(pc.list_flatten(lines), " ")
+        lists = whole.column("langs").combine_chunks()
+        del whole, lines
         at = words.offsets.to_numpy()
         encoded = pc.list_flatten(words).dictionary_encode()
-        code = encoded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        columns = np.full((most, len(count)), -1, np.int64)
+        code = encoded.indices.to_numpy(zero_copy_only=False)
+        del words
+        # the number before a phrase: its level, and the place of its language in its row
+        used, place = np.unique(code[at[:-1]], return_inverse=True)
+        kind = np.array(encoded.dictionary.take(pa.array(used)).to_pylist(), object).astype(np.int64)[place] if len(used) else place
+        langs = lists.flatten().dictionary_encode()
+        levels = kind % (most + 1)
+        lang = langs.indices.to_numpy(zero_copy_only=False).astype(np.int64)[np.repeat((lists.offsets.to_numpy() - lists.offsets[0].as_py())[:-1], held) + kind // (most + 1)]
+        spelt = np.full((most, len(count)), -1, np.int32)
         for k in range(most):
-            longer = np.diff(at) > k
-            columns[k, longer] = code[at[:-1][longer] + k]
-        spelt = columns.copy()
+            longer = np.diff(at) > k + 1
+            spelt[k, longer] = code[at[:-1][longer] + k + 1]
+        columns = spelt.astype(np.int64)
         columns[0] += lang * len(encoded.dictionary)
+        del code
         for level in np.unique(levels).tolist():
             own = np.flatnonzero(levels == level)
             for size, ptr, total in equal_parts(columns[:, own], count[own], least, level):
@@ -246,7 +256,7 @@ def frequent_phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "l
     # at most four slots a task and level can be hot
     found = heat.where((F.col("level") > 0) & (F.col("n") > TASK_SUFFIXES // 4)).select("level", "slot").collect()
     hot = [[r["slot"] for r in found if r["level"] == k] for k in range(1, most)]
-    routed = rows.mapInArrow(_route(most, slots, hot, tasks), "task long, lang string, level int, phrases array<string>, counts array<long>").repartition(tasks, "task")
+    routed = rows.mapInArrow(_route(most, slots, hot, tasks), "task long, langs array<string>, phrases string, counts binary").repartition(tasks, "task")
     parts = routed.mapInArrow(_count(most, least), "lang string, words int, phrase string, n long")
     phrases = parts.groupBy("lang", "words", "phrase").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
     return staged(phrases, "phrases"), heat.where("level = 0").select("lang", "n")
