@@ -164,6 +164,16 @@ def _positive(facts: Column) -> Column:
     return F.transform(facts, lambda x: F.when(F.upper(F.coalesce(x["sign_convention"], F.lit(""))).isin(*POSITIVE_CONVENTIONS), F.abs(x["value"])).otherwise(x["value"]))
 
 
+def sign_log(now: Column, then: Column) -> Column:
+    """A map from inputs (``prior:`` before those of the year before) to what was done to their value, where anything was."""
+    def entries(facts: Column, prefix: str) -> Column:
+        convention = lambda x: F.upper(F.coalesce(x["sign_convention"], F.lit("")))
+        turned = F.filter(facts, lambda x: convention(x).isin(*POSITIVE_CONVENTIONS) & (x["value"] < 0))
+        return F.transform(turned, lambda x: F.struct(F.concat(F.lit(prefix), x["field"]).alias("key"), F.concat(F.lit("ABS_"), convention(x)).alias("value")))
+
+    return F.map_from_entries(F.concat(entries(now, ""), entries(then, "prior:")))
+
+
 def _judged(names: tuple[str, ...]) -> Column:
     """An array of structs (field, value, reason, unit, ...) of the named fields that an event of ``_inputs_at`` asks for."""
     def asked(name: str) -> Column:
@@ -203,7 +213,7 @@ def _judged(names: tuple[str, ...]) -> Column:
                 r["field"].alias("field"), reason.alias("reason"), F.when(reason.isNull(), v["value"]).alias("value"), unit.alias("unit"), r["grade"].alias("semantic_grade"),
                 first["sign_convention"].alias("sign_convention"), first["dimensions"].alias("dimensions"), F.when(r["daily"], F.year("at")).otherwise(first["fiscal_year"]).cast("int").alias("fiscal_year"),
                 F.when(r["daily"], "DAILY").otherwise(first["fiscal_period"]).alias("fiscal_period"), F.when(r["daily"], F.col("at")).otherwise(first["period_end"]).alias("period_end"),
-                F.coalesce(first["accounting_period_end"], first["period_end"]).alias("accounting_period_end"), sources.alias("sources"))
+                F.coalesce(first["accounting_period_end"], first["period_end"]).alias("accounting_period_end"), sources.alias("sources"), sign_log(r["now"], r["then"]).alias("transformations"))
 
         return of
 
@@ -221,8 +231,8 @@ _PRIOR = tuple(sorted({f for d in DEFINITIONS.values() for f in d.prior}))
 
 
 def derive(versions: DataFrame, prices: DataFrame | None = None) -> DataFrame:
-    """All derived fields as rows (security_id, at, field, value, unit, reason, period_end, ...): a value or the first reason
-    against it, at every event.
+    """All derived fields as rows (security_id, at, field, value, unit, reason, period_end, transformations, ...): a value or the
+    first reason against it, at every event, and a map of the inputs whose sign was turned.
 
     ``versions``: security_id, field, value, unit, semantic_grade, sign_convention, dimensions, fiscal_year, fiscal_period,
     period_end, available_at (a date), source_id, each field on the one basis that its definitions ask for. ``prices``:

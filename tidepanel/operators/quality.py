@@ -103,3 +103,37 @@ def secret_like(df: DataFrame, pattern: str = SECRET) -> DataFrame:
 def maturity(rows: DataFrame) -> Column:
     """Evidence level E0 to E4 from flags."""
     return F.when(~F.col("computed"), "E0").when(~F.col("backtested"), "E1").when(~F.col("held_out"), "E2").when(~F.col("traded"), "E3").otherwise("E4")
+
+
+def expected_facts(expected: DataFrame, versions: DataFrame, ledger: DataFrame, required: DataFrame, identity: list[str], near: float = 1e-9) -> DataFrame:
+    """Expected facts with status and reason, and a failed row for each required (security_id, field) that nobody expected.
+
+    ``expected``: security_id, field, the identity columns, value, available_at, source, review_status and review_reason;
+    ``versions``: the same without the review; ``ledger``: the sources that were verified. A match is exact on all identity
+    columns and must be the only one; then value and time are compared. Reviews come first: PENDING and BLOCKED ones are
+    not checked (a block needs a reason), UNMAPPED ones pass only where no version of the security has the field.
+    """
+    key = ["security_id", "field", *identity]
+    one = versions.groupBy(*key).agg(F.count("*").alias("__n"), F.min("value").alias("__value"), F.min("available_at").alias("__at"))
+    mapped = versions.select("security_id", "field").distinct().withColumn("__mapped", F.lit(True))
+    known = ledger.select("source").distinct().withColumn("__known", F.lit(True))
+    rows = expected.join(one, key, "left").join(mapped, ["security_id", "field"], "left").join(known, "source", "left")
+    incomplete = F.lit(False)
+    for c in (*key, "value", "available_at", "source"):
+        incomplete = incomplete | F.col(c).isNull() | (F.trim(F.col(c).cast("string")) == "")
+    same = (F.abs(F.col("__value") - F.col("value")) <= near * F.greatest(F.abs("__value"), F.abs("value"))) & (F.col("__at") == F.col("available_at"))
+    review, reason = F.col("review_status"), F.trim(F.coalesce("review_reason", F.lit("")))
+    told = lambda status, why: F.struct(F.lit(status).alias("status"), (why if isinstance(why, Column) else F.lit(why)).alias("reason"))
+    verdict = (
+        F.when(review == "PENDING", told("BLOCKED", "EXPECTATION_PENDING_REVIEW"))
+        .when((review == "BLOCKED") & (reason == ""), told("FAIL", "BLOCK_EVIDENCE_INCOMPLETE")).when(review == "BLOCKED", told("BLOCKED", reason))
+        .when((review == "UNMAPPED") & F.col("__mapped"), told("FAIL", "CANONICAL_FIELD_EXISTS")).when(review == "UNMAPPED", told("UNMAPPED", "NO_APPROVED_CANONICAL_TAG"))
+        .when(~F.coalesce(review == "REVIEWED", F.lit(False)), told("FAIL", "MANUAL_REVIEW_STATUS_INVALID")).when(incomplete, told("FAIL", "EXPECTATION_INCOMPLETE")).when(F.col("__known").isNull(), told("FAIL", "EXPECTED_RAW_HASH_NOT_IN_VERIFIED_LEDGER"))
+        .when(F.coalesce("__n", F.lit(0)) == 0, told("FAIL", "FACT_NOT_FOUND")).when(F.col("__n") > 1, told("FAIL", "FACT_MATCH_NOT_UNIQUE")).when(~F.coalesce(same, F.lit(False)), told("FAIL", "VALUE_TIME_OR_LINEAGE_MISMATCH")).otherwise(told("PASS", ""))
+    )
+    checked = rows.select(*key, verdict.alias("v")).select(*key, "v.*")
+    there = expected.groupBy("security_id", "field").agg(F.lit(True).alias("__there"))
+    issuers = expected.select("security_id").distinct().withColumn("__issuer", F.lit(True))
+    absent = required.join(there, ["security_id", "field"], "left").where("__there is null").join(issuers, "security_id", "left")
+    missing = absent.select("security_id", "field", F.lit("FAIL").alias("status"), F.when(F.col("__issuer").isNull(), "REQUIRED_ISSUER_MISSING").otherwise("REQUIRED_FIELD_CHECK_MISSING").alias("reason"))
+    return checked.unionByName(missing, allowMissingColumns=True)

@@ -112,9 +112,10 @@ def _sql_field(name: str, source: str) -> str:
     ladder = "CASE " + " ".join(f"WHEN {t} THEN '{r}'" for r, t in steps) + " END"
     unit = "'ratio'" if prior else "currency" if name == "market_cap_sec_proxy" else "'usd/share'" if name == "book_value_per_share" else f"{now[0]}.u"
     sources = "list_sort(list_filter([" + ", ".join(f"{c}.id" for c in now + then) + "], lambda z: z IS NOT NULL))"
+    turned = "array_to_string(list_filter([" + ", ".join(f"CASE WHEN {c}.s LIKE 'POSITIVE%' AND {c}.v < 0 THEN '{k}=ABS_' || {c}.s END" for k, c in [*zip(inputs, now, strict=True), *((f"prior:{i}", c) for i, c in zip(prior, then, strict=True))]) + "], lambda z: z IS NOT NULL), '|')"
     day, period = ("at", "at") if name in _DAILY else ("NULL", f"{now[0]}.p")
     return f"""SELECT security_id, at, '{name}' AS field, {ladder} AS reason, {formula.format(**names)} AS v, {unit} AS u, {now[0]}.s AS s, '{"HYPOTHESIS_PROXY" if proxies else "SOURCE_LINKED_DERIVED"}' AS g, {now[0]}.d AS d,
-  {period} AS p, coalesce({now[0]}.e, {now[0]}.p) AS e, {now[0]}.fy AS fiscal_year, {sources} AS ids, CAST({day} AS DATE) AS day FROM {source} WHERE {"is_price" if name in _DAILY else "is_fact"}"""
+  {period} AS p, coalesce({now[0]}.e, {now[0]}.p) AS e, {now[0]}.fy AS fiscal_year, {sources} AS ids, CAST({day} AS DATE) AS day, {turned} AS tr FROM {source} WHERE {"is_price" if name in _DAILY else "is_fact"}"""
 
 
 def _sql_wave(n: int, versions: str, names: tuple[str, ...]) -> str:
@@ -132,7 +133,8 @@ made{n} AS (SELECT * FROM ({" UNION ALL ".join(_sql_field(x, f"wide{n}") for x i
 
 
 _FIRST, _SECOND = tuple(x for x in _SQL_DEFINITIONS if x not in ("ebitda", "enterprise_value_sec_proxy")), ("ebitda", "enterprise_value_sec_proxy")
-_ORACLE = f"""WITH base AS (SELECT l_suppkey AS security_id, year(l_shipdate)::INT AS fy, count(*) AS n, {", ".join(f"CAST(floor({x} + 0.00001) AS DOUBLE) AS {k}" for k, x in _SUMS.items())} FROM lineitem GROUP BY 1, 2),
+#: The common part of queries over all derived fields.
+ORACLE_PARTS = f"""WITH base AS (SELECT l_suppkey AS security_id, year(l_shipdate)::INT AS fy, count(*) AS n, {", ".join(f"CAST(floor({x} + 0.00001) AS DOUBLE) AS {k}" for k, x in _SUMS.items())} FROM lineitem GROUP BY 1, 2),
 fv AS (SELECT *, p AS e FROM ({_SQL_ROWS})),
 pe AS (SELECT l_suppkey AS security_id, last_day(CAST(l_shipdate AS DATE)) AS at, last(floor(l_extendedprice / l_quantity) ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey) AS raw_close FROM lineitem GROUP BY 1, 2),
 ev AS (SELECT coalesce(f.security_id, q.security_id) AS security_id, coalesce(f.at, q.at) AS at, f.at IS NOT NULL AS is_fact, q.at IS NOT NULL AS is_price, raw_close, currency FROM (SELECT DISTINCT security_id, a AS at FROM fv) f
@@ -140,7 +142,8 @@ ev AS (SELECT coalesce(f.security_id, q.security_id) AS security_id, coalesce(f.
 {_sql_wave(1, "fv", _FIRST)},
 dv AS (SELECT security_id, fiscal_year, field, v, u, s, g, d, p, at AS a, field || array_to_string(ids, '|') || coalesce(day::VARCHAR, '') AS id, e FROM made1 WHERE reason IS NULL),
 fv2 AS (SELECT security_id, fiscal_year, field, v, u, s, g, d, p, a, id, e FROM fv UNION ALL SELECT * FROM dv),
-{_sql_wave(2, "fv2", _SECOND)}
+{_sql_wave(2, "fv2", _SECOND)}"""
+_ORACLE = f"""{ORACLE_PARTS}
 SELECT security_id, at, field, reason, CASE WHEN reason IS NULL THEN round(v, 6) + 0.0 END AS value, CASE WHEN reason IS NULL THEN u END AS unit FROM (SELECT * FROM made1 UNION ALL SELECT * FROM made2)"""
 
 
