@@ -11,6 +11,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+CELL_ROWS, LEAST_PARTS, MOST_PARTS = 2_000_000, 32, 2_048
+
+
 def _less(bounds: list[float], x: Column) -> Column:
     """How many of the bounds lie below x."""
     if not bounds:
@@ -30,12 +33,14 @@ def _bounds(rows: DataFrame, columns: list[str], parts: int) -> list[list[float]
     return [sorted(set(q)) for q in found]
 
 
-def places(rows: DataFrame, value: str, key: str, name: str = "place", parts: int = 32) -> DataFrame:
+def places(rows: DataFrame, value: str, key: str, name: str = "place", parts: int | None = None) -> DataFrame:
     """Rows with their place, from 1, by ``value`` (highest first, missing and NaN last), then by ``key``.
 
     Both are numbers and compared as doubles; rows equal in both have places in any order. Rows are read three times: for
-    the bounds, the counts and the result.
+    the bounds, the counts and the result, and once more for their number, which decides ``parts`` where that is not given:
+    a cell has ``CELL_ROWS`` rows or so, up to ``MOST_PARTS`` cells of values.
     """
+    parts = max(LEAST_PARTS, min(MOST_PARTS, -(-rows.count() // CELL_ROWS))) if parts is None else parts
     x = F.col(value).cast("double")
     ready = rows.withColumns({"__x": F.when(~F.isnan(x), 0.0 - x), "__k": F.col(key).cast("double")})
     values, keys = _bounds(ready, ["__x", "__k"], parts)

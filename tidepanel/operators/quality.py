@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -24,6 +24,13 @@ def unique_check(df: DataFrame, code: str, *keys: str) -> DataFrame:
     return duplicate_keys(df, *keys).agg(F.lit(code).alias("check"), F.coalesce(F.sum("count"), F.lit(0)).cast("long").alias("failed_rows")).select("check", "failed_rows")
 
 
+def monotonic_check(df: DataFrame, code: str, keys: list[str], order: str, session: str = "session") -> DataFrame:
+    """Rows of a series whose session does not come after the one before it, in the order that they stand."""
+    before = F.lag(session).over(Window.partitionBy(*keys).orderBy(order))
+    wrong = F.col(session).isNull() | (F.col(session) <= before)
+    return df.select(*keys, wrong.alias("__wrong")).agg(F.lit(code).alias("check"), F.count_if("__wrong").alias("failed_rows")).select("check", "failed_rows")
+
+
 def one_value_check(df: DataFrame, code: str, keys: list[str], values: list[str]) -> DataFrame:
     """Series that have more than one value (missing counts as one) of some column."""
     told = df.groupBy(*keys).agg(*(F.count_distinct(F.coalesce(F.col(v).cast("string"), F.lit("\0"))).alias(v) for v in values))

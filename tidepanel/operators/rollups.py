@@ -55,10 +55,10 @@ def registry_rollup(definitions: DataFrame) -> DataFrame:
 def field_demand(needs: DataFrame, supported: DataFrame) -> DataFrame:
     """For each definition and provider the fields it needs, those that are supported, and whether it is a candidate (all are).
 
-    ``needs`` has definition_id, field; ``supported`` has provider, field and is a dimension.
+    ``needs`` has definition_id, field; ``supported`` has provider, field. Providers are few, their fields any number.
     """
     providers = F.broadcast(supported.select("provider").distinct())
-    known = F.broadcast(supported.select("provider", "field").distinct().withColumn("__has", F.lit(True)))
+    known = supported.select("provider", "field").distinct().withColumn("__has", F.lit(True))
     rows = needs.distinct().join(providers).join(known, ["provider", "field"], "left")
     out = rows.groupBy("definition_id", "provider").agg(F.count("*").alias("needed"), F.count("__has").alias("supported"))
     return out.withColumn("candidate", F.col("needed") == F.col("supported"))

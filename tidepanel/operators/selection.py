@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidepanel.functions import crosssection as cs
+from tidepanel.operators.accounts import one_to_one
 from tidepanel.functions import scalar as sc
 from tidepanel.operators.ordering import places
 
@@ -28,6 +29,36 @@ def composites(shares: DataFrame, pools: dict[str, tuple[str, ...]], directions:
     return wide.select(*by, F.explode(F.array(*each)).alias("c")).select("c.composite_id", *by, "c.score")
 
 
+def session_scores(scores: DataFrame, k: int, min_coverage: float = 0.95, min_complete: int = 500) -> DataFrame:
+    """Composite scores of every session (session, security_id, composite_score, n_complete, blockers) from rows (factor_id,
+    session, security_id, score) of k factors on the whole universe; NULL where a factor is missing. ``blockers`` says what
+    stops a session's use: a factor's coverage, or too few complete names."""
+    by = ("factor_id", "session")
+    value = sc.finite(F.col("score"))
+    rows = scores.withColumn("score", value).withColumn("share", cs.rank(F.col("score"), *by))
+    thin = rows.groupBy(*by).agg((F.count("score") / F.count("*") < min_coverage).alias("thin")).groupBy("session").agg(F.bool_or("thin").alias("thin"))
+    out = rows.groupBy("session", "security_id").agg(F.avg("share").alias("mean"), F.count("share").alias("n"))
+    out = out.select("session", "security_id", F.when(F.col("n") == k, F.col("mean")).alias("composite_score"))
+    whole = out.groupBy("session").agg(F.count("composite_score").alias("n_complete")).join(thin, "session")
+    blockers = F.array_compact(F.array(F.when(F.col("thin"), "ACTIVE_FACTOR_COVERAGE_BELOW_95_PERCENT"), F.when(F.col("n_complete") < min_complete, "COMPLETE_COMPOSITE_BELOW_500")))
+    return out.join(F.broadcast(whole.select("session", "n_complete", blockers.alias("blockers"))), "session")  # a row for each session
+
+
+def review_candidates(catalogue: DataFrame, coverage: DataFrame, pair: tuple[str, str]) -> DataFrame:
+    """Eligible definitions in structural order within their mechanism, with mechanism_rank and structural_recommendation (its first).
+
+    Order: both providers of ``pair`` first, then coverage (highest), semantic status (full, partial, other), warm-up and id.
+    Each id is once in both tables, and each eligible one has a coverage; else the run stops.
+    """
+    rows = one_to_one(catalogue.where("eligible"), coverage, "factor_id", "left")
+    missing = F.raise_error(F.concat(F.lit("CANDIDATE_COVERAGE_MISSING: "), F.col("factor_id").cast("string"))).cast("double")
+    both = F.contains(F.col("allowed_providers"), F.lit(pair[0])) & F.contains(F.col("allowed_providers"), F.lit(pair[1]))
+    rows = rows.withColumns({"coverage": F.coalesce("coverage", missing), "dual_provider": F.coalesce(both, F.lit(False))})
+    semantic = F.when(F.col("semantic_status") == "FULL_INTENT", 0).when(F.col("semantic_status") == "PARTIAL_INTENT", 1).otherwise(2)
+    place = F.row_number().over(Window.partitionBy("mechanism_tag").orderBy(F.desc("dual_provider"), F.desc("coverage"), semantic, "warmup_sessions", "factor_id"))
+    return rows.withColumn("mechanism_rank", place).withColumn("structural_recommendation", F.col("mechanism_rank") == 1)
+
+
 def frozen_directions(ics: DataFrame) -> DataFrame:
     """(factor_id, direction): 1 where the mean correlation of a development period isn't negative, else -1."""
     mean = ics.groupBy("factor_id").agg(F.avg("ic").alias("mean"))

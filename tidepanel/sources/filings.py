@@ -61,10 +61,10 @@ def latest_artifacts(ledger: DataFrame, cutoff) -> DataFrame:
     return seen.groupBy("issuer", "kind", "url").agg(F.max(F.struct("requested_at", "sha", "first_seen_at")).alias("a")).select("issuer", "kind", "url", "a.*")
 
 
-def bars_from_json(spark: SparkSession, path: str) -> DataFrame:
-    """Arrays of bars, a file for each symbol, whose name is the symbol."""
+def bars_from_json(spark: SparkSession, path: str, symbol: str = r"/([^/.]+)\.json$") -> DataFrame:
+    """Arrays of bars, a file for each symbol, whose name is the symbol; or what ``symbol``, a pattern, finds in the file's path."""
     rows = spark.read.schema("date string, open double, high double, low double, close double, volume double").json(path, multiLine=True)
-    return rows.select(F.to_date("date").alias("session"), F.regexp_extract(F.col("_metadata.file_name"), r"^([^.]+)\.json", 1).alias("security_id"), "open", "high", "low", "close", "volume")
+    return rows.select(F.to_date("date").alias("session"), F.regexp_extract(F.col("_metadata.file_path"), symbol, 1).alias("security_id"), "open", "high", "low", "close", "volume")
 
 
 def strings_from_csv(spark: SparkSession, path: str, columns: tuple[str, ...]) -> DataFrame:
