@@ -122,6 +122,39 @@ def test_components(spark):
     assert components.connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_pieces_query_against_plain_viterbi(spark):
+    """Every document's ids are those of a plain search over a dictionary of pieces, word by word, without trie or sharing."""
+    from sentencepiece import sentencepiece_model_pb2 as pb
+
+    model = pb.ModelProto()
+    model.ParseFromString(open(pieces.MODEL, "rb").read())
+    known = {p.piece: (p.score, i) for i, p in enumerate(model.pieces) if p.type in (1, 4)}
+    of_byte = {int(p.piece[1:-1], 16): i for i, p in enumerate(model.pieces) if p.type == 6}
+    longest, unknown = max(map(len, known)), min(v[0] for v in known.values()) - 10.0
+
+    def segmented(word):
+        best = [(0.0, 0, [])]
+        for end in range(1, len(word) + 1):
+            options = [(best[end - 1][0] + unknown, 1, best[end - 1][2] + [of_byte[b] for b in word[end - 1].encode()])]
+            for start in range(max(0, end - longest), end):
+                if (own := known.get(word[start:end])) is not None:
+                    options.append((best[start][0] + own[0], 2 + end - start, best[start][2] + [own[1]]))
+            best.append(max(options, key=lambda o: o[:2]))
+        return best[-1][2]
+
+    found, words = {r["doc_id"]: r for r in pieces.op2_pieces(spark, SF).collect()}, {}
+    for doc_id, text in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect():
+        marked = re.findall(f"{pieces.MARK}*[^{pieces.MARK}]*", pieces.MARK + text.replace(" ", pieces.MARK)) if text else []
+        ids = []
+        for w in filter(None, marked):
+            if w not in words:
+                words[w] = segmented(w)
+            ids += words[w]
+        assert (found[doc_id]["n_pieces"], found[doc_id]["ids_sha256"]) == (len(ids), hashlib.sha256(np.array(ids, "<i4").tobytes()).hexdigest())
+        assert found[doc_id]["exact"] and found[doc_id]["decoded_sha256"] == hashlib.sha256((text or "").encode()).hexdigest()
+    assert len(words) > 1000
+
+
 def test_pieces_against_library(tmp_path):
     from sentencepiece import SentencePieceProcessor
     from sentencepiece import sentencepiece_model_pb2 as pb
