@@ -173,20 +173,37 @@ def diagnose(pairs: DataFrame, share: float = 0.1, q: int = 5, whole: int = 26,
 def redundancy(scores: DataFrame, share: float = 0.1) -> DataFrame:
     """For each pair of factors: median absolute Spearman correlation over sessions and mean Jaccard of top sets.
 
-    Ranks and top sets of a pair are those of the rows where both factors have a value. Each (session, security) gathers its
-    scores once, as many as there are factors, and gives a row for each pair.
+    Ranks and top sets of a pair are those of the rows where both factors have a value. Factors are ranked once by themselves.
+    Where two of them have values for the same securities of a session, their own ranks serve, and pairs are only added up,
+    with partial sums before the shuffle; the rest is ranked anew pair by pair. Each (session, security) gathers its scores
+    once, as many as there are factors.
     """
-    rows = scores.where(sc.is_finite(F.col("score"))).groupBy("session", "security_id").agg(F.sort_array(F.collect_list(F.struct("factor_id", "score"))).alias("v"))
-    later = lambda x, i: F.transform(F.slice("v", i + 2, F.size("v")), lambda y: F.struct(x["factor_id"].alias("factor_a"), y["factor_id"].alias("factor_b"), x["score"].alias("a"), y["score"].alias("b")))
-    pairs = rows.select("session", "security_id", F.explode(F.flatten(F.transform("v", later))).alias("p")).select("session", "security_id", "p.*")
+    alone = ["factor_id", "session"]
+    rows = _ranked(scores.where(sc.is_finite(F.col("score"))).select(*alone, "security_id", "score"), "score", alone, "x", "top", share)
+    # who has a value: the sum of hashes of the securities
+    rows = rows.withColumn("who", F.sum(F.xxhash64("security_id").cast("decimal(20,0)")).over(Window.partitionBy(*alone)))
+    rows = rows.groupBy("session", "security_id").agg(F.sort_array(F.collect_list(F.struct("factor_id", "score", "x", "top", "who"))).alias("v"))
+
+    def pairs(same: bool) -> DataFrame:
+        def later(x: Column, i: Column) -> Column:
+            rest = F.filter(F.slice("v", i + 2, F.size("v")), lambda y: (y["who"] == x["who"]) if same else (y["who"] != x["who"]))
+            return F.transform(rest, lambda y: F.struct(x["factor_id"].alias("factor_a"), y["factor_id"].alias("factor_b"), *(z[c].alias(f"{c}_{k}") for k, z in (("a", x), ("b", y)) for c in (("x", "top") if same else ("score",)))))
+
+        return rows.select("session", "security_id", F.explode(F.flatten(F.transform("v", later))).alias("p")).select("session", "security_id", "p.*")
+
     by = ["factor_a", "factor_b", "session"]
-    for side, rank in (("a", "x"), ("b", "y")):
-        pairs = _placed(pairs, side, by)
-        upto, same = _peers(side, by)
-        pairs = pairs.withColumns({rank: F.count("*").over(upto) - (F.count("*").over(same) - 1) / 2, f"top_{side}": _in_top(side, share)})
-    rows = pairs
-    one = rows.groupBy(*by).agg(guarded_corr(F.col("x"), F.col("y")).alias("ic"), (F.count_if(F.col("top_a") & F.col("top_b")) / F.count_if(F.col("top_a") | F.col("top_b"))).alias("jaccard"))
-    return one.groupBy("factor_a", "factor_b").agg(F.median(F.abs("ic")).alias("median_abs_ic"), F.avg("jaccard").alias("top_jaccard"))
+    met = pairs(False)
+    for side in "ab":
+        met = _ranked(met, f"score_{side}", by, f"x_{side}", f"top_{side}", share)
+    summed = [p.groupBy(*by).agg(guarded_corr(F.col("x_a"), F.col("x_b")).alias("ic"), (F.count_if(F.col("top_a") & F.col("top_b")) / F.count_if(F.col("top_a") | F.col("top_b"))).alias("jaccard")) for p in (pairs(True), met)]
+    return summed[0].unionByName(summed[1]).groupBy("factor_a", "factor_b").agg(F.median(F.abs("ic")).alias("median_abs_ic"), F.avg("jaccard").alias("top_jaccard"))
+
+
+def _ranked(rows: DataFrame, value: str, by: list[str], rank: str, top: str, share: float) -> DataFrame:
+    """Rows with the rank of a value within ``by``, ties at their middle, and whether it is in the top."""
+    placed = _placed(rows, value, by)
+    upto, same = _peers(value, by)
+    return placed.withColumns({rank: F.count("*").over(upto) - (F.count("*").over(same) - 1) / 2, top: _in_top(value, share)}).select(*rows.columns, rank, top)
 
 
 def rank_autocorrelation(scores: DataFrame, signals: DataFrame) -> DataFrame:

@@ -15,6 +15,7 @@ from tidepanel.operators.factor import Factor, col, evaluate, long_form, ts_delt
 from tidepanel.plans.registry import query, rounded
 from tidepanel.sources import panels
 from tidepanel.sources.panels import SQL_EVENTS, SQL_WEEKLY
+from tidepanel.sources.shared import written
 
 W = "PARTITION BY security_id ORDER BY session"
 FACTORS = [
@@ -277,50 +278,52 @@ gy AS (SELECT 0::BIGINT AS place, ''::VARCHAR AS factor_id, []::VARCHAR[] AS tak
     FROM gy JOIN nr ON nr.place = gy.place + 1)"""
 
 
-def gated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Diagnostics of the weekly factors with their outcome, a row for each; kept, as selection reads them several times."""
-    return sel.gated(dg.diagnose(weekly_pairs(spark, sf_dir), benchmark=panels.BENCHMARK)).persist()
+def gated(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(decided, pairs): diagnostics of the weekly factors with their outcome, a row for each, and the scores they are of. Both
+    are written once, as selection reads them several times."""
+    pairs = written(weekly_pairs(spark, sf_dir), "weekly-pairs")
+    return written(sel.gated(dg.diagnose(pairs, benchmark=panels.BENCHMARK)), "gates"), pairs
 
 
 def passing(spark: SparkSession, decided: DataFrame) -> DataFrame:
     return decided.where("status = 'PASS_GATES'").join(F.broadcast(catalogue(spark)), "factor_id")
 
 
-def conflicts(spark: SparkSession, sf_dir: str, good: DataFrame) -> DataFrame:
+def conflicts(pairs: DataFrame, good: DataFrame) -> DataFrame:
     """Conflicts among the passing factors; only their scores are compared."""
-    at = weekly_pairs(spark, sf_dir).join(F.broadcast(good.select("factor_id")), "factor_id", "left_semi")
-    return sel.conflicts(good, dg.redundancy(at))
+    return sel.conflicts(good, dg.redundancy(pairs.join(F.broadcast(good.select("factor_id")), "factor_id", "left_semi")))
 
 
-def selected(spark: SparkSession, sf_dir: str, decided: DataFrame) -> DataFrame:
+def selected(spark: SparkSession, decided: DataFrame, pairs: DataFrame) -> DataFrame:
     good = passing(spark, decided)
     ranked = good.select("factor_id", F.row_number().over(Window.orderBy(*sel.candidate_order())).alias("place"))  # a catalogue
-    return sel.greedy(ranked, conflicts(spark, sf_dir, good).where("hard_conflict"), most=_P["pool_max"])
+    return sel.greedy(ranked, conflicts(pairs, good).where("hard_conflict"), most=_P["pool_max"])
 
 
 @query("tk_06_gates", f"{SQL_GATED} SELECT factor_id, split_part(said, '/', 1) AS status, split_part(said, '/', 2) AS reason FROM gt")
 def tk_06(spark, sf_dir):
     """Ordered gates over the diagnostics, with the reason of the first that stops a factor."""
-    return gated(spark, sf_dir).select("factor_id", "status", "reason")
+    return gated(spark, sf_dir)[0].select("factor_id", "status", "reason")
 
 
 @query("tk_08_conflicts", f"{SQL_SELECTED} SELECT factor_a, factor_b, same_family, same_mechanism, round(median_abs_ic, 6) + 0.0 AS median_abs_ic, round(top_jaccard, 6) + 0.0 AS top_jaccard, conflict_reason FROM cf")
 def tk_08_conflicts(spark, sf_dir):
     """All pairs of passing factors with what makes them conflict."""
-    c = conflicts(spark, sf_dir, passing(spark, gated(spark, sf_dir)))
+    decided, pairs = gated(spark, sf_dir)
+    c = conflicts(pairs, passing(spark, decided))
     return c.select("factor_a", "factor_b", "same_family", "same_mechanism", rounded(F.col("median_abs_ic")).alias("median_abs_ic"), rounded(F.col("top_jaccard")).alias("top_jaccard"), "conflict_reason")
 
 
 @query("tk_07_08_greedy_selection", f"{SQL_SELECTED} SELECT factor_id, place, status, reason FROM gy WHERE place > 0")
 def tk_08(spark, sf_dir):
     """Passing factors in the fixed order, taken unless one that conflicts with them was."""
-    return selected(spark, sf_dir, gated(spark, sf_dir)).withColumn("place", F.col("place").cast("long"))
+    return selected(spark, *gated(spark, sf_dir)).withColumn("place", F.col("place").cast("long"))
 
 
 @query("tk_08_pool_messages", f"""{SQL_SELECTED}, sl AS (SELECT mechanism_tag FROM gy JOIN cat USING (factor_id) WHERE status = 'SELECTED')
 SELECT count(*) AS n_selected, array_to_string(list_filter([CASE WHEN count(*) < {_P["pool_min"]} THEN 'COMPOSITE_BLOCKED_INSUFFICIENT_ALPHA' END, CASE WHEN count(*) > count(DISTINCT mechanism_tag) THEN 'SAME_MECHANISM_INCLUDED' END], lambda x: x IS NOT NULL), ',') AS messages FROM sl""")
 def tk_08_messages(spark, sf_dir):
-    decided = selected(spark, sf_dir, gated(spark, sf_dir)).join(F.broadcast(catalogue(spark)), "factor_id")
+    decided = selected(spark, *gated(spark, sf_dir)).join(F.broadcast(catalogue(spark)), "factor_id")
     return sel.pool_messages(decided).select("n_selected", F.array_join("messages", ",").alias("messages"))
 
 
@@ -332,8 +335,8 @@ st(stage, name, gone) AS (VALUES {_SQL_STAGES}), sr AS (SELECT stage, name, (SEL
 SELECT stage, name, remaining, coalesce(lag(remaining) OVER (ORDER BY stage) - remaining, 0) AS removed FROM sr""")
 def ag_19(spark, sf_dir):
     """From all versions of the catalogue to the pool."""
-    gates = gated(spark, sf_dir)
-    final = selected(spark, sf_dir, gates).select("factor_id", F.col("status").alias("final"))
+    gates, pairs = gated(spark, sf_dir)
+    final = selected(spark, gates, pairs).select("factor_id", F.col("status").alias("final"))
     decided = F.broadcast(catalogue(spark)).join(gates.select("factor_id", "status"), "factor_id", "left").join(final, "factor_id", "left")
     return sel.funnel(decided.select(F.coalesce("final", "status", F.lit("CATALOG_INELIGIBLE")).alias("status"))).withColumn("stage", F.col("stage").cast("int"))
 
