@@ -71,3 +71,33 @@ def test_composites(spark):
     ics = spark.createDataFrame([("a", 0.1), ("a", 0.3), ("b", -0.2), ("c", None)], "factor_id string, ic double")
     found = {(r["composite_id"], r["security_id"]): r["score"] for r in sel.composites(shares, {"AB": ("a", "b"), "C": ("c",)}, sel.frozen_directions(ics)).collect()}
     assert found == {("AB", 1): (0.2 + 0.6) / 2, ("AB", 2): None, ("C", 1): 0.9, ("C", 2): 0.1}
+
+
+def most_rows(df):
+    """The most rows that any step of a plan gave out, after it ran."""
+    df.collect()
+    found, nodes = 0, [df._jdf.queryExecution().executedPlan()]
+    while nodes:
+        node = nodes.pop()
+        kind = node.getClass().getSimpleName()
+        if kind == "AdaptiveSparkPlanExec":
+            nodes.append(node.executedPlan())
+            continue
+        if kind.endswith("QueryStageExec"):
+            nodes.append(node.plan())
+            continue
+        metric = node.metrics().get("numOutputRows")
+        if metric.isDefined():
+            found = max(found, metric.get().value())
+        nodes += [node.children().apply(i) for i in range(node.children().size())]
+    return found
+
+
+def test_a_ticker_of_many_makes_no_pairs(spark):
+    n = 400
+    universe = spark.createDataFrame([(str(i), "T", "NYSE" if i % 2 else "NASDAQ", "REIT", "US", "x", False, DAY, None) for i in range(n)], UNIVERSE)
+    index = spark.createDataFrame([(i, "T", "NYSE" if i else "NASDAQ", 0, []) for i in range(n)], INDEX)
+    out = idn.resolve(universe, index)
+    assert most_rows(out) <= 10 * n
+    found = {r["security_id"]: (r["issuer"], r["blocking_reasons"]) for r in out.collect()}
+    assert found == {str(i): (None, "MULTIPLE_ISSUER_MATCHES") if i % 2 else (0, "MULTIPLE_PROJECT_SECURITIES_FOR_ISSUER") for i in range(n)}

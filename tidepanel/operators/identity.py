@@ -69,18 +69,18 @@ def resolve(universe: DataFrame, index: DataFrame) -> DataFrame:
     a security's intervals don't overlap. ``index``: issuer, sec_ticker, sec_exchange, position and forms, a row for each
     ticker that an issuer lists. Securities of one issuer whose intervals overlap are AMBIGUOUS_MULTI_CLASS.
 
-    One join by ticker, one group-by for each row; overlaps are found in order of start, without pairs.
+    The index is first added up by ticker and by ticker and exchange, which securities then look up: the work grows with both
+    tables, not with their product. Overlaps are found in order of start, without pairs.
     """
     row = ["security_id", "effective_from"]
     listed = index.select("issuer", "sec_ticker", "position", "forms", normal_ticker(F.col("sec_ticker")).alias("nt"), normal_exchange(F.col("sec_exchange")).alias("ne")).where("nt != ''")
     many = listed.groupBy("issuer").agg(F.count_distinct("nt").alias("n_tickers"))
     listed = listed.join(many, "issuer").select("nt", F.col("ne").alias("listed_on"), F.struct("issuer", "position", "sec_ticker", "n_tickers").alias("entry"), "forms")
     asked = universe.withColumns({"nt": normal_ticker(F.col("ticker")), "ne": normal_exchange(F.col("exchange"))})
-    here = F.col("listed_on") == F.col("ne")
-    found = asked.select(*row, "nt", "ne").join(listed, "nt").groupBy(*row).agg(
-        F.count("*").alias("n_entries"), F.count_distinct("entry.issuer").alias("n_issuers"), F.min("entry").alias("any"),
-        F.count_distinct(F.when(here, F.col("entry.issuer"))).alias("n_here"), F.min(F.when(here, F.col("entry"))).alias("match"), F.array_distinct(F.flatten(F.collect_set("forms"))).alias("forms"))
-    rows = asked.join(found, row, "left").fillna(0, ["n_entries", "n_issuers", "n_here"])
+    # a ticker and a ticker at an exchange each have one row, however many list it: securities never meet the entries themselves
+    of_ticker = listed.groupBy("nt").agg(F.count("*").alias("n_entries"), F.count_distinct("entry.issuer").alias("n_issuers"), F.min("entry").alias("any"), F.array_distinct(F.flatten(F.collect_set("forms"))).alias("forms"))
+    of_place = listed.groupBy("nt", F.col("listed_on").alias("ne")).agg(F.count_distinct("entry.issuer").alias("n_here"), F.min("entry").alias("match"))
+    rows = asked.join(of_ticker, "nt", "left").join(of_place, ["nt", "ne"], "left").fillna(0, ["n_entries", "n_issuers", "n_here"])
     rows = rows.withColumn("scope", scope_reasons(F.coalesce("forms", F.array().cast("array<string>"))))
     out = F.size("scope") > 0
     # out of scope, the issuer is still told where there is only one
