@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tidepanel.operators import identity as idn
 from tidepanel.plans.registry import query
 from tidepanel.sources.panels import SQL_VERSIONS, read, versions
+from tidepanel.sources.shared import written
 
 _VENUES = ("NYSE", "New York  Stock Exchange", "NASDAQ", "Nasdaq Global Select", " NYSE ARCA", "nysearca", "Cboe BZX")
 _FORMS = ("10-K", "20-F", "8-K")
@@ -71,7 +72,7 @@ d AS (SELECT c.*, h.issuer AS hi, h.mapping_status AS hs FROM c LEFT JOIN h ON n
 SELECT security_id, field, accession, period_end, n AS n_rows, CASE WHEN usage = 'OTHER' THEN 'IDENTITY_UNKNOWN_USAGE' WHEN n <> 1 THEN 'IDENTITY_INTERVAL_COUNT' WHEN hi IS DISTINCT FROM issuer THEN 'IDENTITY_ISSUER_MISMATCH' WHEN hs = 'VERIFIED_SINGLE_CLASS' OR (hs = 'VERIFIED_ENTITY_LEVEL_ONLY' AND usage = 'STATEMENT') THEN 'OK' ELSE 'IDENTITY_NOT_USABLE' END AS status FROM d""")
 def join_09(spark, sf_dir):
     """Every fact of a supplier against the identity row of its time, which must be one, of its issuer and fit for its usage."""
-    b = bridge(spark, sf_dir)
+    b = written(bridge(spark, sf_dir), "bridge")
     second = b.where("security_id % 4 = 0").withColumns({"effective_from": F.lit("1996-06-01").cast("date"), "effective_to": F.lit("1998-06-01").cast("date")})
     usage = F.when(F.col("field") == "A", "STATEMENT").when(F.col("field") == "R", "market_cap").when(F.col("accession") % 9 == 0, "OTHER").otherwise("shares")
     asked = versions(spark, sf_dir).join(b.select("security_id", "issuer"), "security_id")
