@@ -107,3 +107,14 @@ def test_routing_calendar(spark):
     assert said == {5: (16, 8), 6: (None, 8), 7: (None, 8), 8: (16, None)}
     seen = streaming.first_seen(spark.createDataFrame([(dt.datetime(2024, 1, 1), dt.datetime(2024, 1, 2))], "available_at timestamp, first_seen_at timestamp"))
     assert seen.first()["available_at"] == dt.datetime(2024, 1, 2)
+
+
+def test_wide_panels_take_one_job_a_field_however_many_blocks(spark, tmp_path):
+    rows = spark.range(60).select(F.lit(DAY).alias("session"), F.when(F.col("id") > 0, F.col("id")).alias("security_id"), F.col("id").cast("double").alias("open"))
+    spark.sparkContext.setJobGroup("wide", "wide")
+    blocks = store.write_wide(rows, f"{tmp_path}/w", ["open"], block=4)
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("wide"))
+    spark.sparkContext.setJobGroup("other", "other")
+    assert len(blocks) > 15 and jobs < 2 * len(blocks)
+    want = {(None if i == 0 else str(i), float(i)) for i in range(60)}
+    assert {(r["security_id"], r["open"]) for r in store.read_wide(spark, f"{tmp_path}/w").collect()} == want

@@ -51,6 +51,11 @@ def _at(spark: SparkSession, path: str):
     return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, at = _at(spark, path)
+    return fs.exists(at)
+
+
 def folders(spark: SparkSession, path: str) -> list[str]:
     """The names of the folders in a folder, sorted."""
     fs, at = _at(spark, path)
