@@ -118,3 +118,16 @@ def test_wide_panels_take_one_job_a_field_however_many_blocks(spark, tmp_path):
     assert len(blocks) > 15 and jobs < 2 * len(blocks)
     want = {(None if i == 0 else str(i), float(i)) for i in range(60)}
     assert {(r["security_id"], r["open"]) for r in store.read_wide(spark, f"{tmp_path}/w").collect()} == want
+
+
+SMALL = "/root/testdata/sf0.001"
+
+
+def test_wide_panel_of_more_securities_than_a_pivot_takes(spark):
+    from tidepanel.plans.all import QUERIES
+
+    spark.conf.set("spark.sql.pivotMaxValues", "5")
+    try:
+        assert QUERIES["src_01_wide_panel"](spark, SMALL).select("security_id").distinct().count() > 5
+    finally:
+        spark.conf.unset("spark.sql.pivotMaxValues")

@@ -12,7 +12,9 @@ from tidepanel.operators.fundamentals import derived, periods
 from tidepanel.plans.factor_queries import SQL_BASE, SQL_TOP, pairs, scores
 from tidepanel.plans.registry import query, rounded
 from tidepanel.sources import filings, panels
+from tidepanel.sources import panel_store as store
 from tidepanel.sources.panels import SQL_EVENTS, SQL_VERSIONS, read
+from tidepanel.sources.shared import scratch
 
 
 def ledger_facts(spark, sf_dir) -> DataFrame:
@@ -107,9 +109,10 @@ def fd_12(spark, sf_dir):
 
 @query("src_01_wide_panel", f"WITH {SQL_EVENTS} SELECT session, CAST(security_id AS VARCHAR) AS security_id, close FROM grid_e WHERE close IS NOT NULL")
 def src_01(spark, sf_dir):
-    """A wide field panel read back to rows."""
-    wide = panels.event_bars(spark, sf_dir).groupBy("session").pivot("security_id").agg(F.first("close"))
-    return panels.wide_to_long(wide, "close").where("close is not null")
+    """A wide field panel of all securities, in files of bounded width, read back to rows."""
+    path = scratch(spark, "wide-panel")
+    store.write_wide(panels.event_bars(spark, sf_dir).select("session", "security_id", "close"), path, ["close"])
+    return store.read_wide(spark, path, required=("close",)).select("session", "security_id", "close")
 
 
 @query("src_03_04_pruned_window", "SELECT l_suppkey, count(*) AS n, min(CAST(l_shipdate AS DATE)) AS first_day, max(CAST(l_shipdate AS DATE)) AS last_day FROM lineitem WHERE l_shipdate >= TIMESTAMP '1997-01-01' AND l_shipdate < TIMESTAMP '1997-04-01' GROUP BY 1")
