@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import datetime as dt
+import functools
+import operator
 
 import pytest
 from pyspark.sql import functions as F
@@ -131,3 +133,15 @@ def test_wide_panel_of_more_securities_than_a_pivot_takes(spark):
         assert QUERIES["src_01_wide_panel"](spark, SMALL).select("security_id").distinct().count() > 5
     finally:
         spark.conf.unset("spark.sql.pivotMaxValues")
+
+
+def test_equal_sums_in_another_order_are_ties(spark, tmp_path):
+    from tidepanel.plans.all import QUERIES
+
+    prices = [0.1, 0.2, 0.3] * 8
+    added = lambda ps: functools.reduce(operator.add, ps)  # noqa: E731, sum() makes up for lost digits
+    less, more = sorted((prices, prices[::-1]), key=added)
+    assert added(less) < added(more)
+    spark.createDataFrame([(i, 1.0) for i in (1, 2)], "s_suppkey long, s_acctbal double").write.parquet(f"{tmp_path}/supplier.parquet")
+    spark.createDataFrame([(i, p) for i, ps in ((1, less), (2, more)) for p in ps], "l_suppkey long, l_extendedprice double").coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    assert {r["security_id"]: r["place"] for r in QUERIES["tk_04_05_universe"](spark, str(tmp_path)).collect()} == {1: 1, 2: 2}

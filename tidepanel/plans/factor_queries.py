@@ -376,7 +376,9 @@ SELECT security_id, array_to_string(r, ',') AS reasons, eligible, place, coalesc
 def tk_04(spark, sf_dir):
     """Eligibility with reasons, places by liquidity, gates on size."""
     s, li = panels.read(spark, sf_dir, "supplier"), panels.read(spark, sf_dir, "lineitem")
-    traded = li.groupBy(F.col("l_suppkey").alias("security_id")).agg(F.count("*").alias("n"), F.sum("l_extendedprice").alias("adv"))
+    # a sum of doubles depends on the order of its rows, which would part equal sums: decimals keep them equal, and ids decide
+    adv = F.sum(F.col("l_extendedprice").try_cast("decimal(24,6)")).cast("double")
+    traded = li.groupBy(F.col("l_suppkey").alias("security_id")).agg(F.count("*").alias("n"), adv.alias("adv"))
     rows = s.select(F.col("s_suppkey").alias("security_id"), "s_acctbal").join(traded, "security_id", "left").fillna(0, ["n", "adv"])
     out = sel.liquid_universe(rows, {"INSUFFICIENT_HISTORY": F.col("n") < 20, "LOW_BALANCE": F.col("s_acctbal") < 0, "BLOCKED": F.col("security_id") % 11 == 0}, "adv", 5, 50)
     return out.select("security_id", F.array_join("reasons", ",").alias("reasons"), "eligible", F.col("place").cast("long").alias("place"), F.coalesce("selected", F.lit(False)).alias("selected"))
