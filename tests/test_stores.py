@@ -145,3 +145,12 @@ def test_equal_sums_in_another_order_are_ties(spark, tmp_path):
     spark.createDataFrame([(i, 1.0) for i in (1, 2)], "s_suppkey long, s_acctbal double").write.parquet(f"{tmp_path}/supplier.parquet")
     spark.createDataFrame([(i, p) for i, ps in ((1, less), (2, more)) for p in ps], "l_suppkey long, l_extendedprice double").coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
     assert {r["security_id"]: r["place"] for r in QUERIES["tk_04_05_universe"](spark, str(tmp_path)).collect()} == {1: 1, 2: 2}
+
+
+def test_bar_files_hold_many_securities(spark, tmp_path, monkeypatch):
+    from tidepanel.plans import observable_queries
+
+    monkeypatch.setattr(observable_queries, "scratch", lambda spark, label: f"{tmp_path}/bars")
+    found = observable_queries.src_05(spark, SMALL)
+    assert not [p for p in (tmp_path / "bars").iterdir() if p.is_dir()]
+    assert found.select("security_id").distinct().count() > 5

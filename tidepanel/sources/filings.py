@@ -67,6 +67,13 @@ def bars_from_json(spark: SparkSession, path: str, symbol: str = r"/([^/.]+)\.js
     return rows.select(F.to_date("date").alias("session"), F.regexp_extract(F.col("_metadata.file_path"), symbol, 1).alias("security_id"), "open", "high", "low", "close", "volume")
 
 
+def bars_from_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Arrays of bars of many symbols in each file, a line ``{"symbol": ..., "bars": [...]}`` for each."""
+    bar = "struct<date:string,open:double,high:double,low:double,close:double,volume:double>"
+    rows = spark.read.schema(f"symbol string, bars array<{bar}>").json(path).select("symbol", F.explode("bars").alias("b"))
+    return rows.select(F.to_date("b.date").alias("session"), F.col("symbol").alias("security_id"), *(F.col(f"b.{c}").alias(c) for c in ("open", "high", "low", "close", "volume")))
+
+
 def strings_from_csv(spark: SparkSession, path: str, columns: tuple[str, ...]) -> DataFrame:
     """A CSV file with a header, all columns text."""
     return spark.read.option("header", True).schema(", ".join(f"`{c}` string" for c in columns)).csv(path)
