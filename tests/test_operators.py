@@ -167,3 +167,15 @@ def test_checks(spark):
     assert {r["check"]: r["failed_rows"] for r in checks.collect()} == {"KEY": 1, "TEXT": 0}
     with pytest.raises(quality.CheckFailed, match="KEY"):
         quality.assert_clean(checks)
+
+
+def test_diagnose_ranks_each_cross_section_in_one_shuffle(spark):
+    """Rows meet once, by factor and session, whatever the ids are; a factor without values has none of its measures."""
+    days = [datetime.date(2024, 1, d) for d in (1, 8, 15)]
+    rows = [(f, day, s, None if f == "none" else x + i, x) for f in ("some", "none") for i, day in enumerate(days) for x, s in ((1.0, "b"), (1.0, "a"), (3.0, "c"), (4.0, "d"))]
+    out = diagnostics.diagnose(spark.createDataFrame(rows, "factor_id string, session date, security_id string, score double, forward_return double"))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapGroupsInArrow" in plan and "security_id" not in plan.split("FlatMapGroupsInArrow")[0]
+    found = {r["factor_id"]: r for r in out.collect()}
+    assert (found["some"]["n_sessions"], round(found["some"]["mean_ic"], 9), found["some"]["turnover"], found["some"]["median_coverage"]) == (3, 1.0, 0.0, 1.0)
+    assert (found["none"]["n_sessions"], found["none"]["mean_ic"], found["none"]["turnover"], found["none"]["median_coverage"]) == (0, None, None, 0.0)

@@ -5,6 +5,9 @@ Input is long: ``ranks`` (factor_id, session, security_id, score) and ``labels``
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -134,28 +137,56 @@ def _in_top(x: str, share: float) -> Column:
     return F.col(x).isNotNull() & (F.col("n_all") - F.col("place") < F.greatest(F.lit(1), F.ceil(F.round(F.col("n") * share, 9))))
 
 
+def _average_ranks(x: np.ndarray) -> np.ndarray:
+    """Ranks from 1, ties at their middle."""
+    _, where, n = np.unique(x, return_inverse=True, return_counts=True)
+    return (np.cumsum(n) - (n - 1) / 2)[where]
+
+
+def _cross_section(share: float, q: int):
+    """One row of a (factor, session): correlation of ranks, coverage, sums of labels by bucket of all scores, and the top set."""
+    def of(key, rows):
+        score, label = (rows.column(c).to_numpy() for c in ("score", "label"))
+        scored = np.flatnonzero(~np.isnan(score))
+        x, y, n = score[scored], label[scored], len(scored)
+        both = ~np.isnan(y)
+        ranks = _average_ranks(x)
+        bucket = np.clip(np.ceil(np.round(ranks / max(n, 1), 9) * q), 1, q)[both]
+        y = y[both]
+        a, b = _average_ranks(x[both]), _average_ranks(y)
+        spread = a.std() * b.std() if len(y) else 0.0
+        ic = float(((a - a.mean()) * (b - b.mean())).mean() / spread) if spread > FLAT else None
+        ids = rows.column("security_id").combine_chunks().take(pa.array(scored))
+        most = min(n, max(1, int(np.ceil(round(n * share, 9)))))
+        top = ids.take(pa.compute.sort_indices(pa.table({"x": x, "id": ids}), sort_keys=[("x", "descending"), ("id", "ascending")])[:most])
+        out = {"ic": ic, "share": len(y) / len(score), "n_top": most}
+        for i in range(1, q + 1):
+            n_i = int((bucket == i).sum())
+            out |= {f"sum_{i}": float(y[bucket == i].sum()) if n_i else None, f"count_{i}": n_i}
+        types = {k: pa.int64() if isinstance(v, int) else pa.float64() for k, v in out.items()}
+        lists = pa.ListArray.from_arrays(pa.array([0, len(top)], pa.int32()), top)
+        keys = {k: pa.array([v.as_py()], v.type) for k, v in zip(("factor_id", "session"), key, strict=True)}
+        return pa.table(keys | {k: pa.array([v], types[k]) for k, v in out.items()} | {"top": lists})
+
+    return of
+
+
 def diagnose(pairs: DataFrame, share: float = 0.1, q: int = 5, whole: int = 26, partial: int = 13, benchmark=None) -> DataFrame:
     """One row for each factor from rows (factor_id, session, security_id, score, forward_return) at signal sessions.
 
-    One pass: ranks, buckets and top sets by (factor, session); whether a name was in the top at the signal before, by (factor,
-    security); then one aggregate for each (factor, session), a small table, which is rolled up by year and by factor. Every
-    security has a row at every signal. ``benchmark`` is a security that must not be among them.
+    One shuffle: each (factor, session), a number for each security, is ranked in one group, which gives a row of aggregates and
+    the ids of its top set, a tenth of the securities; top sets are met with those of the signal before, and the rows, a small
+    table, are rolled up by year and by factor. Every security has a row at every signal. ``benchmark`` is a security that must not be among them.
     """
     by = ["factor_id", "session"]
     rows = pairs.select(*by, "security_id", sc.finite(F.col("score")).alias("score"), sc.finite(F.col("forward_return")).alias("label"))
     if benchmark is not None:
         rows = rows.where(F.when(F.col("security_id") == benchmark, F.raise_error("BENCHMARK_IN_FACTOR_CROSS_SECTION").cast("boolean")).otherwise(True))
-    both = F.col("score").isNotNull() & F.col("label").isNotNull()
-    rows = _placed(rows, "score", by).withColumn("both", both.cast("int"))
-    upto, same = _peers("score", by)
-    rows = rows.withColumns({"x": F.sum("both").over(upto) - (F.sum("both").over(same) - 1) / 2, "rank": F.count("*").over(upto) - (F.count("*").over(same) - 1) / 2})
-    upto, same = _peers("label", by)
-    rows = rows.withColumn("y", F.sum("both").over(upto) - (F.sum("both").over(same) - 1) / 2)
-    share_ = (F.col("rank") - F.col("n_all") + F.col("n")) / F.col("n")
-    rows = rows.select(*by, "security_id", "label", "both", F.when(both, F.col("x")).alias("x"), F.when(both, F.col("y")).alias("y"), F.when(both, cs.bucket(F.round(share_, 9), q)).alias("bucket"), _in_top("score", share).alias("top"))
-    rows = rows.withColumn("was", F.lag("top").over(Window.partitionBy("factor_id", "security_id").orderBy("session")))
-    sums = [x for i in range(1, q + 1) for x in (F.sum(F.when(F.col("bucket") == i, F.col("label"))).alias(f"sum_{i}"), F.count_if(F.col("bucket") == i).alias(f"count_{i}"))]
-    one = rows.groupBy(*by).agg(guarded_corr(F.col("x"), F.col("y")).alias("ic"), (F.sum("both") / F.count("*")).alias("share"), F.count_if("top").alias("n_top"), F.count_if(F.col("top") & F.col("was")).alias("n_kept"), *sums)
+    told = ", ".join(f"sum_{i} double, count_{i} long" for i in range(1, q + 1))
+    ids = pairs.schema["security_id"].dataType.simpleString()
+    one = rows.groupBy(*by).applyInArrow(_cross_section(share, q), f"factor_id string, session date, ic double, share double, n_top long, {told}, top array<{ids}>")
+    kept = F.array_intersect("top", F.lag("top").over(Window.partitionBy("factor_id").orderBy("session")))
+    one = one.withColumn("n_kept", F.coalesce(F.size(kept), F.lit(0))).drop("top")
 
     factor, year = Window.partitionBy("factor_id"), Window.partitionBy("factor_id", "year")
     before = F.lag("n_top").over(factor.orderBy("session"))
