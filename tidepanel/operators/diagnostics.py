@@ -137,23 +137,22 @@ def _in_top(x: str, share: float) -> Column:
     return F.col(x).isNotNull() & (F.col("n_all") - F.col("place") < F.greatest(F.lit(1), F.ceil(F.round(F.col("n") * share, 9))))
 
 
-def _average_ranks(x: np.ndarray) -> np.ndarray:
-    """Ranks from 1, ties at their middle."""
-    _, where, n = np.unique(x, return_inverse=True, return_counts=True)
-    return (np.cumsum(n) - (n - 1) / 2)[where]
-
-
 def _cross_section(share: float, q: int):
     """One row of a (factor, session): correlation of ranks, coverage, sums of labels by bucket of all scores, and the top set."""
+    def average_ranks(x):
+        """Ranks from 1, ties at their middle; in here, so that executors need not import this package."""
+        _, where, n = np.unique(x, return_inverse=True, return_counts=True)
+        return (np.cumsum(n) - (n - 1) / 2)[where]
+
     def of(key, rows):
         score, label = (rows.column(c).to_numpy() for c in ("score", "label"))
         scored = np.flatnonzero(~np.isnan(score))
         x, y, n = score[scored], label[scored], len(scored)
         both = ~np.isnan(y)
-        ranks = _average_ranks(x)
+        ranks = average_ranks(x)
         bucket = np.clip(np.ceil(np.round(ranks / max(n, 1), 9) * q), 1, q)[both]
         y = y[both]
-        a, b = _average_ranks(x[both]), _average_ranks(y)
+        a, b = average_ranks(x[both]), average_ranks(y)
         spread = a.std() * b.std() if len(y) else 0.0
         ic = float(((a - a.mean()) * (b - b.mean())).mean() / spread) if spread > FLAT else None
         ids = rows.column("security_id").combine_chunks().take(pa.array(scored))
