@@ -13,12 +13,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def latest(rows: DataFrame, keys: Sequence[str], precedence: Sequence[Column], known: Column | None = None) -> DataFrame:
+def latest(rows: DataFrame, keys: Sequence[str], precedence: Sequence[Column], known: Column | None = None, parts: int | None = None) -> DataFrame:
     """The row of each key that comes first by ``precedence`` (descending), among those ``known``.
 
-    A latest row whose value is NULL stays: there is no fall back to an older one.
+    A latest row whose value is NULL stays: there is no fall back to an older one. ``parts`` is the number of tasks that the
+    keys are dealt to, Spark's own if None.
     """
     rows = rows if known is None else rows.where(known)
+    rows = rows if parts is None else rows.repartition(parts, *keys)
     order = Window.partitionBy(*keys).orderBy(*(F.desc_nulls_last(p) if isinstance(p, str) else p.desc_nulls_last() for p in precedence))
     return rows.withColumn("__place", F.row_number().over(order)).where("__place = 1").drop("__place")
 

@@ -30,7 +30,7 @@ def _date(text: str):
 SELECT security_id, field, period_end, accession, available_at, round(value, 4) + 0.0 AS value FROM r WHERE k = 1""")
 def join_01(spark, sf_dir):
     known = (F.col("available_at") <= _date(CUT)) & (F.col("period_end") <= _date(CUT))
-    out = asof.latest(panels.versions(spark, sf_dir), ["security_id", "field", "period_end"], ["available_at", "accession"], known)
+    out = asof.latest(panels.versions(spark, sf_dir), ["security_id", "field", "period_end"], ["available_at", "accession"], known, panels.tasks(read(spark, sf_dir, "lineitem")))
     return out.select("security_id", "field", "period_end", "accession", "available_at", rounded(F.col("value"), 4).alias("value"))
 
 
@@ -60,7 +60,7 @@ def join_04(spark, sf_dir):
 SELECT security_id, field, year(period_end)::INT AS fy, quarter(period_end)::INT AS fq, period_end, accession, round(value, 4) + 0.0 AS value FROM r WHERE k = 1""")
 def join_05(spark, sf_dir):
     v = panels.versions(spark, sf_dir).withColumns({"fy": F.year("period_end"), "fq": F.quarter("period_end")})
-    out = asof.latest(v, ["security_id", "field", "fy", "fq"], ["period_end", "available_at", "accession"], F.col("available_at") <= _date(CUT))
+    out = asof.latest(v, ["security_id", "field", "fy", "fq"], ["period_end", "available_at", "accession"], F.col("available_at") <= _date(CUT), panels.tasks(read(spark, sf_dir, "lineitem")))
     return out.select("security_id", "field", "fy", "fq", "period_end", "accession", rounded(F.col("value"), 4).alias("value"))
 
 
