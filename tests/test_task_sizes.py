@@ -10,7 +10,7 @@ from tidepanel.sources import panels
 SMALL = "/root/testdata/sf0.001"
 #: Query: the shuffles by number that it has at least.
 SHUFFLES = {
-    "join_05_version_snapshot": 3,
+    "join_05_version_snapshot": 3, "dq_06_reconciliation": 3,
 }
 
 

@@ -388,7 +388,7 @@ SELECT e.security_id, e.field, CASE WHEN v.value IS NULL THEN 'MISSING' WHEN abs
 def dq_06(spark, sf_dir):
     """Orders of each supplier and flag, counted off the line items, against versions of some size."""
     li = read(spark, sf_dir, "lineitem")
-    counted = li.groupBy(F.col("l_suppkey").alias("security_id"), F.col("l_returnflag").alias("field")).agg(F.count_distinct("l_orderkey").cast("double").alias("expected"))
+    counted = li.repartition(panels.tasks(li), "l_orderkey").groupBy(F.col("l_suppkey").alias("security_id"), F.col("l_returnflag").alias("field")).agg(F.count_distinct("l_orderkey").cast("double").alias("expected"))
     every = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("security_id")).join(F.broadcast(li.select(F.col("l_returnflag").alias("field")).distinct()))
     e = every.join(counted, ["security_id", "field"], "left").fillna(0.0, ["expected"])
     v = panels.versions(spark, sf_dir).where("value > 3000").groupBy("security_id", "field").agg(F.count("*").cast("double").alias("value"))
