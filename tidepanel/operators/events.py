@@ -15,14 +15,16 @@ KINDS = ("split", "dividend_ex", "dividend_pay", "delisting", "trade")
 _NEAR = 1e-10
 
 
-def held(events: DataFrame) -> DataFrame:
+def held(events: DataFrame, parts: int | None = None) -> DataFrame:
     """Events with ``before`` and ``shares``, the position just before and after each, and ``status``.
 
     ``events``: security_id, at, kind, event_id, amount (shares of a trade, ratio of a split, cash per share of a dividend's ex
     date, value per share of a delisting), entitlement (of a dividend's payment: the event_id of its ex date). Status is
     FRACTIONAL_SPLIT_CASH_IN_LIEU_REQUIRED where a split leaves part of a share, INVALID_SPLIT for a ratio that is not above
-    zero (it changes nothing), NEGATIVE_POSITION, TRADE_AFTER_DELISTING, or OK.
+    zero (it changes nothing), NEGATIVE_POSITION, TRADE_AFTER_DELISTING, or OK. ``parts`` is the number of tasks that securities
+    are dealt to, Spark's own if None.
     """
+    events = events if parts is None else events.repartition(parts, "security_id")
     order = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind"))
     by = Window.partitionBy("security_id").orderBy("at", "order", "event_id")
     gone = F.sum(F.when(F.col("kind") == "delisting", 1).otherwise(0)).over(by.rowsBetween(Window.unboundedPreceding, -1))
@@ -55,9 +57,10 @@ def dividends(positions: DataFrame) -> DataFrame:
     is UNKNOWN_OR_PAID_ENTITLEMENT, a dividend that is negative or no number is INVALID_DIVIDEND and entitles to nothing.
     """
     right = F.coalesce((F.col("amount") >= 0) & ~F.isnan("amount"), F.lit(False))
-    ex = positions.where("kind = 'dividend_ex'").select("security_id", F.col("event_id").alias("claim"), "at", F.lit(0).alias("is_pay"), "event_id", F.col("before").alias("holding"), F.when(right, F.col("before") * F.col("amount")).alias("entitlement"))
-    pay = positions.where("kind = 'dividend_pay'").select("security_id", F.col("entitlement").alias("claim"), "at", F.lit(1).alias("is_pay"), "event_id")
-    both = ex.unionByName(pay, allowMissingColumns=True)
+    is_ex = F.col("kind") == "dividend_ex"
+    both = positions.where("kind in ('dividend_ex', 'dividend_pay')").select(
+        "security_id", F.when(is_ex, F.col("event_id")).otherwise(F.col("entitlement")).alias("claim"), "at", F.when(is_ex, 0).otherwise(1).alias("is_pay"), "event_id",
+        F.when(is_ex, F.col("before")).alias("holding"), F.when(is_ex & right, F.col("before") * F.col("amount")).alias("entitlement"))
     # claim by claim in order of time: an ex date and then its payments
     claim = Window.partitionBy("security_id", "claim")
     upto = claim.orderBy("at", "is_pay", "event_id").rowsBetween(Window.unboundedPreceding, 0)

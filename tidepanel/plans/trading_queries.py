@@ -74,12 +74,16 @@ def dated_events(spark, sf_dir):
     return trades.unionByName(splits).unionByName(ex).unionByName(pays, allowMissingColumns=True)
 
 
+def positions(spark, sf_dir):
+    return ev.held(dated_events(spark, sf_dir), panels.tasks(read(spark, sf_dir, "lineitem")))
+
+
 @query("ca_02_dated_splits", f"""WITH {_SQL_EVENTS}, h AS (SELECT sp.*, {_SQL_HOLDING.format(of="sp", until="k.at_ < sp.at_")} AS before FROM sp),
 a AS (SELECT *, CASE WHEN amount > 0 THEN before * amount ELSE before END AS shares FROM h)
 SELECT security_id, at_ AS effective_at, round(before, 6) + 0.0 AS before, round(shares, 6) + 0.0 AS shares, CASE WHEN amount <= 0 THEN 'INVALID_SPLIT' WHEN abs(shares - round(shares)) > 1e-9 THEN 'FRACTIONAL_SPLIT_CASH_IN_LIEU_REQUIRED' ELSE 'OK' END AS status FROM a""")
 def ca_02(spark, sf_dir):
     """Each split with the shares before and after it: only what was held by then is split."""
-    out = ev.held(dated_events(spark, sf_dir)).where("kind = 'split'")
+    out = positions(spark, sf_dir).where("kind = 'split'")
     return out.select("security_id", F.col("at").alias("effective_at"), rounded(F.col("before")).alias("before"), rounded(F.col("shares")).alias("shares"), "status")
 
 
@@ -93,7 +97,7 @@ UNION ALL SELECT security_id, event_id, CASE WHEN at_ >= ex_at THEN ex_at END, C
 @query("ca_03_dividend_claims", f"WITH {_SQL_CLAIMS} SELECT security_id, event_id, ex_at, round(holding, 6) + 0.0 AS holding, round(entitlement, 6) + 0.0 AS entitlement, pay_at, status FROM d")
 def ca_03(spark, sf_dir):
     """Entitlements on the holdings of ex dates, and what became of each payment."""
-    out = ev.dividends(ev.held(dated_events(spark, sf_dir)))
+    out = ev.dividends(positions(spark, sf_dir))
     return out.select("security_id", "event_id", "ex_at", rounded(F.col("holding")).alias("holding"), rounded(F.col("entitlement")).alias("entitlement"), "pay_at", "status")
 
 
@@ -101,7 +105,7 @@ def ca_03(spark, sf_dir):
 SELECT at_ AS session, round((SELECT sum(entitlement) FROM d WHERE status IN ('PAID', 'RECEIVABLE') AND ex_at <= at_ AND (pay_at IS NULL OR at_ < pay_at)), 4) + 0.0 AS receivable FROM t""")
 def ca_03_receivables(spark, sf_dir):
     """What is due between ex dates and payments, on each date that changes it."""
-    out = ev.receivables(ev.dividends(ev.held(dated_events(spark, sf_dir))))
+    out = ev.receivables(ev.dividends(positions(spark, sf_dir)))
     return out.select(F.col("at").alias("session"), rounded(F.coalesce("receivable", F.lit(0.0)), 4).alias("receivable"))
 
 
