@@ -7,8 +7,7 @@ import re
 from pyspark.sql import functions as F
 
 from tidepanel.operators import quality as dq
-from tidepanel.operators.fundamentals import derived
-from tidepanel.plans.derived_queries import ORACLE_PARTS, fact_versions, month_closes
+from tidepanel.plans.derived_queries import ORACLE_PARTS, derived_fields
 from tidepanel.plans.registry import query
 from tidepanel.sources import panels
 from tidepanel.sources.definitions import read_definitions
@@ -71,6 +70,6 @@ def dq_06(spark, sf_dir):
 @query("fd_09_transformation_log", re.sub(r"\bat\b", '"at"', f"""{ORACLE_PARTS} SELECT security_id, at, field, tr AS transformations FROM (SELECT * FROM made1 UNION ALL SELECT * FROM made2) WHERE reason IS NULL"""))
 def fd_09(spark, sf_dir):
     """Which inputs of each derived value were made positive, and by which convention."""
-    out = derived.derive(fact_versions(spark, sf_dir), month_closes(spark, sf_dir)).where("reason is null")
+    out = derived_fields(spark, sf_dir).where("reason is null")
     log = F.array_join(F.transform(F.map_entries("transformations"), lambda e: F.concat(e["key"], F.lit("="), e["value"])), "|")
     return out.select("security_id", "at", "field", log.alias("transformations"))
