@@ -112,19 +112,22 @@ def maturity(rows: DataFrame) -> Column:
     return F.when(~F.col("computed"), "E0").when(~F.col("backtested"), "E1").when(~F.col("held_out"), "E2").when(~F.col("traded"), "E3").otherwise("E4")
 
 
-def expected_facts(expected: DataFrame, versions: DataFrame, ledger: DataFrame, required: DataFrame, identity: list[str], near: float = 1e-9) -> DataFrame:
+def expected_facts(expected: DataFrame, versions: DataFrame, ledger: DataFrame, required: DataFrame, identity: list[str], near: float = 1e-9, parts: int | None = None) -> DataFrame:
     """Expected facts with status and reason, and a failed row for each required (security_id, field) that nobody expected.
 
     ``expected``: security_id, field, the identity columns, value, available_at, source, review_status and review_reason;
     ``versions``: the same without the review; ``ledger``: the sources that were verified. A match is exact on all identity
     columns and must be the only one; then value and time are compared. Reviews come first: PENDING and BLOCKED ones are
-    not checked (a block needs a reason), UNMAPPED ones pass only where no version of the security has the field.
+    not checked (a block needs a reason), UNMAPPED ones pass only where no version of the security has the field. ``parts`` is
+    the number of tasks that facts are dealt to, Spark's own if None.
     """
     key = ["security_id", "field", *identity]
+    dealt = lambda df, by: df if parts is None else df.repartition(parts, *by)
+    expected, versions = dealt(expected, key), dealt(versions, key)
     one = versions.groupBy(*key).agg(F.count("*").alias("__n"), F.min("value").alias("__value"), F.min("available_at").alias("__at"))
     mapped = versions.select("security_id", "field").distinct().withColumn("__mapped", F.lit(True))
     known = ledger.select("source").distinct().withColumn("__known", F.lit(True))
-    rows = expected.join(one, key, "left").join(mapped, ["security_id", "field"], "left").join(known, "source", "left")
+    rows = dealt(expected.join(one, key, "left"), ["security_id", "field"]).join(mapped, ["security_id", "field"], "left").join(known, "source", "left")
     incomplete = F.lit(False)
     for c in (*key, "value", "available_at", "source"):
         incomplete = incomplete | F.col(c).isNull() | (F.trim(F.col(c).cast("string")) == "")

@@ -12,7 +12,7 @@ from tidepanel.plans.registry import query
 from tidepanel.sources import panels
 from tidepanel.sources.definitions import read_definitions
 from tidepanel.sources.panels import SQL_VERSIONS, read
-from tidepanel.sources.shared import scratch
+from tidepanel.sources.shared import scratch, written
 
 #: One record of a part, and its key; the same text in both dialects.
 _RECORD = """concat('{', CASE WHEN p_partkey % 9 = 0 THEN '' ELSE concat('"id":"', CAST(p_partkey % 40 AS STRING), ' ', CAST(p_size AS STRING), '",') END, '"expression":"', p_type, '","settings":{"n":', CAST(p_partkey % 3 AS STRING), '}}')"""
@@ -55,7 +55,7 @@ SELECT security_id, field, accession, period_end, split_part(x, '/', 1) AS statu
 UNION ALL SELECT s_suppkey, f, NULL, NULL, 'FAIL', CASE WHEN s_suppkey NOT IN (SELECT security_id FROM e) THEN 'REQUIRED_ISSUER_MISSING' ELSE 'REQUIRED_FIELD_CHECK_MISSING' END FROM supplier, (VALUES ('A'), ('N'), ('R'), ('X')) t(f) WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.security_id = s_suppkey AND e.field = f)""")
 def dq_06(spark, sf_dir):
     """A third of all facts as expectations under review, against versions of which some are lost and some double."""
-    v = panels.versions(spark, sf_dir).withColumn("unit", F.lit("USD"))
+    v = written(panels.versions(spark, sf_dir), "versions").withColumn("unit", F.lit("USD"))  # expectations and what they are met with
     key = F.col("accession")
     e = v.where("accession % 3 = 0").select(
         "security_id", "field", "accession", "period_end", F.when(key % 41 != 0, F.col("value") + F.when(key % 13 == 0, 1).otherwise(0)).alias("value"), F.when(key % 17 == 0, F.date_add("available_at", 1)).otherwise(F.col("available_at")).alias("available_at"),
@@ -64,7 +64,7 @@ def dq_06(spark, sf_dir):
     have = kept.unionByName(kept.where("accession % 31 = 0"))
     ledger = spark.range(23).where("id != 5").select(F.col("id").alias("source"))
     required = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("security_id"), F.explode(F.array(*map(F.lit, "ANRX"))).alias("field"))
-    return dq.expected_facts(e, have, ledger, required, ["accession", "period_end", "unit"]).select("security_id", "field", "accession", "period_end", "status", "reason")
+    return dq.expected_facts(e, have, ledger, required, ["accession", "period_end", "unit"], parts=panels.tasks(read(spark, sf_dir, "lineitem"))).select("security_id", "field", "accession", "period_end", "status", "reason")
 
 
 @query("fd_09_transformation_log", re.sub(r"\bat\b", '"at"', f"""{ORACLE_PARTS} SELECT security_id, at, field, tr AS transformations FROM (SELECT * FROM made1 UNION ALL SELECT * FROM made2) WHERE reason IS NULL"""))
