@@ -10,7 +10,7 @@ from tidepanel.sources import panels
 SMALL = "/root/testdata/sf0.001"
 #: Query: the shuffles by number that it has at least.
 SHUFFLES = {
-    "join_05_version_snapshot": 3, "dq_06_reconciliation": 3, "ca_02_dated_splits": 1, "ca_03_dividend_claims": 1, "dq_06_expected_facts": 3, "fd_07_08_derived_fields": 2, "fd_09_transformation_log": 2,
+    "join_05_version_snapshot": 3, "dq_06_reconciliation": 3, "ca_02_dated_splits": 1, "ca_03_dividend_claims": 1, "dq_06_expected_facts": 3, "dq_04_causality_contract": 5, "fd_07_08_derived_fields": 2, "fd_09_transformation_log": 2,
 }
 
 

@@ -116,14 +116,16 @@ def _blank(x: Column) -> Column:
 LINEAGE = ("source_id", "security_id", "field", "basis")
 
 
-def causality_checks(versions: DataFrame, panel: DataFrame) -> DataFrame:
+def causality_checks(versions: DataFrame, panel: DataFrame, parts: int | None = None) -> DataFrame:
     """Nineteen checks (check, failed_rows) of a panel against the versions it was made of.
 
     ``versions``: source_id, raw_hash, historical_at, seen_at, available_at, status, field, basis, issuer, security_id,
     accession, value, unit. ``panel``: source_id, cutoff, selected_at, mode, field, basis, issuer, security_id, value, unit,
     accession. A panel row resolves if exactly one version has its source, security, field and basis; a row that does not
-    counts against each check that compares the two. Versions are grouped by that key first, so repeats make no pairs.
+    counts against each check that compares the two. Versions are grouped by that key first, so repeats make no pairs; ``parts``
+    is the number of tasks that keys are dealt to, Spark's own if None.
     """
+    dealt = lambda df: df if parts is None else df.repartition(parts, *LINEAGE)
     c = F.col
     time = lambda n: c(n).try_cast("timestamp")
     held = c("available_at").isNotNull() & (time("available_at") >= time("historical_at")) & (time("available_at") >= time("seen_at"))
@@ -136,9 +138,9 @@ def causality_checks(versions: DataFrame, panel: DataFrame) -> DataFrame:
         "version_values_are_finite": ~F.coalesce(sc.is_finite(c("value")), F.lit(False)),
     }
     of_versions = versions.agg(F.when(F.count("*") == 0, 1).otherwise(0).cast("long").alias("versions_nonempty"), *(F.count_if(F.coalesce(t, F.lit(False))).alias(k) for k, t in bad_versions.items()))
-    known = versions.groupBy(*LINEAGE).agg(F.count("*").alias("n"), *(F.any_value(x).alias(f"v_{x}") for x in ("historical_at", "available_at", "issuer", "accession", "value", "unit")))
+    known = dealt(versions).groupBy(*LINEAGE).agg(F.count("*").alias("n"), *(F.any_value(x).alias(f"v_{x}") for x in ("historical_at", "available_at", "issuer", "accession", "value", "unit")))
     repeated = known.agg(F.sum(F.when((c("n") > 1) | _blank(c("source_id")), c("n")).otherwise(0)).alias("x")).select(F.coalesce("x", F.lit(0)).cast("long").alias("version_lineage_keys_unique"))
-    rows = panel.join(known, list(LINEAGE), "left")
+    rows = dealt(panel).join(known, list(LINEAGE), "left")
     resolved = F.coalesce((c("n") == 1) & c("v_historical_at").isNotNull(), F.lit(False))
     text = lambda n: F.coalesce(c(n).cast("string"), F.lit(""))
     same = (F.lpad(text("issuer"), 10, "0") == F.lpad(text("v_issuer"), 10, "0")) & (text("accession") == text("v_accession")) & (text("unit") == text("v_unit"))
@@ -156,8 +158,8 @@ def causality_checks(versions: DataFrame, panel: DataFrame) -> DataFrame:
         "units_present": ~_blank(c("unit")),
     }
     of_panel = rows.agg(F.when(F.count("*") == 0, 1).otherwise(0).cast("long").alias("panel_nonempty"), *(F.count_if(~F.coalesce(t, F.lit(False))).alias(k) for k, t in good_panel.items()))
-    parts = (of_versions, repeated, of_panel)
-    return reduce(DataFrame.unionByName, (p.unpivot([], p.columns, "check", "failed_rows") for p in parts))
+    found = (of_versions, repeated, of_panel)
+    return reduce(DataFrame.unionByName, (p.unpivot([], p.columns, "check", "failed_rows") for p in found))
 
 
 REQUIRED = ("security_id", "issuer", "field", "basis", "unit", "accession", "source_id", "grade", "mapping_version")
