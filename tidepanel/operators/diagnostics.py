@@ -137,53 +137,134 @@ def _in_top(x: str, share: float) -> Column:
     return F.col(x).isNotNull() & (F.col("n_all") - F.col("place") < F.greatest(F.lit(1), F.ceil(F.round(F.col("n") * share, 9))))
 
 
-def _cross_section(share: float, q: int):
-    """One row of a (factor, session): correlation of ranks, coverage, sums of labels by bucket of all scores, and the top set."""
-    def average_ranks(x):
-        """Ranks from 1, ties at their middle; in here, so that executors need not import this package."""
-        _, where, n = np.unique(x, return_inverse=True, return_counts=True)
-        return (np.cumsum(n) - (n - 1) / 2)[where]
+def _kernels():
+    """Order, ranks and correlation of arrays; made in here, so that executors need not import this package."""
+    def order(x):
+        """Rows with a value, the highest first, ties in the order of rows."""
+        there = np.flatnonzero(~np.isnan(x))
+        return there[np.argsort(-x[there], kind="stable")]
+
+    def ranks(x, at):
+        """Ranks from 1 for the lowest, ties at their middle, of the rows ``at``, which are in order; NaN for other rows."""
+        out, v = np.full(len(x), np.nan), x[at]
+        if len(v):
+            first = np.flatnonzero(np.concatenate(([True], v[1:] != v[:-1])))
+            n = np.diff(np.append(first, len(v)))
+            out[at] = len(v) - np.repeat(first + (n - 1) / 2, n)
+        return out
+
+    def corr(x, y):
+        spread = x.std() * y.std() if len(x) else 0.0
+        return float(((x - x.mean()) * (y - y.mean())).mean() / spread) if spread > FLAT else None
+
+    return order, ranks, corr
+
+
+def _types(q: int, ids: str) -> str:
+    told = ", ".join(f"sum_{i} double, count_{i} long" for i in range(1, q + 1))
+    return f"factor_id string, factor_b string, session date, ic double, jaccard double, share double, n_top long, {told}, top array<{ids}>"
+
+
+def _cross_section(share: float, q: int, factors: list[str] | None, pairs: bool):
+    """Rows of one session: for each factor the correlation of ranks, coverage, sums of labels by bucket of all scores, and the top
+    set; with ``pairs``, for each two factors what their ranks and top sets have in common. Each column is sorted once: rows that
+    another column lacks are left out of its order.
+
+    Without ``factors``, a group is one factor's session and its values are in ``score``.
+    """
+    order, ranks, corr = _kernels()
 
     def of(key, rows):
-        score, label = (rows.column(c).to_numpy() for c in ("score", "label"))
-        scored = np.flatnonzero(~np.isnan(score))
-        x, y, n = score[scored], label[scored], len(scored)
-        both = ~np.isnan(y)
-        ranks = average_ranks(x)
-        bucket = np.clip(np.ceil(np.round(ranks / max(n, 1), 9) * q), 1, q)[both]
-        y = y[both]
-        a, b = average_ranks(x[both]), average_ranks(y)
-        spread = a.std() * b.std() if len(y) else 0.0
-        ic = float(((a - a.mean()) * (b - b.mean())).mean() / spread) if spread > FLAT else None
-        ids = rows.column("security_id").combine_chunks().take(pa.array(scored))
-        most = min(n, max(1, int(np.ceil(round(n * share, 9)))))
-        top = ids.take(pa.compute.sort_indices(pa.table({"x": x, "id": ids}), sort_keys=[("x", "descending"), ("id", "ascending")])[:most])
-        out = {"ic": ic, "share": len(y) / len(score), "n_top": most}
-        for i in range(1, q + 1):
-            n_i = int((bucket == i).sum())
-            out |= {f"sum_{i}": float(y[bucket == i].sum()) if n_i else None, f"count_{i}": n_i}
-        types = {k: pa.int64() if isinstance(v, int) else pa.float64() for k, v in out.items()}
-        lists = pa.ListArray.from_arrays(pa.array([0, len(top)], pa.int32()), top)
-        keys = {k: pa.array([v.as_py()], v.type) for k, v in zip(("factor_id", "session"), key, strict=True)}
-        return pa.table(keys | {k: pa.array([v], types[k]) for k, v in out.items()} | {"top": lists})
+        by_id = pa.compute.sort_indices(rows.column("security_id"))
+        ids = rows.column("security_id").combine_chunks().take(by_id)
+        column = lambda c: rows.column(c).to_numpy()[by_id.to_numpy()]
+        names = {"score": key[0].as_py()} if factors is None else {f: f for f in factors}
+        y = column("label")
+        y_order, y_there = order(y), ~np.isnan(y)
+        x = {f: column(f) for f in names}
+        there = {f: ~np.isnan(v) for f, v in x.items()}
+        placed = {f: order(v) for f, v in x.items()}
+        ranked = {f: ranks(x[f], placed[f]) for f in names}
+        most = lambda n: min(n, max(1, int(np.ceil(round(n * share, 9)))))
+        out, tops = [], []
+        for f, name in names.items():
+            n, both = len(placed[f]), placed[f][y_there[placed[f]]]
+            a, b = ranks(x[f], both)[both], ranks(y, y_order[there[f][y_order]])[both]
+            bucket, label = np.clip(np.ceil(np.round(ranked[f][both] / max(n, 1), 9) * q), 1, q), y[both]
+            sums = {}
+            for i in range(1, q + 1):
+                mine = label[bucket == i]
+                sums |= {f"sum_{i}": float(mine.sum()) if len(mine) else None, f"count_{i}": len(mine)}
+            out.append({"factor_id": name, "ic": corr(a, b), "share": len(both) / len(y), "n_top": most(n)} | sums)
+            tops.append(ids.take(pa.array(placed[f][: most(n)])))
+        listed = sorted(names) if pairs else []
+        for i, f in enumerate(listed):
+            for g in listed[i + 1 :]:
+                both = there[f] & there[g]
+                if not both.any():
+                    continue
+                same = bool((there[f] == there[g]).all())
+                at_f, at_g = (placed[h] if same else placed[h][both[placed[h]]] for h in (f, g))
+                a, b = (ranked[h] if same else ranks(x[h], at) for h, at in ((f, at_f), (g, at_g)))
+                k, top = most(len(at_f)), np.zeros(len(y), bool)
+                top[at_f[:k]] = True
+                shared = int(top[at_g[:k]].sum())
+                out.append({"factor_id": names[f], "factor_b": names[g], "ic": corr(a[both], b[both]), "jaccard": shared / (2 * k - shared)})
+        day = {"session": pa.array([key[-1].as_py()] * len(out), pa.date32())}
+        kinds = {"factor_id": pa.string(), "factor_b": pa.string(), "ic": pa.float64(), "jaccard": pa.float64(), "share": pa.float64(), "n_top": pa.int64()}
+        kinds |= {k: t for i in range(1, q + 1) for k, t in ((f"sum_{i}", pa.float64()), (f"count_{i}", pa.int64()))}
+        told = {k: pa.array([o.get(k) for o in out], t) for k, t in kinds.items()}
+        ends = np.cumsum([0, *map(len, tops), *[0] * (len(out) - len(tops))])
+        lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.concat_arrays(tops))
+        names_of = ["factor_id", "factor_b", "session", "ic", "jaccard", "share", "n_top", *(c for i in range(1, q + 1) for c in (f"sum_{i}", f"count_{i}")), "top"]
+        table = told | day | {"top": lists}
+        return pa.table({c: table[c] for c in names_of})
 
     return of
 
 
+def _without(rows: DataFrame, benchmark) -> DataFrame:
+    if benchmark is None:
+        return rows
+    return rows.where(F.when(F.col("security_id") == benchmark, F.raise_error("BENCHMARK_IN_FACTOR_CROSS_SECTION").cast("boolean")).otherwise(True))
+
+
+def cross_sections(wide: DataFrame, factors: list[str], parts: int, share: float = 0.1, q: int = 5, pairs: bool = False, benchmark=None) -> DataFrame:
+    """Each session's part of ``diagnosed`` and, with ``pairs``, of ``redundant``, in one shuffle by session to ``parts`` tasks.
+
+    ``wide`` has session, security_id, forward_return and a column for each factor: a row for each security, not one for each of
+    its factors. One session, a row for each security, is one group. With ``pairs`` all two factors are compared, each in time
+    that is linear in securities; more than a few dozen factors are better compared by ``redundancy`` after gates.
+    """
+    finite = [sc.finite(F.col(f)).alias(f) for f in factors]
+    rows = _without(wide.select("session", "security_id", sc.finite(F.col("forward_return")).alias("label"), *finite), benchmark)
+    ids = wide.schema["security_id"].dataType.simpleString()
+    return rows.repartition(parts, "session").groupBy("session").applyInArrow(_cross_section(share, q, factors, pairs), _types(q, ids))
+
+
+def redundant(sections: DataFrame) -> DataFrame:
+    """The result of ``redundancy`` from ``cross_sections`` with pairs."""
+    rows = sections.where("factor_b is not null").groupBy(F.col("factor_id").alias("factor_a"), "factor_b")
+    return rows.agg(F.median(F.abs("ic")).alias("median_abs_ic"), F.avg("jaccard").alias("top_jaccard"))
+
+
 def diagnose(pairs: DataFrame, share: float = 0.1, q: int = 5, whole: int = 26, partial: int = 13, benchmark=None) -> DataFrame:
     """One row for each factor from rows (factor_id, session, security_id, score, forward_return) at signal sessions.
 
     One shuffle: each (factor, session), a number for each security, is ranked in one group, which gives a row of aggregates and
-    the ids of its top set, a tenth of the securities; top sets are met with those of the signal before, and the rows, a small
-    table, are rolled up by year and by factor. Every security has a row at every signal. ``benchmark`` is a security that must not be among them.
+    the ids of its top set, a tenth of the securities. Every security has a row at every signal. ``benchmark`` is a security that
+    must not be among them. Factors that are columns of one panel are cheaper by ``cross_sections``.
     """
     by = ["factor_id", "session"]
-    rows = pairs.select(*by, "security_id", sc.finite(F.col("score")).alias("score"), sc.finite(F.col("forward_return")).alias("label"))
-    if benchmark is not None:
-        rows = rows.where(F.when(F.col("security_id") == benchmark, F.raise_error("BENCHMARK_IN_FACTOR_CROSS_SECTION").cast("boolean")).otherwise(True))
-    told = ", ".join(f"sum_{i} double, count_{i} long" for i in range(1, q + 1))
+    rows = _without(pairs.select(*by, "security_id", sc.finite(F.col("score")).alias("score"), sc.finite(F.col("forward_return")).alias("label")), benchmark)
     ids = pairs.schema["security_id"].dataType.simpleString()
-    one = rows.groupBy(*by).applyInArrow(_cross_section(share, q), f"factor_id string, session date, ic double, share double, n_top long, {told}, top array<{ids}>")
+    return diagnosed(rows.groupBy(*by).applyInArrow(_cross_section(share, q, None, False), _types(q, ids)), q, whole, partial)
+
+
+def diagnosed(sections: DataFrame, q: int = 5, whole: int = 26, partial: int = 13) -> DataFrame:
+    """One row for each factor: its sessions' top sets are met with those of the signal before, and the rows, a small table, are
+    rolled up by year and by factor."""
+    one = sections.where("factor_b is null").drop("factor_b", "jaccard")
     kept = F.array_intersect("top", F.lag("top").over(Window.partitionBy("factor_id").orderBy("session")))
     one = one.withColumn("n_kept", F.coalesce(F.size(kept), F.lit(0))).drop("top")
 
@@ -200,6 +281,36 @@ def diagnose(pairs: DataFrame, share: float = 0.1, q: int = 5, whole: int = 26,
     return out.withColumn("spread", F.col(f"q{q}_mean") - F.col("q1_mean"))
 
 
+def _shares(factors: list[str]):
+    order, ranks, corr = _kernels()
+
+    def of(key, rows):
+        y = rows.column("label").to_numpy()
+        y_order, y_there, out, size = order(y), ~np.isnan(y), {}, len(y)
+        for f in factors:
+            x = rows.column(f).to_numpy()
+            placed, there = order(x), ~np.isnan(x)
+            both = placed[y_there[placed]]
+            ic = corr(ranks(x, both)[both], ranks(y, y_order[there[y_order]])[both])
+            out |= {f: pa.array(ranks(x, placed) / max(len(placed), 1), pa.float64(), from_pandas=True), f"ic_{f}": pa.array([ic] * size, pa.float64()), f"n_{f}": pa.array([len(both)] * size, pa.int64())}
+        rest = {c: rows.column(c) for c in rows.column_names if c not in factors and c != "label"}
+        return pa.table(rest | out)
+
+    return of
+
+
+def rank_shares(wide: DataFrame, factors: list[str], parts: int) -> DataFrame:
+    """Rows of a panel with each factor's rank share within its session in place of its value, and the session's rank correlation
+    with forward_return (ic_...) over n_... rows, beside each row.
+
+    One shuffle by session, to ``parts`` tasks. One session, a row for each security, is one group.
+    """
+    rest = [c for c in wide.columns if c not in factors]
+    told = [f"{c} {wide.schema[c].dataType.simpleString()}" for c in rest] + [f"{f} double, ic_{f} double, n_{f} long" for f in factors]
+    rows = wide.select(*rest, sc.finite(F.col("forward_return")).alias("label"), *(sc.finite(F.col(f)).alias(f) for f in factors))
+    return rows.repartition(parts, "session").groupBy("session").applyInArrow(_shares(factors), ", ".join(told))
+
+
 def redundancy(scores: DataFrame, share: float = 0.1) -> DataFrame:
     """For each pair of factors: median absolute Spearman correlation over sessions and mean Jaccard of top sets.
 

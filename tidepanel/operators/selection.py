@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,6 +31,17 @@ def composites(shares: DataFrame, pools: dict[str, tuple[str, ...]], directions:
     return wide.select(*by, F.explode(F.array(*each)).alias("c")).select("c.composite_id", *by, "c.score")
 
 
+def wide_composites(shares: DataFrame, pools: dict[str, tuple[str, ...]], directions: DataFrame) -> DataFrame:
+    """``composites`` of rows that have a column for each factor's rank share: each row with composite_id and score, no shuffle."""
+    factors = sorted({f for pool in pools.values() for f in pool})
+    turned = directions.agg(*(F.max(F.when(F.col("factor_id") == f, F.col("direction"))).alias(f"__{f}") for f in factors))  # one row
+    mine = {f: F.when(F.col(f"__{f}").isNotNull(), cs.oriented(F.col(f), F.col(f"__{f}"))) for f in factors}
+    mean = lambda pool: reduce(lambda x, y: x + y, (mine[f] for f in pool)) / len(pool)
+    each = [F.struct(F.lit(name).alias("composite_id"), mean(pool).alias("score")) for name, pool in pools.items()]
+    rest = [c for c in shares.columns if c not in factors]
+    return shares.join(F.broadcast(turned)).select(*rest, F.explode(F.array(*each)).alias("__c")).select("__c.composite_id", *rest, "__c.score")
+
+
 def session_scores(scores: DataFrame, k: int, min_coverage: float = 0.95, min_complete: int = 500) -> DataFrame:
     """Composite scores of every session (session, security_id, composite_score, n_complete, blockers) from rows (factor_id,
     session, security_id, score) of k factors on the whole universe; NULL where a factor is missing. ``blockers`` says what

@@ -151,14 +151,19 @@ def catalogue(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(_CATALOGUE, "factor_id string, factor_version int, family_id string, mechanism_tag string, semantic_status string, warmup_sessions int, eligible boolean")
 
 
-def weekly_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scores and labels of all weekly factors at signal sessions, off one grid."""
-    factors = [f for f, *_ in WEEKLY]
-    grid = dg.with_forward_returns(panels.weekly_panel(spark, sf_dir))
-    wide = evaluate(grid, factors, keep=("forward_return",))
+def weekly_scores(spark: SparkSession, sf_dir: str, names: tuple[str, ...] = (), keep: tuple[str, ...] = ()) -> DataFrame:
+    """A row for each week and security: forward_return, columns of the panel to ``keep`` and a column for each weekly factor (or
+    those named), off one grid."""
+    factors = [f for f, *_ in WEEKLY if not names or f.name in names]
+    wide = evaluate(dg.with_forward_returns(panels.weekly_panel(spark, sf_dir)), factors, keep=("forward_return", *keep))
+    return wide.withColumns({f.name: sc.rounded(F.col(f.name), 9) for f in factors})
+
+
+def weekly_sections(spark: SparkSession, sf_dir: str, pairs: bool = False) -> DataFrame:
+    """Cross-sections of all weekly factors at signal sessions."""
     sig = dg.signal_sessions(panels.supplier_sessions(spark, sf_dir))
-    long = long_form(wide.join(F.broadcast(sig.select("session")), "session"), factors, keep=("forward_return",))
-    return long.select("session", "security_id", "factor_id", F.round("value", 9).alias("score"), "forward_return")
+    wide = weekly_scores(spark, sf_dir).join(F.broadcast(sig.select("session")), "session")
+    return dg.cross_sections(wide, [f.name for f, *_ in WEEKLY], panels.tasks(panels.read(spark, sf_dir, "lineitem")), pairs=pairs, benchmark=panels.BENCHMARK)
 
 
 _MEAN_OF = lambda n: f"CASE WHEN count(close) OVER (w ROWS {n - 1} PRECEDING) = {n} THEN -avg(close) OVER (w ROWS {n - 1} PRECEDING) END"
@@ -185,7 +190,7 @@ dx AS (SELECT factor_id, n_sessions, median_coverage, mean_ic, icir, positive_ye
 @query("ag_08_diagnose", f"""{SQL_DIAGNOSED} SELECT factor_id, n_sessions, {", ".join(f"round({c}, 9) + 0.0 AS {c}" for c in ("median_coverage", "mean_ic", "icir", "positive_year_ratio", "q1_mean", "q2_mean", "q3_mean", "q4_mean", "q5_mean", "turnover", "spread"))} FROM dx""")
 def ag_08(spark, sf_dir):
     """All diagnostics of ten weekly factors in one pass."""
-    out = dg.diagnose(weekly_pairs(spark, sf_dir), benchmark=panels.BENCHMARK)
+    out = dg.diagnosed(weekly_sections(spark, sf_dir))
     return out.select("factor_id", "n_sessions", *(rounded(F.col(c), 9).alias(c) for c in out.columns if c not in ("factor_id", "n_sessions")))
 
 
@@ -278,39 +283,39 @@ gy AS (SELECT 0::BIGINT AS place, ''::VARCHAR AS factor_id, []::VARCHAR[] AS tak
     FROM gy JOIN nr ON nr.place = gy.place + 1)"""
 
 
-def gated(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """(decided, pairs): diagnostics of the weekly factors with their outcome, a row for each, and the scores they are of. Both
-    are written once, as selection reads them several times."""
-    pairs = written(weekly_pairs(spark, sf_dir), "weekly-pairs")
-    return written(sel.gated(dg.diagnose(pairs, benchmark=panels.BENCHMARK)), "gates"), pairs
+def gated(spark: SparkSession, sf_dir: str, pairs: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(decided, sections): diagnostics of the weekly factors with their outcome, a row for each, and the cross-sections that they
+    are of, with those of all two factors. Both are written once, as selection reads them several times."""
+    sections = written(weekly_sections(spark, sf_dir, pairs), "weekly-sections")
+    return written(sel.gated(dg.diagnosed(sections)), "gates"), sections
 
 
 def passing(spark: SparkSession, decided: DataFrame) -> DataFrame:
     return decided.where("status = 'PASS_GATES'").join(F.broadcast(catalogue(spark)), "factor_id")
 
 
-def conflicts(pairs: DataFrame, good: DataFrame) -> DataFrame:
-    """Conflicts among the passing factors; only their scores are compared."""
-    return sel.conflicts(good, dg.redundancy(pairs.join(F.broadcast(good.select("factor_id")), "factor_id", "left_semi")))
+def conflicts(sections: DataFrame, good: DataFrame) -> DataFrame:
+    """Conflicts among the passing factors."""
+    return sel.conflicts(good, dg.redundant(sections))
 
 
-def selected(spark: SparkSession, decided: DataFrame, pairs: DataFrame) -> DataFrame:
+def selected(spark: SparkSession, decided: DataFrame, sections: DataFrame) -> DataFrame:
     good = passing(spark, decided)
     ranked = good.select("factor_id", F.row_number().over(Window.orderBy(*sel.candidate_order())).alias("place"))  # a catalogue
-    return sel.greedy(ranked, conflicts(pairs, good).where("hard_conflict"), most=_P["pool_max"])
+    return sel.greedy(ranked, conflicts(sections, good).where("hard_conflict"), most=_P["pool_max"])
 
 
 @query("tk_06_gates", f"{SQL_GATED} SELECT factor_id, split_part(said, '/', 1) AS status, split_part(said, '/', 2) AS reason FROM gt")
 def tk_06(spark, sf_dir):
     """Ordered gates over the diagnostics, with the reason of the first that stops a factor."""
-    return gated(spark, sf_dir)[0].select("factor_id", "status", "reason")
+    return gated(spark, sf_dir, pairs=False)[0].select("factor_id", "status", "reason")
 
 
 @query("tk_08_conflicts", f"{SQL_SELECTED} SELECT factor_a, factor_b, same_family, same_mechanism, round(median_abs_ic, 6) + 0.0 AS median_abs_ic, round(top_jaccard, 6) + 0.0 AS top_jaccard, conflict_reason FROM cf")
 def tk_08_conflicts(spark, sf_dir):
     """All pairs of passing factors with what makes them conflict."""
-    decided, pairs = gated(spark, sf_dir)
-    c = conflicts(pairs, passing(spark, decided))
+    decided, sections = gated(spark, sf_dir)
+    c = conflicts(sections, passing(spark, decided))
     return c.select("factor_a", "factor_b", "same_family", "same_mechanism", rounded(F.col("median_abs_ic")).alias("median_abs_ic"), rounded(F.col("top_jaccard")).alias("top_jaccard"), "conflict_reason")
 
 
@@ -335,8 +340,8 @@ st(stage, name, gone) AS (VALUES {_SQL_STAGES}), sr AS (SELECT stage, name, (SEL
 SELECT stage, name, remaining, coalesce(lag(remaining) OVER (ORDER BY stage) - remaining, 0) AS removed FROM sr""")
 def ag_19(spark, sf_dir):
     """From all versions of the catalogue to the pool."""
-    gates, pairs = gated(spark, sf_dir)
-    final = selected(spark, gates, pairs).select("factor_id", F.col("status").alias("final"))
+    gates, sections = gated(spark, sf_dir)
+    final = selected(spark, gates, sections).select("factor_id", F.col("status").alias("final"))
     decided = F.broadcast(catalogue(spark)).join(gates.select("factor_id", "status"), "factor_id", "left").join(final, "factor_id", "left")
     return sel.funnel(decided.select(F.coalesce("final", "status", F.lit("CATALOG_INELIGIBLE")).alias("status"))).withColumn("stage", F.col("stage").cast("int"))
 

@@ -8,7 +8,7 @@ from tidepanel.functions import crosssection as cs
 from tidepanel.operators import diagnostics as dg
 from tidepanel.operators import portfolio as pf
 from tidepanel.operators import selection as sel
-from tidepanel.plans.factor_queries import SQL_DIAGNOSED, SQL_WEEKLY_PAIRS, weekly_pairs
+from tidepanel.plans.factor_queries import SQL_DIAGNOSED, SQL_WEEKLY_PAIRS, weekly_scores
 from tidepanel.plans.registry import query, rounded
 from tidepanel.sources import panels
 from tidepanel.sources.shared import written
@@ -25,15 +25,24 @@ cm AS ({" UNION ALL ".join(f"SELECT '{name}' AS composite_id, session, ordinal,
 cp AS (SELECT composite_id || '|' || CASE WHEN session < DATE '{_SPLIT}' THEN 'DEVELOPMENT' ELSE 'HOLDOUT' END AS factor_id, session, ordinal, security_id, forward_return, score FROM cm)"""
 
 
-def composite_pairs(spark, sf_dir):
+def pool_shares(spark, sf_dir):
+    """A row for each week and security, written once: close, forward_return, rank shares of the pool's factors, and the week's
+    correlations."""
+    factors = list(POOLS["ALL"])
+    wide = weekly_scores(spark, sf_dir, POOLS["ALL"], keep=("close",))
+    return written(dg.rank_shares(wide, factors, panels.tasks(panels.read(spark, sf_dir, "lineitem"))), "pool-shares")
+
+
+def composite_pairs(spark, sf_dir, shares):
     """Rows (composite_id, period, session, security_id, score, forward_return), directions frozen on the development period."""
-    pairs = written(weekly_pairs(spark, sf_dir).where(F.col("factor_id").isin(*POOLS["ALL"])), "pool-pairs")
+    signals = dg.signal_sessions(panels.supplier_sessions(spark, sf_dir)).select("session")
+    at = shares.join(F.broadcast(signals), "session")
     early = F.col("session") < F.lit(_SPLIT).cast("date")
-    directions = sel.frozen_directions(dg.rank_ic(pairs.where(early), ["factor_id", "session"]))
-    shares = pairs.withColumn("share", cs.rank(F.col("score"), "factor_id", "session"))
-    found = sel.composites(shares, POOLS, directions).withColumn("score", F.round("score", 9))
-    labels = pairs.groupBy("session", "security_id").agg(F.max("forward_return").alias("forward_return"))
-    return found.join(labels, ["session", "security_id"]).withColumn("period", F.when(early, "DEVELOPMENT").otherwise("HOLDOUT"))
+    told = [F.struct(F.lit(f).alias("factor_id"), F.col(f"ic_{f}").alias("ic"), F.col(f"n_{f}").alias("n")) for f in POOLS["ALL"]]
+    one = at.where(early).groupBy("session").agg(F.first(F.array(*told)).alias("all"))
+    ics = one.select("session", F.inline("all")).where("n > 0")
+    found = sel.wide_composites(at.select("session", "security_id", "forward_return", *POOLS["ALL"]), POOLS, sel.frozen_directions(ics))
+    return found.withColumn("score", F.round("score", 9)).withColumn("period", F.when(early, "DEVELOPMENT").otherwise("HOLDOUT"))
 
 
 _METRICS = ("median_coverage", "mean_ic", "icir", "positive_year_ratio", "q1_mean", "q5_mean", "turnover", "spread")
@@ -44,16 +53,18 @@ _SQL_JUDGED = _SQL_COMPOSITES + ", " + SQL_DIAGNOSED.removeprefix(SQL_WEEKLY_PAI
 @query("bt_02_03_holdout_replay", f"""{_SQL_JUDGED} SELECT split_part(factor_id, '|', 1) AS composite_id, split_part(factor_id, '|', 2) AS period, n_sessions, {", ".join(f"round({c}, 6) + 0.0 AS {c}" for c in _METRICS)} FROM dx""")
 def bt_02(spark, sf_dir):
     """All diagnostics of two composites on both periods, keyed together in one pass."""
-    pairs = composite_pairs(spark, sf_dir).withColumn("factor_id", F.concat_ws("|", "composite_id", "period"))
+    pairs = composite_pairs(spark, sf_dir, pool_shares(spark, sf_dir)).withColumn("factor_id", F.concat_ws("|", "composite_id", "period"))
     out = dg.diagnose(pairs.select("factor_id", "session", "security_id", "score", "forward_return"), benchmark=panels.BENCHMARK)
     key = F.split("factor_id", r"\|")
     return out.select(F.get(key, 0).alias("composite_id"), F.get(key, 1).alias("period"), "n_sessions", *(rounded(F.col(c)).alias(c) for c in _METRICS))
 
 
-def portfolio_weights(spark, sf_dir):
+def portfolio_weights(spark, sf_dir, shares):
     """Weekly targets of each composite and period, with names outside the top at 0."""
+    by = ("composite_id", "period")
     signals = dg.signal_sessions(panels.supplier_sessions(spark, sf_dir))
-    return pf.decile_weights(composite_pairs(spark, sf_dir), signals, ("composite_id", "period"))
+    scored = composite_pairs(spark, sf_dir, shares).select(*by, "session", "security_id", "score").where("score is not null")
+    return pf.decile_weights(scored.repartition(panels.tasks(panels.read(spark, sf_dir, "lineitem")), *by, "session"), signals, by)
 
 
 _SQL_TARGETS = _SQL_COMPOSITES + """, se AS (SELECT session, lead(session) OVER (ORDER BY session) AS execution FROM (SELECT DISTINCT session FROM bars_l)),
@@ -62,7 +73,7 @@ wk AS (SELECT factor_id, execution, security_id, CASE WHEN k <= greatest(1, ceil
 
 @query("tk_12_decile_targets", f"{_SQL_TARGETS} SELECT split_part(factor_id, '|', 1) AS composite_id, split_part(factor_id, '|', 2) AS period, execution, security_id, round(weight, 9)::DOUBLE + 0.0 AS weight FROM wk")
 def tk_12(spark, sf_dir):
-    return portfolio_weights(spark, sf_dir).select("composite_id", "period", "execution", "security_id", rounded(F.col("weight"), 9).alias("weight"))
+    return portfolio_weights(spark, sf_dir, pool_shares(spark, sf_dir)).select("composite_id", "period", "execution", "security_id", rounded(F.col("weight"), 9).alias("weight"))
 
 
 _SQL_NAV = _SQL_TARGETS + f""", w AS (SELECT * FROM wk WHERE weight <> 0), x AS (SELECT factor_id, execution, lead(execution) OVER (PARTITION BY factor_id ORDER BY execution) AS until FROM (SELECT DISTINCT factor_id, execution FROM w)),
@@ -81,8 +92,9 @@ m AS (SELECT *, coalesce(nav / lag(nav) OVER (PARTITION BY factor_id ORDER BY se
 def ag_20(spark, sf_dir):
     """Net values of two composites on two periods, all four portfolios in one plan, with all their metrics."""
     by = ("composite_id", "period")
-    weights = written(portfolio_weights(spark, sf_dir), "targets")
-    nav = pf.cohort_nav(panels.weekly_panel(spark, sf_dir), weights, sessions=panels.supplier_sessions(spark, sf_dir), by=by)
+    shares = pool_shares(spark, sf_dir)
+    weights = written(portfolio_weights(spark, sf_dir, shares).where("weight != 0"), "targets")
+    nav = pf.cohort_nav(shares.select("session", "security_id", "close"), weights, sessions=panels.supplier_sessions(spark, sf_dir), by=by)
     # a period ends before the next one begins
     nav = nav.where((F.col("period") == "HOLDOUT") | (F.col("session") < F.lit(_SPLIT).cast("date")))
     out = dg.nav_metrics(nav, list(by))
