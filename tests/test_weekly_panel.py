@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tidepanel.functions import scalar as sc
 from tidepanel.operators import diagnostics as dg
+from tidepanel.operators import portfolio as pf
 from tidepanel.operators import selection as sel
 from tidepanel.plans import factor_queries as fq
 from tidepanel.plans import holdout_queries as hq
@@ -78,3 +79,20 @@ def test_one_row_for_a_security_and_two_shuffles_of_rows(spark, rows):
     plan = rows(spark)._jdf.queryExecution().executedPlan().toString()
     assert "Expand" not in plan and "SortMergeJoin" not in plan
     assert plan.count("Exchange hashpartitioning(security_id") == 1 and plan.count("Exchange hashpartitioning(session") <= 2  # the calendar has one, too
+
+
+def test_prices_are_not_repeated_for_cohorts(spark):
+    """Only the weights are met with the cohorts' calendar before prices are joined, in as many tasks as asked for."""
+    grid = spark.createDataFrame([(DAY + dt.timedelta(d), s, 10.0 + d * s) for d in range(6) for s in (1, 2)], "session date, security_id long, close double")
+    weights = spark.createDataFrame([(p, DAY + dt.timedelta(d), s, 0.4) for p in (1, 2) for d in (0, 2) for s in (1, 2)], "p int, execution date, security_id long, weight double")
+    dealt, plain = (pf.cohort_nav(grid, weights, by=("p",), parts=n) for n in (3, None))
+    same(dealt, plain, ["p", "session"])
+    plan = dealt._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression [at#" in plan and "RepartitionByExpression [p#" in plan
+    # between the prices and their join no row is multiplied: nothing but windows and projections lies under their shuffle
+    prices = [i for i, line in enumerate(plan.splitlines()) if "RepartitionByExpression [at#" in line][1]
+    depth = lambda line: len(line) - len(line.lstrip(" :+-"))
+    lines = plan.splitlines()
+    under = [line for line in lines[prices + 1 :]]
+    end = next((i for i, line in enumerate(under) if depth(line) <= depth(lines[prices])), len(under))
+    assert not any("Join" in line for line in under[:end])

@@ -69,14 +69,16 @@ def decile_weights(scores: DataFrame, signals: DataFrame, by: tuple[str, ...] =
     return rows.select(*by, "execution", "security_id", F.when(F.col("place") <= F.col("k"), (1 - cash) / F.col("k")).otherwise(0.0).alias("weight"))
 
 
-def cohort_nav(grid: DataFrame, weights: DataFrame, fee: float = 0.001, sessions: DataFrame | None = None, by: tuple[str, ...] = ()) -> DataFrame:
+def cohort_nav(grid: DataFrame, weights: DataFrame, fee: float = 0.001, sessions: DataFrame | None = None, by: tuple[str, ...] = (), parts: int | None = None) -> DataFrame:
     """Net value per session of held cohorts: (by..., session, gross_return, turnover, nav), any number of portfolios in one plan.
 
     ``weights`` (by..., execution, security_id, weight) hold from their execution to the portfolio's next, drifting with each
     security's price (the last one known). A session's return is that of drifted weights; at an execution, half-open turnover
     is the sum of absolute differences between drifted and new weights, charged at ``fee``. This is a model in return space.
-    ``sessions`` is the grid's calendar; without it the grid is read once more for it.
+    ``sessions`` is the grid's calendar; without it the grid is read once more for it. With ``parts``, prices and cohorts are dealt
+    to so many tasks. Weights, not prices, are repeated for the sessions of their cohort.
     """
+    dealt = lambda rows, *keys: rows if parts is None else rows.repartition(parts, *keys)
     weights = weights.where("weight != 0")
     # executions are a calendar, so each session takes a portfolio's as an array: it belongs to the running cohort, and at an
     # execution also to the one that ends
@@ -86,8 +88,9 @@ def cohort_nav(grid: DataFrame, weights: DataFrame, fee: float = 0.001, sessions
     cohort = lambda i, until: F.struct(F.get("all", i).alias("execution"), until.alias("until"))
     ending = F.when((F.get("all", F.col("done") - 1) == F.col("at")) & (F.col("done") > 1), cohort(F.col("done") - 2, F.col("at")))
     belongs = calendar.select(*by, "at", F.explode(F.array_compact(F.array(cohort(F.col("done") - 1, F.get("all", F.col("done"))), ending))).alias("c")).select(*by, "at", "c.*")
-    prices = grid.withColumn("price", ts.forward_fill(F.col("close"))).select(F.col("session").alias("at"), "security_id", "price").join(F.broadcast(belongs), "at")
-    held = weights.join(prices, [*by, "execution", "security_id"])
+    prices = grid.withColumn("price", ts.forward_fill(F.col("close"))).select(F.col("session").alias("at"), "security_id", "price")
+    held = dealt(weights.join(F.broadcast(belongs), [*by, "execution"]), "at", "security_id").join(dealt(prices, "at", "security_id"), ["at", "security_id"])
+    held = dealt(held, *by, "execution", "security_id")
     run = Window.partitionBy(*by, "execution", "security_id").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
     held = held.withColumn("value", F.col("weight") * F.coalesce(F.try_divide("price", F.first("price", ignorenulls=True).over(run)), F.lit(1.0)))
     # each cohort's worth of 1 put in: securities and cash
@@ -95,7 +98,8 @@ def cohort_nav(grid: DataFrame, weights: DataFrame, fee: float = 0.001, sessions
     step = worth.withColumn("gross_return", F.try_divide("worth", F.lag("worth").over(Window.partitionBy(*by, "execution").orderBy("at"))) - 1)
     returns = step.where("gross_return is not null").select(*by, F.col("at").alias("session"), "gross_return")
     drifted = held.join(worth, [*by, "execution", "at"]).where("at = until").select(*by, F.col("at").alias("execution"), "security_id", F.try_divide("value", "worth").alias("was"))
-    moved = weights.join(drifted, [*by, "execution", "security_id"], "full_outer")
+    name = (*by, "execution", "security_id")
+    moved = dealt(weights, *name).join(dealt(drifted, *name), list(name), "full_outer")
     turnover = moved.groupBy(*by, F.col("execution").alias("session")).agg(F.sum(F.abs(F.coalesce("weight", F.lit(0.0)) - F.coalesce("was", F.lit(0.0)))).alias("turnover"))
     rows = returns.join(turnover, [*by, "session"], "full_outer").select(*by, "session", F.coalesce("gross_return", F.lit(0.0)).alias("gross_return"), F.coalesce("turnover", F.lit(0.0)).alias("turnover"))
     upto = Window.partitionBy(*by).orderBy("session").rowsBetween(Window.unboundedPreceding, 0)  # one row per portfolio and session

@@ -94,7 +94,7 @@ def ag_20(spark, sf_dir):
     by = ("composite_id", "period")
     shares = pool_shares(spark, sf_dir)
     weights = written(portfolio_weights(spark, sf_dir, shares).where("weight != 0"), "targets")
-    nav = pf.cohort_nav(shares.select("session", "security_id", "close"), weights, sessions=panels.supplier_sessions(spark, sf_dir), by=by)
+    nav = pf.cohort_nav(shares.select("session", "security_id", "close"), weights, sessions=panels.supplier_sessions(spark, sf_dir), by=by, parts=panels.tasks(panels.read(spark, sf_dir, "lineitem")))
     # a period ends before the next one begins
     nav = nav.where((F.col("period") == "HOLDOUT") | (F.col("session") < F.lit(_SPLIT).cast("date")))
     out = dg.nav_metrics(nav, list(by))
