@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from tidepanel.operators import gates
+from tidepanel.plans.all import QUERIES
 
 BEST = dict(data_gate="PASS", mean_rank_ic=0.02, gmb_mean=0.1, gmb_ci_lower=0.01, complete_years=3, positive_joint_years=2, halfyear_segments=6, positive_ic_halfyears=4, active_mean=0.1, active_ci_lower=0.01,
     max_drawdown=0.25, stress_active_return=0.01, benchmark="B2_risk_matched", risk_audit_pass=True, execution_complete=True, corporate_actions_complete=True)
@@ -61,3 +64,35 @@ def test_causality_clean_and_empty(spark):
     assert empty == {"versions_nonempty", "panel_nonempty"}
     late = {r["check"] for r in gates.causality_checks(v.withColumn("available_at", F.lit("nonsense")), p.withColumn("cutoff", F.lit("2023-12-31"))).collect() if r["failed_rows"]}
     assert late == {"version_times_parse", "forward_never_precedes_historical", "no_future_values"}
+
+
+def test_causality_repeats_and_gaps(spark):
+    def version(source):
+        return (source, "a" * 64, "2024-01-01 10:00:00", "2024-01-02 10:00:00", "2024-01-02 10:00:00", "MAPPED", "revenue", "RAW", "12", "x", "acc", 1.0, "usd")
+
+    def row(source, day=1, basis="RAW", value=1.0):
+        return (source, "2024-01-03", f"2024-01-0{day} 10:00:00", gates.HISTORICAL, "revenue", basis, "0000000012", "x", value, "usd", "acc")
+
+    order = F.coalesce(F.substring("source_id", 2, 1).cast("int"), F.lit(0)).alias("order")
+    v = spark.createDataFrame([version(s) for s in ("s1", "s2", "s2", None)], V).select("*", order)
+    p = spark.createDataFrame([row("s1"), row("s1", value=2.0), row("s1", day=2), row("s2"), row(None), row("s4"), row("s1", basis="TTM")], P).select("*", order)
+    want = {"version_lineage_complete": 1, "version_lineage_keys_unique": 3, "panel_lineage_resolves": 4, "panel_lineage_metadata_matches": 4, "panel_values_match_versions": 5, "panel_selected_availability_matches_source": 5, "panel_lineage_complete": 1}
+    by_source = v.repartition(3, "source_id"), p.repartition(3, "source_id")
+    for out in (gates.causality_checks(v, p), gates.causality_checks(v, p, 3), gates.causality_checks(v.repartition(3, "order"), p.repartition(3, "order"), by=("order",)), gates.causality_checks(*by_source, by=("source_id",))):
+        said = {r["check"]: r["failed_rows"] for r in out.collect()}
+        assert len(said) == 19 and {k: n for k, n in said.items() if n} == want
+
+
+def shuffles(df):
+    """The first key of each shuffle of a plan that deals rows by key."""
+    return re.findall(r"Exchange hashpartitioning\((\w+)#", df._jdf.queryExecution().executedPlan().toString())
+
+
+def test_causality_deals_keys_once(spark):
+    one = spark.range(1).select(F.col("id").cast("string").alias("text"), F.lit("RAW").alias("basis"))
+    v, p = (one.select(*("basis" if n == "basis" else F.col("text").cast(t).alias(n) for n, t in (c.split() for c in names.split(", ")))) for names in (V, P))
+    assert shuffles(gates.causality_checks(v, p, 7)) == ["source_id"]
+
+
+def test_causality_facts_stay_with_their_order(spark):
+    assert set(shuffles(QUERIES["dq_04_causality_contract"](spark, "/root/testdata/sf0.001"))) == {"l_orderkey", "o_orderkey"}

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidepanel.functions import scalar as sc
@@ -116,16 +116,17 @@ def _blank(x: Column) -> Column:
 LINEAGE = ("source_id", "security_id", "field", "basis")
 
 
-def causality_checks(versions: DataFrame, panel: DataFrame, parts: int | None = None) -> DataFrame:
+def causality_checks(versions: DataFrame, panel: DataFrame, parts: int | None = None, by: tuple[str, ...] = ()) -> DataFrame:
     """Nineteen checks (check, failed_rows) of a panel against the versions it was made of.
 
     ``versions``: source_id, raw_hash, historical_at, seen_at, available_at, status, field, basis, issuer, security_id,
     accession, value, unit. ``panel``: source_id, cutoff, selected_at, mode, field, basis, issuer, security_id, value, unit,
     accession. A panel row resolves if exactly one version has its source, security, field and basis; a row that does not
-    counts against each check that compares the two. Versions are grouped by that key first, so repeats make no pairs; ``parts``
-    is the number of tasks that keys are dealt to, Spark's own if None.
+    counts against each check that compares the two. Rows of both that have a key are one sequence, versions first, so repeats
+    make no pairs and both tables are dealt and sorted once; ``parts`` is the number of tasks that keys are dealt to, Spark's own
+    if None. ``by`` names columns of both tables that follow from the source, so that equal keys have them equal: where both
+    tables are already dealt by these to as many tasks, rows stay there.
     """
-    dealt = lambda df: df if parts is None else df.repartition(parts, *LINEAGE)
     c = F.col
     time = lambda n: c(n).try_cast("timestamp")
     held = c("available_at").isNotNull() & (time("available_at") >= time("historical_at")) & (time("available_at") >= time("seen_at"))
@@ -138,10 +139,17 @@ def causality_checks(versions: DataFrame, panel: DataFrame, parts: int | None =
         "version_values_are_finite": ~F.coalesce(sc.is_finite(c("value")), F.lit(False)),
     }
     of_versions = versions.agg(F.when(F.count("*") == 0, 1).otherwise(0).cast("long").alias("versions_nonempty"), *(F.count_if(F.coalesce(t, F.lit(False))).alias(k) for k, t in bad_versions.items()))
-    known = dealt(versions).groupBy(*LINEAGE).agg(F.count("*").alias("n"), *(F.any_value(x).alias(f"v_{x}") for x in ("historical_at", "available_at", "issuer", "accession", "value", "unit")))
-    repeated = known.agg(F.sum(F.when((c("n") > 1) | _blank(c("source_id")), c("n")).otherwise(0)).alias("x")).select(F.coalesce("x", F.lit(0)).cast("long").alias("version_lineage_keys_unique"))
-    rows = dealt(panel).join(known, list(LINEAGE), "left")
-    resolved = F.coalesce((c("n") == 1) & c("v_historical_at").isNotNull(), F.lit(False))
+    told = ("historical_at", "available_at", "issuer", "accession", "value", "unit")
+    key = list(dict.fromkeys((*by, *LINEAGE)))
+    known = versions.select(*key, F.lit(0).alias("__side"), *(c(x).alias(f"v_{x}") for x in told))
+    judged = panel.select(*key, F.lit(1).alias("__side"), "cutoff", "selected_at", "mode", "issuer", "accession", "value", "unit")
+    rows = known.unionByName(judged, allowMissingColumns=True)
+    if parts is not None and not by:
+        rows = rows.repartition(parts, *LINEAGE)
+    of_version = c("__side") == 0
+    w = Window.partitionBy(*key).orderBy("__side")
+    rows = rows.withColumns({"__n": F.count_if(of_version).over(w)} | {f"v_{x}": F.first(f"v_{x}").over(w) for x in told})
+    resolved = F.coalesce((c("__n") == 1) & c("v_historical_at").isNotNull(), F.lit(False)) & reduce(lambda a, b: a & b, (c(x).isNotNull() for x in LINEAGE))
     text = lambda n: F.coalesce(c(n).cast("string"), F.lit(""))
     same = (F.lpad(text("issuer"), 10, "0") == F.lpad(text("v_issuer"), 10, "0")) & (text("accession") == text("v_accession")) & (text("unit") == text("v_unit"))
     expected = F.when(c("mode") == HISTORICAL, time("v_historical_at")).when(c("mode") == FORWARD, time("v_available_at"))
@@ -157,9 +165,10 @@ def causality_checks(versions: DataFrame, panel: DataFrame, parts: int | None =
         "values_are_finite": sc.is_finite(c("value")),
         "units_present": ~_blank(c("unit")),
     }
-    of_panel = rows.agg(F.when(F.count("*") == 0, 1).otherwise(0).cast("long").alias("panel_nonempty"), *(F.count_if(~F.coalesce(t, F.lit(False))).alias(k) for k, t in good_panel.items()))
-    found = (of_versions, repeated, of_panel)
-    return reduce(DataFrame.unionByName, (p.unpivot([], p.columns, "check", "failed_rows") for p in found))
+    of_rows = rows.agg(
+        F.count_if(of_version & ((c("__n") > 1) | _blank(c("source_id")))).alias("version_lineage_keys_unique"), F.when(F.count_if(~of_version) == 0, 1).otherwise(0).cast("long").alias("panel_nonempty"),
+        *(F.count_if(~of_version & ~F.coalesce(t, F.lit(False))).alias(k) for k, t in good_panel.items()))
+    return reduce(DataFrame.unionByName, (p.unpivot([], p.columns, "check", "failed_rows") for p in (of_versions, of_rows)))
 
 
 REQUIRED = ("security_id", "issuer", "field", "basis", "unit", "accession", "source_id", "grade", "mapping_version")
